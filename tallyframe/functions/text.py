@@ -61,7 +61,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """Fixed-point text without thousands separators, ties to even."""
-    return F.format_number(value.cast("double"), "0" if digits == 0 else "0." + "0" * digits)
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
 def percent(share: Column, digits: int = 2) -> Column:

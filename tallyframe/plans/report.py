@@ -68,7 +68,8 @@ def report_lines(
         )
     )
     rank = F.when(section == "overall", 0).when(section == "level", 1).otherwise(2)
-    ordered = report.select(rank.alias("rank"), "key", F.posexplode(lines).alias("pos", "line"))
+    blocks = report.select(rank.alias("rank"), "key", lines.alias("lines"))
+    ordered = blocks.select("rank", "key", F.posexplode("lines").alias("pos", "line"))
     number = F.row_number().over(Window.orderBy("rank", "key", "pos"))
     return ordered.select(number.alias("line_no"), "line").orderBy("line_no")
 

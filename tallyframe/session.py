@@ -17,11 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session names none, a local master gets a fresh local folder; a cluster must set one.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyframe-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    context = spark.sparkContext
+    folder = context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
