@@ -20,7 +20,6 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from fixtures import base, fixture, with_fixtures  # noqa: E402
 from tallyframe import functions as TF  # noqa: E402
-from tallyframe import schemas  # noqa: E402
 from tallyframe.functions.text import PROMPT_HEAD, PROMPT_TAIL, WHITESPACE  # noqa: E402
 from tallyframe.operators import (  # noqa: E402
     accuracy,
@@ -36,7 +35,7 @@ from tallyframe.plans.report import report_lines  # noqa: E402
 from tallyframe.plans.sweep import sweep_accuracy, sweep_lengths  # noqa: E402
 from tallyframe.session import shared_dir  # noqa: E402
 from tallyframe.sources.checkpoint_dirs import read_checkpoints  # noqa: E402
-from tallyframe.sources.jsonl import read_jsonl, read_jsonl_checked, write_jsonl  # noqa: E402
+from tallyframe.sources.jsonl import read_jsonl, write_jsonl  # noqa: E402
 from tallyframe.sources.sinks import write_split  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,22 +704,20 @@ def numbers_equal(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
 
 
 @query(
-    rf"""SELECT id, sample_idx, pred, gold,
+    f"""SELECT id, sample_idx, level, type,
                coalesce(TRY_CAST(pred AS DOUBLE) = TRY_CAST(gold AS DOUBLE), FALSE) AS is_correct,
                CASE WHEN TRY_CAST(pred AS DOUBLE) IS NULL OR TRY_CAST(gold AS DOUBLE) IS NULL
-                    THEN 'parse_failure' ELSE 'numeric' END AS match_type
+                    THEN 'parse_failure' ELSE 'numeric' END AS match_type,
+               {_boxed_sql('generated_solution')} AS generated_answer, {_boxed_sql('solution')} AS ground_truth_answer,
+               output_tokens, prompt_tokens
         FROM ({_ANSWERS}) a""",
     "generations",
     "problems",
 )
 def custom_verifier(spark: SparkSession, sf: str) -> DataFrame:
     """Answers judged by a caller's Python function, which sees each distinct pair once."""
-    gold = TF.normalize_answer(TF.answer_candidate(F.col("solution"))).alias("gold")
-    pred = TF.normalize_answer(TF.answer_candidate(F.col("generated_solution"))).alias("pred")
-    samples = fixture(spark, sf, "generations").select("id", "sample_idx", pred)
-    problems = fixture(spark, sf, "problems").select("id", gold)
-    pairs = keyed_join(samples, problems, "id", spread_by=["sample_idx"])
-    return scoring.verify_pairs(pairs, numbers_equal)
+    rows, problems = fixture(spark, sf, "generations"), fixture(spark, sf, "problems")
+    return scoring.score_samples_with(rows, problems, numbers_equal)
 
 
 # Report text.

@@ -6,8 +6,6 @@ is used; no block filters, caps or shortens anything. FIXTURES.md explains them.
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("documents", "labels", "conversations", "benchmark", "pages", "events", "lineitem")
-
 FIXTURES = {
     # One problem per document; `type` is unnormalised on purpose.
     "problems": """
@@ -86,8 +84,19 @@ def with_fixtures(names: tuple[str, ...], query: str) -> str:
     return f"WITH {ctes}\n{query}"
 
 
+# Read schemas, so that no query starts with a job that looks for one.
+SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

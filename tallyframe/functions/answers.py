@@ -17,7 +17,7 @@ SINGLE_LABEL = "sympy_equiv"
 RELATIVE_TOLERANCE = 1e-9
 
 
-def _closed_box(text: Column) -> Column:
+def closed_box(text: Column) -> Column:
     """Content of the first brace group after the last box marker, null without a closed one.
 
     The tail is cut into pieces that each end in one brace, and a fold over the pieces tracks
@@ -53,16 +53,20 @@ def _closed_box(text: Column) -> Column:
     return F.aggregate(pieces, start_state, step, content)
 
 
-def last_boxed(text: Column) -> Column:
-    """Last boxed answer; the whole stripped text where there is no closed box."""
-    return F.coalesce(_closed_box(text), strip(text))
+def last_boxed(text: Column, box: Column | None = None) -> Column:
+    """Last boxed answer; the whole stripped text where there is no closed box.
+
+    ``box`` is the text's ``closed_box`` if a column holds it already.
+    """
+    return F.coalesce(closed_box(text) if box is None else box, strip(text))
 
 
-def answer_candidate(text: Column) -> Column:
+def answer_candidate(text: Column, box: Column | None = None) -> Column:
     """Non-empty boxed answer, else the last number in the whole text, else null."""
     numbers = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     last_number = F.try_element_at(numbers, F.lit(-1))
-    return F.coalesce(F.nullif(_closed_box(text), F.lit("")), last_number)
+    box = closed_box(text) if box is None else box
+    return F.coalesce(F.nullif(box, F.lit("")), last_number)
 
 
 # Notation that carries no meaning for equality, and its replacement.
@@ -94,22 +98,22 @@ def numeric_answer(answer: Column) -> Column:
     return F.try_divide(numerator.try_cast("double"), below)
 
 
-def answer_verdict(prediction: Column, gold: Column, single_label: bool = False) -> Column:
-    """``struct<is_correct, match_type>`` of two normalised answers.
-
-    ``single_label`` reports one label for every compared pair, right or wrong.
-    """
-    left, right = numeric_answer(prediction), numeric_answer(gold)
-    scale = F.greatest(F.abs(left), F.abs(right))
-    close = F.coalesce(F.abs(left - right) <= F.lit(RELATIVE_TOLERANCE) * scale, F.lit(False))
-    label = (
-        F.when(prediction.isNull() | gold.isNull(), PARSE_FAILURE)
-        .when(prediction == gold, EXACT)
+def answer_label(pred: Column, gold: Column, pred_value: Column, gold_value: Column) -> Column:
+    """How two normalised answers, with their ``numeric_answer`` values, compare."""
+    scale = F.greatest(F.abs(pred_value), F.abs(gold_value))
+    close = F.abs(pred_value - gold_value) <= F.lit(RELATIVE_TOLERANCE) * scale
+    return (
+        F.when(pred.isNull() | gold.isNull(), PARSE_FAILURE)
+        .when(pred == gold, EXACT)
         .when(close, NUMERIC)
         .otherwise(DIFFERENT)
     )
-    shown = F.when(label == PARSE_FAILURE, label).otherwise(SINGLE_LABEL) if single_label else label
-    return F.struct(
-        label.isin(EXACT, NUMERIC).alias("is_correct"),
-        shown.alias("match_type"),
-    )
+
+
+def is_match(label: Column) -> Column:
+    return label.isin(EXACT, NUMERIC)
+
+
+def single_label(label: Column) -> Column:
+    """One label for every compared pair, right or wrong."""
+    return F.when(label == PARSE_FAILURE, label).otherwise(SINGLE_LABEL)

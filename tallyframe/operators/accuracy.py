@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import ratio
 from tallyframe.functions.answers import PARSE_FAILURE
-from tallyframe.operators.joins import with_unique
-from tallyframe.operators.scoring import CATEGORIES, complete_samples
+from tallyframe.operators.joins import keyed_join
+from tallyframe.operators.scoring import CATEGORIES, complete_samples, with_categories
 
 _PARTIALS = ("total", "correct", "samples", "failures", "out_tokens", "in_tokens")
 
@@ -46,12 +46,14 @@ def problem_verdicts(results: DataFrame) -> DataFrame:
     return _per_problem(results, *CATEGORIES)
 
 
-def problem_verdicts_of(outputs: DataFrame, examples: DataFrame, check_unique: bool = True) -> DataFrame:
-    """The same from judged samples and examples: samples collapse by id before the join."""
-    if check_unique:
-        with_unique(examples, "id")
+def problem_verdicts_of(outputs: DataFrame, examples: DataFrame) -> DataFrame:
+    """The same from judged samples and examples: samples collapse by id before the join.
+
+    A repeated example id raises.
+    """
     per_problem = _per_problem(complete_samples(outputs))
-    return per_problem.join(examples.select("id", *CATEGORIES), "id")
+    problems = with_categories(examples).select("id", *CATEGORIES)
+    return keyed_join(per_problem, problems, "id", unique=True, hot_rows=None)
 
 
 def any_correct(verdicts: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def accuracy_report(verdicts: DataFrame) -> DataFrame:
     table. A cell of zero problems keeps the overall row when the input is empty.
     """
     cells = verdicts.groupBy(*CATEGORIES).agg(*_partials())
-    no_problems = cells.sparkSession.range(1).select(
+    no_problems = cells.sparkSession.range(0, 1, 1, 1).select(
         *[F.lit(None).cast("string").alias(c) for c in CATEGORIES],
         *[F.lit(0).cast("bigint").alias(c) for c in _PARTIALS],
     )

@@ -14,13 +14,21 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a table, from its row count and the lengths of its strings (one small job)."""
-    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    lengths = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0)).cast("bigint")
-    fixed = 16 * len(df.columns)
-    n, total = df.agg(F.count("*"), F.coalesce(F.sum(lengths), F.lit(0))).first()
-    return n * fixed + total
+def measure(keyed: DataFrame, on: Sequence[str], unique: bool = False) -> int:
+    """Size of a table in bytes, from its row count and string lengths, in one job.
+
+    With ``unique`` the same job finds the largest group of rows with one key, and raises if that
+    is more than one row.
+    """
+    wide = [f.name for f in keyed.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(16 * len(keyed.columns)))
+    sized = keyed.select(*on, size.cast("bigint").alias("_size"))
+    per_key = sized.groupBy(*on) if unique else sized
+    counted = per_key.agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
+    total, most = counted.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.max("_n")).first()
+    if unique and most and most > 1:
+        raise ValueError(f"a value of {list(on)} occurs {most} times")
+    return total
 
 
 def keyed_join(
@@ -29,19 +37,23 @@ def keyed_join(
     on: str | Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] = (),
+    unique: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join ``large`` to ``keyed`` (``inner``, ``left`` or ``left_semi``).
 
     ``keyed`` is measured: up to ``broadcast_bytes`` it is broadcast and ``large`` is not shuffled.
     Beyond that, keys with more than ``hot_rows`` rows are split over several tasks: their large
     rows get a part number from ``spread_by`` and their keyed row is repeated once per part. There
-    are at most ``rows / hot_rows`` such keys, which bounds the hot-key table.
+    are at most ``rows / hot_rows`` such keys, which bounds the hot-key table. None says that no key
+    of ``large`` is hot. ``unique`` checks that no key of ``keyed`` occurs twice.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if table_bytes(keyed) <= broadcast_bytes:
+    if measure(keyed, on, unique) <= broadcast_bytes:
         return large.join(F.broadcast(keyed), on, how)
+    if hot_rows is None:
+        return large.join(keyed, on, how)
 
     hot = (
         large.select(*on)
@@ -65,13 +77,3 @@ def keyed_join(
         keyed.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
     )
     return left.join(right, [*on, "_part"], how).drop("_part")
-
-
-def with_unique(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """The table itself; reading it fails if a key occurs twice."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).limit(3)
-    found = [tuple(row[k] for k in keys) for row in repeated.collect()]
-    if found:
-        raise ValueError(f"duplicate keys {keys}: {found}")
-    return df

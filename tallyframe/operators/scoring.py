@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import answer_candidate, answer_verdict, last_boxed, normalize_answer
+from tallyframe import functions as TF
 from tallyframe.functions.answers import PARSE_FAILURE
-from tallyframe.operators.joins import keyed_join, with_unique
+from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.prepare import with_default
+from tallyframe.session import shared_dir
 
 SAMPLE_DEFAULTS = {"sample_idx": 0, "prompt_tokens": 0, "output_tokens": 0}
 CATEGORIES = ("level", "type")
@@ -24,86 +26,124 @@ def complete_samples(outputs: DataFrame) -> DataFrame:
     return outputs
 
 
-def join_examples(
-    outputs: DataFrame, examples: DataFrame, *carry: str, check_unique: bool = True, **sizes: int
-) -> DataFrame:
+def with_categories(examples: DataFrame) -> DataFrame:
+    for name in CATEGORIES:
+        examples = with_default(examples, name, "Unknown")
+    return examples
+
+
+def join_examples(outputs: DataFrame, examples: DataFrame, *carry: str, **sizes: int) -> DataFrame:
     """Each sample with its problem's level, type and ``carry`` columns; orphans drop out.
 
-    The category columns are the problem's; those of the sample, if any, are not used.
+    The category columns are the problem's; those of the sample, if any, are not used. A repeated
+    example id raises.
     """
     taken = ["id", *CATEGORIES, *carry]
-    for name in CATEGORIES:
-        examples = with_default(examples, name, "Unknown")
-    if check_unique:
-        with_unique(examples, "id")
-    samples = complete_samples(outputs).drop(*[c for c in taken if c != "id"])
-    return keyed_join(samples, examples.select(*taken), "id", "inner", ["sample_idx"], **sizes)
+    samples = complete_samples(outputs).drop(*taken[1:])
+    problems = with_categories(examples).select(*taken)
+    return keyed_join(samples, problems, "id", "inner", ["sample_idx"], unique=True, **sizes)
 
 
-def score_samples(
-    outputs: DataFrame, examples: DataFrame, single_label: bool = False, **options
-) -> DataFrame:
-    """Result rows: every sample of a known problem with its answer, gold answer and verdict.
+def _with_answer(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Replace a text column by its normalised answer, its numeric value and the answer to show.
+
+    Each step is a projection of its own, so the box is searched for once.
+    """
+    box, whole, answer = F.col("_box"), F.col(text), f"{prefix}_answer"
+    return (
+        df.withColumn("_box", TF.closed_box(whole))
+        .withColumn(answer, TF.normalize_answer(TF.answer_candidate(whole, box)))
+        .withColumn(f"{prefix}_value", TF.numeric_answer(F.col(answer)))
+        .withColumn(f"{prefix}_shown", TF.last_boxed(whole, box))
+        .drop("_box", text)
+    )
+
+
+def match_answers(outputs: DataFrame, examples: DataFrame, **sizes: int) -> DataFrame:
+    """Samples of known problems with ``pred_*`` and ``gold_*`` answer columns.
 
     Answers are extracted before the join, so texts take no part in it.
     """
     samples = complete_samples(outputs).select(
         "id",
         F.col("sample_idx").cast("int").alias("sample_idx"),
-        normalize_answer(answer_candidate(F.col("generated_solution"))).alias("pred"),
-        last_boxed(F.col("generated_solution")).alias("generated_answer"),
-        F.col("output_tokens").cast("bigint").alias("output_tokens"),
-        F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
+        "generated_solution",
+        *[F.col(c).cast("bigint").alias(c) for c in ("output_tokens", "prompt_tokens")],
     )
-    for name in CATEGORIES:
-        examples = with_default(examples, name, "Unknown")
-    problems = examples.select(
-        "id",
-        *CATEGORIES,
-        normalize_answer(answer_candidate(F.col("solution"))).alias("gold"),
-        last_boxed(F.col("solution")).alias("ground_truth_answer"),
-    )
-    joined = join_examples(samples, problems, "gold", "ground_truth_answer", **options)
-    verdict = answer_verdict(F.col("pred"), F.col("gold"), single_label)
-    return joined.withColumn("verdict", verdict).select(
+    problems = with_categories(examples).select("id", *CATEGORIES, "solution")
+    gold = _with_answer(problems, "solution", "gold")
+    carried = [c for c in gold.columns if c.startswith("gold_")]
+    return join_examples(_with_answer(samples, "generated_solution", "pred"), gold, *carried, **sizes)
+
+
+def _results(matched: DataFrame) -> DataFrame:
+    return matched.select(
         "id",
         "sample_idx",
         *CATEGORIES,
-        "verdict.is_correct",
-        "verdict.match_type",
-        "generated_answer",
-        "ground_truth_answer",
+        "is_correct",
+        "match_type",
+        F.col("pred_shown").alias("generated_answer"),
+        F.col("gold_shown").alias("ground_truth_answer"),
         "output_tokens",
         "prompt_tokens",
     )
 
 
+def score_samples(
+    outputs: DataFrame, examples: DataFrame, single_label: bool = False, **sizes: int
+) -> DataFrame:
+    """Result rows: every sample of a known problem with its answers and the native verdict.
+
+    ``single_label`` reports one match type for all compared pairs, right or wrong.
+    """
+    matched = match_answers(outputs, examples, **sizes)
+    label = TF.answer_label(*[F.col(f"{side}_{part}") for part in ("answer", "value") for side in ("pred", "gold")])
+    judged = matched.withColumn("match_type", label).withColumn("is_correct", TF.is_match(F.col("match_type")))
+    if single_label:
+        judged = judged.withColumn("match_type", TF.single_label(F.col("match_type")))
+    return _results(judged)
+
+
+Verifier = Callable[[pd.Series, pd.Series], pd.DataFrame]
+
+
 def verify_pairs(
-    df: DataFrame,
-    verifier: Callable[[pd.Series, pd.Series], pd.DataFrame],
-    pred: str = "pred",
-    gold: str = "gold",
-    **sizes: int,
+    df: DataFrame, verifier: Verifier, pred: str = "pred", gold: str = "gold", **sizes: int
 ) -> DataFrame:
     """Verdicts of a caller-supplied verifier, which sees each distinct answer pair once.
 
     ``verifier`` maps two string series to a frame of ``is_correct`` and ``match_type``. Pairs with
-    a missing side are parse failures and do not reach it.
+    a missing side are parse failures and do not reach it. Its verdicts are written to the shared
+    folder, so neither the size check of the join nor a lost executor makes it run again.
     """
     check = F.pandas_udf(verifier, "is_correct boolean, match_type string")
     pairs = df.select(pred, gold).dropna().distinct()
-    # The verdict is null for no pair, so the filter keeps all; it stops Spark from merging the
-    # projections and calling the verifier once per output column.
-    judged = pairs.withColumn("verdict", check(pred, gold)).where(F.col("verdict").isNotNull())
-    judged = judged.select(pred, gold, "verdict.is_correct", "verdict.match_type")
+    judged = pairs.withColumn("verdict", check(pred, gold))
+    path = f"{shared_dir(df.sparkSession)}/verdicts-{uuid.uuid4().hex}"
+    judged.write.parquet(path)
+    verdicts = df.sparkSession.read.schema(judged.schema).parquet(path)
     spread = [c for c in df.columns if c not in (pred, gold)]
     return (
-        keyed_join(df, judged, [pred, gold], "left", spread, **sizes)
-        .withColumn("is_correct", F.coalesce("is_correct", F.lit(False)))
-        .withColumn("match_type", F.coalesce("match_type", F.lit(PARSE_FAILURE)))
+        keyed_join(df, verdicts, [pred, gold], "left", spread, **sizes)
+        .withColumn("is_correct", F.coalesce("verdict.is_correct", F.lit(False)))
+        .withColumn("match_type", F.coalesce("verdict.match_type", F.lit(PARSE_FAILURE)))
+        .drop("verdict")
     )
 
 
+def score_samples_with(
+    outputs: DataFrame, examples: DataFrame, verifier: Verifier, **sizes: int
+) -> DataFrame:
+    """``score_samples`` with a caller's verifier in place of the native comparison.
+
+    The matched answers are checkpointed, since they are read for the pairs and for the result.
+    """
+    shared_dir(outputs.sparkSession)
+    matched = match_answers(outputs, examples, **sizes).checkpoint()
+    return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", **sizes))
+
+
 def correct_ids(results: DataFrame) -> DataFrame:
     return results.where(F.col("is_correct")).select("id").distinct()
 
