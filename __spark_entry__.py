@@ -545,18 +545,20 @@ def length_stats_all(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(lengths.length_stats(counts), *_STAT_DOUBLES)
 
 
-_HISTOGRAM = """SELECT r.checkpoint_num, b.bin::INT AS bin,
-       round(CASE WHEN lo = hi THEN lo - 0.5 + b.bin / 40 ELSE lo + (hi - lo) * b.bin / 40 END, 6) AS bin_start,
-       round(CASE WHEN lo = hi THEN lo - 0.5 + (b.bin + 1) / 40 ELSE lo + (hi - lo) * (b.bin + 1) / 40 END, 6) AS bin_end,
-       coalesce(h.n, 0)::BIGINT AS n
-FROM (SELECT checkpoint_num, min(output_tokens) AS lo, max(output_tokens) AS hi FROM checkpoint_runs GROUP BY 1) r
-CROSS JOIN range(40) b(bin)
-LEFT JOIN (SELECT checkpoint_num, CASE WHEN lo = hi THEN 20 ELSE least(39, ((output_tokens - lo) * 40) // (hi - lo)) END AS bin, count(*) AS n
-           FROM checkpoint_runs JOIN (SELECT checkpoint_num, min(output_tokens) AS lo, max(output_tokens) AS hi FROM checkpoint_runs GROUP BY 1) s
-           USING (checkpoint_num) GROUP BY 1, 2) h ON h.checkpoint_num = r.checkpoint_num AND h.bin = b.bin"""
-
-
-@query(_HISTOGRAM, "checkpoint_runs")
+_HISTOGRAM = """WITH ranged AS (
+  SELECT checkpoint_num, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo::DOUBLE END AS start,
+         CASE WHEN lo = hi THEN 1::DOUBLE ELSE (hi - lo)::DOUBLE END / 40 AS step
+  FROM (SELECT checkpoint_num, min(output_tokens) AS lo, max(output_tokens) AS hi FROM checkpoint_runs GROUP BY 1) m)
+SELECT r.checkpoint_num, b.bin::INT AS bin, round(start + step * b.bin, 6) AS bin_start,
+       round(start + step * (b.bin + 1), 6) AS bin_end, coalesce(h.n, 0)::BIGINT AS n
+FROM ranged r CROSS JOIN range(40) b(bin)
+LEFT JOIN (SELECT checkpoint_num, len(list_filter(range(1, 40), k -> start + step * k <= output_tokens)) AS bin,
+                  count(*) AS n
+           FROM checkpoint_runs JOIN ranged USING (checkpoint_num) GROUP BY 1, 2) h
+ON h.checkpoint_num = r.checkpoint_num AND h.bin = b.bin"""
+
+
+@query(f"SELECT * FROM ({_HISTOGRAM}) h", "checkpoint_runs")
 def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     counts = lengths.length_frequencies(fixture(spark, sf, "checkpoint_runs"), ["checkpoint_num"])
     return _r6(lengths.length_histogram(counts, ["checkpoint_num"]), "bin_start", "bin_end")

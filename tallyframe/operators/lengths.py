@@ -62,27 +62,34 @@ def length_stats(frequencies: DataFrame, run: Sequence[str] = ()) -> DataFrame:
 def length_histogram(frequencies: DataFrame, run: Sequence[str] = (), bins: int = BINS) -> DataFrame:
     """Equal bins between a run's shortest and longest length; the last one includes its end.
 
-    Empty bins are present. If all lengths are equal, the range is one wide around them.
+    Empty bins are present. If all lengths are equal, the range is one wide around them. Edges are
+    double-precision steps from the shortest length, and a length on an edge opens the next bin.
     """
     run = list(run)
-    low, high, width = F.col("low"), F.col("high"), F.col("high") - F.col("low")
     group = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))
-    place = F.floor((F.col("length") - low) * bins / F.nullif(width, F.lit(0)))
-    bin_no = F.when(width == 0, bins // 2).otherwise(F.least(place, F.lit(bins - 1)))
+    low, high = F.min("length").over(group), F.max("length").over(group)
+    ranged = frequencies.withColumns(
+        {
+            "start": F.when(low == high, low - 0.5).otherwise(low.cast("double")),
+            "step": F.when(low == high, 1.0).otherwise((high - low).cast("double")) / bins,
+        }
+    )
+
+    def edge(bin_no: Column) -> Column:
+        return F.col("start") + F.col("step") * bin_no
+
+    inner = F.sequence(F.lit(1), F.lit(bins - 1)) if bins > 1 else F.array().cast("array<int>")
+    passed = F.size(F.filter(inner, lambda k: edge(k) <= F.col("length")))
     filled = (
-        frequencies.withColumn("low", F.min("length").over(group))
-        .withColumn("high", F.max("length").over(group))
-        .groupBy(*run, "low", "high", bin_no.cast("int").alias("bin"))
+        ranged.groupBy(*run, "start", "step", passed.alias("bin"))
         .agg(F.sum("n_rows").alias("n"))
-        .groupBy(*run, "low", "high")  # at most `bins` entries per group
+        .groupBy(*run, "start", "step")  # at most `bins` entries per group
         .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
     )
-    start = F.when(width == 0, low - 0.5).otherwise(low.cast("double"))
-    step = F.when(width == 0, F.lit(1.0)).otherwise(width.cast("double")) / bins
     return filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
         *run,
         "bin",
-        (start + step * F.col("bin")).alias("bin_start"),
-        (start + step * (F.col("bin") + 1)).alias("bin_end"),
+        edge(F.col("bin")).alias("bin_start"),
+        edge(F.col("bin") + 1).alias("bin_end"),
         F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"),
     )

@@ -14,7 +14,8 @@ from tallyframe.operators.checkpoints import step_number, trailing_number
 def _entries(spark: SparkSession, parent: str) -> DataFrame:
     """Files below a folder as ``path``, ``root`` and the ``parts`` of the path below it.
 
-    Only the listing is used; file contents are not read.
+    Only the listing is used; file contents are not read. A folder shows through its files, so one
+    that holds no file, or only files of zero bytes, is not there.
     """
     root = re.sub(r"^file:/*", "/", parent).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parent)

@@ -1,0 +1,153 @@
+import random
+from itertools import accumulate
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe import functions as TF
+from tallyframe.functions.text import WHITESPACE
+
+
+def values(spark, texts, expression):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.v for r in df.select("i", expression(F.col("t")).alias("v")).orderBy("i").collect()]
+
+
+def test_strip_removes_what_python_removes(spark):
+    assert all(c.isspace() for c in WHITESPACE)
+    assert not [c for c in map(chr, range(0x110000)) if c.isspace() and c not in WHITESPACE]
+    texts = [c + "a" + c + "b" + c * 2 for c in WHITESPACE] + ["", " ", WHITESPACE, "\u200bx\u200b"]
+    assert values(spark, texts, TF.strip) == [t.strip() for t in texts]
+
+
+def test_type_and_slug(spark):
+    types = ["  Counting & Probability ", "\u00a0Algebra\n", "Number Theory", "", None]
+    assert values(spark, types, TF.normalize_type) == ["counting_and_probability", "algebra", "number_theory", "", None]
+    names = ["Qwen/Qwen2.5-Math-1.5B", "__A  b--", "///", "", None]
+    assert values(spark, names, TF.slug) == ["qwen_qwen2_5_math_1_5b", "a_b", "", "", None]
+    paths = ["./Qwen2.5-Math-1.5B", "a/b//", "x/_Y.z_"]
+    assert values(spark, paths, TF.file_slug) == ["qwen2_5_math_1_5b", "b", "_y_z_"]
+
+
+def test_prompt_keeps_null(spark):
+    prompt, missing = values(spark, ["1+1?", None], TF.math_prompt)
+    assert prompt.startswith("Solve the following math problem step by step. Show your reasoning and provide the final answer.\n\nProblem: 1+1?")
+    assert prompt.endswith("1+1?\n\nSolution:") and missing is None
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_rounds_like_python(spark, digits):
+    rng = random.Random(digits)
+    numbers = [0.0, 0.125, 2.675, 0.5, 1.5, 2.5, 0.05, 0.25, 0.35, 1234567.0, 99.995]
+    numbers += [rng.uniform(0, 20000) for _ in range(500)] + [rng.randrange(10**6) / 8 for _ in range(500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = [r.v for r in df.select("i", TF.fixed(F.col("x"), digits).alias("v")).orderBy("i").collect()]
+    assert got == [f"{x:.{digits}f}" for x in numbers]
+
+
+def test_percent_and_ratio(spark):
+    shares = [(0, 0), (1, 8), (2, 3), (1, 1), (0, 5)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(shares)], "i int, a int, b int")
+    ratio = TF.ratio(F.col("a"), F.col("b"))
+    got = df.select("i", ratio.alias("r"), TF.percent(ratio).alias("p")).orderBy("i").collect()
+    want = [a / b if b else 0.0 for a, b in shares]
+    assert [r.r for r in got] == want
+    assert [r.p for r in got] == [f"{x:.2%}" for x in want]
+
+
+def test_timestamps(spark):
+    row = spark.sql("SELECT timestamp'2025-03-04 05:06:07.89' AS t").select(
+        TF.run_stamp(F.col("t")).alias("a"), TF.iso_seconds(F.col("t")).alias("b")
+    )
+    assert tuple(row.first()) == ("20250304_050607", "2025-03-04T05:06:07")
+
+
+def expected_box(text):
+    """Depth after each brace by prefix sums; None without a marker or a closed group."""
+    at = text.rfind("\\boxed")
+    if at < 0:
+        return None
+    braces = [(i, c) for i, c in enumerate(text) if i >= at and c in "{}"]
+    depths = list(accumulate(1 if c == "{" else -1 for _, c in braces))
+    opened = [k for k, d in enumerate(depths) if d == 1 and braces[k][1] == "{"]
+    if not opened:
+        return None
+    closed = [k for k in range(opened[0] + 1, len(depths)) if depths[k] == 0 and braces[k][1] == "}"]
+    if not closed:
+        return None
+    started = [k for k in opened if k < closed[0]][-1]
+    return text[braces[started][0] + 1 : braces[closed[0]][0]].strip()
+
+
+def test_last_boxed_cases(spark):
+    cases = {
+        r"x \boxed{1} y \boxed{\frac{1}{2}} z": r"\frac{1}{2}",
+        r"\boxed 5 and {x}": "x",
+        "no box  ": "no box",
+        r"\boxed{1": r"\boxed{1",
+        r" \boxed{1} then \boxed{2": r"\boxed{1} then \boxed{2",
+        r"\boxed} {{x}}": "x",
+        "\\boxed{\u00a0 7\n}": "7",
+        "\\boxed{}": "",
+        "": "",
+    }
+    assert values(spark, list(cases), TF.last_boxed) == list(cases.values())
+    assert values(spark, [None], TF.last_boxed) == [None]
+
+
+def test_last_boxed_on_random_texts(spark):
+    rng = random.Random(7)
+    pieces = ["\\boxed", "{", "}", "{", "}", "a", " ", "\n", "\\frac", "\U0001f600", "é", "\\", "1"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(25))) for _ in range(4000)]
+    want = [t.strip() if expected_box(t) is None else expected_box(t) for t in texts]
+    assert values(spark, texts, TF.last_boxed) == want
+
+
+def test_candidates(spark):
+    cases = {
+        r"so \boxed{\dfrac{1}{2}}": r"\dfrac{1}{2}",
+        "we get 1,234 and then 12.50.": "12.50",
+        "about -3/4, no more": "-3/4",
+        "in 2020, 1,234,567 people": "1,234,567",
+        r"\boxed{} but 5": "5",
+        r"\boxed{1 and 9": "9",
+        "nothing here": None,
+    }
+    assert values(spark, list(cases), TF.answer_candidate) == list(cases.values())
+
+
+def test_normalised_answers(spark):
+    cases = {
+        r"\dfrac{1}{2}": "1/2",
+        r"$ \left( 1,\, 2 \right) $": "(1,2)",
+        r"90^\circ": "90",
+        r"90^{\circ}": "90",
+        r"\text{Monday}": "Monday",
+        "1,234,567.5": "1234567.5",
+        "1,23": "1,23",
+        " 12. ": "12",
+        r"\frac{x}{2}": r"\frac{x}{2}",
+        r"\tfrac{-3}{4}": "-3/4",
+        "$": None,
+    }
+    assert values(spark, list(cases), TF.normalize_answer) == list(cases.values())
+
+
+def test_numeric_answers(spark):
+    cases = {"12": 12.0, "-0.50": -0.5, ".5": 0.5, "3/4": 0.75, "-3/4": -0.75, "1/0": None, "x": None, "1e5": None, "NaN": None, "3.": 3.0}
+    assert values(spark, list(cases), TF.numeric_answer) == list(cases.values())
+
+
+def test_labels(spark):
+    cases = [
+        ("1/2", "1/2", "exact"), ("0.5", "1/2", "numeric_equiv"), ("0.5", "0.6", "different"),
+        ("x", "y", "different"), (None, "1", "parse_failure"), ("1", None, "parse_failure"),
+        ("1000000000", "1000000000.5", "numeric_equiv"), ("0", "0.0", "numeric_equiv"), ("0", "1", "different"),
+    ]
+    df = spark.createDataFrame([(i, p, g) for i, (p, g, _) in enumerate(cases)], "i int, p string, g string")
+    p, g = F.col("p"), F.col("g")
+    label = TF.answer_label(p, g, TF.numeric_answer(p), TF.numeric_answer(g))
+    got = df.select("i", label.alias("l"), TF.is_match(label).alias("m"), TF.single_label(label).alias("s")).orderBy("i").collect()
+    assert [r.l for r in got] == [c[2] for c in cases]
+    assert [r.m for r in got] == [c[2] in ("exact", "numeric_equiv") for c in cases]
+    assert [r.s for r in got] == ["parse_failure" if c[2] == "parse_failure" else "sympy_equiv" for c in cases]
