@@ -552,9 +552,9 @@ _HISTOGRAM = """WITH ranged AS (
 SELECT r.checkpoint_num, b.bin::INT AS bin, round(start + step * b.bin, 6) AS bin_start,
        round(start + step * (b.bin + 1), 6) AS bin_end, coalesce(h.n, 0)::BIGINT AS n
 FROM ranged r CROSS JOIN range(40) b(bin)
-LEFT JOIN (SELECT checkpoint_num, len(list_filter(range(1, 40), k -> start + step * k <= output_tokens)) AS bin,
-                  count(*) AS n
-           FROM checkpoint_runs JOIN ranged USING (checkpoint_num) GROUP BY 1, 2) h
+LEFT JOIN (SELECT checkpoint_num, bin, count(*) AS n
+           FROM (SELECT checkpoint_num, (SELECT count(*) FROM range(1, 40) e(k) WHERE start + step * k <= output_tokens) AS bin
+                 FROM checkpoint_runs JOIN ranged USING (checkpoint_num)) c GROUP BY 1, 2) h
 ON h.checkpoint_num = r.checkpoint_num AND h.bin = b.bin"""
 
 
