@@ -478,9 +478,9 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, source, CAST(regexp_extract(replace(source, 'src', 'model_'), '^.+_([0-9]+)$', 1) AS INT) AS checkpoint_num,
-              CAST(regexp_extract(replace(source, 'src', 'global_step_'), '^global_step_([0-9]+)$', 1) AS INT) AS rl_step,
-              CAST(NULL AS INT) AS unnumbered
+    """SELECT doc_id, source, CAST(regexp_extract(replace(source, 'src', 'model_'), '^.+_([0-9]+)$', 1) AS BIGINT) AS checkpoint_num,
+              CAST(regexp_extract(replace(source, 'src', 'global_step_'), '^global_step_([0-9]+)$', 1) AS BIGINT) AS rl_step,
+              CAST(NULL AS BIGINT) AS unnumbered
        FROM documents"""
 )
 def checkpoint_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -494,7 +494,7 @@ def checkpoint_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS checkpoint_num, doc_id, text FROM documents"""
+    """SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS checkpoint_num, doc_id, text FROM documents"""
 )
 def checkpoint_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written to one folder per checkpoint, and read back as one table."""
@@ -508,7 +508,7 @@ def checkpoint_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT lang, rl_step, row_number() OVER (PARTITION BY lang ORDER BY rl_step)::INT AS ordinal
-       FROM (SELECT DISTINCT lang, 20 * CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS rl_step FROM documents) t"""
+       FROM (SELECT DISTINCT lang, 20 * CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS rl_step FROM documents) t"""
 )
 def step_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     name = F.replace("source", F.lit("src"), F.lit("global_step_"))
@@ -642,7 +642,7 @@ def rl_grid_text(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoints.grid_text(_rl_sweep(spark, sf).grid)
 
 
-@query("SELECT DISTINCT rl_step FROM rl_runs", "rl_runs")
+@query("SELECT DISTINCT rl_step::BIGINT AS rl_step FROM rl_runs", "rl_runs")
 def rl_steps(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoints.distinct_steps(fixture(spark, sf, "rl_runs"))
 

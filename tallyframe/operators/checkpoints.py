@@ -16,14 +16,19 @@ from tallyframe.functions import fixed, ratio
 from tallyframe.operators.lengths import length_frequencies, length_stats
 
 
+# Folder names of numbered checkpoints and of training steps.
+CHECKPOINT_NAME = r"^.+_(\d+)$"
+STEP_NAME = r"^global_step_(\d+)$"
+
+
 def trailing_number(name: Column) -> Column:
     """Checkpoint number at the end of a name such as ``model_12``, null for other names."""
-    return F.regexp_extract(name, r"^(?s:.+)_(\d+)$", 1).try_cast("int")
+    return F.regexp_extract(name, CHECKPOINT_NAME, 1).try_cast("bigint")
 
 
 def step_number(name: Column) -> Column:
     """Step of a name such as ``global_step_40``, null for other names."""
-    return F.regexp_extract(name, r"^global_step_(\d+)$", 1).try_cast("int")
+    return F.regexp_extract(name, STEP_NAME, 1).try_cast("bigint")
 
 
 def checkpoint_stats(samples: DataFrame, checkpoint: str = "checkpoint_num") -> DataFrame:
@@ -63,7 +68,7 @@ def step_ordinals(manifest: DataFrame, run: Sequence[str], step: str) -> DataFra
 
 def distinct_steps(accuracy: DataFrame, step: str = "rl_step") -> DataFrame:
     """Steps seen in any run, ascending."""
-    return accuracy.select(F.col(step).cast("int").alias(step)).distinct().orderBy(step)
+    return accuracy.select(F.col(step).cast("bigint").alias(step)).distinct().orderBy(step)
 
 
 def accuracy_series(accuracy: DataFrame, epoch: str = "sft_epoch", step: str = "rl_step") -> DataFrame:

@@ -6,7 +6,7 @@ through one task. No operator sorts all rows in one partition, and the cut betwe
 and the rest is found on the sort columns alone, so whole rows are not shuffled to take a sample or
 to split.
 
-Sort columns must be free of nulls and identify a row. The cut raises if rows tie on it.
+Sort columns must identify a row; nulls come first. The cut raises if rows tie on it.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def column_order(df: DataFrame, key: str, buckets: int = 1024) -> RowOrder:
     if bounds:
         splits = [float("-inf"), *bounds, float("inf")]
         sorter = Bucketizer(splits=splits, inputCol=key, outputCol=_FINE)
-        rows = sorter.transform(df).withColumn(_FINE, F.col(_FINE).cast("int"))
+        rows = sorter.transform(df).withColumn(_FINE, F.coalesce(F.col(_FINE).cast("int"), F.lit(0)))
     else:
         rows = df.withColumn(_FINE, F.lit(0))
     return RowOrder(rows, (key,), (_FINE,), len(bounds) + 1)
@@ -129,11 +129,14 @@ def find_cut(order: RowOrder, wanted: Callable[[int], int]) -> Cut:
 
 
 def _up_to(columns: Sequence[str], values: Sequence) -> Column:
-    """``(columns) <= (values)``, spelled out per column so that it can be pushed down."""
-    head, value = F.col(columns[0]), F.lit(values[0])
+    """``(columns) <= (values)`` with nulls first, spelled out per column so that it can be pushed
+    down.
+    """
+    head, value = F.col(columns[0]), values[0]
     if len(columns) == 1:
-        return head <= value
-    return (head < value) | ((head == value) & _up_to(columns[1:], values[1:]))
+        return head.isNull() if value is None else head.isNull() | (head <= F.lit(value))
+    below = F.lit(False) if value is None else head.isNull() | (head < F.lit(value))
+    return below | (head.eqNullSafe(F.lit(value)) & _up_to(columns[1:], values[1:]))
 
 
 def _before(order: RowOrder, cut: Cut) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +12,7 @@ from tallyframe import functions as TF
 from tallyframe.functions.answers import PARSE_FAILURE
 from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.prepare import with_default
-from tallyframe.session import shared_dir
+from tallyframe.session import written
 
 SAMPLE_DEFAULTS = {"sample_idx": 0, "prompt_tokens": 0, "output_tokens": 0}
 CATEGORIES = ("level", "type")
@@ -109,20 +108,23 @@ Verifier = Callable[[pd.Series, pd.Series], pd.DataFrame]
 
 
 def verify_pairs(
-    df: DataFrame, verifier: Verifier, pred: str = "pred", gold: str = "gold", **sizes: int
+    df: DataFrame,
+    verifier: Verifier,
+    pred: str = "pred",
+    gold: str = "gold",
+    tasks: int | None = None,
+    **sizes: int,
 ) -> DataFrame:
     """Verdicts of a caller-supplied verifier, which sees each distinct answer pair once.
 
     ``verifier`` maps two string series to a frame of ``is_correct`` and ``match_type``. Pairs with
-    a missing side are parse failures and do not reach it. Its verdicts are written to the shared
-    folder, so neither the size check of the join nor a lost executor makes it run again.
+    a missing side are parse failures and do not reach it. Pairs are few bytes but may take long to
+    judge, so they are spread over ``tasks`` tasks, by default the session's shuffle partitions.
     """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     check = F.pandas_udf(verifier, "is_correct boolean, match_type string")
-    pairs = df.select(pred, gold).dropna().distinct()
-    judged = pairs.withColumn("verdict", check(pred, gold))
-    path = f"{shared_dir(df.sparkSession)}/verdicts-{uuid.uuid4().hex}"
-    judged.write.parquet(path)
-    verdicts = df.sparkSession.read.schema(judged.schema).parquet(path)
+    pairs = df.select(pred, gold).dropna().distinct().repartition(tasks, pred, gold)
+    verdicts = written(pairs.withColumn("verdict", check(pred, gold)), "verdicts")
     spread = [c for c in df.columns if c not in (pred, gold)]
     return (
         keyed_join(df, verdicts, [pred, gold], "left", spread, **sizes)
@@ -137,10 +139,9 @@ def score_samples_with(
 ) -> DataFrame:
     """``score_samples`` with a caller's verifier in place of the native comparison.
 
-    The matched answers are checkpointed, since they are read for the pairs and for the result.
+    Matched answers are written once: the pairs and the result both read them.
     """
-    shared_dir(outputs.sparkSession)
-    matched = match_answers(outputs, examples, **sizes).checkpoint()
+    matched = written(match_answers(outputs, examples, **sizes), "answers")
     return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", **sizes))
 
 

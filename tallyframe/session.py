@@ -1,8 +1,9 @@
 """Session helpers."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -25,3 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back from there.
+
+    For results that are read several times or cost much to compute: readers scan only the columns
+    they need, and a lost executor does not repeat the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

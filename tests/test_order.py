@@ -57,6 +57,20 @@ def test_uneven_values(spark):
     assert sorted(r.id for r in first_rows(order, 3).collect()) == sorted(ids)[:3]
 
 
+def test_null_keys_come_first(spark):
+    ids = [None, *range(20)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    for order in (column_order(rows, "id", 8), seeded_order(rows, "id")):
+        got = [r.id for r in with_position(order).orderBy("position").collect()]
+        assert len(got) == 21
+        for n in (1, 5, 20):
+            assert set(r.id for r in first_rows(order, n).collect()) == set(got[:n])
+        for ratio in (0.1, 0.5):
+            split = split_rows(order, ratio)
+            assert split.val_rows.count() == int(21 * ratio)
+            assert split.train_rows.count() + split.val_rows.count() == 21
+
+
 def test_empty_input(numbers):
     none = numbers.where("id > 10000000")
     for order in (seeded_order(none, "id"), column_order(none, "id")):

@@ -107,7 +107,7 @@ def test_checkpoint_numbers(spark):
     assert got == {
         "model_12": (12, None), "a_b_007": (7, None), "_5": (None, None), "model_x": (None, None),
         "model_5x": (None, None), "5": (None, None), "global_step_40": (40, 40),
-        "x_global_step_40": (40, None), "m_99999999999": (None, None),
+        "x_global_step_40": (40, None), "m_99999999999": (99999999999, None),
     }
 
 
