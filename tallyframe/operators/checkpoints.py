@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.functions import fixed, ratio
+from tallyframe.functions import fixed
 from tallyframe.operators.lengths import length_frequencies, length_stats
 
 
@@ -33,12 +33,7 @@ def step_number(name: Column) -> Column:
 
 def checkpoint_stats(samples: DataFrame, checkpoint: str = "checkpoint_num") -> DataFrame:
     """Length statistics and row accuracy per checkpoint, from one scan of the samples."""
-    counts = length_frequencies(samples, [checkpoint], correct="is_correct")
-    stats = length_stats(counts, [checkpoint])
-    correct = counts.groupBy(checkpoint).agg(
-        ratio(F.sum("n_correct"), F.sum("n_rows")).alias("accuracy")
-    )
-    return stats.join(correct, checkpoint)
+    return length_stats(length_frequencies(samples, [checkpoint], correct="is_correct"), [checkpoint])
 
 
 def with_failed(manifest: DataFrame, stats: DataFrame, checkpoint: str = "checkpoint_num") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.functions import ratio
+
 BINS = 40
 PERCENTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -42,9 +44,11 @@ def _sample_std() -> Column:
 def length_stats(frequencies: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     """Count, mean, deviation, extremes and linearly interpolated percentiles per run.
 
-    Runs without rows are absent; without run columns an empty table gives one row with n = 0.
+    Frequencies that count correct rows add the accuracy. Runs without rows are absent; without run
+    columns an empty table gives one row with n = 0.
     """
     shares = F.array(*[F.lit(p) for p in PERCENTILES.values()])
+    judged = "n_correct" in frequencies.columns
     n, total = F.sum("n_rows"), F.sum(F.col("n_rows") * F.col("length"))
     stats = frequencies.groupBy(*run).agg(
         F.coalesce(n, F.lit(0)).alias("n"),
@@ -53,10 +57,11 @@ def length_stats(frequencies: DataFrame, run: Sequence[str] = ()) -> DataFrame:
         F.min("length").alias("min"),
         F.percentile("length", shares, F.col("n_rows")).alias("p"),
         F.max("length").alias("max"),
+        *([ratio(F.sum("n_correct"), n).alias("accuracy")] if judged else []),
     )
     ranked = [F.col("p")[i].alias(name) for i, name in enumerate(PERCENTILES)]
     shown = F.when(F.col("n") > 0, F.col("std")).alias("std")
-    return stats.select(*run, "n", "mean", shown, "min", *ranked, "max")
+    return stats.select(*run, "n", "mean", shown, "min", *ranked, "max", *(["accuracy"] if judged else []))
 
 
 def length_histogram(frequencies: DataFrame, run: Sequence[str] = (), bins: int = BINS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,13 +58,15 @@ def _with_answer(df: DataFrame, text: str, prefix: str) -> DataFrame:
     )
 
 
-def match_answers(outputs: DataFrame, examples: DataFrame, **sizes: int) -> DataFrame:
+def match_answers(outputs: DataFrame, examples: DataFrame, run: Sequence[str] = (), **sizes: int) -> DataFrame:
     """Samples of known problems with ``pred_*`` and ``gold_*`` answer columns.
 
-    Answers are extracted before the join, so texts take no part in it.
+    Answers are extracted before the join, so texts take no part in it. ``run`` columns, such as a
+    checkpoint number, are carried along.
     """
     samples = complete_samples(outputs).select(
         "id",
+        *run,
         F.col("sample_idx").cast("int").alias("sample_idx"),
         "generated_solution",
         *[F.col(c).cast("bigint").alias(c) for c in ("output_tokens", "prompt_tokens")],
@@ -75,9 +77,10 @@ def match_answers(outputs: DataFrame, examples: DataFrame, **sizes: int) -> Data
     return join_examples(_with_answer(samples, "generated_solution", "pred"), gold, *carried, **sizes)
 
 
-def _results(matched: DataFrame) -> DataFrame:
+def _results(matched: DataFrame, run: Sequence[str]) -> DataFrame:
     return matched.select(
         "id",
+        *run,
         "sample_idx",
         *CATEGORIES,
         "is_correct",
@@ -90,18 +93,22 @@ def _results(matched: DataFrame) -> DataFrame:
 
 
 def score_samples(
-    outputs: DataFrame, examples: DataFrame, single_label: bool = False, **sizes: int
+    outputs: DataFrame,
+    examples: DataFrame,
+    run: Sequence[str] = (),
+    single_label: bool = False,
+    **sizes: int,
 ) -> DataFrame:
     """Result rows: every sample of a known problem with its answers and the native verdict.
 
     ``single_label`` reports one match type for all compared pairs, right or wrong.
     """
-    matched = match_answers(outputs, examples, **sizes)
+    matched = match_answers(outputs, examples, run, **sizes)
     label = TF.answer_label(*[F.col(f"{side}_{part}") for part in ("answer", "value") for side in ("pred", "gold")])
     judged = matched.withColumn("match_type", label).withColumn("is_correct", TF.is_match(F.col("match_type")))
     if single_label:
         judged = judged.withColumn("match_type", TF.single_label(F.col("match_type")))
-    return _results(judged)
+    return _results(judged, run)
 
 
 Verifier = Callable[[pd.Series, pd.Series], pd.DataFrame]
@@ -135,14 +142,14 @@ def verify_pairs(
 
 
 def score_samples_with(
-    outputs: DataFrame, examples: DataFrame, verifier: Verifier, **sizes: int
+    outputs: DataFrame, examples: DataFrame, verifier: Verifier, run: Sequence[str] = (), **sizes: int
 ) -> DataFrame:
     """``score_samples`` with a caller's verifier in place of the native comparison.
 
     Matched answers are written once: the pairs and the result both read them.
     """
-    matched = written(match_answers(outputs, examples, **sizes), "answers")
-    return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", **sizes))
+    matched = written(match_answers(outputs, examples, run, **sizes), "answers")
+    return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", **sizes), run)
 
 
 def correct_ids(results: DataFrame) -> DataFrame:

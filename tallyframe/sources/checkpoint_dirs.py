@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,28 +61,60 @@ def step_dirs(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def read_checkpoints(
-    spark: SparkSession, parent: str, schema: T.StructType, format: str = "json"
+    spark: SparkSession, parent: str, schema: T.StructType, format: str = "json", files: str | None = None
 ) -> DataFrame:
     """Rows of all checkpoint folders with their ``checkpoint_num``; other folders are not read.
 
-    Folders that share a number are an error. One row per folder comes to the driver.
+    ``files`` is a name pattern for folders that hold other files too. Folders that share a number
+    are an error. One row per folder comes to the driver.
     """
-    folders = checkpoint_dirs(spark, parent).collect()
-    if not folders:
-        raise ValueError(f"no checkpoint folders in {parent}")
     by_number: dict[int, list[str]] = {}
-    for folder in folders:
+    for folder in checkpoint_dirs(spark, parent).collect():
         by_number.setdefault(folder["checkpoint_num"], []).append(folder["name"])
+    if not by_number:
+        raise ValueError(f"no checkpoint folders in {parent}")
     shared = {number: names for number, names in by_number.items() if len(names) > 1}
     if shared:
         raise ValueError(f"checkpoint numbers used by several folders: {shared}")
-    base = parent.rstrip("/")
-    rows = (
-        spark.read.format(format)
-        .schema(schema)
-        .option("mode", "FAILFAST")
-        .option("recursiveFileLookup", "true")
-        .load([f"{base}/{folder['name']}" for folder in folders])
+    rows, below = _read_folders(spark, parent, [n for names in by_number.values() for n in names], schema, format, files)
+    return rows.withColumn("checkpoint_num", trailing_number(below[0]))
+
+
+def read_run_steps(
+    spark: SparkSession,
+    parent: str,
+    schema: T.StructType,
+    epochs: Sequence[int] | None = None,
+    format: str = "json",
+    files: str | None = None,
+) -> DataFrame:
+    """Rows of all ``<run>_<epoch>/global_step_<step>`` folders with ``sft_epoch`` and ``rl_step``.
+
+    Epochs that are asked for but not there are left out, as are other folders.
+    """
+    folders = (
+        _entries(spark, parent)
+        .where(F.size("parts") > 2)
+        .select(F.col("parts")[0].alias("run"), F.col("parts")[1].alias("step"))
+        .where(trailing_number(F.col("run")).isNotNull() & step_number(F.col("step")).isNotNull())
     )
+    if epochs is not None:
+        folders = folders.where(trailing_number(F.col("run")).isin(list(epochs)))
+    names = [f"{r['run']}/{r['step']}" for r in folders.distinct().collect()]
+    if not names:
+        raise ValueError(f"no runs with steps in {parent}")
+    rows, below = _read_folders(spark, parent, names, schema, format, files)
+    return rows.withColumns({"sft_epoch": trailing_number(below[0]), "rl_step": step_number(below[1])})
+
+
+def _read_folders(
+    spark: SparkSession, parent: str, names: list[str], schema: T.StructType, format: str, files: str | None
+) -> tuple[DataFrame, Column]:
+    """Rows of the named folders, and the parts of each row's file path below the parent."""
+    base = parent.rstrip("/")
+    reader = spark.read.format(format).schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true")
+    if files:
+        reader = reader.option("pathGlobFilter", files)
+    rows = reader.load([f"{base}/{name}" for name in names])
     below = F.substring_index("_metadata.file_path", f"/{base.rsplit('/', 1)[-1]}/", -1)
-    return rows.withColumn("checkpoint_num", trailing_number(F.substring_index(below, "/", 1)))
+    return rows, F.split(below, "/")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import normalize_type
 from tallyframe.operators.prepare import ALL_SUBSETS, require_subset
@@ -20,10 +21,15 @@ class ProblemSource:
     name: str
     path: str
     format: str = "parquet"
+    schema: T.StructType | None = None
 
     def read(self, spark: SparkSession, *parts: str) -> DataFrame:
-        reader = spark.read.option("mergeSchema", "true").option("mode", "FAILFAST")
-        return reader.format(self.format).load("/".join([self.path.rstrip("/"), *parts]))
+        reader = spark.read.format(self.format).option("mode", "FAILFAST")
+        if self.schema:
+            reader = reader.schema(self.schema)
+        elif "*" in parts:  # configs need not have the same columns
+            reader = reader.option("mergeSchema", "true")
+        return reader.load("/".join([self.path.rstrip("/"), *parts]))
 
     def read_split(self, spark: SparkSession, split: str) -> DataFrame:
         """The whole split; where only configs exist, all of them in one scan."""

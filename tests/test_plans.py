@@ -8,7 +8,7 @@ from tallyframe import schemas
 from tallyframe.operators.curate import within_length
 from tallyframe.plans.curate import filter_generations, make_training_set
 from tallyframe.plans.evaluate import evaluate_generations
-from tallyframe.plans.sweep import sweep_accuracy, sweep_lengths
+from tallyframe.plans.sweep import sweep_accuracy, sweep_checkpoint_dir, sweep_lengths, sweep_run_dirs
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl
 from tallyframe.streaming.length_filter import stream_jsonl, stream_length_filter
 
@@ -126,3 +126,35 @@ def test_streamed_filter_equals_batch(spark, tmp_path, generations):
     both = run()
     assert set(first) < set(both)
     assert both == sorted(map(repr, within_length(generations, 500).collect()))
+
+
+def test_sweeping_folders(spark, tmp_path, examples):
+    """Two checkpoints and a folder without generations; four runs, one of them not asked for."""
+    def samples(solved, length):
+        return examples.selectExpr(
+            "id", "0 AS sample_idx", f"concat('\\\\boxed{{', IF(id < {solved}, id, -1), '}}') AS generated_solution",
+            "5L AS prompt_tokens", f"{length} + id AS output_tokens",
+        )
+
+    write_jsonl(samples(5, 100), str(tmp_path / "sft/m_1/out"))
+    write_jsonl(samples(10, 50), str(tmp_path / "sft/m_2/out"))
+    (tmp_path / "sft/m_3").mkdir()
+    (tmp_path / "sft/m_3/log.txt").write_text("failed")
+    sweep = sweep_checkpoint_dir(spark, str(tmp_path / "sft"), examples, files="part-*")
+    assert [(r.checkpoint_num, r.n, r.accuracy, r["mean"], r.status) for r in sweep.summary.collect()] == [
+        (1, 10, 0.5, 104.5, "OK"), (2, 10, 1.0, 54.5, "OK"), (3, 0, None, None, "FAILED"),
+    ]
+    assert sweep.histogram.groupBy("checkpoint_num").sum("n").orderBy("checkpoint_num").collect()[0][1] == 10
+
+    for run, step, solved in (("r_1", 20, 5), ("r_1", 40, 10), ("r_3", 20, 1), ("r_9", 20, 10)):
+        write_jsonl(samples(solved, 1).limit(8), str(tmp_path / f"rl/{run}/global_step_{step}/out"))
+    (tmp_path / "rl/notes").mkdir()
+    (tmp_path / "rl/notes/x.txt").write_text("-")
+    rl = sweep_run_dirs(spark, str(tmp_path / "rl"), examples, num_gen=1, epochs=[1, 3, 5])
+    got = {(r.sft_epoch, r.rl_step): r.problems for r in rl.accuracy.collect()}
+    assert got == {(1, 20): 10, (1, 40): 10, (3, 20): 10}
+    assert rl.grid.columns == ["sft_epoch", "step_20", "step_40"]
+    solved = {tuple(r)[0]: tuple(r)[1:] for r in rl.grid.collect()}
+    assert solved[1][1] == pytest.approx(80.0) and solved[3][1] is None
+    with pytest.raises(ValueError, match="no runs"):
+        sweep_run_dirs(spark, str(tmp_path / "rl"), examples, epochs=[7])
