@@ -122,9 +122,12 @@ def _normal_sql(text: str) -> str:
         (r"\$|\\left|\\right|\\[,;:! ]", ""),
         (r"\^\\circ|\^\{\\circ\}", ""),
         (r"\\text\{([^{}]*)\}", r"\1"),
+        (r"\{,\}", ","),
         (r"\\[dt]frac", r"\\frac"),
         (r"\\frac\{(-?\d+)\}\{(\d+)\}", r"\1/\2"),
         (r"\s+", ""),
+        (r"^(-?)\\frac(\d)(\d)$", r"\1\2/\3"),
+        (r"^[A-Za-z]=", ""),
         (r"\.+$", ""),
     ]
     for pattern, to in steps:

@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import strip
 
+# The box marker, and the two labels of a comparison without finer ones.
 BOX_MARKER = "\\boxed"
-NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+)?"
-
 PARSE_FAILURE = "parse_failure"
+SINGLE_LABEL = "sympy_equiv"
+
 EXACT = "exact"
 NUMERIC = "numeric_equiv"
 DIFFERENT = "different"
-SINGLE_LABEL = "sympy_equiv"
 
+NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+)?"
 RELATIVE_TOLERANCE = 1e-9
 
 
@@ -69,14 +70,17 @@ def answer_candidate(text: Column, box: Column | None = None) -> Column:
     return F.coalesce(F.nullif(box, F.lit("")), last_number)
 
 
-# Notation that carries no meaning for equality, and its replacement.
+# Notation that carries no meaning for equality, and what stands for it.
 _REWRITES = (
     (r"\$|\\left|\\right|\\[,;:! ]", ""),
     (r"\^\\circ|\^\{\\circ\}", ""),
     (r"\\text\{([^{}]*)\}", "$1"),
+    (r"\{,\}", ","),
     (r"\\[dt]frac", r"\\frac"),
     (r"\\frac\{(-?\d+)\}\{(\d+)\}", "$1/$2"),
     (r"\s+", ""),
+    (r"^(-?)\\frac(\d)(\d)$", "$1$2/$3"),
+    (r"^[A-Za-z]=", ""),
     (r"\.+$", ""),
 )
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions import ratio
 
+# Bins of a histogram and the percentiles of a summary.
 BINS = 40
 PERCENTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 

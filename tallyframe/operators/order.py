@@ -181,8 +181,10 @@ def split_rows(order: RowOrder, val_ratio: float = 0.1) -> Split:
 def in_order(order: RowOrder, files: int) -> DataFrame:
     """Rows laid out for a write: part files follow the order and are sorted inside.
 
-    Buckets map to files directly, so there is no extra pass to sample range bounds.
+    Buckets map to files directly, so there is no extra pass to sample range bounds. There are at
+    most as many files as buckets.
     """
+    files = min(files, order.n_buckets)
     file_no = F.floor(F.col(order.bucket).cast("bigint") * files / order.n_buckets).cast("int")
     return (
         order.rows.repartitionById(files, file_no)

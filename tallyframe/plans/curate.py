@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.curate import length_filter_counts, require_columns, within_length
 from tallyframe.operators.order import column_order, seeded_order, split_rows
+from tallyframe.session import written
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl
 from tallyframe.sources.sinks import filtered_path, write_split
 
@@ -48,7 +49,10 @@ def make_training_set(
     """Split JSONL rows into ``train.parquet`` and ``val.parquet`` with exact counts.
 
     ``keys`` identify a row and seed its place; without shuffling the first of them is the order.
+    The rows are written as parquet first: finding the cut then reads the key columns only, and
+    JSON is parsed once.
     """
     rows = require_columns(read_jsonl(spark, path, schema), prompt_key, response_key)
-    order = seeded_order(rows, keys, seed) if shuffle else column_order(rows, keys[0])
+    rows = written(rows, "training-rows")
+    order = seeded_order(rows, keys, seed) if shuffle else column_order(rows, keys[0], max(1024, files))
     return write_split(split_rows(order, val_ratio), out_dir, files, mode)

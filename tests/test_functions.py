@@ -128,6 +128,11 @@ def test_normalised_answers(spark):
         " 12. ": "12",
         r"\frac{x}{2}": r"\frac{x}{2}",
         r"\tfrac{-3}{4}": "-3/4",
+        r"-\dfrac 12": "-1/2",
+        r"\frac123": r"\frac123",
+        r"x = 5": "5",
+        "y=": None,
+        "10{,}000": "10000",
         "$": None,
     }
     assert values(spark, list(cases), TF.normalize_answer) == list(cases.values())
