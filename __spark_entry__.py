@@ -101,10 +101,9 @@ _REPORT = """SELECT CASE WHEN grouping(level) = 1 AND grouping(type) = 1 THEN 'o
        coalesce(level, type) AS key,
        {round}(sum(is_correct::INT) / count(*){digits}) AS accuracy,
        sum(is_correct::INT)::BIGINT AS correct, count(*)::BIGINT AS total,
-       CASE WHEN grouping(level) = 1 AND grouping(type) = 1 THEN sum(samples)::BIGINT END AS total_samples,
-       CASE WHEN grouping(level) = 1 AND grouping(type) = 1 THEN sum(failures)::BIGINT END AS parse_failures,
-       CASE WHEN grouping(level) = 1 AND grouping(type) = 1 THEN {round}(sum(out_tokens) / sum(samples){digits}) END AS avg_output_tokens,
-       CASE WHEN grouping(level) = 1 AND grouping(type) = 1 THEN {round}(sum(in_tokens) / sum(samples){digits}) END AS avg_prompt_tokens
+       sum(samples)::BIGINT AS total_samples, sum(failures)::BIGINT AS parse_failures,
+       {round}(sum(out_tokens) / sum(samples){digits}) AS avg_output_tokens,
+       {round}(sum(in_tokens) / sum(samples){digits}) AS avg_prompt_tokens
 FROM ({verdicts}) v GROUP BY GROUPING SETS ((), (level), (type))"""
 
 
@@ -482,8 +481,7 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, source, CAST(regexp_extract(replace(source, 'src', 'model_'), '^.+_([0-9]+)$', 1) AS BIGINT) AS checkpoint_num,
-              CAST(regexp_extract(replace(source, 'src', 'global_step_'), '^global_step_([0-9]+)$', 1) AS BIGINT) AS rl_step,
-              CAST(NULL AS BIGINT) AS unnumbered
+              CAST(regexp_extract(replace(source, 'src', 'global_step_'), '^global_step_([0-9]+)$', 1) AS BIGINT) AS rl_step
        FROM documents"""
 )
 def checkpoint_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,7 +490,6 @@ def checkpoint_numbers(spark: SparkSession, sf: str) -> DataFrame:
         "source",
         checkpoints.trailing_number(F.replace("source", F.lit("src"), F.lit("model_"))).alias("checkpoint_num"),
         checkpoints.step_number(F.replace("source", F.lit("src"), F.lit("global_step_"))).alias("rl_step"),
-        checkpoints.trailing_number(F.col("source")).alias("unnumbered"),
     )
 
 
@@ -572,7 +569,8 @@ def _sweep(spark: SparkSession, sf: str):
 
 
 @query(
-    f"""SELECT m.checkpoint_num, coalesce(n, 0)::BIGINT AS n, mean, std, min, p25, median, p75, p95, max, accuracy,
+    f"""SELECT m.checkpoint_num, coalesce(n, 0)::BIGINT AS n, mean, std, min::DOUBLE AS min, p25, median, p75, p95,
+               max::DOUBLE AS max, accuracy,
                CASE WHEN n > 0 THEN 'OK' ELSE 'FAILED' END AS status
         FROM checkpoints m LEFT JOIN (
           SELECT checkpoint_num, {_STATS}, round(avg(is_correct::INT), 6) AS accuracy FROM checkpoint_runs GROUP BY 1) s
@@ -580,7 +578,8 @@ def _sweep(spark: SparkSession, sf: str):
     "checkpoints",
 )
 def checkpoint_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(_sweep(spark, sf).summary, *_STAT_DOUBLES, "accuracy")
+    summary = _r6(_sweep(spark, sf).summary, *_STAT_DOUBLES, "accuracy")
+    return summary.withColumns({c: F.col(c).cast("double") for c in ("min", "max")})
 
 
 @query(

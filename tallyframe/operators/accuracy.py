@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import ratio
@@ -60,7 +60,7 @@ def any_correct(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("id", *CATEGORIES, "is_correct")
 
 
-def _partials() -> list:
+def _partials() -> list[Column]:
     return [
         F.count("*").alias("total"),
         F.count_if("is_correct").alias("correct"),
@@ -68,16 +68,22 @@ def _partials() -> list:
     ]
 
 
+def _sample_metrics() -> list[Column]:
+    return [
+        F.col("samples").alias("total_samples"),
+        F.col("failures").alias("parse_failures"),
+        ratio(F.col("out_tokens"), F.col("samples")).alias("avg_output_tokens"),
+        ratio(F.col("in_tokens"), F.col("samples")).alias("avg_prompt_tokens"),
+    ]
+
+
 def overall(verdicts: DataFrame) -> DataFrame:
     """Accuracy over problems with token means and parse failures over samples; always one row."""
     return verdicts.agg(*_partials()).select(
         ratio(F.col("correct"), F.col("total")).alias("accuracy"),
         "correct",
         "total",
-        F.col("samples").alias("total_samples"),
-        F.col("failures").alias("parse_failures"),
-        ratio(F.col("out_tokens"), F.col("samples")).alias("avg_output_tokens"),
-        ratio(F.col("in_tokens"), F.col("samples")).alias("avg_prompt_tokens"),
+        *_sample_metrics(),
     )
 
 
@@ -121,10 +127,7 @@ def accuracy_report(verdicts: DataFrame) -> DataFrame:
             ratio(F.col("correct"), F.col("total")).alias("accuracy"),
             "correct",
             "total",
-            F.when(whole, F.col("samples")).alias("total_samples"),
-            F.when(whole, F.col("failures")).alias("parse_failures"),
-            F.when(whole, ratio(F.col("out_tokens"), F.col("samples"))).alias("avg_output_tokens"),
-            F.when(whole, ratio(F.col("in_tokens"), F.col("samples"))).alias("avg_prompt_tokens"),
+            *_sample_metrics(),
         )
         .orderBy(F.col("section") != "overall", "section", "key")
     )
