@@ -699,14 +699,6 @@ def scored_report(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(result, "accuracy", "avg_output_tokens", "avg_prompt_tokens")
 
 
-def numbers_equal(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    """A small verifier: both sides read as plain numbers."""
-    left, right = pd.to_numeric(pred, errors="coerce"), pd.to_numeric(gold, errors="coerce")
-    readable = left.notna() & right.notna()
-    label = readable.map({True: "numeric", False: "parse_failure"})
-    return pd.DataFrame({"is_correct": readable & (left == right), "match_type": label})
-
-
 @query(
     f"""SELECT id, sample_idx, level, type,
                coalesce(TRY_CAST(pred AS DOUBLE) = TRY_CAST(gold AS DOUBLE), FALSE) AS is_correct,
@@ -719,7 +711,17 @@ def numbers_equal(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     "problems",
 )
 def custom_verifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers judged by a caller's Python function, which sees each distinct pair once."""
+    """Answers judged by a caller's Python function, which sees each distinct pair once.
+
+    The function is local so that it is shipped to the workers whole, wherever they run.
+    """
+
+    def numbers_equal(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        left, right = pd.to_numeric(pred, errors="coerce"), pd.to_numeric(gold, errors="coerce")
+        readable = left.notna() & right.notna()
+        label = readable.map({True: "numeric", False: "parse_failure"})
+        return pd.DataFrame({"is_correct": readable & (left == right), "match_type": label})
+
     rows, problems = fixture(spark, sf, "generations"), fixture(spark, sf, "problems")
     return scoring.score_samples_with(rows, problems, numbers_equal)
 
