@@ -432,12 +432,12 @@ def _split(spark: SparkSession, sf: str) -> order.Split:
 
 @query(_RANKED.format(">="), "generations")
 def split_train(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf).train_rows
+    return _split(spark, sf).train.plain
 
 
 @query(_RANKED.format("<"), "generations")
 def split_val(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf).val_rows
+    return _split(spark, sf).val.plain
 
 
 @query(
@@ -447,7 +447,7 @@ def split_val(spark: SparkSession, sf: str) -> DataFrame:
 )
 def conservation(spark: SparkSession, sf: str) -> DataFrame:
     split = _split(spark, sf)
-    return curate.row_conservation(fixture(spark, sf, "generations"), split.train_rows, split.val_rows)
+    return curate.row_conservation(fixture(spark, sf, "generations"), split.train.plain, split.val.plain)
 
 
 @query(_RANKED.format(">="), "generations")

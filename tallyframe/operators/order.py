@@ -6,7 +6,9 @@ through one task. No operator sorts all rows in one partition, and the cut betwe
 and the rest is found on the sort columns alone, so whole rows are not shuffled to take a sample or
 to split.
 
-Sort columns must identify a row; nulls come first. The cut raises if rows tie on it.
+Sort columns should identify a row; nulls come first. Copies of one row may repeat them, however
+often: they are counted before any shuffle and spread over tasks when they are put back. A cut
+between different rows that tie on the sort columns raises.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+HOT_ROWS = 1_000_000
+CHUNK_ROWS = 100_000
+
 _SEEDED = "_seeded_key"
 _COARSE = "_bucket_coarse"
 _FINE = "_bucket_fine"
@@ -39,6 +44,11 @@ class RowOrder:
     def bucket(self) -> str:
         return self.levels[-1]
 
+    @property
+    def plain(self) -> DataFrame:
+        """The rows without the helper columns."""
+        return self.rows.drop(*_HELPERS)
+
 
 def seeded_order(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> RowOrder:
     """Shuffled order that depends on the seed and the row keys only, not on partitioning.
@@ -54,7 +64,7 @@ def seeded_order(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> Ro
 
 
 def column_order(df: DataFrame, key: str, buckets: int = 1024) -> RowOrder:
-    """Order by a unique numeric column.
+    """Order by a numeric column.
 
     Bucket bounds are approximate quantiles of the column, so buckets stay even however the values
     are spread; at most ``buckets`` bounds reach the driver.
@@ -83,30 +93,74 @@ def _bucket_offsets(rows: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def with_position(order: RowOrder, name: str = "position") -> DataFrame:
+def _hot_buckets(order: RowOrder, hot_rows: int) -> list[int]:
+    """Buckets that repeated keys fill far beyond the even share; at most ``rows / hot_rows``."""
+    even = F.col("n_total") / order.n_buckets
+    offsets = _bucket_offsets(order.rows, order.bucket)
+    crowded = offsets.where((F.col("n_rows") > hot_rows) & (F.col("n_rows") > 4 * even))
+    return [r[0] for r in crowded.select(order.bucket).collect()]
+
+
+def _put_back(df: DataFrame, copies: str, *spread: str) -> DataFrame:
+    """Each row ``copies`` times with its copy number ``_copy``, in chunks spread over tasks."""
+    last = F.col(copies) - 1
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(CHUNK_ROWS).cast("bigint")))
+    inside = F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + CHUNK_ROWS - 1, last))
+    chunks = df.withColumn("_chunk", chunk).repartition("_chunk", *spread)
+    return chunks.withColumn("_copy", F.explode(inside)).drop("_chunk", copies)
+
+
+def _rank_rows(rows: DataFrame, order: RowOrder) -> DataFrame:
+    inside = Window.partitionBy(order.bucket).orderBy(*order.sort_by)
+    return rows.withColumn("_rank", F.row_number().over(inside).cast("bigint") - 1)
+
+
+def _rank_copies(rows: DataFrame, order: RowOrder) -> DataFrame:
+    """The same for crowded buckets: equal rows are one row with a count until they have a rank."""
+    before = (
+        Window.partitionBy(order.bucket).orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+    ranked = counted.withColumn("_rank", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
+    back = _put_back(ranked, "_copies", *order.sort_by)
+    return back.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_copy")
+
+
+def with_position(order: RowOrder, name: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the 0-based position of each row in the order."""
+    hot = _hot_buckets(order, hot_rows)
+    if hot:
+        is_hot = F.col(order.bucket).isin(hot)
+        cold = _rank_rows(order.rows.where(~is_hot), order)
+        ranked = cold.unionByName(_rank_copies(order.rows.where(is_hot), order))
+    else:
+        ranked = _rank_rows(order.rows, order)
     offsets = _bucket_offsets(order.rows, order.bucket).select(order.bucket, "n_before")
-    inside = Window.partitionBy(order.bucket).orderBy(*order.sort_by)
     return (
-        order.rows.withColumn(name, F.row_number().over(inside))
-        .join(F.broadcast(offsets), order.bucket)  # at most n_buckets rows
-        .withColumn(name, F.col("n_before") + F.col(name) - 1)
-        .drop("n_before", *_HELPERS)
+        ranked.join(F.broadcast(offsets), order.bucket)  # at most n_buckets rows
+        .withColumn(name, F.col("n_before") + F.col("_rank"))
+        .drop("n_before", "_rank", *_HELPERS)
     )
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Where the first ``wanted`` of ``total`` rows end: the sort columns of the last of them."""
+    """Where the first ``wanted`` of ``total`` rows end.
+
+    ``last`` holds the sort columns of the last of them. Of the ``tied`` rows with these values,
+    ``taken`` are before the cut.
+    """
 
     total: int
     wanted: int
-    last: tuple | None
+    last: tuple | None = None
+    taken: int = 0
+    tied: int = 0
 
 
 def find_cut(order: RowOrder, wanted: Callable[[int], int]) -> Cut:
-    """Reads the sort columns only. Each level counts rows per bucket, at most 1024 counts, and
-    goes on with the one bucket the cut falls into.
+    """Reads the sort columns only. Each level counts rows per bucket, at most ``buckets`` counts,
+    and goes on with the one bucket the cut falls into.
     """
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
     total = goal = rest = None
@@ -116,37 +170,61 @@ def find_cut(order: RowOrder, wanted: Callable[[int], int]) -> Cut:
             total = sum(n for _, n in counts)
             goal = rest = max(0, min(wanted(total), total))
             if goal == 0:
-                return Cut(total, 0, None)
+                return Cut(total, 0)
         for bucket, n in counts:
             if rest <= n:
                 break
             rest -= n
         scope = scope.where(F.col(level) == bucket)
-    at_cut = scope.select(*order.sort_by).orderBy(*order.sort_by).offset(rest - 1).limit(2).collect()
-    if len(at_cut) == 2 and at_cut[0] == at_cut[1]:
-        raise ValueError(f"{list(order.sort_by)} do not identify a row: {tuple(at_cut[0])}")
-    return Cut(total, goal, tuple(at_cut[0]))
+    up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))  # one bucket's keys
+    reached = keys.withColumn("_reached", F.sum("_tied").over(up_to)).where(F.col("_reached") >= rest)
+    *last, tied, end = reached.orderBy("_reached").first()
+    return Cut(total, goal, tuple(last), rest - (end - tied), tied)
 
 
-def _up_to(columns: Sequence[str], values: Sequence) -> Column:
-    """``(columns) <= (values)`` with nulls first, spelled out per column so that it can be pushed
-    down.
+def _below(columns: Sequence[str], values: Sequence, inclusive: bool) -> Column:
+    """``(columns) < (values)``, or ``<=``, with nulls first; spelled out per column so that it can
+    be pushed down.
     """
     head, value = F.col(columns[0]), values[0]
-    if len(columns) == 1:
+    if len(columns) == 1 and inclusive:
         return head.isNull() if value is None else head.isNull() | (head <= F.lit(value))
     below = F.lit(False) if value is None else head.isNull() | (head < F.lit(value))
-    return below | (head.eqNullSafe(F.lit(value)) & _up_to(columns[1:], values[1:]))
-
+    if len(columns) == 1:
+        return below
+    return below | (head.eqNullSafe(F.lit(value)) & _below(columns[1:], values[1:], inclusive))
+
+
+def _cut_rows(order: RowOrder, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """Rows before and after the cut, with helper columns."""
+    rows = order.rows
+    if cut.last is None:
+        return rows.where(F.lit(False)), rows
+    upto = _below(order.sort_by, cut.last, inclusive=True)
+    if cut.taken == cut.tied:
+        return rows.where(upto), rows.where(~upto)
+    under = _below(order.sort_by, cut.last, inclusive=False)
+    tied = rows.where(upto & ~under)
+    content = F.struct(F.xxhash64(*rows.columns), F.hash(*rows.columns))
+    low, high = tied.agg(F.min(content), F.max(content)).first()
+    if low != high:
+        raise ValueError(f"{list(order.sort_by)} do not identify a row: {cut.last}")
+
+    def copies(n: int) -> DataFrame:
+        one = tied.limit(1).withColumn("_copies", F.lit(n).cast("bigint"))
+        return _put_back(one, "_copies").drop("_copy")
 
-def _before(order: RowOrder, cut: Cut) -> Column:
-    return F.lit(False) if cut.last is None else _up_to(order.sort_by, cut.last)
+    return (
+        rows.where(under).unionByName(copies(cut.taken)),
+        rows.where(~upto).unionByName(copies(cut.tied - cut.taken)),
+    )
 
 
 def first_rows(order: RowOrder, n: int) -> DataFrame:
     """Exactly the first n rows of the order: a cap, or a seeded sample without replacement."""
-    cut = find_cut(order, lambda total: n)
-    return order.rows.where(_before(order, cut)).drop(*_HELPERS)
+    before, _ = _cut_rows(order, find_cut(order, lambda total: n))
+    return before.drop(*_HELPERS)
 
 
 @dataclass(frozen=True)
@@ -158,32 +236,27 @@ class Split:
     n_rows: int
     n_val: int
 
-    @property
-    def train_rows(self) -> DataFrame:
-        return self.train.rows.drop(*_HELPERS)
-
-    @property
-    def val_rows(self) -> DataFrame:
-        return self.val.rows.drop(*_HELPERS)
-
 
 def split_rows(order: RowOrder, val_ratio: float = 0.1) -> Split:
     """Validation = the first ``int(n * val_ratio)`` rows of the order, train = the rest."""
     if not 0 <= val_ratio < 1:
         raise ValueError("val_ratio must be in [0, 1)")
     cut = find_cut(order, lambda total: int(total * val_ratio))
-    is_val = _before(order, cut)
-    train = replace(order, rows=order.rows.where(~is_val))
-    val = replace(order, rows=order.rows.where(is_val))
-    return Split(train, val, cut.total, cut.wanted)
+    val, train = _cut_rows(order, cut)
+    return Split(replace(order, rows=train), replace(order, rows=val), cut.total, cut.wanted)
 
 
-def in_order(order: RowOrder, files: int) -> DataFrame:
+def in_order(order: RowOrder, files: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows laid out for a write: part files follow the order and are sorted inside.
 
-    Buckets map to files directly, so there is no extra pass to sample range bounds. There are at
-    most as many files as buckets.
+    Buckets map to files directly, so there is no extra pass to sample range bounds; there are at
+    most as many files as buckets. Where copies crowd a bucket, positions map to files instead.
     """
+    if _hot_buckets(order, hot_rows):
+        total = order.rows.count()
+        placed = with_position(order, "_place", hot_rows)
+        file_no = F.floor(F.col("_place") * files / total).cast("int")
+        return placed.repartitionById(files, file_no).sortWithinPartitions("_place").drop("_place")
     files = min(files, order.n_buckets)
     file_no = F.floor(F.col(order.bucket).cast("bigint") * files / order.n_buckets).cast("int")
     return (

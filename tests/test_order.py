@@ -67,8 +67,8 @@ def test_null_keys_come_first(spark):
             assert set(r.id for r in first_rows(order, n).collect()) == set(got[:n])
         for ratio in (0.1, 0.5):
             split = split_rows(order, ratio)
-            assert split.val_rows.count() == int(21 * ratio)
-            assert split.train_rows.count() + split.val_rows.count() == 21
+            assert split.val.plain.count() == int(21 * ratio)
+            assert split.train.plain.count() + split.val.plain.count() == 21
 
 
 def test_empty_input(numbers):
@@ -77,15 +77,15 @@ def test_empty_input(numbers):
         assert with_position(order).count() == 0
         assert first_rows(order, 5).count() == 0
         split = split_rows(order, 0.5)
-        assert (split.n_rows, split.train_rows.count(), split.val_rows.count()) == (0, 0, 0)
+        assert (split.n_rows, split.train.plain.count(), split.val.plain.count()) == (0, 0, 0)
 
 
 @pytest.mark.parametrize(("ratio", "n_val"), [(0.0, 0), (0.1, 100), (0.29, 290), (0.333, 333), (0.999, 999)])
 def test_split(numbers, ratio, n_val):
     split = split_rows(seeded_order(numbers, "id"), ratio)
-    val = [r.id for r in split.val_rows.collect()]
-    train = [r.id for r in split.train_rows.collect()]
-    assert split.train_rows.columns == ["id", "t"]
+    val = [r.id for r in split.val.plain.collect()]
+    train = [r.id for r in split.train.plain.collect()]
+    assert split.train.plain.columns == ["id", "t"]
     assert (len(val), split.n_val, split.n_rows) == (n_val, n_val, 1000)
     assert sorted(val) == sorted(seeded(IDS)[:n_val])
     assert sorted(train + val) == IDS
@@ -94,7 +94,7 @@ def test_split(numbers, ratio, n_val):
 def test_split_product_is_a_double(numbers):
     hundred = numbers.where("id < 200")
     assert hundred.count() == 100
-    assert split_rows(seeded_order(hundred, "id"), 0.29).val_rows.count() == 28
+    assert split_rows(seeded_order(hundred, "id"), 0.29).val.plain.count() == 28
 
 
 @pytest.mark.parametrize("ratio", [-0.1, 1, 1.5])
@@ -117,10 +117,58 @@ def test_several_keys(spark):
     assert got == sorted(pairs, key=lambda p: hashlib.md5(f"42:{p[0]}:{p[1]}".encode()).hexdigest())
 
 
-def test_ties_across_the_cut_raise(numbers):
+def test_different_rows_that_tie_at_the_cut_raise(numbers):
+    rows = numbers.union(numbers.withColumn("t", F.lit("y")))
     with pytest.raises(ValueError, match="do not identify"):
-        first_rows(seeded_order(numbers.union(numbers), "id"), 7)
-    assert first_rows(seeded_order(numbers.union(numbers), "id"), 8).count() == 8
+        first_rows(seeded_order(rows, "id"), 7)
+    assert first_rows(seeded_order(rows, "id"), 8).count() == 8
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A third of the rows are copies of one row, and a few rows have one copy."""
+    rows = spark.range(2000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 6 WHEN id > 1990 THEN id - 5 ELSE id END AS id"
+    )
+    return rows.withColumn("t", F.concat(F.lit("t"), F.col("id").cast("string"))).cache()
+
+
+CROWDED = [6 if i % 3 == 0 else i - 5 if i > 1990 else i for i in range(2000)]
+
+
+@pytest.mark.parametrize("order", [lambda df: seeded_order(df, "id"), lambda df: column_order(df, "id", 16)])
+def test_copies(crowded, order):
+    order = order(crowded)
+    place = {i: k for k, i in enumerate(seeded(set(CROWDED)))} if len(order.sort_by) > 1 else {i: i for i in CROWDED}
+    want = sorted(CROWDED, key=place.get)
+    for hot_rows in (100, 10**6):
+        rows = with_position(order, hot_rows=hot_rows).orderBy("position").collect()
+        assert [r.position for r in rows] == list(range(2000))
+        assert [r.id for r in rows] == want and all(r.t == f"t{r.id}" for r in rows)
+    first = want.index(6)
+    for n in (first, first + 1, first + 300, first + CROWDED.count(6), first + CROWDED.count(6) + 1):
+        assert sorted(r.id for r in first_rows(order, n).collect()) == sorted(want[:n])
+    for ratio in (0.1, 0.3, 0.5, 0.8):
+        split = split_rows(order, ratio)
+        n = int(2000 * ratio)
+        for hot_rows in (100, 10**6):
+            assert [r.id for r in in_order(split.val, 4, hot_rows).collect()] == want[:n]
+            assert [r.id for r in in_order(split.train, 4, hot_rows).collect()] == want[n:]
+
+
+def test_copies_are_spread_over_tasks(spark, crowded, monkeypatch):
+    from tallyframe.operators import order as module
+
+    monkeypatch.setattr(module, "CHUNK_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = with_position(seeded_order(crowded, "id"), hot_rows=100)
+        tasks = ranked.where("id = 6").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 2 and sum(r["count"] for r in tasks) == CROWDED.count(6)
+        files = in_order(seeded_order(crowded, "id"), 10, hot_rows=100).groupBy(F.spark_partition_id()).count().collect()
+        assert sorted(r["count"] for r in files) == [200] * 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_only_keys_are_read_for_the_cut(spark, tmp_path, numbers):

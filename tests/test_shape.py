@@ -57,7 +57,7 @@ def test_samples_collapse_before_the_join(spark, tables):
 
 def test_split_filters_without_a_shuffle(tables):
     split = split_rows(seeded_order(tables[0], ["id", "sample_idx"]), 0.1)
-    for rows in (split.train_rows, split.val_rows):
+    for rows in (split.train.plain, split.val.plain):
         assert "Exchange" not in plan_of(rows)
 
 
