@@ -28,21 +28,26 @@ _SEEDED = "_seeded_key"
 _COARSE = "_bucket_coarse"
 _FINE = "_bucket_fine"
 _HELPERS = (_SEEDED, _COARSE, _FINE)
-_PREFIX_BUCKETS = 16**4
 
 
 @dataclass(frozen=True)
 class RowOrder:
-    """Rows with their sort columns and with bucket columns, coarse to fine."""
+    """Rows with their sort columns and with bucket columns, coarse to fine, and their numbers of
+    buckets. ``even`` says that no bucket is known to be crowded, so none is looked for.
+    """
 
     rows: DataFrame
     sort_by: tuple[str, ...]
-    levels: tuple[str, ...]
-    n_buckets: int
+    levels: dict[str, int]
+    even: bool = False
 
     @property
     def bucket(self) -> str:
-        return self.levels[-1]
+        return list(self.levels)[-1]
+
+    @property
+    def n_buckets(self) -> int:
+        return self.levels[self.bucket]
 
     @property
     def plain(self) -> DataFrame:
@@ -60,7 +65,7 @@ def seeded_order(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> Ro
     rows = df.withColumn(_SEEDED, F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)))
     fine = F.conv(F.substring(_SEEDED, 1, 4), 16, 10).cast("int")
     rows = rows.withColumn(_FINE, fine).withColumn(_COARSE, F.shiftright(_FINE, 8))
-    return RowOrder(rows, (_SEEDED, *keys), (_COARSE, _FINE), _PREFIX_BUCKETS)
+    return RowOrder(rows, (_SEEDED, *keys), {_COARSE: 16**2, _FINE: 16**4})
 
 
 def column_order(df: DataFrame, key: str, buckets: int = 1024) -> RowOrder:
@@ -77,7 +82,7 @@ def column_order(df: DataFrame, key: str, buckets: int = 1024) -> RowOrder:
         rows = sorter.transform(df).withColumn(_FINE, F.coalesce(F.col(_FINE).cast("int"), F.lit(0)))
     else:
         rows = df.withColumn(_FINE, F.lit(0))
-    return RowOrder(rows, (key,), (_FINE,), len(bounds) + 1)
+    return RowOrder(rows, (key,), {_FINE: len(bounds) + 1})
 
 
 def _bucket_offsets(rows: DataFrame, bucket: str) -> DataFrame:
@@ -95,6 +100,8 @@ def _bucket_offsets(rows: DataFrame, bucket: str) -> DataFrame:
 
 def _hot_buckets(order: RowOrder, hot_rows: int) -> list[int]:
     """Buckets that repeated keys fill far beyond the even share; at most ``rows / hot_rows``."""
+    if order.even:
+        return []
     even = F.col("n_total") / order.n_buckets
     offsets = _bucket_offsets(order.rows, order.bucket)
     crowded = offsets.where((F.col("n_rows") > hot_rows) & (F.col("n_rows") > 4 * even))
@@ -148,29 +155,31 @@ class Cut:
     """Where the first ``wanted`` of ``total`` rows end.
 
     ``last`` holds the sort columns of the last of them. Of the ``tied`` rows with these values,
-    ``taken`` are before the cut.
+    ``taken`` are before the cut. ``even`` says that no bucket is crowded.
     """
 
     total: int
     wanted: int
+    even: bool
     last: tuple | None = None
     taken: int = 0
     tied: int = 0
 
 
-def find_cut(order: RowOrder, wanted: Callable[[int], int]) -> Cut:
+def find_cut(order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS) -> Cut:
     """Reads the sort columns only. Each level counts rows per bucket, at most ``buckets`` counts,
     and goes on with the one bucket the cut falls into.
     """
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
-    total = goal = rest = None
-    for level in order.levels:
+    total = None
+    for level, size in order.levels.items():
         counts = sorted(scope.groupBy(level).count().collect())
         if total is None:
             total = sum(n for _, n in counts)
+            even = max((n for _, n in counts), default=0) <= total / size + hot_rows
             goal = rest = max(0, min(wanted(total), total))
             if goal == 0:
-                return Cut(total, 0)
+                return Cut(total, 0, even)
         for bucket, n in counts:
             if rest <= n:
                 break
@@ -180,7 +189,7 @@ def find_cut(order: RowOrder, wanted: Callable[[int], int]) -> Cut:
     keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))  # one bucket's keys
     reached = keys.withColumn("_reached", F.sum("_tied").over(up_to)).where(F.col("_reached") >= rest)
     *last, tied, end = reached.orderBy("_reached").first()
-    return Cut(total, goal, tuple(last), rest - (end - tied), tied)
+    return Cut(total, goal, even, tuple(last), rest - (end - tied), tied)
 
 
 def _below(columns: Sequence[str], values: Sequence, inclusive: bool) -> Column:
@@ -237,13 +246,13 @@ class Split:
     n_val: int
 
 
-def split_rows(order: RowOrder, val_ratio: float = 0.1) -> Split:
+def split_rows(order: RowOrder, val_ratio: float = 0.1, hot_rows: int = HOT_ROWS) -> Split:
     """Validation = the first ``int(n * val_ratio)`` rows of the order, train = the rest."""
     if not 0 <= val_ratio < 1:
         raise ValueError("val_ratio must be in [0, 1)")
-    cut = find_cut(order, lambda total: int(total * val_ratio))
-    val, train = _cut_rows(order, cut)
-    return Split(replace(order, rows=train), replace(order, rows=val), cut.total, cut.wanted)
+    cut = find_cut(order, lambda total: int(total * val_ratio), hot_rows)
+    val, train = (replace(order, rows=rows, even=cut.even) for rows in _cut_rows(order, cut))
+    return Split(train, val, cut.total, cut.wanted)
 
 
 def in_order(order: RowOrder, files: int, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -149,9 +149,10 @@ def test_copies(crowded, order):
     for n in (first, first + 1, first + 300, first + CROWDED.count(6), first + CROWDED.count(6) + 1):
         assert sorted(r.id for r in first_rows(order, n).collect()) == sorted(want[:n])
     for ratio in (0.1, 0.3, 0.5, 0.8):
-        split = split_rows(order, ratio)
         n = int(2000 * ratio)
         for hot_rows in (100, 10**6):
+            split = split_rows(order, ratio, hot_rows)
+            assert split.train.even == (hot_rows > 2000)
             assert [r.id for r in in_order(split.val, 4, hot_rows).collect()] == want[:n]
             assert [r.id for r in in_order(split.train, 4, hot_rows).collect()] == want[n:]
 
