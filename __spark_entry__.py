@@ -127,11 +127,10 @@ def _normal_sql(text: str) -> str:
         (r"\s+", ""),
         (r"^(-?)\\frac(\d)(\d)$", r"\1\2/\3"),
         (r"^[A-Za-z]=", ""),
-        (r"\.+$", ""),
     ]
     for pattern, to in steps:
         text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
-    return text
+    return f"rtrim({text}, '.')"
 
 
 def _value_sql(text: str) -> str:

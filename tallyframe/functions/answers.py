@@ -81,7 +81,6 @@ _REWRITES = (
     (r"\s+", ""),
     (r"^(-?)\\frac(\d)(\d)$", "$1$2/$3"),
     (r"^[A-Za-z]=", ""),
-    (r"\.+$", ""),
 )
 
 
@@ -90,6 +89,7 @@ def normalize_answer(answer: Column) -> Column:
     text = answer
     for pattern, replacement in _REWRITES:
         text = F.regexp_replace(text, pattern, replacement)
+    text = F.rtrim(text, F.lit("."))
     grouped = F.rlike(text, F.lit(r"^-?\d+(,\d{3})+(\.\d+)?(/\d+)?$"))
     return F.nullif(F.when(grouped, F.replace(text, F.lit(","), F.lit(""))).otherwise(text), F.lit(""))
 
