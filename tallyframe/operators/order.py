@@ -23,6 +23,9 @@ from pyspark.sql.window import Window
 
 HOT_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
+BUCKET_ROWS = 100_000
+MAX_BOUNDS = 16_384
+CUT_KEYS = 1_000_000
 
 _SEEDED = "_seeded_key"
 _COARSE = "_bucket_coarse"
@@ -68,14 +71,16 @@ def seeded_order(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> Ro
     return RowOrder(rows, (_SEEDED, *keys), {_COARSE: 16**2, _FINE: 16**4})
 
 
-def column_order(df: DataFrame, key: str, buckets: int = 1024) -> RowOrder:
+def column_order(df: DataFrame, key: str, at_least: int = 64) -> RowOrder:
     """Order by a numeric column.
 
     Bucket bounds are approximate quantiles of the column, so buckets stay even however the values
-    are spread; at most ``buckets`` bounds reach the driver.
+    are spread. There is a bucket per ``BUCKET_ROWS`` rows, but at least ``at_least`` and at most
+    ``MAX_BOUNDS`` of them; their bounds pass through the driver.
     """
+    buckets = min(MAX_BOUNDS, max(at_least, df.count() // BUCKET_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(key, shares, 1 / (2 * buckets)))) if buckets > 1 else []
+    bounds = sorted(set(df.approxQuantile(key, shares, 1 / (2 * buckets)))) if shares else []
     if bounds:
         splits = [float("-inf"), *bounds, float("inf")]
         sorter = Bucketizer(splits=splits, inputCol=key, outputCol=_FINE)
@@ -166,25 +171,42 @@ class Cut:
     tied: int = 0
 
 
+def _counts(rows: DataFrame, bucket: str) -> list[tuple[int, int]]:
+    return sorted(tuple(r) for r in rows.groupBy(bucket).count().collect())
+
+
+def _locate(counts: list[tuple[int, int]], rest: int) -> tuple[int, int, int]:
+    """The bucket that holds the ``rest``-th row, the row's place inside, and the bucket's size."""
+    for bucket, n in counts:
+        if rest <= n:
+            break
+        rest -= n
+    return bucket, rest, n
+
+
 def find_cut(order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS) -> Cut:
-    """Reads the sort columns only. Each level counts rows per bucket, at most ``buckets`` counts,
-    and goes on with the one bucket the cut falls into.
+    """Reads the sort columns only. Each level counts rows per bucket and goes on with the one
+    bucket the cut falls into; the counts of a level pass through the driver.
     """
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
     total = None
     for level, size in order.levels.items():
-        counts = sorted(scope.groupBy(level).count().collect())
+        counts = _counts(scope, level)
         if total is None:
             total = sum(n for _, n in counts)
             even = max((n for _, n in counts), default=0) <= total / size + hot_rows
             goal = rest = max(0, min(wanted(total), total))
             if goal == 0:
                 return Cut(total, 0, even)
-        for bucket, n in counts:
-            if rest <= n:
-                break
-            rest -= n
+        bucket, rest, n = _locate(counts, rest)
         scope = scope.where(F.col(level) == bucket)
+    while n > CUT_KEYS and order.sort_by[0] != _SEEDED:
+        finer = column_order(scope.drop(order.bucket), order.sort_by[0])
+        bucket, rest, smaller = _locate(_counts(finer.rows, finer.bucket), rest)
+        scope = finer.rows.where(F.col(finer.bucket) == bucket)
+        if smaller == n:  # copies of one key
+            break
+        n = smaller
     up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))  # one bucket's keys
     reached = keys.withColumn("_reached", F.sum("_tied").over(up_to)).where(F.col("_reached") >= rest)

@@ -54,5 +54,5 @@ def make_training_set(
     """
     rows = require_columns(read_jsonl(spark, path, schema), prompt_key, response_key)
     rows = written(rows, "training-rows")
-    order = seeded_order(rows, keys, seed) if shuffle else column_order(rows, keys[0], max(1024, files))
+    order = seeded_order(rows, keys, seed) if shuffle else column_order(rows, keys[0], at_least=files)
     return write_split(split_rows(order, val_ratio), out_dir, files, mode)

@@ -57,6 +57,16 @@ def test_uneven_values(spark):
     assert sorted(r.id for r in first_rows(order, 3).collect()) == sorted(ids)[:3]
 
 
+def test_a_large_bucket_is_split_further(spark, numbers, monkeypatch):
+    from tallyframe.operators import order as module
+
+    monkeypatch.setattr(module, "CUT_KEYS", 5)
+    for rows, ids in ((numbers, IDS), (numbers.unionByName(numbers.where("id = 200")), sorted([*IDS, 200]))):
+        order = column_order(rows, "id", 4)
+        for n in (1, 99, 100, 101, 102, 500, 1000):
+            assert sorted(r.id for r in first_rows(order, n).collect()) == ids[:n]
+
+
 def test_null_keys_come_first(spark):
     ids = [None, *range(20)]
     rows = spark.createDataFrame([(i,) for i in ids], "id long")
