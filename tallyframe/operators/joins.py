@@ -45,9 +45,10 @@ def keyed_join(
 
     ``keyed`` is measured: up to ``broadcast_bytes`` it is broadcast and ``large`` is not shuffled.
     Beyond that, keys with more than ``hot_rows`` rows are split over several tasks: their large
-    rows get a part number from ``spread_by`` and their keyed row is repeated once per part. There
-    are at most ``rows / hot_rows`` such keys, which bounds the hot-key table. None says that no key
-    of ``large`` is hot. ``unique`` checks that no key of ``keyed`` occurs twice.
+    rows get a part number from ``spread_by`` (all columns by default) and their keyed row is
+    repeated once per part. There are at most ``rows / hot_rows`` such keys, which bounds the
+    hot-key table. None says that no key of ``large`` is hot. ``unique`` checks that no key of
+    ``keyed`` occurs twice.
     """
     on = [on] if isinstance(on, str) else list(on)
     if measure(keyed, on, unique) <= broadcast_bytes:
@@ -63,7 +64,10 @@ def keyed_join(
         .where(F.col("_n") > hot_rows)
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
-    spread = F.xxhash64(*(list(spread_by) or large.columns))
+    # The input partition spreads copies too, which agree in every column. Unlike a random number it
+    # comes out the same when a lost task runs again.
+    hashable = [f.name for f in large.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = F.xxhash64(F.spark_partition_id(), *(list(spread_by) or hashable))
     keyless = reduce(or_, [F.col(c).isNull() for c in on])
     # Rows without a key match nothing; negative part numbers only spread them over tasks.
     part = F.when(keyless, -1 - F.pmod(spread, F.lit(4096))).otherwise(

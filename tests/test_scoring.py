@@ -196,6 +196,25 @@ def test_hot_key_is_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_copies_of_a_hot_row_are_spread_too(spark):
+    """Rows that agree in every column, from 200 input partitions, joined in 16 tasks."""
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        large = spark.range(0, 20000, 1, 200).select(F.lit(5).cast("bigint").alias("k"), F.lit("x").alias("t"))
+        keyed = spark.range(0, 4000).selectExpr("id AS k", "id AS v")
+        joined = keyed_join(large, keyed, "k", "inner", ["t"], broadcast_bytes=-1, hot_rows=100)
+        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per_task) == 20000
+        assert len(per_task) == 16 and max(r["count"] for r in per_task) < 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+
+
 def test_pass_at_1(spark):
     rows = [(1, 20, 0, True), (1, 20, 0, False), (1, 20, 1, True), (1, 40, 0, False), (3, 20, 2, True)]
     runs = spark.createDataFrame(rows, "sft_epoch int, rl_step int, problem_id long, is_correct boolean")
