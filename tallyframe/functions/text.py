@@ -1,5 +1,7 @@
 """Column expressions on text, counts and timestamps. All are built-in, JVM-side expressions."""
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +72,21 @@ def percent(share: Column, digits: int = 2) -> Column:
     return F.concat(fixed(share * F.lit(100.0), digits), F.lit("%"))
 
 
+def clock_time(moment: datetime) -> Column:
+    """A Python time as a column that reads the same in every session time zone."""
+    return F.lit(moment.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+
+
+def _seconds(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``; unlike ``date_format`` it does not move times without a zone."""
+    return F.substring(ts.cast("string"), 1, 19)
+
+
 def run_stamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd_HHmmss")
+    """``yyyyMMdd_HHmmss``"""
+    return F.translate(_seconds(ts), " -:", "_")
 
 
 def iso_seconds(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """``yyyy-MM-ddTHH:mm:ss``"""
+    return F.translate(_seconds(ts), " ", "T")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.functions import fixed, iso_seconds, percent, ratio
+from tallyframe.functions import clock_time, fixed, iso_seconds, percent, ratio
 
 
 def _table_head(title: str) -> Column:
@@ -34,7 +34,7 @@ def report_lines(
         F.lit(f"- Dataset source: `{source}`"),
         F.lit(f"- Split: `{split}`"),
         F.lit(f"- Subset: `{subset}`"),
-        F.concat(F.lit("- Generated at: `"), iso_seconds(F.lit(run_ts)), F.lit("`")),
+        F.concat(F.lit("- Generated at: `"), iso_seconds(clock_time(run_ts)), F.lit("`")),
         F.lit(""),
         F.lit("## Overall"),
         F.concat(F.lit("- Accuracy: **"), percent(F.col("accuracy")), F.lit("**")),

@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions import run_stamp, slug
+from tallyframe.functions import clock_time, run_stamp, slug
 from tallyframe.operators.order import Split, in_order
 from tallyframe.session import constant
 
 
 def run_name(spark: SparkSession, model: str, run_ts: datetime, split: str | None = None) -> str:
     """``<model slug>[_<split>]_<stamp>``; the time is an argument, so a rerun agrees."""
-    parts = [slug(F.lit(model)), *([F.lit(split)] if split else []), run_stamp(F.lit(run_ts))]
+    parts = [slug(F.lit(model)), *([F.lit(split)] if split else []), run_stamp(clock_time(run_ts))]
     return constant(spark, F.concat_ws("_", *parts))
 
 
@@ -41,7 +41,7 @@ def write_tagged(
         "*",
         slug(F.lit(model)).alias("model_slug"),
         F.lit(split).alias("split"),
-        run_stamp(F.lit(run_ts)).alias("run_ts"),
+        run_stamp(clock_time(run_ts)).alias("run_ts"),
     ).write.mode(mode).partitionBy("model_slug", "split", "run_ts").parquet(base)
 
 

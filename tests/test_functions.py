@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 from itertools import accumulate
 
 import pytest
@@ -55,11 +56,19 @@ def test_percent_and_ratio(spark):
     assert [r.p for r in got] == [f"{x:.2%}" for x in want]
 
 
-def test_timestamps(spark):
-    row = spark.sql("SELECT timestamp'2025-03-04 05:06:07.89' AS t").select(
-        TF.run_stamp(F.col("t")).alias("a"), TF.iso_seconds(F.col("t")).alias("b")
-    )
-    assert tuple(row.first()) == ("20250304_050607", "2025-03-04T05:06:07")
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_timestamps_do_not_depend_on_the_zone(spark, zone):
+    """02:30 on that day does not exist in New York."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        moment = datetime(2025, 3, 9, 2, 30, 7, 890000)
+        given = spark.sql("SELECT timestamp_ntz'2025-03-09 02:30:07.89' AS t, timestamp'2025-03-04 05:06:07' AS u")
+        row = given.select(
+            TF.run_stamp(F.col("t")), TF.iso_seconds(F.col("t")), TF.run_stamp(TF.clock_time(moment)), TF.iso_seconds(F.col("u"))
+        ).first()
+        assert tuple(row) == ("20250309_023007", "2025-03-09T02:30:07", "20250309_023007", "2025-03-04T05:06:07")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def expected_box(text):
