@@ -126,9 +126,9 @@ def verify_pairs(
 
     ``verifier`` maps two string series to a frame of ``is_correct`` and ``match_type``. Pairs with
     a missing side are parse failures and do not reach it. Pairs are few bytes but may take long to
-    judge, so they are spread over ``tasks`` tasks, by default the session's shuffle partitions.
+    judge, so they are spread over ``tasks`` tasks, by default one per core of the cluster.
     """
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     check = F.pandas_udf(verifier, "is_correct boolean, match_type string")
     pairs = df.select(pred, gold).dropna().distinct().repartition(tasks, pred, gold)
     verdicts = written(pairs.withColumn("verdict", check(pred, gold)), "verdicts")
