@@ -343,12 +343,12 @@ def replicate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nested_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """One prompt per document, one output per line, word lengths as token ids."""
+    """One prompt per document, one output per line, a running number per word as token ids."""
     return base(spark, sf, "documents").selectExpr(
         "doc_id AS id",
-        "transform(split(text, ' '), w -> length(w)) AS prompt_token_ids",
+        "sequence(1, size(split(text, ' '))) AS prompt_token_ids",
         "transform(split(text, '\\n'), x -> named_struct('text', x, 'token_ids',"
-        " transform(split(x, ' '), w -> length(w)))) AS outputs",
+        " sequence(1, size(split(x, ' '))))) AS outputs",
     )
 
 

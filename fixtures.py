@@ -4,6 +4,8 @@ Each block is one SELECT that runs unchanged in Spark and in DuckDB. Every row o
 is used; no block filters, caps or shortens anything. FIXTURES.md explains them.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 FIXTURES = {
@@ -99,7 +101,9 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=64)
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The fixture's plan; it is parsed once per session, its rows are not kept."""
     for table in ("documents", "labels"):
         base(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(with_fixtures((name,), f"SELECT * FROM {name}"))

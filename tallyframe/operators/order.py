@@ -210,7 +210,7 @@ def find_cut(order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_
     up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))  # one bucket's keys
     reached = keys.withColumn("_reached", F.sum("_tied").over(up_to)).where(F.col("_reached") >= rest)
-    *last, tied, end = reached.orderBy("_reached").first()
+    end, tied, *last = reached.agg(F.min(F.struct("_reached", "_tied", *order.sort_by))).first()[0]
     return Cut(total, goal, even, tuple(last), rest - (end - tied), tied)
 
 
