@@ -17,6 +17,9 @@ from tallyframe.sources.jsonl import read_jsonl, write_jsonl
 from tallyframe.sources.problems import ProblemSource, load_problems
 
 
+KNOWN_COLUMNS = "read only the columns of a generations table; saves the pass that infers all columns"
+
+
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     sources = [ProblemSource(path, path, args.format) for path in args.source]
     problems, source = load_problems(spark, sources, args.split, args.subset)
@@ -47,7 +50,8 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def filter_by_length(spark: SparkSession, args: argparse.Namespace) -> None:
-    print(filter_generations(spark, args.input, args.max_tokens, args.output, schemas.GENERATIONS))
+    schema = schemas.GENERATIONS if args.known_columns else None
+    print(filter_generations(spark, args.input, args.max_tokens, args.output, schema))
 
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -61,6 +65,7 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
         not args.no_shuffle,
         args.prompt_key,
         args.response_key,
+        schema=schemas.GENERATIONS if args.known_columns else None,
         files=args.files,
     )
     print(counts)
@@ -120,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--input", required=True)
     sub.add_argument("--max-tokens", type=int, required=True)
     sub.add_argument("--output")
+    sub.add_argument("--known-columns", action="store_true", help=KNOWN_COLUMNS)
 
     sub = command("convert", convert, "split JSONL into train and validation parquet")
     sub.add_argument("--input", required=True)
@@ -131,6 +137,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--response-key", default="generated_solution")
     sub.add_argument("--keys", nargs="+", default=["id", "sample_idx"], help="columns that identify a row")
     sub.add_argument("--files", type=int, default=200, help="part files of the whole table")
+    sub.add_argument("--known-columns", action="store_true", help=KNOWN_COLUMNS)
 
     sub = command("sweep-lengths", sweep_lengths, "length and accuracy per checkpoint folder")
     sub.add_argument("--checkpoint-dir", required=True)

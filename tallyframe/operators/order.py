@@ -19,6 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_ROWS = 1_000_000
@@ -78,6 +79,8 @@ def column_order(df: DataFrame, key: str, at_least: int = 64) -> RowOrder:
     are spread. There is a bucket per ``BUCKET_ROWS`` rows, but at least ``at_least`` and at most
     ``MAX_BOUNDS`` of them; their bounds pass through the driver.
     """
+    if not isinstance(df.schema[key].dataType, T.NumericType):
+        raise ValueError(f"rows can be ordered by a number or by a seed, not by '{key}'")
     buckets = min(MAX_BOUNDS, max(at_least, df.count() // BUCKET_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.approxQuantile(key, shares, 1 / (2 * buckets)))) if shares else []

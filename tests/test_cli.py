@@ -41,6 +41,12 @@ def test_from_problems_to_training_set(spark, files, capsys):
     filtered = at("out/m_test_20250102_030405.filtered0k.correct.jsonl")
     assert sorted(r.id for r in read_jsonl(spark, filtered, schemas.GENERATIONS).collect()) == [0, 1]
 
+    write_jsonl(read_jsonl(spark, filtered, schemas.GENERATIONS).selectExpr("*", "'kept' AS note"), at("noted.jsonl"))
+    main(["filter", "--input", at("noted.jsonl"), "--max-tokens", "2000"])
+    assert {r.note for r in read_jsonl(spark, at("noted.filtered2k.jsonl")).collect()} == {"kept"}
+    main(["filter", "--input", at("noted.jsonl"), "--max-tokens", "2000", "--known-columns", "--output", at("known.jsonl")])
+    assert "note" not in read_jsonl(spark, at("known.jsonl")).columns
+
     main(["convert", "--input", filtered, "--output-dir", at("sft"), "--val-ratio", "0.5", "--files", "2"])
     assert spark.read.parquet(at("sft/train.parquet")).count() == 1
     assert spark.read.parquet(at("sft/val.parquet")).count() == 1

@@ -81,6 +81,11 @@ def test_null_keys_come_first(spark):
             assert split.train.plain.count() + split.val.plain.count() == 21
 
 
+def test_column_order_needs_a_number(numbers):
+    with pytest.raises(ValueError, match="not by 't'"):
+        column_order(numbers, "t")
+
+
 def test_empty_input(numbers):
     none = numbers.where("id > 10000000")
     for order in (seeded_order(none, "id"), column_order(none, "id")):
