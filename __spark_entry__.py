@@ -6,6 +6,8 @@ on the Spark side, from the same text.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import sys
 import uuid
 from collections.abc import Callable
@@ -66,12 +68,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return report(spark, SMOKE_DIR)
 
 
-def queries() -> dict[str, Query]:
+def library_queries() -> dict[str, Query]:
+    """The queries of the library itself; each has its SQL."""
     return dict(_QUERIES)
 
 
+def queries() -> dict[str, Query]:
+    return library_queries() | {name: build for part in _training_data() for name, build in part.QUERIES.items()}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(_ORACLES) | {name: sql for part in _training_data() for name, sql in part.ORACLES.items()}
+
+
+def _training_data() -> list:
+    """Modules of the training-data operators and their pipeline, as far as they are installed."""
+    there = [name for name in ("tallyframe.llm", "corpus_pipeline") if importlib.util.find_spec(name)]
+    if "tallyframe.llm" not in there:
+        return []
+    return [importlib.import_module("tallyframe.llm.queries" if name == "tallyframe.llm" else name) for name in there]
 
 
 def _r6(df: DataFrame, *columns: str) -> DataFrame:

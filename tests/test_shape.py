@@ -26,7 +26,7 @@ SINGLE_TASK = {
 }
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry.library_queries())
 def test_no_query_pairs_everything_or_funnels_rows(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
