@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm import lang_id, quality
 from tallyframe.llm.line_dedup import drop_repeated_lines
+from tallyframe.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +24,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup,)}
+def _folded(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    """Documents with ``held_out``, true for the rows whose id falls in fold ``held``."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
+
+
+def _labels(spark: SparkSession, sf_dir: str, column: str, folds: int, held: int) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), folds) != held)
+    return labels.select("doc_id", F.col(column).alias("label"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _folded(spark, sf_dir, 4, 2)
+    return lang_id.identify(docs, lang_id.fit(docs.where("NOT held_out")), ["doc_id", "held_out"])
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _folded(spark, sf_dir, 3, 1)
+    model = quality.fit(docs, _labels(spark, sf_dir, "quality", 3, 1))
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op5_quality)}
 
 # One word of a line left out: the words before it and the words after it.
 _OP1_SQL = r"""
