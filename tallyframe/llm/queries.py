@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import lang_id, quality
+from tallyframe.llm import lang_id, quality, toxicity
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.sampling import fold
 
@@ -48,7 +48,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op5_quality)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _folded(spark, sf_dir, 5, 0)
+    model = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 5, 0))
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity)}
 
 # One word of a line left out: the words before it and the words after it.
 _OP1_SQL = r"""
