@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import lang_id, quality, toxicity
+from tallyframe.llm import hnsw, lang_id, quality, toxicity
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.sampling import fold
 
@@ -55,7 +55,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity)}
+NEAREST = 5
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = hnsw.build_index(vectors, NEAREST)
+    return hnsw.search(index, vectors.where("vec_id % 50 = 0"), NEAREST)
+
+
+_ALL = (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity, op9_nearest)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 # One word of a line left out: the words before it and the words after it.
 _OP1_SQL = r"""
