@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,11 +26,16 @@ MAX_LANGUAGES = 256
 AMBIGUOUS_BELOW = 0.75
 
 
-@lru_cache(maxsize=1)
+_LETTERS: list[np.ndarray] = []
+
+
 def _letter_table() -> np.ndarray:
-    points = np.arange(0x110000, dtype=np.uint32)
-    points[0xD800:0xE000] = 0
-    return np.fromiter((c.isalpha() for c in points.tobytes().decode("utf-32-le")), bool, len(points))
+    """Whether a code point is a letter; made once in each worker."""
+    if not _LETTERS:
+        points = np.arange(0x110000, dtype=np.uint32)
+        points[0xD800:0xE000] = 0
+        _LETTERS.append(np.fromiter((c.isalpha() for c in points.tobytes().decode("utf-32-le")), bool, len(points)))
+    return _LETTERS[0]
 
 
 def letter_ngrams(text: str | None) -> np.ndarray:

@@ -21,14 +21,17 @@ from tallyframe.session import written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-_SPACES = " \t\x0b\x0c\r"
+_OTHER_SPACES = "\t\x0b\x0c\r"
 _MODULUS = 1 << 61
+# Documents of candidate lines are told from most others by this many hash values, so that the list of
+# them that is broadcast never exceeds this many rows.
+DOC_BUCKETS = 1 << 18
 
 
 def split_words(line: Column) -> Column:
-    """Words of a line; an empty line has one empty word."""
-    return F.split(F.btrim(line, F.lit(_SPACES)), WORD_BREAK)
+    """Words of a line, between blanks, tabs and the like."""
+    blanks = F.when(line.rlike(f"[{_OTHER_SPACES}]"), F.translate(line, _OTHER_SPACES, " " * len(_OTHER_SPACES))).otherwise(line)
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -137,8 +140,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     if edit_words < 4 or edit_words % 2:
         raise ValueError("edit_words must be an even number from 4")
     lines = _line_rows(docs).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    known = lines.select(
-        "doc", "th", "line", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _half_keys(edit_words).alias("halves")
+    known = written(
+        lines.select("doc", "th", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _half_keys(edit_words).alias("halves")),
+        "lines",
     )
     # One row for each distinct line: its first place, how often it occurs and the keys of its halves.
     distinct_lines = written(
@@ -151,7 +155,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     maybe_near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
     first_places = distinct_lines.join(maybe_near, ["h1", "h2"], "left_semi").select("first.*")
-    candidates = written(_fetched(docs, first_places, min_words), "candidate_lines")
+    candidates = written(_fetched(docs, first_places), "candidate_lines")
     near = near_copies(candidates).select(F.col("later").alias("first")).distinct()
     removed = (
         distinct_lines.join(near.withColumn("near", F.lit(True)), "first", "left")
@@ -162,10 +166,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     return places.join(removed, ["h1", "h2"]).where("NOT (at <=> stays)").select("at.*").distinct()
 
 
-def _fetched(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+def _fetched(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(at, n, words) of the lines at the given places."""
-    wanted = places.groupBy("doc", "th").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").alias("d")
+    wanted = written(places.groupBy("doc", "th").agg(F.collect_set("line").alias("wanted")), "candidate_places")
+    bucket = F.pmod(F.xxhash64("doc", "th"), F.lit(DOC_BUCKETS)).alias("bucket")
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    texts = texts.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").alias("d")
     rows = texts.join(wanted.alias("w"), F.expr("d.doc <=> w.doc AND d.th = w.th")).select("d.doc", "d.th", "text", "wanted")
     lines = rows.dropDuplicates(["doc", "th"]).select(
         "doc", "th", F.explode("wanted").alias("line"), F.split("text", "\n").alias("lines")

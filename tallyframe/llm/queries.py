@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import hnsw, lang_id, quality, toxicity
+from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.sampling import fold
 
@@ -65,7 +66,12 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(index, vectors.where("vec_id % 50 = 0"), NEAREST)
 
 
-_ALL = (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity, op9_nearest)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicate_components(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity, op9_nearest, op10_jaccard_join)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 # One word of a line left out: the words before it and the words after it.
