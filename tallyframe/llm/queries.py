@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import hnsw, lang_id, quality, toxicity
+from tallyframe.llm.decontaminate import leaks
 from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.sampling import fold
@@ -71,7 +72,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_language_id, op5_quality, op8_toxicity, op9_nearest, op10_jaccard_join)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents."""
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "edits")
+
+
+_ALL = (op1_line_dedup, op2_language_id, op5_quality, op7_decontaminate, op8_toxicity, op9_nearest, op10_jaccard_join)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 # One word of a line left out: the words before it and the words after it.
