@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import hnsw, lang_id, quality, toxicity
 from tallyframe.llm.decontaminate import leaks
 from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
+from tallyframe.llm.mixing import mix, token_count
 from tallyframe.llm.sampling import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,13 +73,34 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+# Sources by fives make a domain; target weights by level.
+MIX_WEIGHTS = {
+    "domain": {"d0": 2, "d1": 5, "d2": 2, "d3": 1},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
+    "source": {"src5": 3, "src10": 2},
+}
+MIX_SHARE = (3, 5)
+
+
+def mix_levels() -> dict[str, Column]:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)")
+    return {"domain": F.concat(F.lit("d"), F.floor(number / 5)), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that a budget of three fifths of all tokens selects."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE)
+    return mixed.select("doc_id", "lang", "source", "epoch", token_count(F.col("text")).alias("tokens"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents."""
     found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "edits")
 
 
-_ALL = (op1_line_dedup, op2_language_id, op5_quality, op7_decontaminate, op8_toxicity, op9_nearest, op10_jaccard_join)
+_ALL = (op1_line_dedup, op2_language_id, op5_quality, op6_mixing, op7_decontaminate, op8_toxicity, op9_nearest, op10_jaccard_join)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 # One word of a line left out: the words before it and the words after it.
@@ -108,4 +130,53 @@ FROM documents d LEFT JOIN (
 ) l ON d.doc_id = l.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
+
+def _weight_sql(level: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {w}" for name, w in MIX_WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1 END"
+
+
+def _share_sql(level: str, above: list[str], parents: str) -> str:
+    """Budgets of one level: each child gets its share of what the children that fill up before it leave."""
+    by, keys = ", ".join(above), ", ".join([*above, level])
+    part = f"PARTITION BY {by}" if above else ""
+    return f"""{level}_nodes AS (
+    SELECT {keys}, sum(tokens) * 3 AS cap, {_weight_sql(level)} AS w FROM leaves GROUP BY {keys}
+), {level}_ranked AS (
+    SELECT n.*, p.budget, row_number() OVER ({part} ORDER BY cap / w, {level}) AS r,
+           sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
+           p.budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_left
+    FROM {level}_nodes n JOIN {parents} p {"USING (" + by + ")" if above else "ON true"}
+), {level}_open AS (
+    SELECT {by + "," if above else ""} min(r) AS r, arg_min(b_left, r) AS b_open, arg_min(w_left, r) AS w_open
+    FROM {level}_ranked WHERE cap * w_left > w * b_left {"GROUP BY " + by if above else ""}
+), {level}_budget AS (
+    SELECT {", ".join("n." + k for k in [*above, level])},
+           CASE WHEN o.r IS NULL OR n.r < o.r THEN cap ELSE (w * b_open) // w_open END AS budget
+    FROM {level}_ranked n LEFT JOIN {level}_open o ON {" AND ".join(["true", *(f"n.{k} = o.{k}" for k in above)])}
+)"""
+
+
+_OP6_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+           coalesce('d' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) // 5), 'none') AS domain,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens
+    FROM documents
+), leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+), root AS (SELECT (sum(tokens) * {MIX_SHARE[0]}) // {MIX_SHARE[1]} AS budget FROM leaves
+), {_share_sql("domain", [], "root")}, {_share_sql("lang", ["domain"], "domain_budget")},
+{_share_sql("source", ["domain", "lang"], "lang_budget")},
+cut AS (
+    SELECT domain, lang, source, (budget // tokens)::INT AS whole, budget % tokens AS rest
+    FROM leaves JOIN source_budget USING (domain, lang, source) WHERE budget > 0 AND tokens > 0
+), ordered AS (
+    SELECT d.*, whole, rest,
+           sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('42:', whole + 1, ':', doc_id)), doc_id) AS upto
+    FROM d JOIN cut USING (domain, lang, source)
+)
+SELECT doc_id, lang0 AS lang, source0 AS source, unnest(range(1, 1 + whole + (rest > 0 AND upto <= rest)::INT))::INT AS epoch, tokens::BIGINT AS tokens
+FROM ordered
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op6_mixing": _OP6_SQL}
