@@ -13,6 +13,7 @@ from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.mixing import mix, token_count
 from tallyframe.llm.sampling import fold
+from tallyframe.llm.warc import archive_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.fit(docs.where("NOT held_out")), ["doc_id", "held_out"])
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, archived and read back."""
+    records = archive_and_read(_table(spark, sf_dir, "pages"), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = _folded(spark, sf_dir, 3, 1)
@@ -100,7 +107,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "edits")
 
 
-_ALL = (op1_line_dedup, op2_language_id, op5_quality, op6_mixing, op7_decontaminate, op8_toxicity, op9_nearest, op10_jaccard_join)
+_ALL = (
+    op1_line_dedup,
+    op2_language_id,
+    op3_warc,
+    op5_quality,
+    op6_mixing,
+    op7_decontaminate,
+    op8_toxicity,
+    op9_nearest,
+    op10_jaccard_join,
+)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 # One word of a line left out: the words before it and the words after it.
