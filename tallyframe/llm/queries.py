@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import hnsw, lang_id, quality, toxicity
+from tallyframe.llm import hnsw, html_extract, lang_id, quality, toxicity
 from tallyframe.llm.decontaminate import leaks
 from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
@@ -18,27 +18,28 @@ from tallyframe.llm.warc import archive_and_read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated lines: counts and a digest of the text that is left."""
-    deduped = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    deduped = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return deduped.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def labels_of(spark: SparkSession, sf_dir: str, column: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, label) of the rows whose id does not fall in fold ``held``."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), folds) != held)
+    return labels.select("doc_id", F.col(column).alias("label"))
+
+
 def _folded(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
     """Documents with ``held_out``, true for the rows whose id falls in fold ``held``."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
 
 
-def _labels(spark: SparkSession, sf_dir: str, column: str, folds: int, held: int) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), folds) != held)
-    return labels.select("doc_id", F.col(column).alias("label"))
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _folded(spark, sf_dir, 4, 2)
@@ -47,21 +48,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages, archived and read back."""
-    records = archive_and_read(_table(spark, sf_dir, "pages"), with_payload=False)
+    records = archive_and_read(table(spark, sf_dir, "pages"), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_texts(pages, html_extract.fit(pages))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = _folded(spark, sf_dir, 3, 1)
-    model = quality.fit(docs, _labels(spark, sf_dir, "quality", 3, 1))
+    model = quality.fit(docs, labels_of(spark, sf_dir, "quality", 3, 1))
     return quality.score(docs, model, ["doc_id", "held_out"])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _folded(spark, sf_dir, 5, 0)
-    model = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 5, 0))
+    model = toxicity.fit(docs, labels_of(spark, sf_dir, "toxic", 5, 0))
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
@@ -70,14 +77,14 @@ NEAREST = 5
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors of every vector whose id is divisible by 50."""
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings")
     index = hnsw.build_index(vectors, NEAREST)
     return hnsw.search(index, vectors.where("vec_id % 50 = 0"), NEAREST)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicate_components(_table(spark, sf_dir, "documents"))
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
 # Sources by fives make a domain; target weights by level.
@@ -96,14 +103,14 @@ def mix_levels() -> dict[str, Column]:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and epochs that a budget of three fifths of all tokens selects."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     mixed = mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE)
     return mixed.select("doc_id", "lang", "source", "epoch", token_count(F.col("text")).alias("tokens"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents."""
-    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "edits")
 
 
@@ -111,6 +118,7 @@ _ALL = (
     op1_line_dedup,
     op2_language_id,
     op3_warc,
+    op4_html_extraction,
     op5_quality,
     op6_mixing,
     op7_decontaminate,

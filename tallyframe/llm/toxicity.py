@@ -226,3 +226,13 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFram
 
     rows = docs.select(*columns, scored("text").alias("__scored"))
     return rows.select(*columns, "__scored.score", (F.col("__scored.score") >= 0.5).cast("int").alias("predicted"), "__scored.clauses")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns; a null text is clean."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) < 0.5 for t in texts], dtype=bool)
+
+    return docs.where(clean("text"))
