@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import toxicity
 from tallyframe.llm.decontaminate import without_leaks
-from tallyframe.llm.jaccard_join import near_duplicate_components
+from tallyframe.llm.jaccard_join import one_of_each
 from tallyframe.llm.line_dedup import drop_repeated_lines
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.queries import MIX_SHARE, MIX_WEIGHTS, labels_of, mix_levels, table
@@ -40,18 +40,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest id; texts without words all stay.
-
-    Rows that repeat this id are copies of each other: one of them stays. A row without an id stays.
-    """
-    found = near_duplicate_components(docs)
-    others = written(found.where("doc_id != component_id").select("doc_id").distinct(), "near_duplicates")
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate component, that with the smallest id; texts without words all stay."""
+    return one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

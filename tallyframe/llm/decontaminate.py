@@ -172,29 +172,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     found = None
     for block in _blocks(benchmark, block_chars):
-        index = ItemIndex(block, error_rate)
-
-        def search(batches: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                hits = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"], batch["text"]) for hit in index.leaks(text)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
-
-        part = texts.mapInPandas(search, schema)
+        part = texts.mapInPandas(_search(ItemIndex(block, error_rate)), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def _search(index: ItemIndex):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"], batch["text"]) for hit in index.leaks(text)]
+            yield pd.DataFrame(hits, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
+
+    return search
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The documents into which no item leaks; takes and keeps the same rows and columns otherwise.
 
     Decided from each row's own text, so nothing is joined and rows without an id are decided as well.
     """
     for block in _blocks(benchmark, BLOCK_CHARS):
-        index = ItemIndex(block, error_rate)
+        docs = docs.where(_is_clean(ItemIndex(block, error_rate))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index: ItemIndex = index) -> pd.Series:
-            return pd.Series([not index.leaks(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _is_clean(index: ItemIndex):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.leaks(t) for t in texts], dtype=bool)
+
+    return clean

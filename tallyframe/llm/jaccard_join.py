@@ -59,25 +59,25 @@ def _spread(shingles: np.ndarray) -> bytes:
 
 
 def _sketch_and_ids(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row (doc_id, n, sig) each, and rows (part, counts) of the counters."""
+    """One pass over the texts: a row (doc_id, th, n, sig) each, and rows (part, counts) of the counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             out = []
-            for doc_id, raw in zip(batch["doc_id"], batch["raw"]):
+            for doc_id, th, raw in zip(batch["doc_id"], batch["th"], batch["raw"]):
                 s = shingle_set(raw)
                 if len(s):
                     np.add.at(counts, _counter(s), 1)
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(s), set_hash(s) if len(s) else 0))
-            rows = pd.DataFrame(out, columns=["doc_id", "n", "sig"]).astype({"doc_id": "Int64"})
+                out.append((None if pd.isna(doc_id) else int(doc_id), th, len(s), set_hash(s) if len(s) else 0))
+            rows = pd.DataFrame(out, columns=["doc_id", "th", "n", "sig"]).astype({"doc_id": "Int64"})
             yield rows.assign(part=pd.array([None] * len(rows), "Int32"), counts=None)
         used = [p for p in range(COUNTERS // _ROW) if counts[p * _ROW : (p + 1) * _ROW].any()]
         if used:
             none = pd.array([None] * len(used), "Int64")
-            yield pd.DataFrame({"doc_id": none, "n": none, "sig": none, "part": used, "counts": [counts[p * _ROW : (p + 1) * _ROW] for p in used]})
+            yield pd.DataFrame({"doc_id": none, "th": none, "n": none, "sig": none, "part": used, "counts": [counts[p * _ROW : (p + 1) * _ROW] for p in used]})
 
-    return written(docs.mapInPandas(run, "doc_id long, n long, sig long, part int, counts array<long>"), "shingle_pass")
+    return written(docs.mapInPandas(run, "doc_id long, th long, n long, sig long, part int, counts array<long>"), "shingle_pass")
 
 
 def _counts(passed: DataFrame) -> np.ndarray:
@@ -287,6 +287,18 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
     return rows.groupBy("token", "i", "j").applyInPandas(compare, "u long, v long")
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, sig) of all texts, ``th`` being the text's hash, and classes (sig, root) of their sets."""
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("raw")
+    )
+    passed = _sketch_and_ids(texts)
+    ids = passed.where("part IS NULL").select("doc_id", "th", "n", "sig")
+    shared = _shared(_postings(texts.select("raw"), _counts(passed)))
+    sets = _needed_sets(texts, shared)
+    return ids, components(_all_links(shared, sets)).withColumnRenamed("node", "sig")
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
@@ -295,14 +307,9 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     the same component. A row without an id counts in components but gives them no id. An empty table
     gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    passed = _sketch_and_ids(texts)
-    ids = passed.where("part IS NULL").select("doc_id", "n", "sig")
-    shared = _shared(_postings(texts.select("raw"), _counts(passed)))
-    sets = _needed_sets(texts, shared)
-    roots = components(_all_links(shared, sets))
+    ids, roots = _classes(docs)
     known = ids.where("n > 0")
-    classes = known.groupBy("sig").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    classes = known.groupBy("sig").agg(F.min("doc_id").alias("least")).join(roots, "sig", "left")
     classes = classes.select("sig", F.coalesce("root", "sig").alias("root"), "least")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("sig", "component_id")
@@ -311,6 +318,25 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     return linked_rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate component, that with the smallest id, with all columns of docs.
+
+    Rows without an id come last in this order, rows that share an id are ordered by their text's hash. Of
+    rows that agree in id and text one stays. Texts without words all stay, null ones too.
+    """
+    ids, roots = _classes(docs)
+    known = ids.where("n > 0").join(roots, "sig", "left").select("doc_id", "th", F.coalesce("root", "sig").alias("root"))
+    rows = known.groupBy("root", "doc_id", "th").agg(F.count("*").alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    chosen = rows.groupBy("root").agg(F.min(order).alias("first"))
+    decided = rows.join(chosen, "root").withColumn("stays", order.eqNullSafe(F.col("first")))
+    touched = written(decided.where("NOT stays OR c > 1").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("stays").alias("__stays")), "copies")
+    marked = docs.withColumn("__h", F.xxhash64("text")).join(touched, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__th")), "left")
+    untouched = marked.where("__stays IS NULL").select(docs.columns)
+    repeated = marked.where("__stays").dropDuplicates(["__doc", "__th"]).select(docs.columns)
+    return untouched.unionByName(repeated)
+
+
 def _all_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what any link connects, over the sets' hashes."""
     tried = written(_leader_pairs(shared), "leader_pairs")
