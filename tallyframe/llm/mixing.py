@@ -116,18 +116,20 @@ def mix(
     )
     few = leaves.count() <= BROADCAST_LEAVES
     cuts = written(_cuts(rows, leaves, names, seed), "leaf_cuts")
-    decided = leaves.join(cuts, names, "left")
+    cut = [F.col(c).alias(f"__{c}") for c in ("whole", "rest", "bucket", "last", "last_id")]
+    decided = leaves.join(cuts, names, "left").select(*names, *cut)
     joined = labelled.join(F.broadcast(decided) if few else decided, names)
-    order = _order(seed, F.col("doc_id"))
-    inside = F.coalesce(F.struct(order, F.col("doc_id")) <= F.struct("last", "last_id"), F.lit(False)) & (F.col("rest") > 0)
-    early = F.coalesce(F.substring(order, 1, BUCKET_DIGITS) < F.col("bucket"), F.lit(False)) & (F.col("rest") > 0)
-    epochs = F.col("whole") + F.when(inside | early, 1).otherwise(0)
+    order = _order(seed, F.col("__whole"), F.col("doc_id"))
+    inside = F.coalesce(F.struct(order, F.col("doc_id")) <= F.struct("__last", "__last_id"), F.lit(False))
+    early = F.coalesce(F.substring(order, 1, BUCKET_DIGITS) < F.col("__bucket"), F.lit(False))
+    epochs = F.col("__whole") + F.when((inside | early) & (F.col("__rest") > 0), 1).otherwise(0)
     taken = joined.withColumn("__epochs", epochs).where("__epochs > 0")
     return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs").cast("int")))).select(*docs.columns, "epoch")
 
 
-def _order(seed: int, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole") + 1, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _order(seed: int, whole: Column, doc_id: Column) -> Column:
+    """Place of a row in the epoch after ``whole`` ones."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), whole + 1, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def _cuts(rows: DataFrame, leaves: DataFrame, names: list[str], seed: int) -> DataFrame:
@@ -135,7 +137,7 @@ def _cuts(rows: DataFrame, leaves: DataFrame, names: list[str], seed: int) -> Da
 
     Buckets before it are taken whole; last is null where none of the bucket's rows fits.
     """
-    ordered = rows.join(leaves.where("rest > 0"), names).withColumn("key", _order(seed, F.col("id")))
+    ordered = rows.join(leaves.where("rest > 0"), names).withColumn("key", _order(seed, F.col("whole"), F.col("id")))
     ordered = ordered.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = ordered.groupBy(*names, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
     running = Window.partitionBy(*names).orderBy("bucket")

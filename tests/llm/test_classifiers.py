@@ -1,0 +1,158 @@
+"""Language, quality and toxicity: held-out accuracy, parts by hand, and defined edge cases."""
+
+import numpy as np
+import pytest
+from helpers import AWKWARD, SF_DIR, docs_of, rows_of, with_clashes
+from pyspark.sql import functions as F
+
+from tallyframe.llm import lang_id, quality, queries, toxicity
+from tallyframe.llm.sampling import class_sample, fold
+
+ENGLISH = [f"the {w} and the other thing with nothing wrong" for w in "house tree water road green small light window".split()]
+GERMAN = [f"der {w} und das andere nicht zwischen schönen" for w in "Haus Baum Wasser Straße grün klein Licht Fenster".split()]
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 6, 7, 12, 40):
+        codes = lang_id.codewords(n)
+        apart = np.abs(codes[:, None].astype(int) - codes[None]).sum(2) + np.eye(n, dtype=int) * 99
+        assert codes.shape[0] == n and apart.min() >= (1 if n == 2 else 2 if n < 5 else 4)
+        assert (codes.min(0) == 0).all() and (codes.max(0) == 1).all()
+
+
+def test_letter_ngrams_of_the_whole_text():
+    grams = lang_id.letter_ngrams("Ab1 c")
+    # a, b, c; _a, ab, b_, _c, c_; _ab, ab_, b_c, _c_
+    assert len(grams) == 3 + 5 + 4
+    assert len(lang_id.letter_ngrams("12 %% \n")) == 0 == len(lang_id.letter_ngrams(None))
+    assert np.array_equal(np.sort(lang_id.letter_ngrams("É")), np.sort(lang_id.letter_ngrams("é")))
+
+
+def language_docs(spark, *extra):
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate([(t, "en") for t in ENGLISH] + [(t, "de") for t in GERMAN])]
+    return spark.createDataFrame([*rows, *extra], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_languages(spark):
+    docs = language_docs(spark, (90, "x" * 9, None, "s", 9))
+    model = lang_id.fit(docs)
+    assert model.languages == ["de", "en"]
+    got = lang_id.identify(docs_of(spark, [ENGLISH[0][4:], GERMAN[1][4:], *AWKWARD]), model, ["doc_id"])
+    assert got.columns == ["doc_id", "lang_pred", "score", "ambiguous"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert (rows[0]["lang_pred"], rows[1]["lang_pred"]) == ("en", "de")
+    for i in (2, 3, 4, 5):
+        assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+
+
+def test_languages_without_anything_to_learn(spark):
+    for labelled in (language_docs(spark).where("false"), language_docs(spark).withColumn("lang", F.lit(None).cast("string"))):
+        got = lang_id.identify(docs_of(spark, ["the house"]), lang_id.fit(labelled), ["doc_id"])
+        assert rows_of(got, "lang_pred", "score") == [("und", 0.0)]
+    one = lang_id.fit(language_docs(spark).where("lang = 'en'"))
+    assert one.predict("das Haus")[0] == "en"
+
+
+def test_fold_and_sample(spark):
+    import zlib
+
+    ids = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(7, 0), (None, 1), (60, None), (61, 5)], "doc_id long, label int")
+    got = {r["doc_id"]: r["f"] for r in ids.select("doc_id", fold(F.col("doc_id"), 3).alias("f")).collect()}
+    assert all(f == zlib.crc32(("" if i is None else str(i)).encode()) % 3 for i, f in got.items())
+    sample = rows_of(class_sample(ids, 10), "doc_id", "label")
+    assert len(sample) == 20 and sum(y for _, y in sample) == 10
+    assert all(i != 7 and i < 50 for i, _ in sample)  # 7 has both labels
+
+
+def test_quality_model_by_hand():
+    shapes = quality._Shapes()
+    plain = ["The old house stands there, quietly.", "Some words follow other words here."] * 10
+    junk = ["ALL!! CAPS!! IN!! HERE!!", "same same same same same same"] * 10
+    grams = [quality.shape_ngrams(t, shapes) for t in plain + junk]
+    model = quality.fit_rows(grams, [1] * 20 + [0] * 20)
+    assert model.score("A new house is there, too.", shapes) > 0.5 > model.score("MORE!! OF!! THIS!!", shapes)
+    assert model.score("word word word word", shapes) < 0.5
+    assert 0 <= model.score(None, shapes) == model.score("", shapes) <= 1
+    assert quality.fit_rows([], []).score("x", shapes) == 0.5
+    assert quality.fit_rows(grams[:3], [1, 1, 1]).score("x", shapes) > 0.5
+
+
+def test_dual_coordinates_reach_the_margin():
+    """Separable rows end up on their side, and only support vectors carry weight."""
+    samples = [np.array([1, 3]), np.array([1, 4]), np.array([2, 3]), np.array([2, 4])]
+    model = quality.fit_rows(samples * 5, [1, 1, 0, 0] * 5)
+    margins = [model.weights[g].sum() / np.sqrt(2) + model.bias for g in samples]
+    assert min(margins[:2]) > 0 > max(margins[2:])
+
+
+@pytest.fixture
+def model():
+    return toxicity.ToxicityModel(toxicity.base_lexicon(), toxicity.UNTRAINED)
+
+
+@pytest.mark.parametrize(
+    "text, weight",
+    [
+        ("You are an idiot.", 1.3),
+        ("An idiot, you are.", 1.3),
+        ("What an idiot.", 1.0),
+        ("You are not an idiot.", 0.7),
+        ("He said you are an idiot.", 0.9),
+        ("I will kill you.", 1.0),
+        ("Such plants kill weeds.", None),
+        ("I will never kill you.", None),
+        ("He said he will kill you.", None),
+        ("A house. You.", None),
+        ("idiot moron", 2.0),
+        ("Not here. idiot", 1.0),
+    ],
+)
+def test_clauses(model, text, weight):
+    assert [round(w, 6) for w, _ in model.clauses(text)] == ([] if weight is None else [weight])
+
+
+def test_composition_is_running_one_after_the_other():
+    a = toxicity.Transducer(0, {(0, "x"): (1, "y", 1.0), (1, "x"): (0, "x", 0.5)})
+    b = toxicity.Transducer("p", {("p", "y"): ("q", "z", 0.25), ("q", "x"): ("p", "y", 2.0)})
+    both = toxicity.compose(a, b, ["x", "y"])
+    state, left, right = both.start, a.start, b.start
+    for symbol in "xyxxyyxxx":
+        state, out, weight = both.step(state, symbol)
+        left, middle, w1 = a.step(left, symbol)
+        right, last, w2 = b.step(right, middle)
+        assert (out, weight, state) == (last, w1 + w2, (left, right))
+
+
+def test_toxicity_learns_words_and_keeps_clean_rows(spark):
+    texts = [f"zorgle {w} plain" if i % 4 == 0 else f"{w} plain words" for i, w in enumerate(f"w{j}" for j in range(200))]
+    docs = docs_of(spark, texts)
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("label"))
+    model = toxicity.fit(docs, labels)
+    assert "zorgle" in model.lexicon and "plain" not in model.lexicon
+    rows = docs_of(spark, ["a zorgle b", "a b c", *AWKWARD])
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(with_clashes(rows, "score", "clauses"), model, ["doc_id"]).collect()}
+    assert got == {0: 1, **{i: 0 for i in range(1, 10)}}
+    kept = toxicity.keep_clean(with_clashes(rows, "score"), model)
+    assert kept.columns == [*rows.columns, "score"] and kept.count() == 9
+
+
+def test_classifiers_without_labels(spark):
+    docs, none = docs_of(spark, ["you idiot", "fine"]), spark.createDataFrame([], "doc_id long, label int")
+    assert rows_of(toxicity.score(docs, toxicity.fit(docs, none), ["doc_id"]), "doc_id", "predicted") == [(0, 1), (1, 0)]
+    assert rows_of(quality.score(docs, quality.fit(docs, none), ["doc_id"]), "score") == [(0.5,), (0.5,)]
+    empty = docs_of(spark, [])
+    assert quality.score(empty, quality.fit(empty, none), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("name, column, floor", [("op5_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.9)])
+def test_held_out_accuracy(spark, name, column, floor):
+    sf = SF_DIR.replace("0.001", "0.01")
+    got = queries.QUERIES[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    right, n = got.agg(F.avg((F.col("predicted") == F.col(column)).cast("int")), F.count("*")).first()
+    assert n > 50 and right >= floor
+
+
+def test_held_out_language_accuracy(spark):
+    got = queries.op2_language_id(spark, SF_DIR).where("held_out").join(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95

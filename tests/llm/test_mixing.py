@@ -1,0 +1,72 @@
+"""Budgets and prefixes against a direct computation."""
+
+import hashlib
+import random
+
+import pytest
+from helpers import AWKWARD, docs_of, rows_of, text, with_clashes
+from pyspark.sql import functions as F
+
+from tallyframe.llm.mixing import mix
+
+def levels():
+    return {"lang": F.col("lang"), "source": F.col("source")}
+
+
+def fill(children, budget):
+    """Budgets of (weight, capacity) by handing out what is left until nobody fills up."""
+    got, left, open_ = {}, budget, dict(children)
+    while open_:
+        total = sum(w for w, _ in open_.values())
+        full = [k for k, (w, cap) in open_.items() if cap * total <= w * left]
+        if not full:
+            return got | {k: max(0, w * left) // total for k, (w, _) in open_.items()}
+        first = min(full, key=lambda k: (open_[k][1] / open_[k][0], k))
+        got[first] = open_.pop(first)[1]
+        left -= got[first]
+    return got
+
+
+def direct(rows, weights, share, max_epochs, seed=42):
+    tokens = {}
+    for _, t, lang, source in rows:
+        tokens.setdefault(lang, {}).setdefault(source, []).append(len((t or "").split()))
+    budget = sum(sum(sum(v) for v in s.values()) for s in tokens.values()) * share[0] // share[1]
+    tops = fill({k: (weights["lang"].get(k, 1), max_epochs * sum(map(sum, v.values()))) for k, v in tokens.items()}, budget)
+    out = []
+    for lang, sources in tokens.items():
+        for source, b in fill({k: (weights["source"].get(k, 1), max_epochs * sum(v)) for k, v in sources.items()}, tops[lang]).items():
+            leaf = [(i, len((t or "").split())) for i, t, lng, s in rows if (lng, s) == (lang, source)]
+            total = sum(n for _, n in leaf)
+            if not total or not b:
+                continue
+            whole, rest = divmod(b, total)
+            out += [(i, e) for i, _ in leaf for e in range(1, whole + 1)]
+            used = 0
+            for i, n in sorted(leaf, key=lambda x: (hashlib.md5(f"{seed}:{whole + 1}:{x[0]}".encode()).hexdigest(), x[0])):
+                used += n
+                if used > rest or not rest:
+                    break
+                out.append((i, whole + 1))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, share", [(1, (1, 2)), (2, (3, 2)), (3, (1, 10)), (4, (9, 1))])
+def test_equals_direct_computation(spark, seed, share):
+    rng = random.Random(seed)
+    rows = [(i, text(rng.choice([0, 1, 5, 40, 200]), i), rng.choice(["en"] * 5 + ["de", "fr"]), f"src{int(rng.random() ** 2 * 5)}") for i in range(400)]
+    weights = {"lang": {"en": 1, "de": 5, "fr": 2}, "source": {"src0": 1, "src4": 7}}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [(r["doc_id"], r["epoch"]) for r in mix(docs, levels(), weights, share, 3).collect()]
+    assert sorted(got) == direct(rows, weights, share, 3)
+
+
+def test_awkward_cases(spark):
+    extra = [(50, "a b c", None, None, None), (None, "d e", "en", "src1", 1), (50, "a b c", None, None, None)]
+    docs = with_clashes(docs_of(spark, AWKWARD, extra), "bucket", "rest", "whole", "tokens", "budget", "epoch", "last")
+    out = mix(docs, levels(), {"lang": {"en": 0}}, (1, 1), 1)
+    # English has weight 0, so all goes to the rows without a language; nothing is left of what they cannot take.
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert rows_of(out, "doc_id", "epoch") == [(50, 1), (50, 1)]
+    assert mix(docs_of(spark, []), levels(), {}).count() == 0
+    assert mix(docs_of(spark, [None, ""]), levels(), {}).count() == 0

@@ -1,0 +1,68 @@
+"""The package's queries against their SQL, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+from helpers import AWKWARD, SF_DIR, docs_of, rows_of, with_clashes
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallyframe.llm import queries
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = sorted(c[0] for c in want.description)
+    got = queries.QUERIES[name](spark, SF_DIR)
+    assert sorted(got.columns) == columns
+    order = [[c[0] for c in want.description].index(c) for c in columns]
+    assert rows_of(got, *columns) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
+
+
+def test_all_ten_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    for n in range(1, 11):
+        assert sum(name.startswith(f"op{n}_") for name in names) == 1
+    assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_by_their_own_input(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    benchmark = {" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, SF_DIR), name)
+        added = ["epoch"] if name == "mixing" else []
+        assert docs.columns == [*before.columns, *added]
+        assert 0 < docs.count() <= before.count() * (3 if added else 1)
+        if name == "toxicity":
+            assert docs.where("text RLIKE '\\\\b(stupid|idiot|moron)\\\\b'").count() == 0
+        if name == "decontaminate":
+            texts = [" ".join((r["text"] or "").lower().split()) for r in docs.collect()]
+            assert not any(item in t for t in texts for item in benchmark)
+            dropped = before.join(docs, "doc_id", "left_anti").collect()
+            assert all(any(item in " ".join(r["text"].lower().split()) for item in benchmark) for r in dropped)
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    for name, rows, schema in (
+        ("labels", [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+        ("benchmark", [(None, None)], "item_id long, text string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    extra = [(None, None, None, None, None), (6, AWKWARD[6], None, None, None), (6, AWKWARD[6], None, None, None)]
+    for docs in (docs_of(spark, AWKWARD, extra), docs_of(spark, [])):
+        docs = with_clashes(docs, "bucket", "score", "rest", "epoch_", "n")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "stage")
+        docs.agg(F.count("*")).collect()
+
+
+def test_documents_that_lose_all_their_text_go(spark):
+    line = "a line of more than five words"
+    docs = docs_of(spark, [line, line, f"{line}\nown", "", None])
+    got = corpus_pipeline.drop_lines(spark, docs, SF_DIR)
+    assert rows_of(got, "doc_id", "text", "n_chars") == sorted([(0, line, len(line)), (2, "own", 3), (3, "", 0), (4, None, None)], key=repr)
