@@ -9,55 +9,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.checkpoints import step_number, trailing_number
+from tallyframe.session import file_system
 
+# How names carry numbers, and the folders inside.
+TRAILING = re.compile(r"^.+_(\d+)$")
+STEP = re.compile(r"^global_step_(\d+)$")
+MODEL_FOLDER, ACTOR_FOLDER = "huggingface", "actor"
+_URI_HEAD = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*"
 
-def _entries(spark: SparkSession, parent: str) -> DataFrame:
-    """Files below a folder as ``path``, ``root`` and the ``parts`` of the path below it.
 
-    Only the listing is used; file contents are not read. A folder shows through its files, so one
-    that holds no file, or only files of zero bytes, is not there.
-    """
-    root = re.sub(r"^file:/*", "/", parent).rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parent)
-    end = F.position(F.lit(root), F.col("path")) + len(root) - 1
-    return files.select(
-        F.left("path", end).alias("root"),
-        F.split(F.substring("path", end + 1, F.length("path")), "/").alias("parts"),
-    ).where(F.size("parts") > 1)
+def _folders(spark: SparkSession, parent: str) -> list[str]:
+    """Names of the folders one level below, also of empty ones; a listing, whose size is their number."""
+    fs, path = file_system(spark, parent)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+
+
+def _has_folder(spark: SparkSession, path: str) -> bool:
+    fs, path = file_system(spark, path)
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path as it is reported: without the scheme of local files."""
+    return re.sub(r"^file:/*", "/", file_system(spark, path)[1].toString()).rstrip("/")
+
+
+def _numbered(names: list[str], pattern: re.Pattern) -> list[tuple[int, str]]:
+    return sorted((int(m[1]), name) for name in names if (m := pattern.search(name)))
 
 
 def checkpoint_dirs(spark: SparkSession, parent: str) -> DataFrame:
     """``(checkpoint_num, name, model_path)`` of folders named ``<text>_<number>``, ascending.
 
-    The model path is the ``huggingface`` folder inside, where there is one.
+    Folders without files are listed too. The model path is the ``huggingface`` folder inside, where
+    there is one.
     """
-    inner = (F.size("parts") > 2) & (F.col("parts")[1] == "huggingface")
-    found = (
-        _entries(spark, parent)
-        .select("root", F.col("parts")[0].alias("name"), inner.alias("inner"))
-        .withColumn("checkpoint_num", trailing_number(F.col("name")))
-        .where(F.col("checkpoint_num").isNotNull())
-        .groupBy("checkpoint_num", "name", "root")
-        .agg(F.bool_or("inner").alias("inner"))
-    )
-    path = F.concat("root", "name", F.when(F.col("inner"), "/huggingface").otherwise(""))
-    return found.select("checkpoint_num", "name", path.alias("model_path")).orderBy("checkpoint_num")
+    root = _plain(spark, parent)
+    rows = []
+    for number, name in _numbered(_folders(spark, parent), TRAILING):
+        inner = f"/{MODEL_FOLDER}" if _has_folder(spark, f"{parent}/{name}/{MODEL_FOLDER}") else ""
+        rows.append((number, name, f"{root}/{name}{inner}"))
+    return spark.createDataFrame(rows, "checkpoint_num long, name string, model_path string").orderBy("checkpoint_num")
 
 
 def step_dirs(spark: SparkSession, run_dir: str) -> DataFrame:
     """``(rl_step, actor_path)`` of folders ``global_step_<n>/actor``, ascending."""
-    return (
-        _entries(spark, run_dir)
-        .where((F.size("parts") > 2) & (F.col("parts")[1] == "actor"))
-        .select(
-            step_number(F.col("parts")[0]).alias("rl_step"),
-            F.concat("root", F.col("parts")[0], F.lit("/actor")).alias("actor_path"),
-        )
-        .where(F.col("rl_step").isNotNull())
-        .distinct()
-        .orderBy("rl_step")
-    )
+    root = _plain(spark, run_dir)
+    steps = _numbered(_folders(spark, run_dir), STEP)
+    rows = [(n, f"{root}/{name}/{ACTOR_FOLDER}") for n, name in steps if _has_folder(spark, f"{run_dir}/{name}/{ACTOR_FOLDER}")]
+    return spark.createDataFrame(rows, "rl_step long, actor_path string").orderBy("rl_step")
 
 
 def read_checkpoints(
@@ -68,16 +68,12 @@ def read_checkpoints(
     ``files`` is a name pattern for folders that hold other files too. Folders that share a number
     are an error. One row per folder comes to the driver.
     """
-    by_number: dict[int, list[str]] = {}
-    for folder in checkpoint_dirs(spark, parent).collect():
-        by_number.setdefault(folder["checkpoint_num"], []).append(folder["name"])
-    if not by_number:
+    found = _numbered(_folders(spark, parent), TRAILING)
+    if not found:
         raise ValueError(f"no checkpoint folders in {parent}")
-    shared = {number: names for number, names in by_number.items() if len(names) > 1}
-    if shared:
-        raise ValueError(f"checkpoint numbers used by several folders: {shared}")
-    rows, below = _read_folders(spark, parent, [n for names in by_number.values() for n in names], schema, format, files)
-    return rows.withColumn("checkpoint_num", trailing_number(below[0]))
+    _refuse_shared([(number, name) for number, name in found], "checkpoint numbers")
+    rows, folder = _read_folders(spark, parent, [(name,) for _, name in found], schema, format, files)
+    return rows.withColumn("checkpoint_num", _number_of(folder, {(name,): n for n, name in found}))
 
 
 def read_run_steps(
@@ -90,31 +86,58 @@ def read_run_steps(
 ) -> DataFrame:
     """Rows of all ``<run>_<epoch>/global_step_<step>`` folders with ``sft_epoch`` and ``rl_step``.
 
-    Epochs that are asked for but not there are left out, as are other folders.
+    Epochs that are asked for but not there are left out, as are other folders. Two folders with one
+    epoch and step are an error.
     """
-    folders = (
-        _entries(spark, parent)
-        .where(F.size("parts") > 2)
-        .select(F.col("parts")[0].alias("run"), F.col("parts")[1].alias("step"))
-        .where(trailing_number(F.col("run")).isNotNull() & step_number(F.col("step")).isNotNull())
-    )
-    if epochs is not None:
-        folders = folders.where(trailing_number(F.col("run")).isin(list(epochs)))
-    names = [f"{r['run']}/{r['step']}" for r in folders.distinct().collect()]
-    if not names:
+    places: dict[tuple[str, str], tuple[int, int]] = {}
+    for epoch, run in _numbered(_folders(spark, parent), TRAILING):
+        if epochs is None or epoch in epochs:
+            for step, name in _numbered(_folders(spark, f"{parent}/{run}"), STEP):
+                places[run, name] = (epoch, step)
+    if not places:
         raise ValueError(f"no runs with steps in {parent}")
-    rows, below = _read_folders(spark, parent, names, schema, format, files)
-    return rows.withColumns({"sft_epoch": trailing_number(below[0]), "rl_step": step_number(below[1])})
+    _refuse_shared([(number, "/".join(names)) for names, number in places.items()], "epochs and steps")
+    rows, folder = _read_folders(spark, parent, list(places), schema, format, files)
+    return rows.withColumns(
+        {
+            "sft_epoch": _number_of(folder, {names: epoch for names, (epoch, _) in places.items()}),
+            "rl_step": _number_of(folder, {names: step for names, (_, step) in places.items()}),
+        }
+    )
+
+
+def _refuse_shared(numbered: list[tuple], what: str) -> None:
+    by_number: dict = {}
+    for number, name in numbered:
+        by_number.setdefault(number, []).append(name)
+    shared = {number: names for number, names in by_number.items() if len(names) > 1}
+    if shared:
+        raise ValueError(f"{what} used by several folders: {shared}")
+
+
+def _encoded(spark: SparkSession, path: str) -> str:
+    """A path as file paths of rows spell it: without scheme and host, and with its characters encoded."""
+    return file_system(spark, path)[1].toUri().getRawPath()
+
+
+def _number_of(folder: Column, numbers: dict[tuple[str, ...], int]) -> Column:
+    pairs = F.create_map(*[F.lit(x) for names, number in numbers.items() for x in ("/".join(names), number)])
+    unknown = F.raise_error(F.concat(F.lit("row of an unlisted folder: "), F.coalesce(folder, F.lit("")))).cast("int")
+    return F.coalesce(F.try_element_at(pairs, folder), unknown).cast("bigint")
 
 
 def _read_folders(
-    spark: SparkSession, parent: str, names: list[str], schema: T.StructType, format: str, files: str | None
+    spark: SparkSession, parent: str, places: list[tuple[str, ...]], schema: T.StructType, format: str, files: str | None
 ) -> tuple[DataFrame, Column]:
-    """Rows of the named folders, and the parts of each row's file path below the parent."""
+    """Rows of the listed folders, and each row's folder as its names joined by ``/``."""
     base = parent.rstrip("/")
     reader = spark.read.format(format).schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true")
     if files:
         reader = reader.option("pathGlobFilter", files)
-    rows = reader.load([f"{base}/{name}" for name in names])
-    below = F.substring_index("_metadata.file_path", f"/{base.rsplit('/', 1)[-1]}/", -1)
-    return rows, F.split(below, "/")
+    rows = reader.load([f"{base}/{'/'.join(names)}" for names in places])
+    file_path = F.regexp_replace(F.col("_metadata.file_path"), _URI_HEAD, "/")
+    start = len(_encoded(spark, base).rstrip("/")) + 2
+    below = F.slice(F.split(F.substring(file_path, start, 1_000_000), "/"), 1, len(places[0]))
+    known = {"/".join(_encoded(spark, f"{base}/{'/'.join(names)}").rsplit("/", len(names))[1:]): "/".join(names) for names in places}
+    spelled = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return rows, F.try_element_at(spelled, F.array_join(below, "/"))

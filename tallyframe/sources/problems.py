@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ class ProblemSource:
         """The whole split; where only configs exist, all of them in one scan."""
         try:
             return self.read(spark, split)
-        except Exception:
+        except AnalysisException:
             return self.read(spark, "*", split)
 
     def read_subset(self, spark: SparkSession, split: str, subset: str) -> DataFrame:
@@ -45,7 +46,7 @@ class ProblemSource:
             return self.read_split(spark, split)
         try:
             return self.read(spark, config, split)
-        except Exception:
+        except AnalysisException:
             return require_subset(self.read_split(spark, split), subset)
 
 
@@ -57,6 +58,6 @@ def load_problems(
     for source in sources:
         try:
             return source.read_subset(spark, split, subset), source.name
-        except Exception as error:
-            errors.append(f"{source.name}: {str(error).splitlines()[0]}")
+        except (AnalysisException, ValueError) as error:
+            errors.append(f"{source.name}: {error}")
     raise ValueError("no source could be read\n" + "\n".join(errors))

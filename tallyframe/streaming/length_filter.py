@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,16 +20,18 @@ def stream_jsonl(spark: SparkSession, path: str, schema: T.StructType, files_per
 def stream_length_filter(
     rows: DataFrame, output: str, max_tokens: int, name: str = "length_filter", checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Filter all files present, then stop; a rerun goes on where the last one ended.
+    """Filter all files present, then stop; a rerun to the same output goes on where the last one ended.
 
-    Progress is kept in the cluster's shared folder, so a restart on other machines finds it.
+    Progress is kept in the cluster's shared folder, in a folder of its own for each output, so a
+    restart on other machines finds it and another output starts from the beginning.
     """
+    place = hashlib.md5(output.rstrip("/").encode()).hexdigest()
     return (
         within_length(rows, max_tokens)
         .writeStream.format("json")
         .option("ignoreNullFields", "false")
         .option("path", output)
-        .option("checkpointLocation", checkpoint or f"{shared_dir(rows.sparkSession)}/{name}")
+        .option("checkpointLocation", checkpoint or f"{shared_dir(rows.sparkSession)}/{name}-{place}")
         .trigger(availableNow=True)
         .start()
     )

@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from tallyframe import schemas
 from tallyframe.operators.order import seeded_order, split_rows
-from tallyframe.session import shared_dir
+from tallyframe.session import remove_written, shared_dir, written
 from tallyframe.sources import sinks
-from tallyframe.sources.checkpoint_dirs import checkpoint_dirs, read_checkpoints, step_dirs
+from tallyframe.sources.checkpoint_dirs import checkpoint_dirs, read_checkpoints, read_run_steps, step_dirs
 from tallyframe.sources.jsonl import read_jsonl, read_jsonl_checked, write_jsonl
 from tallyframe.sources.problems import ProblemSource, load_problems
 
@@ -108,6 +108,36 @@ def test_reading_checkpoints(spark, tmp_path):
         read_checkpoints(spark, str(tmp_path / "junk"), ROW)
 
 
+def test_checkpoint_folders_that_hold_nothing_are_listed(spark, tmp_path):
+    parent = tmp_path / "a model m_5 x" / "runs"
+    for name, text in {"m_1": '{"a": 1}', "m_2": "", "m_3": None}.items():
+        (parent / name / "runs").mkdir(parents=True)
+        if text is not None:
+            (parent / name / "runs" / "é part.jsonl").write_text(text)
+    assert [r.checkpoint_num for r in checkpoint_dirs(spark, str(parent)).collect()] == [1, 2, 3]
+    assert [tuple(r) for r in read_checkpoints(spark, str(parent), ROW).select("a", "checkpoint_num").collect()] == [(1, 1)]
+    assert [tuple(r) for r in read_checkpoints(spark, f"file://{parent}/".replace(" ", " "), ROW).select("checkpoint_num").collect()] == [(1,)]
+
+
+def test_reading_runs(spark, tmp_path):
+    for run, step, values in (("a_1", 20, [1, 2]), ("a_1", 40, [3]), ("b_3", 20, []), ("c_5", 20, [4])):
+        folder = tmp_path / run / f"global_step_{step}" / "gen é"
+        folder.mkdir(parents=True)
+        (folder / "x y.jsonl").write_text("\n".join(json.dumps({"a": v}) for v in values))
+    (tmp_path / "a_1" / "other").mkdir()
+    got = read_run_steps(spark, str(tmp_path), ROW, epochs=[1, 3, 7]).select("a", "sft_epoch", "rl_step").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 20), (2, 1, 20), (3, 1, 40)]
+    (tmp_path / "z_1" / "global_step_20").mkdir(parents=True)
+    with pytest.raises(ValueError, match="z_1/global_step_20"):
+        read_run_steps(spark, str(tmp_path), ROW)
+
+
+def test_written_tables_can_be_removed(spark):
+    remove_written(spark)
+    table = written(spark.range(3), "gone")
+    assert table.count() == 3 and remove_written(spark) == 1 and remove_written(spark) == 0
+
+
 def test_names(spark):
     assert sinks.run_name(spark, "Qwen/Qwen2.5-Math-1.5B", RUN_TS, "test") == "qwen_qwen2_5_math_1_5b_test_20250102_030405"
     assert sinks.run_name(spark, "m", RUN_TS) == "m_20250102_030405"
