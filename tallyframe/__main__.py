@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe import schemas
-from tallyframe.operators.order import column_order, first_rows, seeded_order
+from tallyframe.operators.order import column_order, first_ordered, seeded_order, source_order
 from tallyframe.operators.prepare import number_examples
 from tallyframe.plans.curate import filter_generations, make_training_set
 from tallyframe.plans.evaluate import evaluate_generations
 from tallyframe.plans.sweep import sweep_checkpoint_dir, sweep_run_dirs
+from tallyframe.session import written
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl
 from tallyframe.sources.problems import ProblemSource, load_problems
 
 
+PROBLEM = "problem"
 KNOWN_COLUMNS = "read only the columns of a generations table; saves the pass that infers all columns"
 
 
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     sources = [ProblemSource(path, path, args.format) for path in args.source]
     problems, source = load_problems(spark, sources, args.split, args.subset)
-    order = seeded_order(problems, args.keys, args.seed) if args.shuffle else column_order(problems, args.keys[0])
+    if args.shuffle:
+        order = seeded_order(written(problems, "problems"), args.keys or [PROBLEM], args.seed)
+    else:
+        order = column_order(written(problems, "problems"), args.keys) if args.keys else source_order(problems)
     if args.max_samples is not None:
-        capped = first_rows(order, args.max_samples)
-        order = seeded_order(capped, args.keys, args.seed) if args.shuffle else column_order(capped, args.keys[0])
+        order = replace(order, rows=first_ordered(order, args.max_samples))
     write_jsonl(number_examples(order), args.output)
     print(f"examples from {source}: {args.output}")
 
@@ -50,8 +55,7 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def filter_by_length(spark: SparkSession, args: argparse.Namespace) -> None:
-    schema = schemas.GENERATIONS if args.known_columns else None
-    print(filter_generations(spark, args.input, args.max_tokens, args.output, schema))
+    print(filter_generations(spark, args.input, args.max_tokens, args.output))
 
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -76,20 +80,26 @@ def _save(tables: dict[str, DataFrame], folder: str) -> None:
         table.write.parquet(f"{folder}/{name}.parquet")
 
 
+def show_all(table: DataFrame) -> None:
+    """Print a table of one row per checkpoint or epoch, every row of it."""
+    table.show(max(1, table.count()), truncate=False)
+
+
 def sweep_lengths(spark: SparkSession, args: argparse.Namespace) -> None:
     examples = read_jsonl(spark, args.examples, schemas.EXAMPLES)
     sweep = sweep_checkpoint_dir(spark, args.checkpoint_dir, examples, files=args.files)
     _save(vars(sweep), args.output_dir)
-    sweep.summary.show(1000, truncate=False)
+    show_all(sweep.summary)
 
 
 def sweep_accuracy(spark: SparkSession, args: argparse.Namespace) -> None:
     examples = read_jsonl(spark, args.examples, schemas.EXAMPLES)
     sweep = sweep_run_dirs(spark, args.base_dir, examples, args.num_gen, args.sft_epochs, files=args.files)
     _save(vars(sweep), args.output_dir)
-    sweep.grid.show(1000, truncate=False)
+    show_all(sweep.grid)
 
 
+# Option names and their defaults.
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tallyframe")
     commands = top.add_subparsers(required=True)
@@ -107,7 +117,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--max-samples", type=int)
     sub.add_argument("--shuffle", action="store_true")
     sub.add_argument("--seed", type=int, default=42)
-    sub.add_argument("--keys", nargs="+", default=["problem"], help="columns that identify a row; one number without --shuffle")
+    sub.add_argument("--keys", nargs="+", help="columns that identify a row, or the order without --shuffle; else the problem, or the order of the source")
     sub.add_argument("--output", required=True)
 
     sub = command("evaluate", evaluate, "score generations and write the accuracy report")
@@ -125,7 +135,6 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--input", required=True)
     sub.add_argument("--max-tokens", type=int, required=True)
     sub.add_argument("--output")
-    sub.add_argument("--known-columns", action="store_true", help=KNOWN_COLUMNS)
 
     sub = command("convert", convert, "split JSONL into train and validation parquet")
     sub.add_argument("--input", required=True)

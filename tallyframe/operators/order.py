@@ -6,37 +6,46 @@ through one task. No operator sorts all rows in one partition, and the cut betwe
 and the rest is found on the sort columns alone, so whole rows are not shuffled to take a sample or
 to split.
 
-Sort columns should identify a row; nulls come first. Copies of one row may repeat them, however
-often: they are counted before any shuffle and spread over tasks when they are put back. A cut
-between different rows that tie on the sort columns raises.
+Sort columns should identify a row; nulls come first. Different rows that tie on them are ordered by
+a hash of all their columns, so positions do not depend on partitions; a cut between such rows
+raises. Copies of one row may repeat the sort columns, however often: they are counted before any
+shuffle and spread over tasks when they are put back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallyframe.session import written
+
 HOT_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
 BUCKET_ROWS = 100_000
-MAX_BOUNDS = 16_384
+MAX_BOUNDS = 131_072
 CUT_KEYS = 1_000_000
 
 _SEEDED = "_seeded_key"
-_COARSE = "_bucket_coarse"
 _FINE = "_bucket_fine"
-_HELPERS = (_SEEDED, _COARSE, _FINE)
+_LEAD = "_lead_number"
+_FILE, _BLOCK, _PLACE = "_source_file", "_source_block", "_source_place"
+# Helper column of a source order: the row's place in its source.
+POSITION = "_source_position"
+_HELPERS = (_SEEDED, _FINE, POSITION)
 
 
 @dataclass(frozen=True)
 class RowOrder:
-    """Rows with their sort columns and with bucket columns, coarse to fine, and their numbers of
+    """Rows with their sort columns and with bucket columns and their numbers of
     buckets. ``even`` says that no bucket is known to be crowded, so none is looked for.
     """
 
@@ -67,30 +76,70 @@ def seeded_order(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> Ro
     keys = [keys] if isinstance(keys, str) else list(keys)
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     rows = df.withColumn(_SEEDED, F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)))
-    fine = F.conv(F.substring(_SEEDED, 1, 4), 16, 10).cast("int")
-    rows = rows.withColumn(_FINE, fine).withColumn(_COARSE, F.shiftright(_FINE, 8))
-    return RowOrder(rows, (_SEEDED, *keys), {_COARSE: 16**2, _FINE: 16**4})
+    rows = rows.withColumn(_FINE, F.conv(F.substring(_SEEDED, 1, 4), 16, 10).cast("int"))
+    return RowOrder(rows, (_SEEDED, *keys), {_FINE: 16**4})
+
+
+def _lead_number(df: DataFrame, key: str) -> Column:
+    """A number that never falls where the column rises: the value, or the first six bytes of a text."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
+    if isinstance(kind, T.BooleanType) or isinstance(kind, T.NumericType):
+        return F.col(key).cast("double")
+    raise ValueError(f"rows cannot be ordered by '{key}', a column of type {kind.simpleString()}")
 
 
-def column_order(df: DataFrame, key: str, at_least: int = 64) -> RowOrder:
-    """Order by a numeric column.
+def column_order(df: DataFrame, keys: str | Sequence[str], at_least: int = 64) -> RowOrder:
+    """Order by columns: numbers, texts (by their bytes), dates and times.
 
-    Bucket bounds are approximate quantiles of the column, so buckets stay even however the values
+    Bucket bounds are approximate quantiles of the first column, so buckets stay even however the values
     are spread. There is a bucket per ``BUCKET_ROWS`` rows, but at least ``at_least`` and at most
     ``MAX_BOUNDS`` of them; their bounds pass through the driver.
     """
-    if not isinstance(df.schema[key].dataType, T.NumericType):
-        raise ValueError(f"rows can be ordered by a number or by a seed, not by '{key}'")
-    buckets = min(MAX_BOUNDS, max(at_least, df.count() // BUCKET_ROWS))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(key, shares, 1 / (2 * buckets)))) if shares else []
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    lead = df.select(_lead_number(df, keys[0]).alias(_LEAD))
+    rows, filled = lead.agg(F.count("*"), F.count(_LEAD)).first()
+    buckets = min(MAX_BOUNDS, max(at_least, rows // BUCKET_ROWS))
+    shares = [i / buckets for i in range(1, buckets)] if filled else []
+    bounds = sorted(set(lead.approxQuantile(_LEAD, shares, 1 / (2 * buckets)))) if shares else []
+    rows = df.withColumn(_LEAD, _lead_number(df, keys[0]))
     if bounds:
         splits = [float("-inf"), *bounds, float("inf")]
-        sorter = Bucketizer(splits=splits, inputCol=key, outputCol=_FINE)
-        rows = sorter.transform(df).withColumn(_FINE, F.coalesce(F.col(_FINE).cast("int"), F.lit(0)))
+        sorter = Bucketizer(splits=splits, inputCol=_LEAD, outputCol=_FINE, handleInvalid="keep")
+        rows = sorter.transform(rows).withColumn(_FINE, F.when(F.col(_LEAD).isNull(), 0).otherwise(F.col(_FINE).cast("int")))
     else:
-        rows = df.withColumn(_FINE, F.lit(0))
-    return RowOrder(rows, (key,), {_FINE: len(bounds) + 1})
+        rows = rows.withColumn(_FINE, F.lit(0))
+    return RowOrder(rows.drop(_LEAD), tuple(keys), {_FINE: len(bounds) + 2})
+
+
+def source_order(df: DataFrame, at_least: int = 64) -> RowOrder:
+    """Rows as they stand in their files: by file path, block and place in the block.
+
+    Takes rows of a file source, filtered but not yet projected. They are written once with their
+    position, so that every later read agrees on it; a block of a file is ranked in one task.
+    """
+    taken = df.columns
+    try:
+        placed = df.select(
+            "*",
+            F.col("_metadata.file_path").alias(_FILE),
+            F.col("_metadata.file_block_start").alias(_BLOCK),
+            F.monotonically_increasing_id().alias(_PLACE),
+        )
+    except AnalysisException as error:
+        raise ValueError("rows have a source order only where they come straight from files") from error
+    rows = written(placed, "source-rows")
+    counts = rows.groupBy(_FILE, _BLOCK).agg(F.count("*").alias("n_rows"))
+    running = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offsets = counts.select(_FILE, _BLOCK, F.coalesce(F.sum("n_rows").over(running), F.lit(0)).alias("n_before"))
+    inside = Window.partitionBy(_FILE, _BLOCK).orderBy(_PLACE)
+    ranked = rows.withColumn(_PLACE, F.row_number().over(inside) - 1).join(offsets, [_FILE, _BLOCK])
+    numbered = written(ranked.select(*taken, (F.col("n_before") + F.col(_PLACE)).alias(POSITION)), "numbered-rows")
+    return column_order(numbered, POSITION, at_least)
 
 
 def _bucket_offsets(rows: DataFrame, bucket: str) -> DataFrame:
@@ -107,13 +156,24 @@ def _bucket_offsets(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def _hot_buckets(order: RowOrder, hot_rows: int) -> list[int]:
-    """Buckets that repeated keys fill far beyond the even share; at most ``rows / hot_rows``."""
+    """Buckets with more rows than a task shall hold; at most ``rows / hot_rows``."""
     if order.even:
         return []
-    even = F.col("n_total") / order.n_buckets
-    offsets = _bucket_offsets(order.rows, order.bucket)
-    crowded = offsets.where((F.col("n_rows") > hot_rows) & (F.col("n_rows") > 4 * even))
-    return [r[0] for r in crowded.select(order.bucket).collect()]
+    counts = order.rows.groupBy(order.bucket).agg(F.count("*").alias("n_rows"))
+    return [r[0] for r in counts.where(F.col("n_rows") > hot_rows).select(order.bucket).collect()]
+
+
+def _content(df: DataFrame) -> Column:
+    """Hash of all columns of a row; columns that cannot be hashed go in as JSON."""
+
+    def has_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(has_map(f.dataType) for f in kind.fields)
+        return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and has_map(kind.elementType))
+
+    plain = [f for f in df.schema.fields if f.name not in _HELPERS]
+    parts = [F.to_json(F.struct(f.name)) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in plain]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
 def _put_back(df: DataFrame, copies: str, *spread: str) -> DataFrame:
@@ -126,19 +186,33 @@ def _put_back(df: DataFrame, copies: str, *spread: str) -> DataFrame:
 
 
 def _rank_rows(rows: DataFrame, order: RowOrder) -> DataFrame:
-    inside = Window.partitionBy(order.bucket).orderBy(*order.sort_by)
+    inside = Window.partitionBy(order.bucket).orderBy(*order.sort_by, _content(rows))
     return rows.withColumn("_rank", F.row_number().over(inside).cast("bigint") - 1)
 
 
 def _rank_copies(rows: DataFrame, order: RowOrder) -> DataFrame:
-    """The same for crowded buckets: equal rows are one row with a count until they have a rank."""
-    before = (
-        Window.partitionBy(order.bucket).orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
-    ranked = counted.withColumn("_rank", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
-    back = _put_back(ranked, "_copies", *order.sort_by)
-    return back.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_copy")
+    """The same for crowded buckets: equal rows are one row with a count until they have a rank.
+
+    What is still many rows is dealt to finer buckets by the md5 key, or by the hash of the row among
+    rows that tie; only their counts meet in one task.
+    """
+    rows = rows.withColumn("_content", _content(rows))
+    plain = [c for c in rows.columns if c != "_content"]
+    keyed = [c for c in order.sort_by if c in rows.columns]
+    # Columns that cannot be grouped by are equal where the hash of all columns is.
+    grouped = rows.groupBy(*dict.fromkeys([order.bucket, *keyed, "_content"]))
+    others = [F.first(F.col(f"`{c}`")).alias(c) for c in plain if c not in (order.bucket, *keyed)]
+    counted = grouped.agg(*others, F.count("*").alias("_copies"))
+    values = counted.groupBy(order.bucket, *keyed).agg(F.sum("_copies").alias("_tied"))
+    before = Window.partitionBy(order.bucket).orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = values.withColumn("_start", F.coalesce(F.sum("_tied").over(before), F.lit(0))).drop("_tied")
+    inside = Window.partitionBy(order.bucket, *keyed).orderBy("_content").rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (order.bucket, *keyed)]
+    within = counted.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+    joined = within.alias("a").join(offsets.alias("b"), reduce(and_, same))
+    ranked = joined.select("a.*", (F.col("b._start") + F.col("a._inside")).alias("_rank")).drop("_inside")
+    back = _put_back(ranked, "_copies", "_content")
+    return back.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_copy", "_content").select(*plain, "_rank")
 
 
 def with_position(order: RowOrder, name: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -187,27 +261,31 @@ def _locate(counts: list[tuple[int, int]], rest: int) -> tuple[int, int, int]:
     return bucket, rest, n
 
 
-def find_cut(order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS) -> Cut:
-    """Reads the sort columns only. Each level counts rows per bucket and goes on with the one
-    bucket the cut falls into; the counts of a level pass through the driver.
+def find_cut(
+    order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS, cut_keys: int = CUT_KEYS
+) -> Cut:
+    """Reads the sort columns only: once to count the rows of each bucket, which pass through the
+    driver, and once to find the cut in its bucket. A bucket of more than ``cut_keys`` rows is split further first.
     """
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
-    total = None
-    for level, size in order.levels.items():
-        counts = _counts(scope, level)
-        if total is None:
-            total = sum(n for _, n in counts)
-            even = max((n for _, n in counts), default=0) <= total / size + hot_rows
-            goal = rest = max(0, min(wanted(total), total))
-            if goal == 0:
-                return Cut(total, 0, even)
-        bucket, rest, n = _locate(counts, rest)
-        scope = scope.where(F.col(level) == bucket)
-    while n > CUT_KEYS and order.sort_by[0] != _SEEDED:
-        finer = column_order(scope.drop(order.bucket), order.sort_by[0])
-        bucket, rest, smaller = _locate(_counts(finer.rows, finer.bucket), rest)
-        scope = finer.rows.where(F.col(finer.bucket) == bucket)
-        if smaller == n:  # copies of one key
+    counts = _counts(scope, order.bucket)
+    total = sum(n for _, n in counts)
+    even = max((n for _, n in counts), default=0) <= hot_rows
+    goal = rest = max(0, min(wanted(total), total))
+    if goal == 0:
+        return Cut(total, 0, even)
+    bucket, rest, n = _locate(counts, rest)
+    scope = scope.where(F.col(order.bucket) == bucket)
+    digits = 4
+    while n > cut_keys:
+        if order.sort_by[0] == _SEEDED:
+            digits += 3
+            finer = scope.withColumn(_FINE, F.conv(F.substring(_SEEDED, 1, digits), 16, 10).cast("bigint"))
+        else:
+            finer = column_order(scope.drop(*order.levels), order.sort_by).rows
+        bucket, rest, smaller = _locate(_counts(finer, _FINE), rest)
+        scope = finer.where(F.col(_FINE) == bucket)
+        if smaller == n and (order.sort_by[0] != _SEEDED or digits >= 13):  # copies of one key
             break
         n = smaller
     up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -240,7 +318,7 @@ def _cut_rows(order: RowOrder, cut: Cut) -> tuple[DataFrame, DataFrame]:
         return rows.where(upto), rows.where(~upto)
     under = _below(order.sort_by, cut.last, inclusive=False)
     tied = rows.where(upto & ~under)
-    content = F.struct(F.xxhash64(*rows.columns), F.hash(*rows.columns))
+    content = _content(rows)
     low, high = tied.agg(F.min(content), F.max(content)).first()
     if low != high:
         raise ValueError(f"{list(order.sort_by)} do not identify a row: {cut.last}")
@@ -255,10 +333,14 @@ def _cut_rows(order: RowOrder, cut: Cut) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def first_ordered(order: RowOrder, n: int) -> DataFrame:
+    """``first_rows`` that still carry the order's helper columns."""
+    return _cut_rows(order, find_cut(order, lambda total: n))[0]
+
+
 def first_rows(order: RowOrder, n: int) -> DataFrame:
     """Exactly the first n rows of the order: a cap, or a seeded sample without replacement."""
-    before, _ = _cut_rows(order, find_cut(order, lambda total: n))
-    return before.drop(*_HELPERS)
+    return first_ordered(order, n).drop(*_HELPERS)
 
 
 @dataclass(frozen=True)
@@ -281,20 +363,19 @@ def split_rows(order: RowOrder, val_ratio: float = 0.1, hot_rows: int = HOT_ROWS
 
 
 def in_order(order: RowOrder, files: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows laid out for a write: part files follow the order and are sorted inside.
+    """Rows laid out for a write: ``files`` part files follow the order and are sorted inside.
 
-    Buckets map to files directly, so there is no extra pass to sample range bounds; there are at
-    most as many files as buckets. Where copies crowd a bucket, positions map to files instead.
+    Buckets map to files directly, so there is no extra pass to sample range bounds. Where a bucket
+    is crowded, or there are fewer buckets than files, positions map to files instead.
     """
-    if _hot_buckets(order, hot_rows):
+    if order.n_buckets < files or _hot_buckets(order, hot_rows):
         total = order.rows.count()
         placed = with_position(order, "_place", hot_rows)
-        file_no = F.floor(F.col("_place") * files / total).cast("int")
+        file_no = F.floor(F.col("_place") * files / max(1, total)).cast("int")
         return placed.repartitionById(files, file_no).sortWithinPartitions("_place").drop("_place")
-    files = min(files, order.n_buckets)
     file_no = F.floor(F.col(order.bucket).cast("bigint") * files / order.n_buckets).cast("int")
     return (
         order.rows.repartitionById(files, file_no)
-        .sortWithinPartitions(*order.sort_by)
+        .sortWithinPartitions(*order.sort_by, _content(order.rows))
         .drop(*_HELPERS)
     )

@@ -5,29 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions import strip
 from tallyframe.operators.curate import length_filter_counts, require_columns, within_length
-from tallyframe.operators.order import column_order, seeded_order, split_rows
+from tallyframe.operators.order import seeded_order, source_order, split_rows
 from tallyframe.session import written
-from tallyframe.sources.jsonl import read_jsonl, write_jsonl
+from tallyframe.sources.jsonl import read_jsonl
 from tallyframe.sources.sinks import filtered_path, write_split
 
 
+TOKENS = "prompt_tokens double, output_tokens double"
+
+
 def filter_generations(
-    spark: SparkSession,
-    path: str,
-    max_tokens: int,
-    output: str | None = None,
-    schema: T.StructType | None = None,
-    mode: str = "errorifexists",
+    spark: SparkSession, path: str, max_tokens: int, output: str | None = None, mode: str = "errorifexists"
 ) -> dict:
-    """Copy the rows within the token limit; counts come from the same pass over the input."""
+    """Copy the lines within the token limit as they stand; counts come from the same pass over the input.
+
+    Only the two token fields are parsed. Blank lines are left out; a malformed line fails.
+    """
     output = output or filtered_path(path, max_tokens)
-    rows = read_jsonl(spark, path, schema)
+    lines = spark.read.text(path)
+    lines = lines.where(strip(lines["value"]) != "")
+    rows = lines.select("value", F.from_json("value", TOKENS, {"mode": "FAILFAST"}).alias("tokens")).select("value", "tokens.*")
     seen = Observation("length_filter")
     counted = rows.observe(seen, *length_filter_counts(rows, max_tokens))
-    write_jsonl(within_length(counted, max_tokens), output, mode)
+    within_length(counted, max_tokens).select("value").write.mode(mode).text(output)
     total, kept = seen.get["input"], seen.get["kept"]
     return {"input": total, "kept": kept, "dropped": total - kept, "output": output}
 
@@ -48,11 +53,15 @@ def make_training_set(
 ) -> dict:
     """Split JSONL rows into ``train.parquet`` and ``val.parquet`` with exact counts.
 
-    ``keys`` identify a row and seed its place; without shuffling the first of them is the order.
-    The rows are written as parquet first: finding the cut then reads the key columns only, and
-    JSON is parsed once.
+    ``keys`` identify a row and seed its place; where they are not there, the prompt and the response do.
+    Without shuffling rows come as they stand in the input. The rows are written as parquet first: the
+    checks and the cut then read the columns they need only, and JSON is parsed once.
     """
-    rows = require_columns(read_jsonl(spark, path, schema), prompt_key, response_key)
-    rows = written(rows, "training-rows")
-    order = seeded_order(rows, keys, seed) if shuffle else column_order(rows, keys[0], at_least=files)
+    lines = read_jsonl(spark, path, schema)
+    if shuffle:
+        rows = require_columns(written(lines, "training-rows"), prompt_key, response_key)
+        order = seeded_order(rows, keys if set(keys) <= set(rows.columns) else [prompt_key, response_key], seed)
+    else:
+        order = source_order(lines, at_least=files)
+        require_columns(order.plain, prompt_key, response_key)
     return write_split(split_rows(order, val_ratio), out_dir, files, mode)

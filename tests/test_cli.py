@@ -44,8 +44,11 @@ def test_from_problems_to_training_set(spark, files, capsys):
     write_jsonl(read_jsonl(spark, filtered, schemas.GENERATIONS).selectExpr("*", "'kept' AS note"), at("noted.jsonl"))
     main(["filter", "--input", at("noted.jsonl"), "--max-tokens", "2000"])
     assert {r.note for r in read_jsonl(spark, at("noted.filtered2k.jsonl")).collect()} == {"kept"}
-    main(["filter", "--input", at("noted.jsonl"), "--max-tokens", "2000", "--known-columns", "--output", at("known.jsonl")])
-    assert "note" not in read_jsonl(spark, at("known.jsonl")).columns
+    main(["prepare", "--source", at("problems"), "--max-samples", "7", "--output", at("as_they_stand.jsonl")])
+    examples = read_jsonl(spark, at("as_they_stand.jsonl"), schemas.EXAMPLES)
+    assert [r.problem for r in examples.orderBy("id").collect()] == [f"p{i}" for i in range(7)]
+    main(["convert", "--input", at("noted.jsonl"), "--output-dir", at("in_order"), "--no-shuffle", "--val-ratio", "0.5", "--files", "2"])
+    assert spark.read.parquet(at("in_order/val.parquet")).count() == 1
 
     main(["convert", "--input", filtered, "--output-dir", at("sft"), "--val-ratio", "0.5", "--files", "2"])
     assert spark.read.parquet(at("sft/train.parquet")).count() == 1

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.order import (
     column_order,
+    find_cut,
     first_rows,
     in_order,
     seeded_order,
+    source_order,
     split_rows,
     with_position,
 )
@@ -81,9 +83,65 @@ def test_null_keys_come_first(spark):
             assert split.train.plain.count() + split.val.plain.count() == 21
 
 
-def test_column_order_needs_a_number(numbers):
-    with pytest.raises(ValueError, match="not by 't'"):
-        column_order(numbers, "t")
+def test_column_order_of_texts_dates_and_several_columns(spark):
+    rows = [(t, d, i) for i, (t, d) in enumerate([("b", "2020-01-02"), ("a", "2021-01-01"), ("é", None), (None, "2019-05-05"), ("b", "2018-01-01"), ("abcdefgh", "2018-01-01"), ("abcdefga", "2018-01-01")])]
+    df = spark.createDataFrame(rows, "t string, d string, id long").withColumn("d", F.to_date("d"))
+
+    def ids(keys):
+        return [r["id"] for r in with_position(column_order(df, keys, at_least=4)).orderBy("position").collect()]
+
+    assert ids(["t", "d"]) == [3, 1, 6, 5, 4, 0, 2]
+    assert ids(["d", "t"]) == [2, 6, 5, 4, 3, 0, 1]
+    with pytest.raises(ValueError, match="cannot be ordered by 'x'"):
+        column_order(df.withColumn("x", F.array("id")), "x")
+
+
+@pytest.mark.parametrize("values", [1, 2, 6])
+def test_few_frequent_values_spread_over_tasks(spark, values):
+    df = spark.range(20_000, numPartitions=4).select((F.col("id") % values).alias("k"), F.lit("copy").alias("t"))
+    order = column_order(df, "k", at_least=4)
+    laid = in_order(order, 16, hot_rows=100).withColumn("task", F.spark_partition_id())
+    assert laid.groupBy("task").count().agg(F.max("count")).first()[0] <= 20_000 / 16 * 1.5
+    placed = with_position(order, hot_rows=100).collect()
+    assert [r["k"] for r in sorted(placed, key=lambda r: r["position"])] == sorted(r["k"] for r in placed)
+    assert sorted(r["position"] for r in placed) == list(range(20_000))
+
+
+def test_positions_of_tied_rows_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id"), F.create_map(F.lit("m"), F.col("id")).alias("m"))
+
+    def placed(parts, hot_rows):
+        rows = with_position(column_order(df.repartition(parts), "k"), hot_rows=hot_rows).collect()
+        return {r["id"]: r["position"] for r in rows}
+
+    assert placed(3, 10**6) == placed(7, 10**6)
+    assert placed(3, 10) == placed(5, 10) and sorted(placed(2, 10).values()) == list(range(1000))
+
+
+@pytest.mark.parametrize("make", [lambda df: seeded_order(df, "id"), lambda df: column_order(df, "id", at_least=2)])
+def test_cut_in_a_large_bucket_is_refined(spark, make):
+    order = make(spark.range(5000))
+    plain, refined = (find_cut(order, lambda total: 1234, cut_keys=n) for n in (10**6, 10))
+    assert plain == refined and order.plain.count() == 5000
+
+
+def test_source_order(spark, tmp_path):
+    import json
+
+    for name, start in (("b", 100), ("a", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps({"x": start + i, "t": None}) for i in range(50)))
+    df = spark.read.schema("x long, t string").json(str(tmp_path))
+    whole = list(range(50)) + list(range(100, 150))
+    assert [r["x"] for r in with_position(source_order(df)).orderBy("position").collect()] == whole
+    odd = with_position(source_order(df.where("x % 2 = 1")))
+    assert odd.columns == ["x", "t", "position"]
+    assert [r["x"] for r in odd.orderBy("position").collect()] == [x for x in whole if x % 2]
+    assert sorted(r["x"] for r in first_rows(source_order(df), 60).collect()) == whole[:60]
+    df.write.parquet(str(tmp_path / "p.parquet"))
+    back = spark.read.parquet(str(tmp_path / "p.parquet"))
+    assert with_position(source_order(back)).count() == 100
+    with pytest.raises(ValueError, match="straight from files"):
+        source_order(spark.range(3))
 
 
 def test_empty_input(numbers):

@@ -1,8 +1,10 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe import schemas
 from tallyframe.operators.curate import within_length
@@ -76,7 +78,7 @@ def test_evaluation(spark, tmp_path, generations, examples):
 def test_filter_and_split(spark, tmp_path, generations):
     source = str(tmp_path / "g.correct.jsonl")
     write_jsonl(generations, source)
-    counts = filter_generations(spark, source, 500, schema=schemas.GENERATIONS)
+    counts = filter_generations(spark, source, 500)
     output = str(tmp_path / "g.filtered0k.correct.jsonl")
     assert counts == {"input": 30, "kept": 15, "dropped": 15, "output": output}
     kept = read_jsonl(spark, output, schemas.GENERATIONS)
@@ -92,10 +94,38 @@ def test_filter_and_split(spark, tmp_path, generations):
 
 def test_split_in_source_order(spark, tmp_path):
     source = str(tmp_path / "rows.jsonl")
-    rows = spark.range(50).selectExpr("id AS line", "'p' AS prompt", "concat('g', id) AS generated_solution")
+    rows = spark.range(50).selectExpr("id AS line", "'p' AS prompt", "concat('g', id % 3) AS generated_solution")
     write_jsonl(rows.repartition(3), source)
-    make_training_set(spark, source, str(tmp_path / "sft"), ["line"], 0.2, shuffle=False, files=2)
-    assert [r.line for r in spark.read.parquet(str(tmp_path / "sft/val.parquet")).orderBy("line").collect()] == list(range(10))
+    as_they_stand = [json.loads(x)["line"] for part in sorted(Path(source).glob("part-*")) for x in part.read_text().splitlines()]
+    counts = make_training_set(spark, source, str(tmp_path / "sft"), ["id", "sample_idx"], 0.2, shuffle=False, files=2)
+    assert counts == {"input": 50, "train": 40, "val": 10}
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "sft/val.parquet")).collect()) == sorted(as_they_stand[:10])
+    # Without the usual keys the rows are shuffled by what they hold; equal ones may fall on both sides of a cut.
+    counts = make_training_set(spark, source, str(tmp_path / "shuffled"), ["id", "sample_idx"], 0.0, files=2)
+    assert counts == {"input": 50, "train": 50, "val": 0}
+
+
+def test_filter_keeps_lines_as_they_are(spark, tmp_path):
+    lines = ['{"x":1, "output_tokens": 5,"b":null}', '{"x":"1","prompt_tokens":3, "é": [1.50]}', "", "   ", '{"output_tokens": 900}', '{"y":{"k":2}}']
+    (tmp_path / "in.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    counts = filter_generations(spark, str(tmp_path / "in.jsonl"), 100, str(tmp_path / "out"))
+    kept = [x for part in sorted((tmp_path / "out").glob("part-*")) for x in part.read_text(encoding="utf-8").splitlines()]
+    assert kept == [lines[0], lines[1], lines[5]] and (counts["input"], counts["dropped"]) == (4, 1)
+    (tmp_path / "bad.jsonl").write_text('{"x": 1}\n{bad\n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
+        filter_generations(spark, str(tmp_path / "bad.jsonl"), 100, str(tmp_path / "bad_out"))
+
+
+def test_streams_to_two_outputs_are_independent(spark, tmp_path):
+    schema = "id long, output_tokens long"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"id": i, "output_tokens": i}) for i in range(10)))
+    kept = {}
+    for limit in (2, 9, 2):
+        rows = stream_jsonl(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
+        stream_length_filter(rows, str(tmp_path / f"out{limit}"), limit).awaitTermination()
+        kept[limit] = spark.read.schema(schema).json(str(tmp_path / f"out{limit}")).count()
+    assert kept == {2: 3, 9: 10}
 
 
 def test_sweeps(spark):
