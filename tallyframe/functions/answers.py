@@ -70,18 +70,25 @@ def answer_candidate(text: Column, box: Column | None = None) -> Column:
     return F.coalesce(F.nullif(box, F.lit("")), last_number)
 
 
-# Notation that carries no meaning for equality, and what stands for it.
+# Notation that carries no meaning for equality, and what stands for it; the order matters.
 _REWRITES = (
     (r"\$|\\left|\\right|\\[,;:! ]", ""),
+    (r"\s+", ""),
     (r"\^\\circ|\^\{\\circ\}", ""),
-    (r"\\text\{([^{}]*)\}", "$1"),
+    (r"\\(?:text|mathrm|mbox|textbf|mathbf)\{([^{}]*)\}", "$1"),
     (r"\{,\}", ","),
     (r"\\[dt]frac", r"\\frac"),
-    (r"\\frac\{(-?\d+)\}\{(\d+)\}", "$1/$2"),
-    (r"\s+", ""),
+    (r"^(-?)(\d+)\\frac\{(\d+)\}\{(\d+)\}$", "$1$2+$3/$4"),
+    (r"^(-?)(\d+)\\frac(\d)(\d)$", "$1$2+$3/$4"),
+    (r"\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2"),
     (r"^(-?)\\frac(\d)(\d)$", "$1$2/$3"),
+    (r"^-(\d+)/-(\d+)$", "$1/$2"),
+    (r"^(\d+)/-(\d+)$", "-$1/$2"),
+    (r"\\?%\.*$", ""),
+    (r"\^\{(\w)\}", r"\^$1"),
     (r"^[A-Za-z]=", ""),
 )
+_SET = r"^\\\{([^{}\\]*)\\\}$"
 
 
 def normalize_answer(answer: Column) -> Column:
@@ -90,26 +97,65 @@ def normalize_answer(answer: Column) -> Column:
     for pattern, replacement in _REWRITES:
         text = F.regexp_replace(text, pattern, replacement)
     text = F.rtrim(text, F.lit("."))
+    members = F.array_sort(F.split(F.regexp_extract(text, _SET, 1), ","))
+    text = F.when(F.rlike(text, F.lit(_SET)), F.concat(F.lit("\\{"), F.array_join(members, ","), F.lit("\\}"))).otherwise(text)
     grouped = F.rlike(text, F.lit(r"^-?\d+(,\d{3})+(\.\d+)?(/\d+)?$"))
     return F.nullif(F.when(grouped, F.replace(text, F.lit(","), F.lit(""))).otherwise(text), F.lit(""))
 
 
+_NUMERIC = r"^(-?)(?:(\d+)\+)?(\d+\.?\d*|\.\d+)(?:/(\d+))?$"
+
+
 def numeric_answer(answer: Column) -> Column:
-    """Value of a normalised integer, decimal or fraction, else null."""
-    numerator = F.regexp_extract(answer, r"^(-?(?:\d+\.?\d*|\.\d+))(?:/(\d+))?$", 1)
-    denominator = F.regexp_extract(answer, r"^(-?(?:\d+\.?\d*|\.\d+))(?:/(\d+))?$", 2)
-    below = F.when(denominator == "", F.lit(1.0)).otherwise(denominator.try_cast("double"))
-    return F.try_divide(numerator.try_cast("double"), below)
+    """Value of a normalised integer, decimal, fraction or mixed number, else null."""
+    sign, whole, main, below = (F.regexp_extract(answer, _NUMERIC, i) for i in range(1, 5))
+    value = F.try_divide(main.try_cast("double"), F.when(below == "", F.lit(1.0)).otherwise(below.try_cast("double")))
+    value = F.when(whole == "", value).otherwise(whole.try_cast("double") + value)
+    return F.when(sign == "-", -value).otherwise(value)
+
+
+def _whole_digits(answer: Column) -> Column:
+    """One spelling for each integer: without leading zeros, and no sign for zero."""
+    return F.regexp_replace(F.regexp_replace(answer, r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")
+
+
+# Integers and fractions whose products still fit 38 digits.
+_RATIONAL = r"^-?(?:\d{1,8}\+\d{1,8}/\d{1,8}|\d{1,18}(?:/\d{1,18})?)$"
+
+
+def _fraction(answer: Column) -> tuple[Column, Column]:
+    """Numerator and denominator of a text that ``_RATIONAL`` matches."""
+    sign, whole, main, below = (F.regexp_extract(answer, _NUMERIC, i) for i in range(1, 5))
+    below = F.when(below == "", F.lit("1")).otherwise(below).try_cast("decimal(18,0)")
+    top = F.when(whole == "", main.try_cast("decimal(18,0)")).otherwise(
+        (whole.try_cast("decimal(9,0)") * below.cast("decimal(9,0)") + main.try_cast("decimal(9,0)")).cast("decimal(18,0)")
+    )
+    return F.when(sign == "-", -top).otherwise(top), below
 
 
 def answer_label(pred: Column, gold: Column, pred_value: Column, gold_value: Column) -> Column:
-    """How two normalised answers, with their ``numeric_answer`` values, compare."""
-    scale = F.greatest(F.abs(pred_value), F.abs(gold_value))
-    close = F.abs(pred_value - gold_value) <= F.lit(RELATIVE_TOLERANCE) * scale
+    """How two normalised answers, with their ``numeric_answer`` values, compare.
+
+    Integers and fractions are compared exactly. Where a decimal is involved, values agree within a
+    relative tolerance that stays below half a unit.
+    """
+
+    def both(pattern: str) -> Column:
+        return F.rlike(pred, F.lit(pattern)) & F.rlike(gold, F.lit(pattern))
+
+    (top, below), (gold_top, gold_below) = _fraction(pred), _fraction(gold)
+    off = F.abs(pred_value - gold_value)
+    close = (off <= F.lit(RELATIVE_TOLERANCE) * F.greatest(F.abs(pred_value), F.abs(gold_value))) & (off < F.lit(0.5))
+    decimal = F.contains(pred, F.lit(".")) | F.contains(gold, F.lit("."))
+    same = (
+        F.when(both(r"^-?\d+$"), _whole_digits(pred) == _whole_digits(gold))
+        .when(both(_RATIONAL), (below != 0) & (gold_below != 0) & (top * gold_below == gold_top * below))
+        .otherwise(decimal & close)
+    )
     return (
         F.when(pred.isNull() | gold.isNull(), PARSE_FAILURE)
         .when(pred == gold, EXACT)
-        .when(close, NUMERIC)
+        .when(same, NUMERIC)
         .otherwise(DIFFERENT)
     )
 

@@ -80,8 +80,10 @@ def accuracy_grid(
     """
     if steps is None:
         steps = [r[step] for r in distinct_steps(accuracy, step).collect()]
-    grid = accuracy.groupBy(epoch).pivot(step, list(steps)).agg(F.first("accuracy"))
-    return grid.select(epoch, *[(F.col(f"`{s}`") * 100).alias(f"step_{s}") for s in steps]).orderBy(epoch)
+    if not steps:
+        return accuracy.select(epoch).distinct().orderBy(epoch)
+    cells = [(F.max(F.when(F.col(step) == s, F.col("accuracy"))) * 100).alias(f"step_{s}") for s in steps]
+    return accuracy.groupBy(epoch).agg(*cells).orderBy(epoch)
 
 
 def grid_text(grid: DataFrame, epoch: str = "sft_epoch") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +14,32 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Size of a value: texts and binaries by their length, collections by all that is in them."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            inside = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + _bytes(x, kind.elementType))
+        else:
+            inside = F.size(value) * 16
+        own = inside + 16
+    elif isinstance(kind, T.MapType):
+        own = _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        own = reduce(add, [_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(16))
+    else:
+        return F.lit(16).cast("bigint")
+    return F.coalesce(own.cast("bigint"), F.lit(16).cast("bigint"))
+
+
 def measure(keyed: DataFrame, on: Sequence[str], unique: bool = False) -> int:
-    """Size of a table in bytes, from its row count and string lengths, in one job.
+    """Size of a table in bytes, from all values of its rows, in one job.
 
     With ``unique`` the same job finds the largest group of rows with one key, and raises if that
     is more than one row.
     """
-    wide = [f.name for f in keyed.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(16 * len(keyed.columns)))
+    size = reduce(add, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in keyed.schema.fields])
     sized = keyed.select(*on, size.cast("bigint").alias("_size"))
     per_key = sized.groupBy(*on) if unique else sized
     counted = per_key.agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))

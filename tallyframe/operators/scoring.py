@@ -126,11 +126,12 @@ def verify_pairs(
 
     ``verifier`` maps two string series to a frame of ``is_correct`` and ``match_type``. Pairs with
     a missing side are parse failures and do not reach it. Pairs are few bytes but may take long to
-    judge, so they are spread over ``tasks`` tasks, by default one per core of the cluster.
+    judge: the one shuffle that makes them distinct deals them to ``tasks`` tasks, by default as many
+    as the session shuffles to, and not to fewer by their size.
     """
-    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     check = F.pandas_udf(verifier, "is_correct boolean, match_type string")
-    pairs = df.select(pred, gold).dropna().distinct().repartition(tasks, pred, gold)
+    pairs = df.select(pred, gold).dropna().repartition(tasks, pred, gold).distinct()
     verdicts = written(pairs.withColumn("verdict", check(pred, gold)), "verdicts")
     spread = [c for c in df.columns if c not in (pred, gold)]
     return (

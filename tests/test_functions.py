@@ -143,12 +143,24 @@ def test_normalised_answers(spark):
         "y=": None,
         "10{,}000": "10000",
         "$": None,
+        r"50\%": "50",
+        "50%.": "50",
+        r"\mathrm{A}": "A",
+        r"\mbox{A}": "A",
+        "x^{2}": "x^2",
+        r"2\frac{1}{2}": "2+1/2",
+        r"-2 \dfrac{1}{2}": "-2+1/2",
+        r"2\frac12": "2+1/2",
+        r"\frac{-1}{-2}": "1/2",
+        r"\frac{1}{-2}": "-1/2",
+        r"\{2, 1\}": r"\{1,2\}",
+        r"\left\{ b,a \right\}": r"\{a,b\}",
     }
     assert values(spark, list(cases), TF.normalize_answer) == list(cases.values())
 
 
 def test_numeric_answers(spark):
-    cases = {"12": 12.0, "-0.50": -0.5, ".5": 0.5, "3/4": 0.75, "-3/4": -0.75, "1/0": None, "x": None, "1e5": None, "NaN": None, "3.": 3.0}
+    cases = {"12": 12.0, "-0.50": -0.5, ".5": 0.5, "3/4": 0.75, "-3/4": -0.75, "1/0": None, "x": None, "1e5": None, "NaN": None, "3.": 3.0, "2+1/2": 2.5, "-2+1/2": -2.5}
     assert values(spark, list(cases), TF.numeric_answer) == list(cases.values())
 
 
@@ -156,7 +168,12 @@ def test_labels(spark):
     cases = [
         ("1/2", "1/2", "exact"), ("0.5", "1/2", "numeric_equiv"), ("0.5", "0.6", "different"),
         ("x", "y", "different"), (None, "1", "parse_failure"), ("1", None, "parse_failure"),
-        ("1000000000", "1000000000.5", "numeric_equiv"), ("0", "0.0", "numeric_equiv"), ("0", "1", "different"),
+        ("1000000000", "1000000000.5", "different"), ("0", "0.0", "numeric_equiv"), ("0", "1", "different"),
+        ("10000000000", "10000000001", "different"), ("1000000000", "1000000001", "different"), ("007", "7", "numeric_equiv"), ("-0", "0", "numeric_equiv"),
+        ("9" * 40, "9" * 39 + "8", "different"), ("0" + "9" * 40, "9" * 40, "numeric_equiv"), ("20000000002/2", "10000000001", "numeric_equiv"),
+        ("20000000001/2", "10000000001", "different"), ("2+1/2", "5/2", "numeric_equiv"), ("-2+1/2", "-5/2", "numeric_equiv"), ("-2+1/2", "-3/2", "different"),
+        ("1/0", "2/0", "different"), ("0.333333333333", "1/3", "numeric_equiv"), ("0.33", "1/3", "different"), ("10000000001.0", "10000000001", "numeric_equiv"),
+        ("10000000001.0", "10000000002", "different"), ("-1/2", "1/2", "different"),
     ]
     df = spark.createDataFrame([(i, p, g) for i, (p, g, _) in enumerate(cases)], "i int, p string, g string")
     p, g = F.col("p"), F.col("g")

@@ -228,3 +228,14 @@ def test_pass_at_1(spark):
     assert table(num_gen=4, n_problems=10)[(1, 20)] == (10, 0.5, 0.05)
     rates = {tuple(r)[:2]: r.accuracy for r in row_accuracy(runs, *run).collect()}
     assert rates == {(1, 20): 2 / 3, (1, 40): 0.0, (3, 20): 1.0}
+
+
+def test_nested_columns_are_measured(spark):
+    from tallyframe.operators.joins import keyed_join, measure
+
+    wide = spark.range(1000).select("id", F.array_repeat(F.lit(1), 2048).alias("tokens"), F.create_map(F.lit("k"), F.array(F.lit("text"))).alias("m"))
+    assert measure(wide, ["id"]) > 8 * 1024 * 2048 // 2
+    assert measure(wide.select("id", F.struct("tokens").alias("s")), ["id"]) > 8 * 1024 * 2048 // 2
+    assert measure(wide.select("id", F.lit(None).cast("array<string>").alias("n")), ["id"]) < 100_000
+    plan = keyed_join(spark.range(10), wide, "id", broadcast_bytes=1_000_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" in plan and "strategy=broadcast" not in plan.split("tokens")[0]
