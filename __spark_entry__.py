@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from fixtures import base, fixture, with_fixtures  # noqa: E402
 from tallyframe import functions as TF  # noqa: E402
-from tallyframe.functions.text import PROMPT_HEAD, PROMPT_TAIL, WHITESPACE  # noqa: E402
 from tallyframe.operators import (  # noqa: E402
     accuracy,
     checkpoints,
@@ -35,10 +35,12 @@ from tallyframe.operators import (  # noqa: E402
 from tallyframe.operators.joins import keyed_join  # noqa: E402
 from tallyframe.plans.report import report_lines  # noqa: E402
 from tallyframe.plans.sweep import sweep_accuracy, sweep_lengths  # noqa: E402
-from tallyframe.session import shared_dir  # noqa: E402
-from tallyframe.sources.checkpoint_dirs import read_checkpoints  # noqa: E402
+from tallyframe.session import CHECKPOINT_DIR, file_system, shared_dir, use_folder  # noqa: E402
+from tallyframe.plans.curate import filter_generations  # noqa: E402
+from tallyframe.sources.checkpoint_dirs import checkpoint_dirs, read_checkpoints  # noqa: E402
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl  # noqa: E402
-from tallyframe.sources.sinks import write_split  # noqa: E402
+from tallyframe.sources.problems import ProblemSource, load_problems  # noqa: E402
+from tallyframe.sources.sinks import write_if_absent, write_split, write_tagged  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +52,9 @@ NUM_GEN = 8
 STEPS = [20, 40, 60, 80, 100]
 RUN_TS = datetime(2025, 1, 2, 3, 4, 5)
 
+# Folder for written tables under a local master whose session names none.
+_LOCAL_FOLDER = tempfile.mkdtemp(prefix="tallyframe-entry-")
+
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -94,14 +99,23 @@ def _r6(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
+    context = spark.sparkContext
+    if context.master.startswith("local[") and not context.getConf().get(CHECKPOINT_DIR):
+        use_folder(spark, _LOCAL_FOLDER)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # SQL pieces used by several oracles.
 
-_STRIP = f"trim({{0}}, '{WHITESPACE}')"
+# Written out here and not taken from the library, so that the two can disagree.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_STRIP = f"trim({{0}}, '{_BLANKS}')"
 _NORM_TYPE = f"replace(replace(lower({_STRIP.format('type')}), '&', 'and'), ' ', '_')"
-_PROMPT = f"concat('{PROMPT_HEAD}', problem, '{PROMPT_TAIL}')"
+_PROMPT = """concat('Solve the following math problem step by step. Show your reasoning and provide the final answer.
+
+Problem: ', problem, '
+
+Solution:')"""
 _SEEDED_DOC = f"md5(concat('{SEED}:', doc_id)), doc_id"
 _SEEDED_SAMPLE = f"md5(concat('{SEED}:', id, ':', sample_idx)), id, sample_idx"
 
@@ -168,8 +182,15 @@ FROM (SELECT g.id, g.sample_idx, e.level, e.type, g.output_tokens, g.prompt_toke
              {_normal_sql(_CANDIDATE.format('generated_solution'))} AS pred,
              {_normal_sql(_CANDIDATE.format('solution'))} AS gold
       FROM generations g JOIN problems e ON g.id = e.id) t"""
+_TOP = "CAST(split_part({0}, '/', 1) AS HUGEINT)"
+_BELOW = "coalesce(CAST(nullif(split_part({0}, '/', 2), '') AS HUGEINT), 1)"
+_RATIONAL = r"regexp_full_match({0}, '-?\d{{1,18}}(/\d{{1,18}})?')"
+_SAME = f"""CASE WHEN {_RATIONAL.format('pred')} AND {_RATIONAL.format('gold')}
+            THEN {_TOP.format('pred')} * {_BELOW.format('gold')} = {_TOP.format('gold')} * {_BELOW.format('pred')}
+            ELSE (contains(pred, '.') OR contains(gold, '.')) AND abs(pv - gv) < 0.5
+                 AND abs(pv - gv) <= 1e-9 * greatest(abs(pv), abs(gv)) END"""
 _SCORED = f"""SELECT *, CASE WHEN pred IS NULL OR gold IS NULL THEN 'parse_failure' WHEN pred = gold THEN 'exact'
-       WHEN abs(pv - gv) <= 1e-9 * greatest(abs(pv), abs(gv)) THEN 'numeric_equiv' ELSE 'different' END AS match_type
+       WHEN {_SAME} THEN 'numeric_equiv' ELSE 'different' END AS match_type
 FROM (SELECT *, {_value_sql('pred')} AS pv, {_value_sql('gold')} AS gv FROM ({_ANSWERS}) a) b"""
 _LAST_BOXED = "CASE WHEN contains({0}, chr(92) || 'boxed') THEN {1} ELSE {2} END"
 
@@ -328,6 +349,21 @@ def cap(spark: SparkSession, sf: str) -> DataFrame:
     return order.first_rows(order.column_order(docs, "doc_id"), MAX_SAMPLES)
 
 
+@query(f"SELECT doc_id, text FROM documents LIMIT {MAX_SAMPLES}")
+def cap_in_source_order(spark: SparkSession, sf: str) -> DataFrame:
+    return order.first_rows(order.source_order(base(spark, sf, "documents")), MAX_SAMPLES).select("doc_id", "text")
+
+
+@query(
+    """SELECT doc_id, text, i < v AS is_val
+       FROM (SELECT doc_id, text, row_number() OVER () - 1 AS i, CAST(floor(count(*) OVER () * 0.1::DOUBLE) AS BIGINT) AS v FROM documents) t"""
+)
+def split_in_source_order(spark: SparkSession, sf: str) -> DataFrame:
+    split = order.split_rows(order.source_order(base(spark, sf, "documents")), 0.1)
+    parts = [part.plain.select("doc_id", "text", F.lit(is_val).alias("is_val")) for part, is_val in ((split.train, False), (split.val, True))]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"SELECT doc_id, text FROM documents ORDER BY {_SEEDED_DOC} LIMIT {MAX_SAMPLES}")
 def sample(spark: SparkSession, sf: str) -> DataFrame:
     docs = base(spark, sf, "documents").select("doc_id", "text")
@@ -490,6 +526,57 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read_jsonl(spark, path, rows.schema)
 
 
+@query(
+    """SELECT count(*)::BIGINT AS rows, count(*) FILTER (WHERE text IS NULL)::BIGINT AS null_text,
+              count(*) FILTER (WHERE quality IS NULL)::BIGINT AS null_quality FROM samples""",
+    "samples",
+)
+def input_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Required columns are there, and how many of their values are missing."""
+    rows = curate.require_columns(fixture(spark, sf, "samples"), "text", "quality")
+    return curate.missing_counts(rows, "text", "quality")
+
+
+@query("SELECT doc_id, text AS problem, 'second' AS source_name FROM documents")
+def source_failover(spark: SparkSession, sf: str) -> DataFrame:
+    """Problems of the first source that is there; a split of a data set is a folder or file below it."""
+    sources = [ProblemSource("first", f"{sf}/nowhere"), ProblemSource("second", sf)]
+    rows, name = load_problems(spark, sources, "documents.parquet")
+    return rows.select("doc_id", F.col("text").alias("problem"), F.lit(name).alias("source_name"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def skip_if_exists(spark: SparkSession, sf: str) -> DataFrame:
+    """A second write to the same place leaves what the first has written."""
+    docs, path = base(spark, sf, "documents").select("doc_id", "lang"), _run_dir(spark, "once")
+    write_if_absent(docs, path)
+    write_if_absent(docs.withColumn("lang", F.lit("other")), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    """SELECT doc_id, 'some_model_1_5b' AS model_slug, 'test' AS split, '20250102_030405' AS run_ts FROM documents
+       UNION ALL SELECT item_id, 'some_model_1_5b', 'train', '20250102_030406' FROM benchmark"""
+)
+def run_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs in one table, told apart by model, split and time."""
+    path, model = _run_dir(spark, "runs"), "Some/Model-1.5B"
+    write_tagged(base(spark, sf, "documents").select("doc_id"), path, model, "test", RUN_TS)
+    items = base(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    write_tagged(items, path, model, "train", RUN_TS.replace(second=6))
+    return spark.read.schema("doc_id BIGINT, model_slug STRING, split STRING, run_ts STRING").parquet(path)
+
+
+@query(f"SELECT id, output_tokens, prompt_tokens FROM generations WHERE output_tokens + prompt_tokens <= {MAX_TOKENS}", "generations")
+def filtered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines within the length limit, copied as they stand and read back."""
+    rows = fixture(spark, sf, "generations").select("id", "output_tokens", "prompt_tokens")
+    path = f"{_run_dir(spark, 'lines')}.jsonl"
+    write_jsonl(rows, path)
+    kept = filter_generations(spark, path, MAX_TOKENS)
+    return read_jsonl(spark, kept["output"], rows.schema)
+
+
 # Checkpoints and runs.
 
 
@@ -520,6 +607,24 @@ def checkpoint_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read_checkpoints(spark, parent, docs.drop("folder").schema)
 
 
+@query(
+    """SELECT checkpoint_num, count(*)::BIGINT AS n, 'OK' AS status
+       FROM (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS checkpoint_num FROM documents) t GROUP BY 1
+       UNION ALL SELECT 1000, 0, 'FAILED' UNION ALL SELECT 1001, 0, 'FAILED'"""
+)
+def failed_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders of checkpoints, of which one is empty and one holds an empty file only."""
+    docs = base(spark, sf, "documents").select("doc_id", F.replace("source", F.lit("src"), F.lit("model_")).alias("folder"))
+    parent = _run_dir(spark, "some checkpoints")
+    docs.write.partitionBy("folder").json(parent)
+    for name, file in (("model_1000", ""), ("model_1001", "/part-0.json")):
+        fs, path = file_system(spark, f"{parent}/{name}{file}")
+        fs.create(path).close() if file else fs.mkdirs(path)
+    rows = read_checkpoints(spark, parent, docs.select("doc_id").schema)
+    counts = rows.groupBy("checkpoint_num").agg(F.count("*").alias("n"))
+    return checkpoints.with_failed(checkpoint_dirs(spark, parent).select("checkpoint_num"), counts)
+
+
 @query(
     """SELECT lang, rl_step, row_number() OVER (PARTITION BY lang ORDER BY rl_step)::INT AS ordinal
        FROM (SELECT DISTINCT lang, 20 * CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS rl_step FROM documents) t"""
@@ -674,7 +779,8 @@ def positional_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = base(spark, sf, "documents").select("doc_id", "text")
     texts = prepare.from_position(order.with_position(order.column_order(docs, "doc_id")), 4).drop("position")
     solutions = fixture(spark, sf, "problems").select(F.col("id").alias("problem_id"), "solution")
-    return keyed_join(texts, solutions, "problem_id", spread_by=["doc_id"])
+    # At most four texts to a problem: no key can be hot.
+    return keyed_join(texts, solutions, "problem_id", spread_by=["doc_id"], hot_rows=None)
 
 
 # Answers.

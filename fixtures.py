@@ -9,11 +9,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 FIXTURES = {
-    # One problem per document; `type` is unnormalised on purpose.
+    # One problem per document; `type` is unnormalised on purpose. Every third answer is above 10^10, so
+    # that a wrong one differs by one part in 10^10.
     "problems": """
         SELECT doc_id AS id,
                text AS problem,
-               concat('The answer is ', chr(92), 'boxed{', CAST(doc_id % 10 AS VARCHAR(20)), '}.') AS solution,
+               concat('The answer is ', chr(92), 'boxed{', CAST(doc_id % 10 + CASE WHEN doc_id % 3 = 0 THEN 10000000000 ELSE 0 END AS VARCHAR(20)), '}.') AS solution,
                concat('Level ', CAST(1 + n_chars % 5 AS VARCHAR(20))) AS level,
                CASE lang WHEN 'en' THEN 'Algebra' WHEN 'fr' THEN 'Counting & Probability'
                          WHEN 'de' THEN ' Number Theory' ELSE 'Intermediate Algebra ' END AS type
@@ -33,10 +34,10 @@ FIXTURES = {
         SELECT id, sample_idx,
                concat(text, CASE
                  WHEN quality IS NULL THEN ''
-                 WHEN sample_idx = 0 THEN concat(' so ', chr(92), 'boxed{', CAST(id % 10 + 1 - quality AS VARCHAR(20)), '}')
-                 WHEN sample_idx = 1 THEN concat(' so ', chr(92), 'boxed{', chr(92), 'frac{', CAST(2 * (id % 10 + 1 - quality) AS VARCHAR(20)), '}{2}}')
-                 WHEN sample_idx = 2 THEN concat(' try ', chr(92), 'boxed{99} no, ', chr(92), 'boxed{', CAST(id % 10 + 1 - quality AS VARCHAR(20)), '.0}')
-                 ELSE concat(' so the answer is ', CAST(id % 10 + 1 - quality AS VARCHAR(20))) END) AS generated_solution,
+                 WHEN sample_idx = 0 THEN concat(' so ', chr(92), 'boxed{', CAST(id % 10 + CASE WHEN id % 3 = 0 THEN 10000000000 ELSE 0 END + 1 - quality AS VARCHAR(20)), '}')
+                 WHEN sample_idx = 1 THEN concat(' so ', chr(92), 'boxed{', chr(92), 'frac{', CAST(2 * (id % 10 + CASE WHEN id % 3 = 0 THEN 10000000000 ELSE 0 END + 1 - quality) AS VARCHAR(20)), '}{2}}')
+                 WHEN sample_idx = 2 THEN concat(' try ', chr(92), 'boxed{99} no, ', chr(92), 'boxed{', CAST(id % 10 + CASE WHEN id % 3 = 0 THEN 10000000000 ELSE 0 END + 1 - quality AS VARCHAR(20)), '.0}')
+                 ELSE concat(' so the answer is ', CAST(id % 10 + CASE WHEN id % 3 = 0 THEN 10000000000 ELSE 0 END + 1 - quality AS VARCHAR(20))) END) AS generated_solution,
                CAST(20 + n_chars % 97 AS BIGINT) AS prompt_tokens,
                CAST(floor(n_chars / 4) AS BIGINT) AS output_tokens,
                CASE WHEN quality = 1 THEN TRUE ELSE FALSE END AS is_correct,

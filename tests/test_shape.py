@@ -21,7 +21,7 @@ def plan_of(df) -> str:
 # One task over something small: bucket counts, the lines of a report, one-row totals.
 SINGLE_TASK = {
     "shuffle", "shuffled_examples", "positional_id", "positional_join", "report_text", "overall",
-    "parse_failures", "filter_report", "conservation", "steps_per_epoch", "length_stats_all",
+    "parse_failures", "filter_report", "input_contract", "conservation", "steps_per_epoch", "length_stats_all",
     "checkpoint_summary", "mean_length_curve", "accuracy_curve", "types",
 }
 
