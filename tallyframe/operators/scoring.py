@@ -72,7 +72,8 @@ def match_answers(outputs: DataFrame, examples: DataFrame, run: Sequence[str] =
         *[F.col(c).cast("bigint").alias(c) for c in ("output_tokens", "prompt_tokens")],
     )
     problems = with_categories(examples).select("id", *CATEGORIES, "solution")
-    gold = _with_answer(problems, "solution", "gold")
+    # Written once: the join measures it first and then reads it.
+    gold = written(_with_answer(problems, "solution", "gold"), "gold-answers")
     carried = [c for c in gold.columns if c.startswith("gold_")]
     return join_examples(_with_answer(samples, "generated_solution", "pred"), gold, *carried, **sizes)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from tallyframe.operators.accuracy import accuracy_report, problem_verdicts
 from tallyframe.operators.scoring import score_samples, solved_rows
 from tallyframe.plans.report import report_lines, write_report
+from tallyframe.session import written
 from tallyframe.sources.jsonl import write_jsonl
 from tallyframe.sources.sinks import run_name
 
@@ -41,6 +42,8 @@ def evaluate_generations(
     whatever is computed from them, and a lost executor does not repeat that work.
     """
     spark = outputs.sparkSession
+    if save_correct:  # read for the scores and again for the samples of solved problems
+        outputs = written(outputs, "generations")
     tag = f"{output_dir.rstrip('/')}/{run_name(spark, model, run_ts, split)}"
     results_path = f"{tag}.results.parquet"
     score_samples(outputs, examples).write.parquet(results_path)
