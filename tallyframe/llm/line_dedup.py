@@ -23,9 +23,9 @@ MIN_WORDS = 5
 EDIT_WORDS = 10
 _OTHER_SPACES = "\t\x0b\x0c\r"
 _MODULUS = 1 << 61
-# Documents of candidate lines are told from most others by this many hash values, so that the list of
+# What a join needs is told from most of the rest by this many hash values, so that the list of
 # them that is broadcast never exceeds this many rows.
-DOC_BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 
 def split_words(line: Column) -> Column:
@@ -96,6 +96,17 @@ def _variants(lines: DataFrame) -> DataFrame:
     return summed.select("at", F.inline(F.concat(F.array(itself), deletions)))
 
 
+def _shared_variants(variants: DataFrame) -> DataFrame:
+    """The variants whose key another line has as well; nearly all others are told by a list of bounded length."""
+    # A line may have the same variant several times, where a word repeats; that alone is no match.
+    line = F.xxhash64("at")
+    lines = variants.groupBy("len", "key").agg(F.min(line).alias("low"), F.max(line).alias("high"))
+    shared = written(lines.where("low != high").select("len", "key"), "shared_keys")
+    bucket = F.pmod(F.xxhash64("len", "key"), F.lit(BUCKETS)).alias("bucket")
+    likely = variants.select("*", bucket).join(F.broadcast(shared.select(bucket).distinct()), "bucket", "left_semi")
+    return written(likely.drop("bucket").join(shared, ["len", "key"], "left_semi"), "shared_variants")
+
+
 def _within_one_edit(a: Column, b: Column) -> Column:
     """One word inserted, deleted or replaced: common start and common end cover all but one word."""
     longer, shorter = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
@@ -116,7 +127,7 @@ def near_copies(lines: DataFrame) -> DataFrame:
     ``lines``: distinct lines (at, n, words). Lines without the same word at the same place are mutual
     near copies, so each meets only the earliest of them; a line with one word less is a single line.
     """
-    v = _variants(lines)
+    v = _shared_variants(_variants(lines))
     same_place = v.where("pos > 0").groupBy("len", "key", "pos").agg(F.min("at").alias("earliest"), F.count("*").alias("c")).where("c > 1")
     replaced = v.join(same_place, ["len", "key", "pos"]).where("at > earliest").select(F.col("at").alias("later"), F.col("earliest").alias("earlier"))
     whole = v.where("pos = 0").select("len", "key", F.col("at").alias("shorter"))
@@ -169,7 +180,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
 def _fetched(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(at, n, words) of the lines at the given places."""
     wanted = written(places.groupBy("doc", "th").agg(F.collect_set("line").alias("wanted")), "candidate_places")
-    bucket = F.pmod(F.xxhash64("doc", "th"), F.lit(DOC_BUCKETS)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("doc", "th"), F.lit(BUCKETS)).alias("bucket")
     texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
     texts = texts.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").alias("d")
     rows = texts.join(wanted.alias("w"), F.expr("d.doc <=> w.doc AND d.th = w.th")).select("d.doc", "d.th", "text", "wanted")
