@@ -7,13 +7,14 @@ must pass a length filter, a positional filter (what can still follow the shared
 filter (how the shingles spread over 64 parts of the hash space) before its sets are compared.
 
 Equal sets count once. As only components are asked for, pairs already connected are not compared: first
-each set meets the sets that lead most of its prefix shingles, then the rest of each shingle's
+each set meets the set that leads most of its prefix shingles, then the rest of each shingle's
 sets is compared between components - as pairs where few share the shingle, else in tasks of bounded
 blocks that give back links only.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ COUNTERS = 1 << 18
 _ROW = 4096
 # Bits of the filter that tells most sets without any shared prefix shingle, in words of 64.
 FILTER_WORDS = 1 << 18
-LEADERS = 2
+# Sets to fetch are told from most others by so many values of their hash.
+SET_BUCKETS = 1 << 18
 PAIRS_UP_TO = 32
 BLOCK = 2048
 _PARTS = 64
@@ -99,12 +101,12 @@ def _once(seen: set[int], sig: int) -> bool:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, sig, n, pos): the prefix of every set."""
+    """(token, sig, np): the prefix of every set; np packs the set's size and the shingle's place, see ``_unpacked``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, sigs, ns, places, rows = [], [], [], [], 0
+            tokens, sigs, packed, rows = [], [], [], 0
             for raw in batch["raw"]:
                 s = shingle_set(raw)
                 if not len(s) or not _once(seen, sig := set_hash(s)):
@@ -112,23 +114,32 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 prefix = ordered_prefix(s, counts)
                 tokens.append(prefix.view(np.int64))
                 sigs.append(np.full(len(prefix), sig, np.int64))
-                ns.append(np.full(len(prefix), len(s), np.int32))
-                places.append(np.arange(len(prefix), dtype=np.int32))
+                packed.append((len(s) << 32) + np.arange(len(prefix), dtype=np.int64))
                 rows += len(prefix)
                 if rows > 200_000:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "n": np.concatenate(ns), "pos": np.concatenate(places)})
-                    tokens, sigs, ns, places, rows = [], [], [], [], 0
+                    yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "np": np.concatenate(packed)})
+                    tokens, sigs, packed, rows = [], [], [], 0
             if rows:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "n": np.concatenate(ns), "pos": np.concatenate(places)})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "np": np.concatenate(packed)})
 
-    return docs.mapInPandas(run, "token long, sig long, n int, pos int")
+    return docs.mapInPandas(run, "token long, sig long, np long")
+
+
+def _unpacked(packed: str, n: str, pos: str) -> list:
+    return [F.shiftright(packed, 32).alias(n), F.col(packed).bitwiseAND(0xFFFFFFFF).alias(pos)]
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that stand in the prefixes of several sets."""
+    """Postings of shingles that stand in the prefixes of several sets, each with the shingle's leader.
+
+    The leader (lead, lead_np) is the set with the fewest rarer shingles. One shuffle serves for all of it.
+    """
     token = Window.partitionBy("token")
-    several = postings.withColumn("low", F.min("sig").over(token)).withColumn("high", F.max("sig").over(token)).where("low != high")
-    return written(several.select("token", "sig", "n", "pos").distinct(), "shared_postings")
+    before = F.lag("sig").over(token.orderBy("sig"))
+    once = postings.withColumn("before", before).where("before IS NULL OR before != sig").drop("before")
+    lead = F.min(F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"), F.shiftright("np", 32).alias("n"), F.col("sig").alias("lead"))).over(token)
+    several = once.withColumn("size", F.count("*").over(token)).withColumn("l", lead).where("size > 1")
+    return written(several.select("token", "sig", "np", "l.lead", (F.shiftleft("l.n", 32) + F.col("l.pos")).alias("lead_np")), "shared_postings")
 
 
 def _filter_bits(sig: np.ndarray) -> list[np.ndarray]:
@@ -139,9 +150,10 @@ def _filter_bits(sig: np.ndarray) -> list[np.ndarray]:
 
 
 def _needed_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(sig, n, spread, shingles) of the sets in ``shared``, and of a few others that pass the filter.
+    """(sig, n, spread, packed) of the sets in ``shared``, and of a few others that pass the filter.
 
-    The filter is a bitmap of fixed size, so that texts need not be shuffled to find them.
+    ``packed`` is the compressed text, a fraction of its hashed set's size. The filter is a bitmap
+    of fixed size, so that texts need not be shuffled to find them.
     """
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,17 +177,28 @@ def _needed_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 sig = set_hash(s)
                 marked = all(table[p[0] >> 6] >> (p[0] & 63) & 1 for p in _filter_bits(np.array([sig])))
                 if marked and _once(seen, sig):
-                    out.append((sig, len(s), _spread(s), s.tobytes()))
+                    out.append((sig, len(s), _spread(s), zlib.compress(raw, 1)))
             if out:
-                yield pd.DataFrame(out, columns=["sig", "n", "spread", "shingles"])
+                yield pd.DataFrame(out, columns=["sig", "n", "spread", "packed"])
 
-    found = texts.select("raw").mapInPandas(run, "sig long, n long, spread binary, shingles binary")
+    found = texts.select("raw").mapInPandas(run, "sig long, n long, spread binary, packed binary")
     return written(found.dropDuplicates(["sig"]), "needed_sets")
 
 
+def _set_of(packed: bytes) -> np.ndarray:
+    return shingle_set(zlib.decompress(packed))
+
+
+def _only(sets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The sets of ``sigs`` and a few more: what is told from them by a list of bounded length is not shuffled."""
+    bucket = F.pmod(F.col("sig"), F.lit(SET_BUCKETS)).alias("bucket")
+    return sets.withColumn("bucket", bucket).join(F.broadcast(sigs.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of the pairs that pass the suffix filter and whose sets are similar enough."""
-    spreads = sets.select("sig", "n", "spread")
+    sigs = pairs.select(F.explode(F.array("u", "v")).alias("sig"))
+    spreads = _only(sets.select("sig", "n", "spread"), sigs)
     a, b = (spreads.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("spread").alias(f"s{k}")) for k in "uv")
 
     def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,18 +207,16 @@ def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), _PARTS).astype(np.int64) for c in ("su", "sv"))
                 yield batch.loc[_enough(_most_shared(x, y), batch["nu"].to_numpy(), batch["nv"].to_numpy()), ["u", "v"]]
 
-    likely = pairs.join(a, "u").join(b, "v").mapInPandas(may_link, "u long, v long")
+    likely = written(pairs.join(a, "u").join(b, "v").mapInPandas(may_link, "u long, v long"), "likely_pairs")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [
-                linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["xu"], batch["xv"])
-            ]
+            keep = [linked(_set_of(x), _set_of(y)) for x, y in zip(batch["xu"], batch["xv"])]
             yield batch.loc[np.array(keep, bool), ["u", "v"]]
 
-    content = sets.select("sig", "shingles")
-    full = likely.join(content.select(F.col("sig").alias("u"), F.col("shingles").alias("xu")), "u")
-    full = full.join(content.select(F.col("sig").alias("v"), F.col("shingles").alias("xv")), "v")
+    content = _only(sets.select("sig", "packed"), likely.select(F.explode(F.array("u", "v")).alias("sig")))
+    full = likely.join(content.select(F.col("sig").alias("u"), F.col("packed").alias("xu")), "u")
+    full = full.join(content.select(F.col("sig").alias("v"), F.col("packed").alias("xv")), "v")
     return full.mapInPandas(similar, "u long, v long")
 
 
@@ -227,22 +248,21 @@ _FILTERS = f"""{PERCENT} * greatest({{0}}.n, {{1}}.n) <= 100 * least({{0}}.n, {{
 
 
 def _leader_pairs(shared: DataFrame) -> DataFrame:
-    """Each set with the few sets that lead most of its shingles: those with the fewest rarer shingles."""
-    lead = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "sig")).alias("l")).select("token", "l.*")
-    met = shared.alias("s").join(lead.alias("l"), F.expr("s.token = l.token AND s.sig != l.sig AND " + _FILTERS.format("s", "l")))
-    votes = met.groupBy(F.col("s.sig").alias("u"), F.col("l.sig").alias("v")).count()
-    order = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("count"), "v"))
-    best = votes.withColumn("r", order).where(F.col("r") <= LEADERS)
-    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    """Each set with the set that leads most of its shingles, as far as the filters let it."""
+    rows = shared.where("sig != lead").select("sig", "lead", *_unpacked("np", "n", "pos"), *_unpacked("lead_np", "lead_n", "lead_pos"))
+    rows = rows.select("sig", "lead", F.struct("n", "pos").alias("s"), F.struct(F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos")).alias("l"))
+    votes = rows.where(_FILTERS.format("s", "l")).groupBy("sig", "lead").count()
+    best = votes.groupBy("sig").agg(F.max(F.struct("count", "lead")).alias("b"))
+    return best.select(F.least("sig", "b.lead").alias("u"), F.greatest("sig", "b.lead").alias("v")).distinct()
 
 
 def _open_postings(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(token, sig, n, pos, comp, size): postings of shingles whose sets are not all in one component."""
-    labelled = shared.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select(
-        "token", "sig", "n", "pos", F.coalesce("root", "sig").alias("comp")
-    )
-    groups = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high")
-    return labelled.join(groups.select("token", "size"), "token")
+    labelled = shared.select("token", "sig", "np").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    labelled = labelled.select("token", "sig", "np", F.coalesce("root", "sig").alias("comp"))
+    token = Window.partitionBy("token")
+    over = labelled.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "size": F.count("*").over(token)})
+    return over.where("low != high").select("token", "sig", *_unpacked("np", "n", "pos"), "comp", "size")
 
 
 def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,10 +275,12 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
     mine = per_token.withColumn("block", F.pmod(F.xxhash64("sig", "token"), F.col("blocks")).cast("int"))
     # Block b meets the blocks from b on; a row goes to (i, b) for i up to b and to (b, j) for j beyond.
     cells = mine.withColumn("cell", F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) AS i, greatest(i, block) AS j))")))
-    earlier = shared.groupBy("sig").agg(F.collect_list(F.struct("pos", "token")).alias("tokens"))
-    rows = cells.join(earlier, "sig").join(sets.select("sig", "spread", "shingles"), "sig")
+    sigs = written(postings.select("sig").distinct(), "open_sets")
+    earlier = shared.join(sigs, "sig", "left_semi").select("sig", "token", *_unpacked("np", "n", "pos"))
+    earlier = earlier.groupBy("sig").agg(F.collect_list(F.struct("pos", "token")).alias("tokens"))
+    rows = cells.join(earlier, "sig").join(_only(sets.select("sig", "spread", "packed"), sigs), "sig")
     rows = rows.select(
-        "token", "cell.i", "cell.j", "block", "sig", "n", "pos", "comp", "spread", "shingles",
+        "token", "cell.i", "cell.j", "block", "sig", "n", "pos", "comp", "spread", "packed",
         F.expr("transform(filter(tokens, t -> t.pos < pos), t -> t.token)").alias("before"),
     )
 
@@ -267,7 +289,13 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
         n, pos, comp, block = (cell[c].to_numpy().copy() for c in ("n", "pos", "comp", "block"))
         spread = np.frombuffer(b"".join(cell["spread"]), np.uint16).reshape(len(cell), _PARTS).astype(np.int64)
         across = cell["i"].iat[0] != cell["j"].iat[0]
-        sets_of = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
+        sets_of: dict[int, np.ndarray] = {}
+
+        def set_at(i: int) -> np.ndarray:
+            if i not in sets_of:
+                sets_of[i] = _set_of(cell["packed"].iat[i])
+            return sets_of[i]
+
         before = [frozenset(x) for x in cell["before"]]
         found = []
         for x in range(1, len(cell)):
@@ -279,7 +307,7 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
             if len(y):
                 y = y[_enough(_most_shared(spread[y], spread[x]), n[y], n[x])]
             for other in y.tolist():
-                if comp[other] != comp[x] and before[other].isdisjoint(before[x]) and linked(sets_of[other], sets_of[x]):
+                if comp[other] != comp[x] and before[other].isdisjoint(before[x]) and linked(set_at(other), set_at(x)):
                     found.append((cell["sig"].iat[other], cell["sig"].iat[x]))
                     comp[comp == comp[x]] = comp[other]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")

@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse modulo 2^64, at least n of them."""
     size = 1 << max(14, (n - 1).bit_length())
     if size not in _POWERS:
@@ -46,7 +46,7 @@ def _chunk_hashes(raw: bytes) -> np.ndarray:
     space = np.concatenate(([True], _SPACE[b], [True]))
     turns = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = turns[::2], turns[1::2]
-    power, inverse = _powers(len(b))
+    power, inverse = powers(len(b))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)))
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
