@@ -4,7 +4,9 @@ Texts are compared in small letters with every run of blanks as one. An item of
 text if some part of the text is at most ``k = floor(m * error_rate)`` insertions, deletions or
 replacements away. By the q-gram lemma that part shares at least ``m + 1 - q * (k + 1)`` q-grams with the
 item, on diagonals at most k apart. So shared q-grams are counted in overlapping bands of diagonals, and
-only regions that reach the bound are aligned, within their band.
+only regions that reach the bound are aligned, within their band. To spare most texts the count, it starts with
+q-grams of the item that do not overlap: k edits spoil at most k of them, so enough others must lie on
+near diagonals.
 
 Items go to the tasks in blocks of bounded size; texts are read where they are and never shuffled.
 """
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shingles import mixed
+from tallyframe.llm.shingles import powers
 
 ERROR_RATE = 0.1
 # Items with fewer characters are too short to tell a leak from chance.
@@ -39,13 +41,13 @@ def codes(text: str) -> np.ndarray:
 
 
 def qgrams(chars: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the q characters from each place on."""
-    if len(chars) < q:
+    """Hash of the q characters from each place on, from sums of powers over the whole text."""
+    n = len(chars) - q + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    h = chars[: len(chars) - q + 1].astype(np.uint64)
-    for i in range(1, q):
-        h = h * _FACTOR + chars[i : len(chars) - q + 1 + i]
-    return mixed(h)
+    power, inverse = powers(len(chars))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars + _FACTOR) * power[: len(chars)], dtype=np.uint64)))
+    return (sums[q:] - sums[:-q]) * inverse[:n] * _FACTOR
 
 
 @dataclass
@@ -54,6 +56,9 @@ class Item:
     chars: np.ndarray
     edits: int
     least: int  # shared q-grams that a leak has at least
+    least_side_by_side: int  # the same of q-grams that do not overlap
+    hashes: np.ndarray  # q-grams in order of their hash, and their places
+    places: np.ndarray
 
 
 class ItemIndex:
@@ -61,16 +66,22 @@ class ItemIndex:
 
     def __init__(self, rows: list[tuple[int, str]], error_rate: float = ERROR_RATE):
         texts = [(i, codes(normalised(t))) for i, t in rows]
-        texts = [(i, c) for i, c in texts if len(c) >= MIN_CHARS]
-        limits = [int(len(c) * error_rate) for _, c in texts]
-        self.q = max(3, min([12, *((len(c) + 1 - 4) // (k + 1) for (_, c), k in zip(texts, limits))]))
-        self.items = [Item(i, c, k, max(1, len(c) + 1 - self.q * (k + 1))) for (i, c), k in zip(texts, limits)]
-        grams = [qgrams(item.chars, self.q) for item in self.items]
-        hashes = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        owners = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        places = np.concatenate([np.arange(len(g)) for g in grams]) if grams else owners
+        texts = [(i, c, int(len(c) * error_rate)) for i, c in texts if len(c) >= MIN_CHARS]
+        self.q = q = max(3, min([12, *((len(c) + 1 - 4) // (k + 1) for _, c, k in texts)]))
+        self.items, sides = [], []
+        for item_id, chars, k in texts:
+            grams = qgrams(chars, q)
+            order = np.argsort(grams, kind="stable")
+            side_by_side = grams[::q]
+            self.items.append(Item(item_id, chars, k, max(1, len(grams) - q * k), max(1, len(side_by_side) - k), grams[order], order))
+            sides.append(side_by_side)
+        hashes = np.concatenate(sides) if sides else np.empty(0, np.uint64)
+        owners = np.repeat(np.arange(len(sides)), [len(g) for g in sides])
+        offsets = np.concatenate([q * np.arange(len(g)) for g in sides]) if sides else owners
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
+        self.hashes, self.owners, self.offsets = hashes[order], owners[order], offsets[order]
+        self.edits = np.array([item.edits for item in self.items], np.int64)
+        self.needed = np.array([item.least_side_by_side for item in self.items], np.int64)
         self.known = np.zeros(1 << _TABLE_BITS, bool)
         self.known[self._slot(hashes)] = True
 
@@ -81,36 +92,78 @@ class ItemIndex:
         """(item_id, start, end, edits) of the best region of each item in the normalised text."""
         chars = codes(normalised(text))
         grams = qgrams(chars, self.q)
-        at = np.flatnonzero(self.known[self._slot(grams)]) if len(grams) else np.empty(0, np.int64)
-        low = np.searchsorted(self.hashes, grams[at], "left")
-        many = np.searchsorted(self.hashes, grams[at], "right") - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
-        if not len(at):
+        if not len(grams) or not self.items:
             return []
-        entry = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        place, owner = np.repeat(at, many), self.owners[entry]
-        diagonal = place - self.places[entry]
-        counts = np.bincount(owner, minlength=len(self.items))
-        found = []
-        for o in np.flatnonzero(counts >= [item.least for item in self.items]).tolist():
-            best = self._best(chars, self.items[o], np.sort(diagonal[owner == o]))
-            if best:
-                found.append(best)
-        return found
-
-    def _best(self, chars: np.ndarray, item: Item, diagonals: np.ndarray) -> tuple[int, int, int, int] | None:
-        """Bands of 2k + 1 diagonals that overlap by half hold every leak's q-grams, which spread over k + 1 at most."""
-        width, best = 2 * item.edits + 1, None
-        step = item.edits + 1
+        best: dict[int, tuple[int, int, int]] = {}
+        for o, low, high in self._regions(grams):
+            item = self.items[o]
+            if o in best and best[o][2] == 0:
+                continue
+            start = max(0, low)
+            part = grams[start : max(start, high + len(item.chars))]
+            first = np.searchsorted(item.hashes, part, "left")
+            at, entry = _expanded(first, np.searchsorted(item.hashes, part, "right") - first)
+            diagonals = start + at - item.places[entry]
+            inside = np.flatnonzero((diagonals >= low) & (diagonals <= high))
+            inside = inside[np.argsort(diagonals[inside], kind="stable")]
+            hit = self._best(chars, item, diagonals[inside], item.places[entry[inside]])
+            if hit and (o not in best or hit[2] < best[o][2]):
+                best[o] = hit
+        return [(self.items[o].item_id, *best[o]) for o in sorted(best)]
+
+    def _regions(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first diagonal, last diagonal) where enough q-grams that do not overlap lie near each other."""
+        at = np.flatnonzero(self.known[self._slot(grams)])
+        first = np.searchsorted(self.hashes, grams[at], "left")
+        which, entry = _expanded(first, np.searchsorted(self.hashes, grams[at], "right") - first)
+        owner, diagonal = self.owners[entry], at[which] - self.offsets[entry]
+        order = np.lexsort((diagonal, owner))
+        owner, diagonal = owner[order], diagonal[order]
+        last = np.arange(len(owner)) + self.needed[owner] - 1
+        begin = np.flatnonzero(last < len(owner))
+        end = last[begin]
+        near = (owner[end] == owner[begin]) & (diagonal[end] - diagonal[begin] <= self.edits[owner[begin]])
+        regions: list[tuple[int, int, int]] = []
+        for b, e in zip(begin[near].tolist(), end[near].tolist()):
+            o = int(owner[b])
+            low, high = int(diagonal[b] - self.edits[o]), int(diagonal[e] + self.edits[o])
+            if regions and regions[-1][0] == o and low <= regions[-1][2]:
+                regions[-1] = (o, regions[-1][1], high)
+            else:
+                regions.append((o, low, high))
+        return regions
+
+    def _best(self, chars: np.ndarray, item: Item, diagonals: np.ndarray, places: np.ndarray) -> tuple[int, int, int] | None:
+        """(start, end, edits). Bands of 2k + 1 diagonals that overlap by half hold every leak's q-grams, which spread over k + 1 at most.
+
+        A q-gram of the item counts once in a band, however often the text has it there.
+        """
+        if not len(diagonals):
+            return None
+        values, counts = np.unique(diagonals, return_counts=True)
+        top = int(values[counts.argmax()])
+        if top >= 0 and np.array_equal(chars[top : top + len(item.chars)], item.chars):
+            return top, top + len(item.chars), 0
+        width, step, best = 2 * item.edits + 1, item.edits + 1, None
         starts = np.unique(np.concatenate((diagonals // step, diagonals // step - 1))) * step
-        held = np.searchsorted(diagonals, starts + width, "left") - np.searchsorted(diagonals, starts, "left")
-        for start in starts[held >= item.least].tolist():
+        first, last = np.searchsorted(diagonals, starts, "left"), np.searchsorted(diagonals, starts + width, "left")
+        for start, a, b in zip(starts.tolist(), first.tolist(), last.tolist()):
+            if b - a < item.least or len(np.unique(places[a:b])) < item.least:
+                continue
             hit = banded_alignment(chars, item.chars, start, start + width - 1, item.edits)
-            if hit and (best is None or hit[2] < best[3]):
-                best = (item.item_id, *hit)
+            if hit and (best is None or hit[2] < best[2]):
+                best = hit
         return best
 
 
+def _expanded(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each range of ``many`` entries from ``first`` on, and the entries, one after the other."""
+    at = np.flatnonzero(many)
+    first, many = first[at], many[at]
+    entry = np.repeat(first - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())
+    return np.repeat(at, many), entry
+
+
 def banded_alignment(text: np.ndarray, item: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best part of the text for the whole item on diagonals low to high.
 
