@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.html_blocks import Block, blocks
+from tallyframe.llm.sampling import thinned
 
 SAMPLE_PAGES = 300
 # Larger pages are not trained on, nor what a page has beyond so many blocks.
@@ -360,8 +361,10 @@ def train(sample: list[str]) -> Labeller:
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
     """A labeller from the ``sample_pages`` pages that come first by hash, of those up to SAMPLE_BYTES."""
-    small = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("html", F.xxhash64("page_id", "url").alias("h"))
-    return train([r["html"] for r in small.orderBy("h", "html").limit(sample_pages).collect()])
+    small = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", "url", "html")
+    few = thinned(small, sample_pages, small.count(), "page_id", "url").groupBy("page_id", "url").agg(F.min("html").alias("html"))
+    chosen = few.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_pages)
+    return train([r["html"] for r in chosen.select("html").collect()])
 
 
 def main_texts(pages: DataFrame, labeller: Labeller) -> DataFrame:

@@ -14,6 +14,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+def thinned(rows: DataFrame, wanted: int, total: int, *keys: str) -> DataFrame:
+    """About twice ``wanted`` of ``total`` rows, by the hash of their keys, so that a limit has few rows to sort.
+
+    Rows with equal keys stay or go together.
+    """
+    if total <= 4 * wanted:
+        return rows
+    spread = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 31))
+    return rows.where(spread < (1 << 32) * wanted // total)
+
+
 def class_sample(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """(doc_id, label): at most ``rows_per_class`` ids of each class 0 and 1, the first by hash.
 
@@ -28,5 +39,7 @@ def class_sample(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> D
         .select("doc_id", "label")
     )
     seeded = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    parts = [known.where(F.col("label") == c).orderBy(seeded, "doc_id").limit(rows_per_class) for c in (0, 1)]
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    of_class = {c: thinned(known.where(F.col("label") == c), rows_per_class, totals.get(c, 0), "doc_id") for c in (0, 1)}
+    parts = [of_class[c].orderBy(seeded, "doc_id").limit(rows_per_class) for c in (0, 1)]
     return parts[0].unionByName(parts[1])

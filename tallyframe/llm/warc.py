@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.sampling import thinned
 from tallyframe.session import shared_dir, written
 
 DICTIONARY_BYTES = 64 * 1024
@@ -195,8 +196,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     A null html is an empty payload, a null url or id leaves its field out. Repeated rows each get a record;
     one of them is the response. Other columns do not matter; an empty table writes no archive.
     """
-    sample = pages.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE_RECORDS)
-    sample = sample.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("binary"), F.lit(b"")), 1, SAMPLE_BYTES).alias("payload"))
+    head = F.substring(F.coalesce(F.col("html").cast("binary"), F.lit(b"")), 1, SAMPLE_BYTES).alias("payload")
+    few = thinned(pages.select("page_id", "url", head), SAMPLE_RECORDS, pages.count(), "page_id", "url")
+    few = few.groupBy("page_id", "url").agg(F.min("payload").alias("payload"))
+    sample = few.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE_RECORDS)
     dictionary = train_dictionary([record("response", r["page_id"], r["url"], bytes(r["payload"]), None) for r in sample.collect()])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,3 +66,69 @@ def test_documents_that_lose_all_their_text_go(spark):
     docs = docs_of(spark, [line, line, f"{line}\nown", "", None])
     got = corpus_pipeline.drop_lines(spark, docs, SF_DIR)
     assert rows_of(got, "doc_id", "text", "n_chars") == sorted([(0, line, len(line)), (2, "own", 3), (3, "", 0), (4, None, None)], key=repr)
+
+
+def within_one_word(a, b):
+    if a == b:
+        return True
+    if min(len(a), len(b)) < 10 or abs(len(a) - len(b)) > 1:
+        return False
+    longer, shorter = sorted((a, b), key=len, reverse=True)
+    i = next((i for i, (x, y) in enumerate(zip(longer, shorter)) if x != y), len(shorter))
+    return longer[i + 1 :] == shorter[i + (len(longer) == len(shorter)) :]
+
+
+def without_lines(rows):
+    """Rows (id, text) without lines that an earlier line of all rows is equal or near to."""
+    seen, by_words, out = [], {}, []
+    for doc_id, text in sorted(rows):
+        kept = []
+        for line in text.split("\n"):
+            w = line.split()
+            near = len(w) >= 5 and (tuple(w) in by_words or any(len(a ^ set(w)) <= 2 and within_one_word(v, w) for a, v in seen if abs(len(v) - len(w)) <= 1))
+            if len(w) >= 5 and tuple(w) not in by_words:
+                by_words[tuple(w)] = True
+                seen.append((set(w), w))
+            if not near:
+                kept.append(line)
+        if kept or not text:
+            out.append((doc_id, "\n".join(kept)))
+    return out
+
+
+def one_of_each_component(rows):
+    sets = {}
+    for doc_id, text in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+        sets[doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            if sets[i] and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return [(i, t) for i, t in rows if root[i] == i]
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage by a plain loop over the rows that the one before has left; the last one by its SQL."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = corpus_pipeline.toxicity.fit(docs, queries.labels_of(spark, SF_DIR, "toxic", 5, 0))
+    items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    loops = {
+        "toxicity": lambda rows: [r for r in rows if model.score(r[1]) < 0.5],
+        "line_dedup": without_lines,
+        "jaccard_join": one_of_each_component,
+        "decontaminate": lambda rows: [r for r in rows if not any(item in " ".join(r[1].lower().split()) for item in items)],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        left = docs
+        docs = corpus_pipeline.written(stage(spark, docs, SF_DIR), f"brute_{name}")
+        if name in loops:
+            assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted(loops[name](before)), name
+    con = duckdb.connect()
+    con.register("documents", left.toPandas())
+    want = con.execute(f"SELECT doc_id, epoch FROM ({queries.ORACLES['op6_mixing']}) m").fetchall()
+    assert rows_of(docs, "doc_id", "epoch") == sorted(want, key=repr)
