@@ -28,6 +28,8 @@ ERROR_RATE = 0.1
 MIN_CHARS = 40
 # Characters of items that are sent to the tasks at a time.
 BLOCK_CHARS = 4_000_000
+# Characters of a text that are searched at a time.
+PIECE_CHARS = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 
@@ -89,12 +91,27 @@ class ItemIndex:
         return (hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of the best region of each item in the normalised text."""
+        """(item_id, start, end, edits) of the best region of each item in the normalised text.
+
+        Long texts are searched in pieces that overlap by more than a leak's length.
+        """
         chars = codes(normalised(text))
-        grams = qgrams(chars, self.q)
-        if not len(grams) or not self.items:
+        if not self.items:
             return []
+        overlap = max(len(item.chars) + item.edits for item in self.items)
         best: dict[int, tuple[int, int, int]] = {}
+        for begin in range(0, max(1, len(chars) - overlap), PIECE_CHARS):
+            for o, (start, end, edits) in self._search(chars[begin : begin + PIECE_CHARS + overlap]).items():
+                if o not in best or edits < best[o][2]:
+                    best[o] = (begin + start, begin + end, edits)
+        return [(self.items[o].item_id, *best[o]) for o in sorted(best)]
+
+    def _search(self, chars: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """(start, end, edits) of the best region of each item, by the item's place."""
+        grams = qgrams(chars, self.q)
+        best: dict[int, tuple[int, int, int]] = {}
+        if not len(grams):
+            return best
         for o, low, high in self._regions(grams):
             item = self.items[o]
             if o in best and best[o][2] == 0:
@@ -109,7 +126,7 @@ class ItemIndex:
             hit = self._best(chars, item, diagonals[inside], item.places[entry[inside]])
             if hit and (o not in best or hit[2] < best[o][2]):
                 best[o] = hit
-        return [(self.items[o].item_id, *best[o]) for o in sorted(best)]
+        return best
 
     def _regions(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) where enough q-grams that do not overlap lie near each other."""

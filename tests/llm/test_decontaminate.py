@@ -51,6 +51,16 @@ def test_equals_full_search(seed):
         assert {(i, e) for i, _, _, e in index.leaks(whole)} == want
 
 
+def test_pieces_of_a_long_text_give_the_same(monkeypatch):
+    items = [(i, text(12, 80 + i)) for i in range(6)]
+    whole = " ".join(f"{text(40, i)} {spoiled(items[i % 6][1], i % 4, random.Random(i))}" for i in range(12))
+    index = ItemIndex(items)
+    at_once = index.leaks(whole)
+    for size in (100, 173, 1000):
+        monkeypatch.setattr("tallyframe.llm.decontaminate.PIECE_CHARS", size)
+        assert index.leaks(whole) == at_once and len(at_once) == 6
+
+
 def test_region_and_case(spark):
     item = text(20, 1)
     docs = docs_of(spark, [f"Before it. {item.upper()}\n after", text(60, 2)])
