@@ -7,8 +7,8 @@ hash, line number). Lines under ``min_words`` words take no part and stay.
 
 Everything is a column expression: a line emits a hashed key for itself and for each variant with one
 word left out, lines with equal keys meet, and the word edit distance of each pair is checked. The
-keys come from sums of word-pair hashes, so that a variant costs a few additions and not a new pass
-over the line. Only lines that share their first or last half with another line emit variants: one
+keys come from running sums of hashes of words with their places, so that a variant costs a few additions
+and not a new pass over the line, and words in another order give another key. Only lines that share their first or last half with another line emit variants: one
 edit leaves one of the halves as it is, so no pair is lost.
 """
 
@@ -63,36 +63,39 @@ def _half_keys(edit_words: int) -> Column:
     )
 
 
-def _pair_hash(a: Column, b: Column) -> Column:
-    return F.pmod(F.xxhash64(a, b), F.lit(_MODULUS))
+def _sum(a: Column, b: Column) -> Column:
+    return F.pmod(a + b, F.lit(_MODULUS))
+
+
+def _running(first: Column, values: Column) -> Column:
+    """``first`` and its sum with the first value, the first two values and so on."""
+    return F.aggregate(values, F.array(first), lambda sums, x: F.array_append(sums, _sum(F.element_at(sums, -1), x)))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """(len, key, pos, at): the whole line (pos 0) and the line without its word ``pos``.
 
-    ``key`` sums the hashes of neighbouring words; leaving a word out takes two of them away and adds
-    one. ``at`` is the line's place and identity.
+    ``key`` sums hashes of each word with its place. Leaving a word out moves all words behind it down by one
+    place: with ``down`` the hashes at the lower places, the key is the sum of all of ``down`` without the
+    word's, and of what staying adds for each word before it. ``at`` is the line's place and identity.
     """
-    p = F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit("")))
-    padded = lines.select("at", "n", p.alias("p"))
-    summed = padded.withColumn(
-        "whole",
-        F.aggregate(
-            F.transform(F.slice("p", 2, F.col("n") + 1), lambda w, i: _pair_hash(F.get("p", i), w)),
-            F.lit(0).cast("long"),
-            lambda total, h: F.pmod(total + h, F.lit(_MODULUS)),
-        ),
-    )
-
-    def without(word: Column, i: Column) -> Column:
-        before, after = F.get("p", i), F.get("p", i + 2)
-        less = F.pmod(F.col("whole") - _pair_hash(before, word) + _MODULUS, F.lit(_MODULUS))
-        less = F.pmod(less - _pair_hash(word, after) + _MODULUS, F.lit(_MODULUS))
-        key = F.pmod(less + _pair_hash(before, after), F.lit(_MODULUS))
-        return F.struct((F.col("n") - 1).alias("len"), key.alias("key"), (i + 1).alias("pos"))
 
-    itself = F.struct(F.col("n").alias("len"), F.col("whole").alias("key"), F.lit(0).alias("pos"))
-    deletions = F.transform(F.slice("p", 2, F.col("n")), without)
+    def placed(w: Column, place: Column) -> Column:
+        return F.pmod(F.xxhash64(w, place), F.lit(_MODULUS))
+
+    adds = F.transform("words", lambda w, i: F.pmod(placed(w, i + 1) - placed(w, i), F.lit(_MODULUS)))
+    hashed = lines.select("at", "n", F.transform("words", placed).alias("down"), adds.alias("adds"), F.ceil(F.sqrt("n")).cast("int").alias("size"))
+    # Adding to an array copies it, so the running sums are taken in about sqrt(n) parts.
+    parts = F.transform(F.sequence(F.lit(0), F.expr("n div size").cast("int")), lambda k: F.slice("adds", k * F.col("size") + 1, F.col("size")))
+    zero = F.lit(0).cast("long")
+    parted = hashed.select("at", "n", "size", "down", F.transform(parts, lambda part: _running(zero, part)).alias("parts"))
+    starts = _running(F.aggregate("down", zero, _sum), F.transform("parts", lambda part: F.element_at(part, -1)))
+    before = F.zip_with("parts", F.slice(starts, 1, F.size("parts")), lambda part, start: F.transform(F.slice(part, 1, F.col("size")), lambda x: _sum(x, start)))
+    # The sum of ``down`` and of what the words before each place add; the last one is the whole line's.
+    summed = parted.select("at", "n", "down", F.flatten(before).alias("before"))
+    itself = F.struct(F.col("n").alias("len"), F.element_at("before", -1).alias("key"), F.lit(0).alias("pos"))
+    keys = F.zip_with(F.slice("before", 1, F.col("n")), "down", lambda sums, own: F.pmod(sums - own, F.lit(_MODULUS)))
+    deletions = F.transform(keys, lambda key, i: F.struct((F.col("n") - 1).alias("len"), key.alias("key"), (i + 1).alias("pos")))
     return summed.select("at", F.inline(F.concat(F.array(itself), deletions)))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import AWKWARD, docs_of, rows_of, text, with_clashes, words
 
-from tallyframe.llm.line_dedup import drop_repeated_lines
+from tallyframe.llm.line_dedup import _variants, drop_repeated_lines
 
 
 def edit_distance(a, b):
@@ -59,6 +59,27 @@ def test_equals_all_pairs(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_force(texts)
 
 
+def test_words_in_another_order_do_not_hide_a_near_copy(spark):
+    texts = [
+        "home | sport | news | weather | shop | login",
+        "home | news | sport | weather | shop | login",
+        "home | news | sport | weather | shop | logout",
+    ]
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == brute_force(texts) == [*texts[:2], ""]
+
+
+def test_variant_keys_are_those_of_the_words_left(spark):
+    lines = [["a", "b"] * 6, ["b", "a"] * 6, ["same"] * 13, *(words(n, 5) for n in (1, 2, 3, 9, 10, 16, 17, 50))]
+    rows = [(i, len(w), w) for i, w in enumerate(lines)]
+    found = _variants(spark.createDataFrame(rows, "at int, n int, words array<string>")).collect()
+    left = {(r["at"], r["pos"]): (r["len"], r["key"]) for r in found}
+    wanted = {(i, p): tuple(w if p == 0 else w[: p - 1] + w[p:]) for i, n, w in rows for p in range(n + 1)}
+    assert len(found) == len(left) and left.keys() == wanted.keys()
+    assert all(left[k][0] == len(w) for k, w in wanted.items())
+    assert len(set(wanted.values())) == len(set(left.values())) == len({(wanted[k], left[k]) for k in left})
+
+
 def test_awkward_texts_repeated_rows_and_clashing_columns(spark):
     line = text(15, 3)
     repeated = [(100, line, "en", "s", 1), (100, line, "en", "s", 1), (None, line, None, None, None), (7, None, None, None, None)]
