@@ -3,7 +3,8 @@
 Lines are compared as sequences of words. Two lines are copies if their words are equal; they are
 near copies if both have at least ``edit_words`` words and one word inserted, deleted or replaced turns
 one into the other. A line goes if a copy or near copy stands earlier, in the order of (doc_id, text
-hash, line number). Lines under ``min_words`` words take no part and stay.
+hash, line number). Lines under ``min_words`` words take no part and stay, unless their words have
+``min_word_chars`` characters or more on average, as those of scripts without blanks, addresses and long tokens have.
 
 Everything is a column expression: a line emits a hashed key for itself and for each variant with one
 word left out, lines with equal keys meet, and the word edit distance of each pair is checked. The
@@ -21,6 +22,8 @@ from tallyframe.session import written
 
 MIN_WORDS = 5
 EDIT_WORDS = 10
+# Words of this many characters on average are no short sentence of a script that puts blanks between words.
+MIN_WORD_CHARS = 20
 _OTHER_SPACES = "\t\x0b\x0c\r"
 _MODULUS = 1 << 61
 # What a join needs is told from most of the rest by this many hash values, so that the list of
@@ -149,11 +152,13 @@ def near_copies(lines: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, min_word_chars: int = MIN_WORD_CHARS) -> DataFrame:
     """(doc, th, line) of every line with an earlier copy or near copy; ``th`` is the text's hash."""
     if edit_words < 4 or edit_words % 2:
         raise ValueError("edit_words must be an even number from 4")
-    lines = _line_rows(docs).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    chars = F.aggregate("words", F.lit(0), lambda total, w: total + F.length(w))
+    unspaced = F.when((F.col("n") > 0) & (F.col("n") < min_words), chars >= F.col("n") * min_word_chars)
+    lines = _line_rows(docs).withColumn("n", F.size("words")).where((F.col("n") >= min_words) | unspaced)
     known = written(
         lines.select("doc", "th", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _half_keys(edit_words).alias("halves")),
         "lines",
@@ -193,7 +198,9 @@ def _fetched(docs: DataFrame, places: DataFrame) -> DataFrame:
     return lines.select("at", F.size("words").alias("n"), "words")
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, min_word_chars: int = MIN_WORD_CHARS
+) -> DataFrame:
     """The documents without their repeated lines, and ``n_lines`` and ``n_dropped``.
 
     Takes any table with ``doc_id`` and ``text``; other columns pass through (``n_lines`` and
@@ -204,7 +211,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words:
     """
     docs = docs.drop("n_lines", "n_dropped")
     gone = (
-        repeated_lines(docs.select("doc_id", "text"), min_words, edit_words)
+        repeated_lines(docs.select("doc_id", "text"), min_words, edit_words, min_word_chars)
         .groupBy("doc", "th")
         .agg(F.collect_set("line").alias("gone"))
         .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))

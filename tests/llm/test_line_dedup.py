@@ -80,6 +80,14 @@ def test_variant_keys_are_those_of_the_words_left(spark):
     assert len(set(wanted.values())) == len(set(left.values())) == len({(wanted[k], left[k]) for k in left})
 
 
+def test_copies_of_long_lines_without_blanks_go(spark):
+    thai, address = "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรคระหว่างคำ", "see https://example.org/a/very/long/address/of/one/page"
+    lines = [thai, address, "中文的句子之间没有空格所以整行只是一个很长的词语", "Thanks for reading", "short", "", " "]
+    out = drop_repeated_lines(docs_of(spark, ["\n".join(lines), "\n".join(reversed(lines)), thai + "x"]))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {0: "\n".join(lines), 1: "\n".join(reversed(lines[3:])), 2: thai + "x"}
+
+
 def test_awkward_texts_repeated_rows_and_clashing_columns(spark):
     line = text(15, 3)
     repeated = [(100, line, "en", "s", 1), (100, line, "en", "s", 1), (None, line, None, None, None), (7, None, None, None, None)]
