@@ -8,13 +8,19 @@ only regions that reach the bound are aligned, within their band. To spare most
 q-grams of the item that do not overlap: k edits spoil at most k of them, so enough others must lie on
 near diagonals.
 
+Items under ``MIN_CHARS`` characters are too short for edits: they leak where the text has them as they are,
+between word boundaries. Their first and last q-grams, which cover them, are looked up together.
+
 Items go to the tasks in blocks of bounded size; texts are read where they are and never shuffled.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.shingles import powers
 
 ERROR_RATE = 0.1
-# Items with fewer characters are too short to tell a leak from chance.
+# Items with fewer characters are too short to tell a leak with edits from chance.
 MIN_CHARS = 40
 # Characters of items that are sent to the tasks at a time.
 BLOCK_CHARS = 4_000_000
@@ -32,6 +38,8 @@ BLOCK_CHARS = 4_000_000
 PIECE_CHARS = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
+# Thai, Lao, Myanmar, Khmer, kana, ideographs: scripts that put no blanks between words.
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def normalised(text: str | None) -> str:
@@ -52,6 +60,70 @@ def qgrams(chars: np.ndarray, q: int) -> np.ndarray:
     return (sums[q:] - sums[:-q]) * inverse[:n] * _FACTOR
 
 
+@cache
+def _word_chars() -> np.ndarray:
+    """By code point, whether it is part of a word that ends at a boundary: letters, marks, digits and underscores."""
+    table = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)])
+    table[ord("_")] = True
+    for first, last in _UNSPACED:
+        table[first : last + 1] = False
+    return table
+
+
+class ShortItems:
+    """Items that are searched as they are, by length; q is the largest power of two within the length."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        of_length: dict[int, list[int]] = defaultdict(list)
+        for o, chars in enumerate(texts):
+            of_length[len(chars)].append(o)
+        self.texts = texts
+        self.known: dict[int, np.ndarray] = {}  # by q, slots of the first q-grams
+        self.lengths: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for m, owners in sorted(of_length.items()):
+            q = 1 << (m.bit_length() - 1)
+            grams = np.array([qgrams(texts[o], q)[[0, m - q]] for o in owners])
+            self.known.setdefault(q, np.zeros(1 << _TABLE_BITS, bool))[_slot(grams[:, 0])] = True
+            both = _both(grams[:, 0], grams[:, 1])
+            order = np.argsort(both, kind="stable")
+            self.lengths[q].append((m, both[order], np.array(owners)[order]))
+
+    def first_places(self, chars: np.ndarray, begin: int, end: int) -> dict[int, int]:
+        """First place of each item in chars[begin:end], by the item's place; boundaries are those of all ``chars``."""
+        found: dict[int, int] = {}
+        for q, lengths in self.lengths.items():
+            grams = qgrams(chars[begin:end], q)
+            at = np.flatnonzero(self.known[q][_slot(grams)])
+            at = at[self._boundary(chars, begin + at)]
+            for m, both, owners in lengths:
+                start = at[at + m <= end - begin]
+                start = start[self._boundary(chars, begin + start + m)]
+                key = _both(grams[start], grams[start + m - q])
+                first = np.searchsorted(both, key, "left")
+                which, entry = _expanded(first, np.searchsorted(both, key, "right") - first)
+                owner, place = owners[entry], begin + start[which]
+                for o, i in zip(owner.tolist(), place.tolist()):
+                    if o not in found and np.array_equal(chars[i : i + m], self.texts[o]):
+                        found[o] = i
+        return found
+
+    @staticmethod
+    def _boundary(chars: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether no word goes on from before each place to it."""
+        inner = (places > 0) & (places < len(chars))
+        at = np.where(inner, places, 0)
+        word = _word_chars()
+        return ~(inner & word[chars[at - 1]] & word[chars[at]])
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
+
+def _both(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first ^ (first >> np.uint64(29))) * _FACTOR + last
+
+
 @dataclass
 class Item:
     item_id: int
@@ -68,6 +140,8 @@ class ItemIndex:
 
     def __init__(self, rows: list[tuple[int, str]], error_rate: float = ERROR_RATE):
         texts = [(i, codes(normalised(t))) for i, t in rows]
+        short = [(i, c) for i, c in texts if 0 < len(c) < MIN_CHARS]
+        self.short_ids, self.short = [i for i, _ in short], ShortItems([c for _, c in short])
         texts = [(i, c, int(len(c) * error_rate)) for i, c in texts if len(c) >= MIN_CHARS]
         self.q = q = max(3, min([12, *((len(c) + 1 - 4) // (k + 1) for _, c, k in texts)]))
         self.items, sides = [], []
@@ -85,10 +159,7 @@ class ItemIndex:
         self.edits = np.array([item.edits for item in self.items], np.int64)
         self.needed = np.array([item.least_side_by_side for item in self.items], np.int64)
         self.known = np.zeros(1 << _TABLE_BITS, bool)
-        self.known[self._slot(hashes)] = True
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        self.known[_slot(hashes)] = True
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the best region of each item in the normalised text.
@@ -96,15 +167,19 @@ class ItemIndex:
         Long texts are searched in pieces that overlap by more than a leak's length.
         """
         chars = codes(normalised(text))
-        if not self.items:
+        overlap = max([0, *(len(item.chars) + item.edits for item in self.items), *map(len, self.short.texts)])
+        if not overlap:
             return []
-        overlap = max(len(item.chars) + item.edits for item in self.items)
         best: dict[int, tuple[int, int, int]] = {}
+        short: dict[int, int] = {}
         for begin in range(0, max(1, len(chars) - overlap), PIECE_CHARS):
-            for o, (start, end, edits) in self._search(chars[begin : begin + PIECE_CHARS + overlap]).items():
+            end_of_piece = min(len(chars), begin + PIECE_CHARS + overlap)
+            for o, (start, end, edits) in self._search(chars[begin:end_of_piece]).items():
                 if o not in best or edits < best[o][2]:
                     best[o] = (begin + start, begin + end, edits)
-        return [(self.items[o].item_id, *best[o]) for o in sorted(best)]
+            short = self.short.first_places(chars, begin, end_of_piece) | short
+        found = [(self.items[o].item_id, *best[o]) for o in sorted(best)]
+        return found + [(self.short_ids[o], i, i + len(self.short.texts[o]), 0) for o, i in sorted(short.items())]
 
     def _search(self, chars: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """(start, end, edits) of the best region of each item, by the item's place."""
@@ -130,7 +205,7 @@ class ItemIndex:
 
     def _regions(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) where enough q-grams that do not overlap lie near each other."""
-        at = np.flatnonzero(self.known[self._slot(grams)])
+        at = np.flatnonzero(self.known[_slot(grams)])
         first = np.searchsorted(self.hashes, grams[at], "left")
         which, entry = _expanded(first, np.searchsorted(self.hashes, grams[at], "right") - first)
         owner, diagonal = self.owners[entry], at[which] - self.offsets[entry]
@@ -234,8 +309,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     """(doc_id, item_id, start, end, edits): items that leak into a document, with their best region.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; start and end count characters of
-    the normalised text. Null and empty texts hold no leak; items without an id or under ``MIN_CHARS``
-    characters are not searched. Repeated rows give repeated results; of an item id with several
+    the normalised text. Null and empty texts hold no leak; items without an id or without characters
+    are not searched, those under ``MIN_CHARS`` characters only as they are, between word boundaries. Repeated rows give repeated results; of an item id with several
     texts each is searched. Without items the result is empty.
     """
     schema = "doc_id long, item_id long, start int, end int, edits int"

@@ -86,3 +86,29 @@ def test_awkward_cases(spark):
     nothing = spark.createDataFrame([], ITEMS)
     assert leaks(docs, nothing).count() == 0 and without_leaks(docs, nothing).count() == docs.count()
     assert leaks(docs_of(spark, []), items).count() == 0
+
+
+def test_short_items_are_searched_as_they_are(spark, monkeypatch):
+    items = ["What is 2+2?", "Who wrote it", "a", "x" * 39, "北京在哪里", "hat", "one two three four five six seven"]
+    texts = [
+        '"WHAT is\n2+2?" he said',
+        "who wrote item 4? who wrote it?",
+        "that is a hat",
+        "y" + "x" * 39,
+        "请问北京在哪里呢",
+        "one two three four five six  seven",
+        "one two three four five six seventy, somewhat",
+    ]
+    want = [(0, 0), (1, 1), (2, 2), (2, 5), (4, 4), (5, 6)]
+    benchmark = spark.createDataFrame(list(enumerate([*items, text(20, 1)])), ITEMS)
+    found = leaks(docs_of(spark, texts), benchmark)
+    assert rows_of(found, "doc_id", "item_id") == want
+    for r in found.collect():
+        assert normalised(texts[r["doc_id"]])[r["start"] : r["end"]] == normalised(items[r["item_id"]]) and r["edits"] == 0
+    assert rows_of(without_leaks(docs_of(spark, texts), benchmark), "doc_id") == [(3,), (6,)]
+    index = ItemIndex(list(enumerate(items)))
+    whole = " ".join(texts)
+    at_once = index.leaks(whole)
+    for size in (1, 7, 50):
+        monkeypatch.setattr("tallyframe.llm.decontaminate.PIECE_CHARS", size)
+        assert index.leaks(whole) == at_once
