@@ -42,6 +42,34 @@ def test_blocks(html, texts):
     assert [b.text for b in blocks(html)] == texts
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>", ["if x=2 then"]),
+        ("<p>a<xmp><b>x</b> &amp; if a<b</xmp>z", ["a", "<b>x</b> &amp; if a<b", "z"]),
+        ("<xmp>open <b>bold</b><p>rest", ["open bold", "rest"]),
+        ("<object data=x><param name=y><p>instead of it</p></object>z", ["instead of it", "z"]),
+        ("<object data=x><div><article><p>text</p></article></div>", ["text"]),
+        ("<p>a <svg><title>Icon</title><style>p{}</style><path d='M0'/><text>label</text></svg> b</p>c", ["a Iconlabel b", "c"]),
+        ("<svg><title>Icon</svg><p>text</p>", ["Icon", "text"]),
+        ("<div><svg><path d='M0'><article><p>text</p></article></div>z", ["text", "z"]),
+        ("<title>t</title><svg><path d='M0'></svg><title>u</title>x", ["x"]),
+        ("<svg><foreignObject><div>in it</div></foreignObject><text>on</text></svg>", ["in it", "on"]),
+    ],
+)
+def test_blocks_of_formulas_drawings_and_objects(html, texts):
+    assert [b.text for b in blocks(html)] == texts
+
+
+def test_an_open_drawing_is_not_in_the_path_of_what_follows():
+    assert [[e.tag for e in b.path] for b in blocks("<div><svg><path d='M0'><article><p>text")] == [["div", "article", "p"]]
+
+
+def test_all_words_of_a_class_count():
+    names = " ".join(f"name{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26))
+    assert {"namea", "namez", "div.namez"} <= set(blocks(f'<div class="{names}">x')[0].path[0].tokens)
+
+
 def test_paths_and_links():
     page = blocks('<body><div class="site-Nav" id=top><a href=x>go</a> on</div><p>t</p><div>u<p>v</div>w')
     assert [[e.tag for e in b.path] for b in page] == [["body", "div"], ["body", "p"], ["body", "div"], ["body", "div", "p"], ["body"]]
