@@ -27,9 +27,10 @@ from tallyframe.llm.html_blocks import Block, blocks
 from tallyframe.llm.sampling import thinned
 
 SAMPLE_PAGES = 300
-# Larger pages are not trained on, nor what a page has beyond so many blocks.
-SAMPLE_BYTES = 32 * 1024
-SAMPLE_BLOCKS = 120
+# Bytes of all pages that are trained on; where pages are so large that this is too little, fewer are drawn, one at least.
+SAMPLE_BYTES = 32 * 1024 * 1024
+# A training page with more blocks gives its start, its end and a part from anywhere, of so many blocks each.
+WINDOW_BLOCKS = 120
 REBUILT = 4  # rebuilt pages for each sampled one
 BUCKETS = 4096
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 20, 8, 4, 24
@@ -326,7 +327,15 @@ class Labeller:
         return texts
 
 
-def train(sample: list[str]) -> Labeller:
+def windows(page: list[Block], labels: np.ndarray, size: int, rng: random.Random) -> list[tuple[list[Block], np.ndarray]]:
+    """The page with its labels; of one with more than ``size`` blocks the start, the end and a part from anywhere."""
+    if len(page) <= size:
+        return [(page, labels)]
+    last = len(page) - size
+    return [(page[at : at + size], labels[at : at + size]) for at in sorted({0, rng.randint(0, last), last})]
+
+
+def train(sample: list[str], window_blocks: int = WINDOW_BLOCKS) -> Labeller:
     """A labeller from sampled pages; without any block to learn from, one that was not trained."""
     rng = random.Random(17)
     real = [p for p in map(blocks, sample) if p]
@@ -338,7 +347,8 @@ def train(sample: list[str]) -> Labeller:
         for _ in range(REBUILT):
             page = blocks(rebuilt(texts[: rng.randint(1, 30)], others, rng))
             cases.append((page, marked(page)))
-    cases = [(p[:SAMPLE_BLOCKS], y[:SAMPLE_BLOCKS]) for p, y in cases]
+    parts = random.Random(29)
+    cases = [part for p, y in cases for part in windows(p, y, window_blocks, parts)]
     labeller = Labeller.fresh()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in labeller.w.items()}
     vectoriser, step = Vectoriser(), 0
@@ -359,12 +369,22 @@ def train(sample: list[str]) -> Labeller:
     return labeller
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller from the ``sample_pages`` pages that come first by hash, of those up to SAMPLE_BYTES."""
-    small = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", "url", "html")
-    few = thinned(small, sample_pages, small.count(), "page_id", "url").groupBy("page_id", "url").agg(F.min("html").alias("html"))
-    chosen = few.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_pages)
-    return train([r["html"] for r in chosen.select("html").collect()])
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, window_blocks: int = WINDOW_BLOCKS) -> Labeller:
+    """A labeller from the ``sample_pages`` pages that come first by hash, whatever their size.
+
+    Only so many of them are taken as have ``sample_bytes`` together, but one at least. A page of more than
+    ``window_blocks`` blocks is learned by its start, its end and a part from anywhere.
+    """
+    keys = ["place", "page_id", "url"]
+    known = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "url").alias("place"), "page_id", "url", "html")
+    few = thinned(known, sample_pages, known.count(), "page_id", "url")
+    sizes = few.groupBy(keys).agg(F.octet_length(F.min("html")).alias("size")).orderBy(keys).limit(sample_pages).collect()
+    if not sizes:
+        return train([], window_blocks)
+    upto = np.cumsum([r["size"] for r in sizes])
+    last = sizes[max(0, int(np.searchsorted(upto, sample_bytes, "right")) - 1)]["place"]
+    chosen = few.where(F.col("place") <= last).groupBy(keys).agg(F.min("html").alias("html")).select("place", "html").collect()
+    return train([r["html"] for r in sorted(chosen)], window_blocks)
 
 
 def main_texts(pages: DataFrame, labeller: Labeller) -> DataFrame:

@@ -152,6 +152,26 @@ def test_awkward_pages(spark, labeller):
     assert untrained.main_text([[], blocks("<p>x")], he.Vectoriser())[0] == ""
 
 
+def test_large_pages_are_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(he, "train", lambda sample, window_blocks: (sample, window_blocks))
+    rows = [(i, "u", f"<article><p>{i} {'many words ' * 4000}</p></article>") for i in range(6)]
+    pages = spark.createDataFrame([*rows, rows[0], (9, "u", None)], SCHEMA)
+    sample, window = he.fit(pages)
+    assert sorted(sample) == sorted(h for _, _, h in rows) and window == he.WINDOW_BLOCKS
+    assert he.fit(pages, sample_pages=4)[0] == sample[:4]
+    assert he.fit(pages, sample_bytes=100_000, window_blocks=7) == (sample[:2], 7)
+    assert he.fit(pages, sample_bytes=1)[0] == sample[:1]
+    assert he.fit(pages.limit(0))[0] == []
+
+
+def test_windows_hold_the_start_and_the_end():
+    page, labels = list(range(500)), np.arange(500) % 2 == 0
+    parts = he.windows(page, labels, 120, random.Random(1))
+    assert [len(p) for p, _ in parts] == [120] * 3 and parts[0][0][0] == 0 and parts[-1][0][-1] == 499
+    assert all((labels[p] == y).all() for p, y in parts)
+    assert he.windows(page[:120], labels[:120], 120, random.Random(1))[0][0] == page[:120]
+
+
 def test_query(spark):
     from tallyframe.llm.queries import op4_html_extraction
 
