@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import hnsw, html_extract, lang_id, quality, toxicity
+from tallyframe.llm import hnsw, html_extract, lang_id, lexical_search, quality, toxicity, whitening
 from tallyframe.llm.decontaminate import leaks
 from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
@@ -114,6 +114,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "edits")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings: every usable vector's place along up to 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of highest lexical score for each benchmark item, among all documents."""
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_line_dedup,
     op2_language_id,
@@ -125,6 +136,8 @@ _ALL = (
     op8_toxicity,
     op9_nearest,
     op10_jaccard_join,
+    op11_whitening,
+    op12_lexical_search,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
@@ -204,4 +217,23 @@ SELECT doc_id, lang0 AS lang, source0 AS source, unnest(range(1, 1 + whole + (re
 FROM ordered
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op6_mixing": _OP6_SQL}
+_OP12_TERMS = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+_OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_OP12_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL
+), postings AS (SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, unnest(terms) AS term FROM docs) d GROUP BY ALL
+), lengths AS (SELECT row, len(terms) AS n FROM docs WHERE len(terms) > 0
+), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), norms AS (SELECT row, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM lengths, total
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total GROUP BY term, n_docs
+), asked AS (SELECT item_id, unnest({_OP12_TERMS.format("text")}) AS term FROM benchmark
+), scored AS (
+    SELECT a.item_id, p.row, p.doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM (SELECT item_id, term, count(*) AS c FROM asked GROUP BY ALL) a JOIN postings p USING (term) JOIN weights USING (term) JOIN norms n ON p.row = n.row
+    GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op6_mixing": _OP6_SQL, "op12_lexical_search": _OP12_SQL}
