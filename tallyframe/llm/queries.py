@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import hnsw, html_extract, lang_id, lexical_search, quality, toxicity, whitening
+from tallyframe.llm import hnsw, html_extract, lang_id, lexical_search, quality, toxicity, url_filter, whitening
 from tallyframe.llm.decontaminate import leaks
 from tallyframe.llm.jaccard_join import near_duplicate_components
 from tallyframe.llm.line_dedup import drop_repeated_lines
@@ -125,6 +125,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
 
 
+# Rules for hosts and their subdomains, by the start of the path.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "labelled", "blocked")
+
+
 _ALL = (
     op1_line_dedup,
     op2_language_id,
@@ -138,6 +148,7 @@ _ALL = (
     op10_jaccard_join,
     op11_whitening,
     op12_lexical_search,
+    op13_url_filter,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
@@ -236,4 +247,4 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op6_mixing": _OP6_SQL, "op12_lexical_search": _OP12_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op6_mixing": _OP6_SQL, "op12_lexical_search": _OP12_SQL, "op13_url_filter": url_filter.oracle_sql(URL_RULES)}

@@ -12,7 +12,7 @@ from tallyframe.llm import queries
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for view in ("documents", "benchmark"):
+    for view in ("documents", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF_DIR}/{view}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = sorted(c[0] for c in want.description)
