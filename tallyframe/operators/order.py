@@ -10,6 +10,10 @@ Sort columns should identify a row; nulls come first. Different rows that tie on
 a hash of all their columns, so positions do not depend on partitions; a cut between such rows
 raises. Copies of one row may repeat the sort columns, however often: they are counted before any
 shuffle and spread over tasks when they are put back.
+
+The coarse buckets look at the first bytes of the first column only. Buckets that are crowded nevertheless, such as
+those of URLs or of problems that begin alike, are divided further by the whole sort key as bytes: past
+what all keys of a bucket share, by quantiles of the bytes that follow, until no task sorts more keys than it shall.
 """
 
 from __future__ import annotations
@@ -26,9 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallyframe.operators.joins import keyed_join
 from tallyframe.session import written
 
 HOT_ROWS = 1_000_000
+# Numbers that pass through the driver in one round of dividing crowded buckets, and key bytes compared in it.
+ROUND_BOUNDS = 262_144
+SHARED_BYTES = 256
 CHUNK_ROWS = 100_000
 BUCKET_ROWS = 100_000
 MAX_BOUNDS = 131_072
@@ -120,7 +128,8 @@ def source_order(df: DataFrame, at_least: int = 64) -> RowOrder:
     """Rows as they stand in their files: by file path, block and place in the block.
 
     Takes rows of a file source, filtered but not yet projected. They are written once with their
-    position, so that every later read agrees on it; a block of a file is ranked in one task.
+    position, so that every later read agrees on it. The rows of a block are numbered as one task reads them, so
+    nothing is sorted, and a file that cannot be split, such as a gzip file, is one block like any other.
     """
     taken = df.columns
     try:
@@ -133,12 +142,12 @@ def source_order(df: DataFrame, at_least: int = 64) -> RowOrder:
     except AnalysisException as error:
         raise ValueError("rows have a source order only where they come straight from files") from error
     rows = written(placed, "source-rows")
-    counts = rows.groupBy(_FILE, _BLOCK).agg(F.count("*").alias("n_rows"))
+    blocks = rows.groupBy(_FILE, _BLOCK).agg(F.count("*").alias("n_rows"), F.min(_PLACE).alias("first"))
     running = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    offsets = counts.select(_FILE, _BLOCK, F.coalesce(F.sum("n_rows").over(running), F.lit(0)).alias("n_before"))
-    inside = Window.partitionBy(_FILE, _BLOCK).orderBy(_PLACE)
-    ranked = rows.withColumn(_PLACE, F.row_number().over(inside) - 1).join(offsets, [_FILE, _BLOCK])
-    numbered = written(ranked.select(*taken, (F.col("n_before") + F.col(_PLACE)).alias(POSITION)), "numbered-rows")
+    before = F.coalesce(F.sum("n_rows").over(running), F.lit(0))
+    offsets = written(blocks.select(_FILE, _BLOCK, (before - F.col("first")).alias("_offset")), "source-blocks")
+    placed = keyed_join(rows, offsets, [_FILE, _BLOCK], spread_by=[_PLACE])
+    numbered = written(placed.select(*taken, (F.col("_offset") + F.col(_PLACE)).alias(POSITION)), "numbered-rows")
     return column_order(numbered, POSITION, at_least)
 
 
@@ -190,29 +199,112 @@ def _rank_rows(rows: DataFrame, order: RowOrder) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(inside).cast("bigint") - 1)
 
 
-def _rank_copies(rows: DataFrame, order: RowOrder) -> DataFrame:
+def _eight_bytes(number: Column) -> Column:
+    """A long as eight bytes that sort as the numbers do."""
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """A value as bytes that sort as the values do, none of which is the start of another value's."""
+    if isinstance(kind, T.StringType):
+        # A zero byte ends the text; those inside it are followed by one byte more.
+        plain = F.hex(F.encode(value, "UTF-8"))
+        marked = F.when(F.contains(value, F.lit("\0")), F.regexp_replace(plain, "\\G((?:..)*?)00", "$100FF")).otherwise(plain)
+        return F.unhex(F.concat(marked, F.lit("0000")))
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return _eight_bytes(F.unix_micros(value.cast("timestamp")))
+    if isinstance(kind, T.DecimalType):
+        digits = F.lpad(F.abs(value).cast("string"), 42, "0")
+        falling = F.translate(digits, "0123456789", "9876543210")
+        return F.encode(F.when(value < 0, F.concat(F.lit("-"), falling)).otherwise(F.concat(F.lit("0"), digits)), "UTF-8")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+        return _eight_bytes(F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+    return _eight_bytes(value.cast("bigint"))
+
+
+def _key_bytes(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
+    """The columns, then the longs of ``more``, as bytes in the order of the rows; nulls come first."""
+    parts = []
+    for c in columns:
+        value = F.col(f"`{c}`")
+        parts.append(F.when(value.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), _value_bytes(value, df.schema[c].dataType))))
+    return F.concat(*parts, *[_eight_bytes(m) for m in more])
+
+
+def _shared(low: bytes, high: bytes) -> int:
+    """Length of the common start."""
+    return next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+
+def divided(keys: DataFrame, bucket: str, limit: int) -> DataFrame:
+    """Adds ``_leaf`` to rows (bucket, _key, ...) with distinct keys in a bucket: numbers that follow bucket and key, each of at most ``limit`` rows.
+
+    Every round looks at the leaves that hold more: the start that all their keys share is passed over, and quantiles
+    of the six bytes after it divide them. A value that fills several quantiles gets a leaf of its own, so
+    every round makes progress. Only counts, starts and quantiles of crowded leaves pass through the driver, whose number
+    follows from the rows over ``limit``.
+    """
+    spark = keys.sparkSession
+    counts = {r[0]: r[1] for r in keys.groupBy(bucket).count().collect()}
+    names = sorted(counts)
+    first = spark.createDataFrame([(b, i) for i, b in enumerate(names)], f"{bucket} {keys.schema[bucket].dataType.simpleString()}, _leaf long")
+    rows, sizes = keys.join(F.broadcast(first), bucket), [counts[b] for b in names]
+    passed, span = [0] * len(sizes), SHARED_BYTES
+    while crowded := [i for i, n in enumerate(sizes) if n > limit]:
+        known = spark.createDataFrame([(i, passed[i]) for i in crowded], "_leaf long, _passed int")
+        scope = rows.join(F.broadcast(known), "_leaf")
+        piece = F.expr(f"substring(_key, _passed + 1, {span})")
+        seen = scope.groupBy("_leaf").agg(F.min(piece).alias("low"), F.max(piece).alias("high")).collect()
+        for r in seen:
+            passed[r["_leaf"]] += _shared(bytes(r["low"]), bytes(r["high"]))
+        same = {r["_leaf"] for r in seen if r["low"] == r["high"]}
+        span = min(1 << 16, 16 * span) if same else SHARED_BYTES
+        parting = [i for i in crowded if i not in same]
+        if not parting:
+            continue
+        lead = F.conv(F.rpad(F.hex(F.expr("substring(_key, _passed + 1, 6)")), 12, "0"), 16, 10).cast("bigint")
+        known = spark.createDataFrame([(i, passed[i]) for i in parting], "_leaf long, _passed int")
+        parts = max(2, min(2 * max(sizes[i] for i in parting) // limit + 1, ROUND_BOUNDS // len(parting)))
+        shares = [k / parts for k in range(1, parts)]
+        leads = rows.join(F.broadcast(known), "_leaf").groupBy("_leaf")
+        bounds: dict[int, list[int]] = {}
+        for r in leads.agg(F.percentile_approx(lead, shares, 4 * parts).alias("at")).collect():
+            often = {x for x, y in zip(r["at"], r["at"][1:]) if x == y} | ({r["at"][0]} if parts == 2 else set())
+            bounds[r["_leaf"]] = sorted({*r["at"], *(x + 1 for x in often)})
+        base, steps = 0, []
+        for i in range(len(sizes)):
+            steps.append((i, base, passed[i], bounds.get(i)))
+            base += 1 + len(bounds.get(i, ()))
+        step = spark.createDataFrame(steps, "_leaf long, _base long, _passed int, _bounds array<long>")
+        inside = F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda x: x <= lead)))
+        rows = rows.join(F.broadcast(step), "_leaf").withColumn("_leaf", F.col("_base") + inside).drop("_base", "_passed", "_bounds")
+        rows = written(rows, "divided")
+        found = {r[0]: r[1] for r in rows.groupBy("_leaf").count().collect()}
+        passed = [p for i, _, p, b in steps for _ in range(1 + len(b or ()))]
+        sizes = [found.get(i, 0) for i in range(base)]
+    return rows
+
+
+def _rank_copies(rows: DataFrame, order: RowOrder, hot_rows: int) -> DataFrame:
     """The same for crowded buckets: equal rows are one row with a count until they have a rank.
 
-    What is still many rows is dealt to finer buckets by the md5 key, or by the hash of the row among
-    rows that tie; only their counts meet in one task.
+    Distinct rows are ranked in leaves of at most ``hot_rows``; one row a leaf meets in a task.
     """
-    rows = rows.withColumn("_content", _content(rows))
-    plain = [c for c in rows.columns if c != "_content"]
-    keyed = [c for c in order.sort_by if c in rows.columns]
-    # Columns that cannot be grouped by are equal where the hash of all columns is.
-    grouped = rows.groupBy(*dict.fromkeys([order.bucket, *keyed, "_content"]))
-    others = [F.first(F.col(f"`{c}`")).alias(c) for c in plain if c not in (order.bucket, *keyed)]
-    counted = grouped.agg(*others, F.count("*").alias("_copies"))
-    values = counted.groupBy(order.bucket, *keyed).agg(F.sum("_copies").alias("_tied"))
-    before = Window.partitionBy(order.bucket).orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = values.withColumn("_start", F.coalesce(F.sum("_tied").over(before), F.lit(0))).drop("_tied")
-    inside = Window.partitionBy(order.bucket, *keyed).orderBy("_content").rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (order.bucket, *keyed)]
-    within = counted.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-    joined = within.alias("a").join(offsets.alias("b"), reduce(and_, same))
-    ranked = joined.select("a.*", (F.col("b._start") + F.col("a._inside")).alias("_rank")).drop("_inside")
-    back = _put_back(ranked, "_copies", "_content")
-    return back.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_copy", "_content").select(*plain, "_rank")
+    content = _content(rows)
+    plain = rows.columns
+    others = [F.first(F.col(f"`{c}`")).alias(c) for c in plain if c != order.bucket]
+    keyed = rows.withColumn("_key", _key_bytes(rows, order.sort_by, content))
+    counted = written(keyed.groupBy(order.bucket, "_key").agg(*others, F.count("*").alias("_copies")), "crowded-rows")
+    leaves = divided(counted.select(order.bucket, "_key", "_copies"), order.bucket, hot_rows)
+    totals = leaves.groupBy(order.bucket, "_leaf").agg(F.sum("_copies").alias("_in_leaf"))
+    before = Window.partitionBy(order.bucket).orderBy("_leaf").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_start", F.coalesce(F.sum("_in_leaf").over(before), F.lit(0))).select("_leaf", "_start")
+    inside = Window.partitionBy("_leaf").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = leaves.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+    starts = keyed_join(within, written(offsets, "leaf-offsets"), "_leaf").select(order.bucket, "_key", (F.col("_start") + F.col("_inside")).alias("_rank"))
+    back = _put_back(counted.join(starts, [order.bucket, "_key"]), "_copies", "_key")
+    return back.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_copy", "_key").select(*plain, "_rank")
 
 
 def with_position(order: RowOrder, name: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -221,7 +313,7 @@ def with_position(order: RowOrder, name: str = "position", hot_rows: int = HOT_R
     if hot:
         is_hot = F.col(order.bucket).isin(hot)
         cold = _rank_rows(order.rows.where(~is_hot), order)
-        ranked = cold.unionByName(_rank_copies(order.rows.where(is_hot), order))
+        ranked = cold.unionByName(_rank_copies(order.rows.where(is_hot), order, hot_rows))
     else:
         ranked = _rank_rows(order.rows, order)
     offsets = _bucket_offsets(order.rows, order.bucket).select(order.bucket, "n_before")
@@ -265,7 +357,8 @@ def find_cut(
     order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS, cut_keys: int = CUT_KEYS
 ) -> Cut:
     """Reads the sort columns only: once to count the rows of each bucket, which pass through the
-    driver, and once to find the cut in its bucket. A bucket of more than ``cut_keys`` rows is split further first.
+    driver, and once to find the cut in its bucket. Where that has more than ``cut_keys`` rows, its distinct keys are counted
+    and divided first.
     """
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
     counts = _counts(scope, order.bucket)
@@ -276,20 +369,14 @@ def find_cut(
         return Cut(total, 0, even)
     bucket, rest, n = _locate(counts, rest)
     scope = scope.where(F.col(order.bucket) == bucket)
-    digits = 4
-    while n > cut_keys:
-        if order.sort_by[0] == _SEEDED:
-            digits += 3
-            finer = scope.withColumn(_FINE, F.conv(F.substring(_SEEDED, 1, digits), 16, 10).cast("bigint"))
-        else:
-            finer = column_order(scope.drop(*order.levels), order.sort_by).rows
-        bucket, rest, smaller = _locate(_counts(finer, _FINE), rest)
-        scope = finer.where(F.col(_FINE) == bucket)
-        if smaller == n and (order.sort_by[0] != _SEEDED or digits >= 13):  # copies of one key
-            break
-        n = smaller
-    up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))  # one bucket's keys
+    keys = scope.groupBy(*order.sort_by).agg(F.count("*").alias("_tied"))
+    if n > cut_keys:
+        named = keys.withColumns({"_key": _key_bytes(keys, order.sort_by), _FINE: F.lit(0)})
+        leaves = divided(written(named, "cut-keys"), _FINE, cut_keys)
+        totals = leaves.groupBy("_leaf").agg(F.sum("_tied")).collect()  # as many as the keys over cut_keys ask for
+        leaf, rest, _ = _locate(sorted(tuple(r) for r in totals), rest)
+        keys = leaves.where(F.col("_leaf") == leaf).select(*order.sort_by, "_tied")
+    up_to = Window.orderBy(*order.sort_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one leaf's keys
     reached = keys.withColumn("_reached", F.sum("_tied").over(up_to)).where(F.col("_reached") >= rest)
     end, tied, *last = reached.agg(F.min(F.struct("_reached", "_tied", *order.sort_by))).first()[0]
     return Cut(total, goal, even, tuple(last), rest - (end - tied), tied)

@@ -251,3 +251,77 @@ def test_only_keys_are_read_for_the_cut(spark, tmp_path, numbers):
     rows = first_rows(column_order(spark.read.parquet(str(tmp_path / "t")), "id"), 10)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(id,-437)" in plan and "Exchange" not in plan
+
+
+def long_keys(n):
+    """Texts that agree in a long start, then in another; some short, empty, null or with odd bytes."""
+    heads = ["https://example.org/" + "a/" * 200, "https://example.org/" + "a/" * 200 + "b" * 700, "é\0", "é\0\0", "x"]
+    return [None, "", *[heads[i % len(heads)] + str(i * 7919 % n) for i in range(n)]]
+
+
+def by_bytes(keys):
+    return sorted(keys, key=lambda k: b"" if k is None else b"\1" + k.encode())
+
+
+def test_keys_that_begin_alike_are_divided(spark):
+    from tallyframe.operators.order import _key_bytes, divided
+
+    keys = long_keys(6000)
+    df = spark.createDataFrame([(0, k) for k in keys], "b int, k string")
+    leaves = divided(df.withColumn("_key", _key_bytes(df, ["k"])), "b", 150)
+    assert leaves.groupBy("_leaf").count().agg(F.max("count")).first()[0] <= 150
+    rows = sorted(leaves.collect(), key=lambda r: (r["_leaf"], bytes(r["_key"])))
+    assert [r["k"] for r in rows] == by_bytes(keys)
+
+
+def test_positions_cut_and_split_of_keys_that_begin_alike(spark, monkeypatch):
+    from tallyframe.operators import order as module
+
+    keys = long_keys(2500)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i long").repartition(5)
+    rows = rows.unionByName(rows.where("i % 9 = 0")).unionByName(rows.where("i = 17").join(spark.range(300).drop("id")))
+    want = by_bytes([k for i, k in enumerate(keys) for _ in range(1 + (i % 9 == 0) + 300 * (i == 17))])
+    order = column_order(rows, "k", at_least=4)
+    placed = sorted(with_position(order, hot_rows=100).collect(), key=lambda r: r["position"])
+    assert [r["k"] for r in placed] == want and [r["position"] for r in placed] == list(range(len(want)))
+    monkeypatch.setattr(module, "CUT_KEYS", 60)
+    for n in (1, 2, 700, len(want) - 1):
+        cut = find_cut(order, lambda total, n=n: n, cut_keys=60)
+        assert cut.last == (want[n - 1],) and cut.total == len(want)
+        assert sum(1 for k in want if k == want[n - 1]) == cut.tied
+    split = split_rows(order, 0.25)
+    assert by_bytes(r["k"] for r in split.val.plain.collect()) == want[: len(want) // 4]
+    laid = in_order(order, 8, hot_rows=100).withColumn("task", F.spark_partition_id())
+    assert laid.groupBy("task").count().agg(F.max("count")).first()[0] <= len(want) / 8 * 1.5
+
+
+def test_all_kinds_of_keys_sort_as_their_bytes(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    numbers = [None, 0, -1, 1, 2**62, 2**62 + 1, -(2**62), 5, 5]
+    doubles = [None, 0.0, -0.0, 1.5, -1.5, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), 5e-324]
+    texts = [None, "", "\0", "a", "a\0", "a\0b", "ab", "é"]
+    rows = [(*r, rng.choice(numbers)) for r in itertools.product(numbers[:5], doubles, texts)]
+    df = spark.createDataFrame(rows, "n long, x double, t string, m long")
+    df = df.withColumns({"d": (F.col("m") / 10**17).cast("decimal(10,4)"), "w": F.timestamp_seconds(F.col("m") % 1000), "y": F.col("m") > 0})
+    from tallyframe.operators.order import _key_bytes
+
+    for columns in (["n", "x", "t"], ["x", "t", "n"], ["t", "n", "x"], ["d", "w", "y", "m", "t", "n", "x"]):
+        keyed = df.withColumn("_key", _key_bytes(df, columns)).orderBy(*columns)
+        keys = [bytes(r["_key"]) for r in keyed.collect()]
+        assert keys == sorted(keys), columns
+        assert len(set(keys)) == df.select(*columns).distinct().count()
+
+
+def test_a_file_that_cannot_be_split_has_a_source_order(spark, tmp_path):
+    import gzip
+
+    lines = [f"line {i * 7 % 1000}" for i in range(1000)]
+    for part in range(3):
+        with gzip.open(f"{tmp_path}/{part}.txt.gz", "wt") as f:
+            f.write("\n".join(lines[part * 300 : part * 300 + (300 if part < 2 else 400)]))
+    rows = spark.read.text(str(tmp_path)).where("value NOT LIKE '%5'")
+    placed = sorted(with_position(source_order(rows)).collect(), key=lambda r: r["position"])
+    assert [r["value"] for r in placed] == [x for x in lines if not x.endswith("5")]
