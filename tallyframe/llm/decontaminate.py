@@ -20,10 +20,9 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +59,13 @@ def qgrams(chars: np.ndarray, q: int) -> np.ndarray:
     return (sums[q:] - sums[:-q]) * inverse[:n] * _FACTOR
 
 
-@cache
-def _word_chars() -> np.ndarray:
-    """By code point, whether it is part of a word that ends at a boundary: letters, marks, digits and underscores."""
+def word_turns() -> np.ndarray:
+    """Code points at which parts of words begin and end in turn: letters, marks, digits and underscores, but for scripts without blanks."""
     table = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)])
     table[ord("_")] = True
     for first, last in _UNSPACED:
         table[first : last + 1] = False
-    return table
+    return np.flatnonzero(np.diff(table, prepend=False)).astype(np.uint32)
 
 
 class ShortItems:
@@ -78,6 +76,8 @@ class ShortItems:
         for o, chars in enumerate(texts):
             of_length[len(chars)].append(o)
         self.texts = texts
+        # Made where the index is made and sent with it: a few thousand numbers.
+        self.turns = word_turns() if texts else np.empty(0, np.uint32)
         self.known: dict[int, np.ndarray] = {}  # by q, slots of the first q-grams
         self.lengths: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
         for m, owners in sorted(of_length.items()):
@@ -107,13 +107,14 @@ class ShortItems:
                         found[o] = i
         return found
 
-    @staticmethod
-    def _boundary(chars: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def _in_word(self, chars: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.turns, chars, "right") % 2 == 1
+
+    def _boundary(self, chars: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Whether no word goes on from before each place to it."""
         inner = (places > 0) & (places < len(chars))
         at = np.where(inner, places, 0)
-        word = _word_chars()
-        return ~(inner & word[chars[at - 1]] & word[chars[at]])
+        return ~(inner & self._in_word(chars[at - 1]) & self._in_word(chars[at]))
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -317,16 +318,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     found = None
     for block in _blocks(benchmark, block_chars):
-        part = texts.mapInPandas(_search(ItemIndex(block, error_rate)), schema)
+        part = texts.mapInArrow(_search(ItemIndex(block, error_rate)), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def _search(index: ItemIndex):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "item_id", "start", "end", "edits"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"], batch["text"]) for hit in index.leaks(text)]
-            yield pd.DataFrame(hits, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
+            hits = [(i.as_py(), *hit) for i, text in zip(batch.column("doc_id"), batch.column("text")) for hit in index.leaks(text.as_py())]
+            columns = [pa.array([hit[k] for hit in hits], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return search
 
@@ -342,8 +347,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
 
 
 def _is_clean(index: ItemIndex):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not index.leaks(t) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not index.leaks(t.as_py()) for t in texts], pa.bool_())
 
     return clean

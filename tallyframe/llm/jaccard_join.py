@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,26 +60,43 @@ def _spread(shingles: np.ndarray) -> bytes:
     return np.minimum(parts, 0xFFFF).astype(np.uint16).tobytes()
 
 
+def _longs(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    """A column of whole numbers without nulls."""
+    return np.asarray(rows.column(name))
+
+
+def _values(batch: pa.RecordBatch, name: str) -> Iterator:
+    """A column's values one after the other, so that no second copy of the whole column is held."""
+    return (x.as_py() for x in batch.column(name))
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: c if isinstance(c, pa.Array) else pa.array(c) for name, c in columns.items()})
+
+
 def _sketch_and_ids(docs: DataFrame) -> DataFrame:
     """One pass over the texts: a row (doc_id, th, n, sig) each, and rows (part, counts) of the counters."""
+    long, lists = pa.int64(), pa.list_(pa.int64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            out = []
-            for doc_id, th, raw in zip(batch["doc_id"], batch["th"], batch["raw"]):
+            rows = batch.num_rows
+            n, sig = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            for i, raw in enumerate(_values(batch, "raw")):
                 s = shingle_set(raw)
                 if len(s):
                     np.add.at(counts, _counter(s), 1)
-                out.append((None if pd.isna(doc_id) else int(doc_id), th, len(s), set_hash(s) if len(s) else 0))
-            rows = pd.DataFrame(out, columns=["doc_id", "th", "n", "sig"]).astype({"doc_id": "Int64"})
-            yield rows.assign(part=pd.array([None] * len(rows), "Int32"), counts=None)
+                    n[i], sig[i] = len(s), set_hash(s)
+            ids, th = (batch.column(c) for c in ("doc_id", "th"))
+            yield _batch(doc_id=ids, th=th, n=n, sig=sig, part=pa.nulls(rows, pa.int32()), counts=pa.nulls(rows, lists))
         used = [p for p in range(COUNTERS // _ROW) if counts[p * _ROW : (p + 1) * _ROW].any()]
         if used:
-            none = pd.array([None] * len(used), "Int64")
-            yield pd.DataFrame({"doc_id": none, "th": none, "n": none, "sig": none, "part": used, "counts": [counts[p * _ROW : (p + 1) * _ROW] for p in used]})
+            none = pa.nulls(len(used), long)
+            rows = pa.array([counts[p * _ROW : (p + 1) * _ROW] for p in used], lists)
+            yield _batch(doc_id=none, th=none, n=none, sig=none, part=pa.array(used, pa.int32()), counts=rows)
 
-    return written(docs.mapInPandas(run, "doc_id long, th long, n long, sig long, part int, counts array<long>"), "shingle_pass")
+    return written(docs.mapInArrow(run, "doc_id long, th long, n long, sig long, part int, counts array<long>"), "shingle_pass")
 
 
 def _counts(passed: DataFrame) -> np.ndarray:
@@ -103,11 +120,11 @@ def _once(seen: set[int], sig: int) -> bool:
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, sig, np): the prefix of every set; np packs the set's size and the shingle's place, see ``_unpacked``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             tokens, sigs, packed, rows = [], [], [], 0
-            for raw in batch["raw"]:
+            for raw in _values(batch, "raw"):
                 s = shingle_set(raw)
                 if not len(s) or not _once(seen, sig := set_hash(s)):
                     continue
@@ -117,12 +134,12 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 packed.append((len(s) << 32) + np.arange(len(prefix), dtype=np.int64))
                 rows += len(prefix)
                 if rows > 200_000:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "np": np.concatenate(packed)})
+                    yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed))
                     tokens, sigs, packed, rows = [], [], [], 0
             if rows:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "sig": np.concatenate(sigs), "np": np.concatenate(packed)})
+                yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed))
 
-    return docs.mapInPandas(run, "token long, sig long, np long")
+    return docs.mapInArrow(run, "token long, sig long, np long")
 
 
 def _unpacked(packed: str, n: str, pos: str) -> list:
@@ -156,21 +173,21 @@ def _needed_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
     of fixed size, so that texts need not be shuffled to find them.
     """
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.concatenate(_filter_bits(batch["sig"].to_numpy()))
-            yield pd.DataFrame({"word": (both >> 6).astype(np.int32), "bit": np.left_shift(np.int64(1), both & 63)})
+            both = np.concatenate(_filter_bits(_longs(batch, "sig")))
+            yield _batch(word=(both >> 6).astype(np.int32), bit=np.left_shift(np.int64(1), both & 63))
 
-    marks = shared.select("sig").distinct().mapInPandas(places, "word int, bit long")
+    marks = shared.select("sig").distinct().mapInArrow(places, "word int, bit long")
     words = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(FILTER_WORDS, np.int64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             out = []
-            for raw in batch["raw"]:
+            for raw in _values(batch, "raw"):
                 s = shingle_set(raw)
                 if not len(s):
                     continue
@@ -179,9 +196,9 @@ def _needed_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 if marked and _once(seen, sig):
                     out.append((sig, len(s), _spread(s), zlib.compress(raw, 1)))
             if out:
-                yield pd.DataFrame(out, columns=["sig", "n", "spread", "packed"])
+                yield _batch(**dict(zip(("sig", "n", "spread", "packed"), map(list, zip(*out)))))
 
-    found = texts.select("raw").mapInPandas(run, "sig long, n long, spread binary, packed binary")
+    found = texts.select("raw").mapInArrow(run, "sig long, n long, spread binary, packed binary")
     return written(found.dropDuplicates(["sig"]), "needed_sets")
 
 
@@ -201,23 +218,28 @@ def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     spreads = _only(sets.select("sig", "n", "spread"), sigs)
     a, b = (spreads.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("spread").alias(f"s{k}")) for k in "uv")
 
-    def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), _PARTS).astype(np.int64) for c in ("su", "sv"))
-                yield batch.loc[_enough(_most_shared(x, y), batch["nu"].to_numpy(), batch["nv"].to_numpy()), ["u", "v"]]
+            if batch.num_rows:
+                x, y = (_spreads(_values(batch, c)) for c in ("su", "sv"))
+                keep = pa.array(_enough(_most_shared(x, y), _longs(batch, "nu"), _longs(batch, "nv")))
+                yield batch.select(["u", "v"]).filter(keep)
 
-    likely = written(pairs.join(a, "u").join(b, "v").mapInPandas(may_link, "u long, v long"), "likely_pairs")
+    likely = written(pairs.join(a, "u").join(b, "v").mapInArrow(may_link, "u long, v long"), "likely_pairs")
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(_set_of(x), _set_of(y)) for x, y in zip(batch["xu"], batch["xv"])]
-            yield batch.loc[np.array(keep, bool), ["u", "v"]]
+            keep = [linked(_set_of(x), _set_of(y)) for x, y in zip(_values(batch, "xu"), _values(batch, "xv"))]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     content = _only(sets.select("sig", "packed"), likely.select(F.explode(F.array("u", "v")).alias("sig")))
     full = likely.join(content.select(F.col("sig").alias("u"), F.col("packed").alias("xu")), "u")
     full = full.join(content.select(F.col("sig").alias("v"), F.col("packed").alias("xv")), "v")
-    return full.mapInPandas(similar, "u long, v long")
+    return full.mapInArrow(similar, "u long, v long")
+
+
+def _spreads(rows: Iterator[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, _PARTS).astype(np.int64)
 
 
 def _most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -284,35 +306,37 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
         F.expr("transform(filter(tokens, t -> t.pos < pos), t -> t.token)").alias("before"),
     )
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["pos", "sig"]).reset_index(drop=True)
-        n, pos, comp, block = (cell[c].to_numpy().copy() for c in ("n", "pos", "comp", "block"))
-        spread = np.frombuffer(b"".join(cell["spread"]), np.uint16).reshape(len(cell), _PARTS).astype(np.int64)
-        across = cell["i"].iat[0] != cell["j"].iat[0]
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("pos", "ascending"), ("sig", "ascending")])
+        sig, n, pos, comp, block = (_longs(cell, c).copy() for c in ("sig", "n", "pos", "comp", "block"))
+        spread = _spreads(cell["spread"].to_pylist())
+        across = cell["i"][0].as_py() != cell["j"][0].as_py()
         sets_of: dict[int, np.ndarray] = {}
 
         def set_at(i: int) -> np.ndarray:
             if i not in sets_of:
-                sets_of[i] = _set_of(cell["packed"].iat[i])
+                sets_of[i] = _set_of(cell["packed"][i].as_py())
             return sets_of[i]
 
-        before = [frozenset(x) for x in cell["before"]]
-        found = []
-        for x in range(1, len(cell)):
+        before = [frozenset(x.as_py()) for x in cell["before"]]
+        found: list[tuple[int, int]] = []
+        for x in range(1, len(sig)):
             y = np.arange(x)
             fit = (comp[:x] != comp[x]) & (PERCENT * np.maximum(n[:x], n[x]) <= 100 * np.minimum(n[:x], n[x]))
-            fit &= ~across | (block[:x] != block[x])
+            if across:
+                fit &= block[:x] != block[x]
             fit &= _enough(1 + np.minimum(pos[:x], pos[x]) + np.minimum(n[:x] - pos[:x] - 1, n[x] - pos[x] - 1), n[:x], n[x])
             y = y[fit]
             if len(y):
                 y = y[_enough(_most_shared(spread[y], spread[x]), n[y], n[x])]
             for other in y.tolist():
                 if comp[other] != comp[x] and before[other].isdisjoint(before[x]) and linked(set_at(other), set_at(x)):
-                    found.append((cell["sig"].iat[other], cell["sig"].iat[x]))
+                    found.append((int(sig[other]), int(sig[x])))
                     comp[comp == comp[x]] = comp[other]
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+        u, v = ([pair[k] for pair in found] for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.groupBy("token", "i", "j").applyInPandas(compare, "u long, v long")
+    return rows.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,11 +133,20 @@ class ToxicityModel:
         return found
 
     def features(self, text: str | None) -> np.ndarray:
-        weights = [w for w, _ in self.clauses(text)]
+        return self._features([w for w, _ in self.clauses(text)])
+
+    @staticmethod
+    def _features(weights: list[float]) -> np.ndarray:
         return np.array([1.0, max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(len(weights))])
 
+    def scored_clauses(self, text: str | None) -> tuple[float, list[str]]:
+        """Score of a text and its matched clauses."""
+        found = self.clauses(text)
+        score = float(1 / (1 + np.exp(-np.clip(self._features([w for w, _ in found]) @ self.beta, -30, 30))))
+        return score, [clause for _, clause in found]
+
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.beta, -30, 30))))
+        return self.scored_clauses(text)[0]
 
 
 # Without labelled rows of both classes: a clause of weight 1 is as likely toxic as not.
@@ -187,9 +196,9 @@ def fit(docs: DataFrame, labelled: DataFrame, rows_per_class: int = ROWS_PER_CLA
     if not rows[0] or not rows[1]:
         return model
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.features(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array([model.features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     found = sampled.select("doc_id", "label", features("text").alias("x")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if found["label"].nunique() < 2:
@@ -220,9 +229,11 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFram
     bias. Other columns do not matter; repeated rows get equal scores.
     """
 
-    @F.pandas_udf("score double, clauses array<string>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(model.score(t), [c for _, c in model.clauses(t)]) for t in texts], columns=["score", "clauses"])
+    @F.arrow_udf("score double, clauses array<string>")
+    def scored(texts: pa.Array) -> pa.Array:
+        found = [model.scored_clauses(t.as_py()) for t in texts]
+        scores, clauses = pa.array([s for s, _ in found], pa.float64()), pa.array([c for _, c in found], pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([scores, clauses], ["score", "clauses"])
 
     rows = docs.select(*columns, scored("text").alias("__scored"))
     return rows.select(*columns, "__scored.score", (F.col("__scored.score") >= 0.5).cast("int").alias("predicted"), "__scored.clauses")
@@ -231,8 +242,8 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFram
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns; a null text is clean."""
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) < 0.5 for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) < 0.5 for t in texts], pa.bool_())
 
     return docs.where(clean("text"))
