@@ -49,10 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(path: str) -> None:
+    """Have ``remove_written`` delete this folder too."""
+    _WRITTEN.append(path)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that this process has written with ``written``; no frame that reads them works afterwards."""
     removed = 0
