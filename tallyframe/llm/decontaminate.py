@@ -139,11 +139,11 @@ class Item:
 class ItemIndex:
     """Items by their q-grams; q is the longest for which the lemma asks for several shared q-grams of every item."""
 
-    def __init__(self, rows: list[tuple[int, str]], error_rate: float = ERROR_RATE):
+    def __init__(self, rows: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
         texts = [(i, codes(normalised(t))) for i, t in rows]
-        short = [(i, c) for i, c in texts if 0 < len(c) < MIN_CHARS]
+        short = [(i, c) for i, c in texts if 0 < len(c) < min_chars]
         self.short_ids, self.short = [i for i, _ in short], ShortItems([c for _, c in short])
-        texts = [(i, c, int(len(c) * error_rate)) for i, c in texts if len(c) >= MIN_CHARS]
+        texts = [(i, c, int(len(c) * error_rate)) for i, c in texts if len(c) >= min_chars]
         self.q = q = max(3, min([12, *((len(c) + 1 - 4) // (k + 1) for _, c, k in texts)]))
         self.items, sides = [], []
         for item_id, chars, k in texts:
@@ -306,19 +306,21 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS
+) -> DataFrame:
     """(doc_id, item_id, start, end, edits): items that leak into a document, with their best region.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; start and end count characters of
     the normalised text. Null and empty texts hold no leak; items without an id or without characters
-    are not searched, those under ``MIN_CHARS`` characters only as they are, between word boundaries. Repeated rows give repeated results; of an item id with several
+    are not searched, those under ``min_chars`` characters only as they are, between word boundaries. Repeated rows give repeated results; of an item id with several
     texts each is searched. Without items the result is empty.
     """
     schema = "doc_id long, item_id long, start int, end int, edits int"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     found = None
     for block in _blocks(benchmark, block_chars):
-        part = texts.mapInArrow(_search(ItemIndex(block, error_rate)), schema)
+        part = texts.mapInArrow(_search(ItemIndex(block, error_rate, min_chars)), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -336,13 +338,13 @@ def _search(index: ItemIndex):
     return search
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents into which no item leaks; takes and keeps the same rows and columns otherwise.
 
     Decided from each row's own text, so nothing is joined and rows without an id are decided as well.
     """
     for block in _blocks(benchmark, BLOCK_CHARS):
-        docs = docs.where(_is_clean(ItemIndex(block, error_rate))("text"))
+        docs = docs.where(_is_clean(ItemIndex(block, error_rate, min_chars))("text"))
     return docs
 
 

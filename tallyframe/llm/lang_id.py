@@ -5,8 +5,9 @@ Each language gets a binary codeword. For every bit a naive Bayes classifier ove
 gets the language whose codeword costs least: the logistic loss of each bit, weighted by how well its
 classifier does on the training texts. A close second codeword flags the text as ambiguous.
 
-The counts cover all training rows; they are added up in each task to one vector a language, so what is
-shuffled depends on the number of tasks and languages, not on the rows.
+The counts cover all training rows and languages; they are added up in each task to one vector a language, so what is
+shuffled depends on the number of tasks and languages, not on the rows. The driver reads one language after
+the other and keeps sums for each bit, whose number grows with the logarithm of the languages.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.session import written
+
 UNKNOWN = "und"
 BUCKETS = 1 << 14
-# Languages beyond these, by number of training texts, are not learned: it bounds what reaches the driver.
-MAX_LANGUAGES = 256
 AMBIGUOUS_BELOW = 0.75
+# Languages whose counts a task holds at a time; with more it hands on partial counts.
+_HELD = 256
 
 
 _LETTERS: list[np.ndarray] = []
@@ -68,12 +71,24 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(20):
         code = (random.random((n, int(10 * np.log2(n)))) < 0.5).astype(np.int8)
         code = code[:, (code.min(0) == 0) & (code.max(0) == 1)]
-        apart = np.abs(code[:, None, :] - code[None, :, :]).sum(2) + np.eye(n, dtype=int) * 10_000
-        if apart.min() > distance:
-            best, distance = code, apart.min()
+        least = _least_distance(code)
+        if least > distance:
+            best, distance = code, least
     return best
 
 
+def _least_distance(code: np.ndarray) -> int:
+    """Least number of bits in which two codewords differ, some rows against all at a time."""
+    bits = code.astype(np.float32)
+    ones, least = bits.sum(1), code.shape[1]
+    for begin in range(0, len(code), 512):
+        some = bits[begin : begin + 512]
+        apart = ones[begin : begin + 512, None] + ones[None, :] - 2 * (some @ bits.T)
+        apart[np.arange(len(some)), begin + np.arange(len(some))] = np.inf
+        least = min(least, int(apart.min()))
+    return least
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -102,9 +117,9 @@ class LanguageModel:
 
 
 def fit(rows: DataFrame) -> LanguageModel:
-    """The model of all rows (text, lang) whose lang is not null."""
+    """The model of all rows (text, lang) whose lang is not null, whatever the number of languages."""
     rows = rows.where("lang IS NOT NULL").select("text", "lang")
-    kept = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    kept = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not kept:
         return LanguageModel([], codewords(0), np.zeros((BUCKETS, 0)), np.zeros(0))
     place = {lang: i for i, lang in enumerate(kept)}
@@ -113,24 +128,45 @@ def fit(rows: DataFrame) -> LanguageModel:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"]):
-                if lang in place:
-                    totals.setdefault(place[lang], np.zeros(BUCKETS, np.int64))[:] += np.bincount(letter_ngrams(text), minlength=BUCKETS)
-        for lang, counts in totals.items():
-            used = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "bucket": used, "n": counts[used]})
-
-    grams = rows.mapInPandas(counted, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(kept), BUCKETS))
-    counts[grams["lang"], grams["bucket"]] = grams["n"]
+                if place[lang] not in totals and len(totals) == _HELD:
+                    yield from map(nonzero, totals.items())
+                    totals.clear()
+                totals.setdefault(place[lang], np.zeros(BUCKETS, np.int64))[:] += np.bincount(letter_ngrams(text), minlength=BUCKETS)
+        yield from map(nonzero, totals.items())
+
+    def nonzero(item: tuple[int, np.ndarray]) -> pd.DataFrame:
+        lang, counts = item
+        used = np.flatnonzero(counts)
+        return pd.DataFrame({"lang": lang, "bucket": used, "n": counts[used]})
+
+    grams = rows.mapInPandas(counted, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    by_language = grams.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
+    by_language = written(by_language, "language_counts")  # at most BUCKETS counts a language
+
+    def shares() -> Iterator[tuple[int, np.ndarray]]:
+        """The smoothed shares of each language's n-grams; languages without any come last."""
+        seen = set()
+        for r in by_language.toLocalIterator():
+            counts = np.full(BUCKETS, 0.5)
+            counts[r["buckets"]] += r["counts"]
+            seen.add(r["lang"])
+            yield r["lang"], counts / counts.sum()
+        for lang in range(len(kept)):
+            if lang not in seen:
+                yield lang, np.full(BUCKETS, 1 / BUCKETS)
+
     codes = codewords(len(kept))
-    shares = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-    weights = np.zeros((BUCKETS, codes.shape[1]))
-    for bit in range(codes.shape[1]):
-        one = codes[:, bit] == 1
-        weights[:, bit] = np.log(shares[one].mean(0)) - np.log(shares[~one].mean(0))
-    # A bit counts by the mean margin that it gives the languages on its side of the split.
-    margins = shares @ weights * np.where(codes == 1, 1, -1)
-    bit_weights = np.clip(margins.min(0), 0.05, None)
+    ones, all_shares = np.zeros((BUCKETS, codes.shape[1])), np.zeros(BUCKETS)
+    for lang, share in shares():
+        ones[:, codes[lang] == 1] += share[:, None]
+        all_shares += share
+    with_one = codes.sum(0)
+    weights = np.log(ones / np.maximum(1, with_one)) - np.log((all_shares[:, None] - ones) / np.maximum(1, len(kept) - with_one))
+    # A bit counts by the least margin that it gives a language on its side of the split.
+    bit_weights = np.full(codes.shape[1], np.inf)
+    for lang, share in shares():
+        bit_weights = np.minimum(bit_weights, share @ weights * np.where(codes[lang] == 1, 1, -1))
+    bit_weights = np.clip(bit_weights, 0.05, None)
     return LanguageModel(kept, codes, weights, bit_weights / bit_weights.mean() if len(bit_weights) else bit_weights)
 
 
@@ -138,7 +174,8 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataF
     """``columns`` of docs with lang_pred, score and ambiguous, from the whole ``text`` alone.
 
     A null text and one without a letter get ``und`` with score 0, and so does every text where no
-    language was learned. Other columns do not matter; repeated rows get equal results.
+    language was learned. Other columns do not matter; repeated rows get equal results, rows of one id with other texts
+    their own.
     """
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

@@ -43,3 +43,14 @@ def class_sample(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> D
     of_class = {c: thinned(known.where(F.col("label") == c), rows_per_class, totals.get(c, 0), "doc_id") for c in (0, 1)}
     parts = [of_class[c].orderBy(seeded, "doc_id").limit(rows_per_class) for c in (0, 1)]
     return parts[0].unionByName(parts[1])
+
+
+def one_text(sampled: DataFrame) -> DataFrame:
+    """(doc_id, label, text) of sampled rows, one for each id: of several texts that of the smallest hash, then the smallest."""
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")
+    return sampled.groupBy("doc_id").agg(first).select("doc_id", "r.label", "r.text")
+
+
+def label_counts(labelled: DataFrame) -> dict[int, int]:
+    """How many rows have label 0 and label 1."""
+    return {r["label"]: r["count"] for r in labelled.where("label IN (0, 1)").groupBy("label").count().collect()}

@@ -3,7 +3,7 @@
 A lexicon turns words into symbols: insult, threat, target (a person spoken to or of), negation, report
 (speech that is quoted or told). Small sequential transducers rewrite the symbol stream one after the
 other - an insult after a negation becomes a negated one, one inside reported speech a reported one, a
-threat needs a target, a target marks the clause as aimed at someone - and are composed into one machine
+threat needs a target and counts only where it is not told, a target marks the clause as aimed at someone - and are composed into one machine
 that pays out the weight of each clause where it ends. The strongest clause, the sum of the clauses
 and their number give the score by a logistic model.
 
@@ -21,25 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.sampling import ROWS_PER_CLASS, class_sample
+from tallyframe.llm.sampling import ROWS_PER_CLASS, class_sample, label_counts, one_text
+from tallyframe.session import written
 
 # Words in English, German, French and Spanish.
 INSULTS = "idiot moron stupid trash scum loser worthless pathetic disgusting clown imbecile dumb vermin idioten dummkopf abschaum imbécile ordure crétin basura imbécil".split()
 THREATS = "kill hurt destroy punch shoot burn töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
 TARGETS = "you your yourself he she they them du dich ihr euch tu toi vous ils tú te vosotros usted ellos".split()
-NEGATIONS = "not no never n't without nicht kein keine nie ne jamais sin nunca jamás".split()
+NEGATIONS = "not no never without nicht kein keine nie ne jamais sin nunca jamás".split()
 REPORTS = "said says called wrote quoted claims sagte nannte schrieb dit appelé écrit dijo llamó escribió".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "insult threat target negation report other end".split()
 NEGATED, REPORTED, HIT = "negated reported hit".split()
+# Endings of insults (plurals) and threats (forms of the verb).
+INSULT_ENDINGS, THREAT_ENDINGS = ("s", "es", "n", "en"), ("s", "ed", "ing")
 # Weights of the symbols in a clause, and what a target in the same clause adds.
 WEIGHTS = {INSULT: 1.0, NEGATED: 0.4, REPORTED: 0.6, HIT: 1.0}
 AIMED = 0.3
 
+# Words that are learned at most, those that stand out most; a parameter of ``fit``.
 MAX_LEARNED = 5000
 # A learned word occurs in toxic texts this unlikely often, if it had nothing to do with them.
 CHANCE = 1e-6
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
+# A negation that is written together with its verb.
+_CONTRACTED = re.compile(r"n['\u2019]t\b")
 _WORD_SQL = r"[^\p{L}]+"
 
 
@@ -116,7 +122,7 @@ class ToxicityModel:
 
     def clauses(self, text: str | None) -> list[tuple[float, str]]:
         """(weight, text) of the matched clauses, in order, from the whole text."""
-        lowered = (text or "").lower()
+        lowered = _CONTRACTED.sub(" not", (text or "").lower())
         tokens = _TOKEN.findall(lowered)
         if self.triggers.isdisjoint(tokens):
             return []
@@ -154,12 +160,14 @@ UNTRAINED = np.array([-3.0, 3.0, 0.0, 0.0])
 
 
 def base_lexicon() -> dict[str, tuple[str, float]]:
+    endings = {INSULT: INSULT_ENDINGS, THREAT: THREAT_ENDINGS}
     lists = {INSULT: INSULTS, THREAT: THREATS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORTS}
-    return {word: (symbol, 1.0) for symbol, words in lists.items() for word in words}
+    inflected = {word + ending: (symbol, 1.0) for symbol, ends in endings.items() for word in lists[symbol] for ending in ends}
+    return inflected | {word: (symbol, 1.0) for symbol, words in lists.items() for word in words}
 
 
-def learned_insults(sampled: DataFrame, rows: dict[int, int]) -> dict[str, tuple[str, float]]:
-    """Words that stand out in toxic texts: at most MAX_LEARNED, each with a weight up to 1.
+def learned_insults(sampled: DataFrame, rows: dict[int, int], max_learned: int = MAX_LEARNED) -> dict[str, tuple[str, float]]:
+    """Words that stand out in toxic texts: at most ``max_learned``, each with a weight up to 1.
 
     ``sampled``: doc_id, text, label; ``rows``: its rows by label.
     """
@@ -178,20 +186,25 @@ def learned_insults(sampled: DataFrame, rows: dict[int, int]) -> dict[str, tuple
         .select("word", surprise.alias("surprise"), odds.alias("odds"), n.alias("n"))
         .where((F.col("surprise") > -np.log(CHANCE)) & (F.col("odds") > 2.0))
         .orderBy(F.desc("surprise"), "word")
-        .limit(MAX_LEARNED)
+        .limit(max_learned)
     )
     return {r["word"]: (INSULT, float(min(1.0, r["odds"] / 6))) for r in top.collect()}
 
 
-def fit(docs: DataFrame, labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
-    """Lexicon and logistic model from docs (doc_id, text) with labelled (doc_id, label); 1 is toxic."""
+def fit(
+    docs: DataFrame, labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_learned: int = MAX_LEARNED
+) -> ToxicityModel:
+    """Lexicon and logistic model from docs (doc_id, text) with labelled (doc_id, label); 1 is toxic.
+
+    Of an id with several texts the one of the smallest hash is learned.
+    """
     sample = class_sample(labelled, rows_per_class)
     ids = [(r["doc_id"], r["label"]) for r in sample.collect()]  # at most two times rows_per_class
     session = docs.sparkSession
     known = F.broadcast(session.createDataFrame(ids, "doc_id long, label int"))
-    sampled = docs.select("doc_id", "text").join(known, "doc_id")
+    sampled = written(one_text(docs.select("doc_id", "text").join(known, "doc_id")), "toxicity_sample")
     rows = {c: sum(label == c for _, label in ids) for c in (0, 1)}
-    lexicon = learned_insults(sampled, rows) | base_lexicon()
+    lexicon = learned_insults(sampled, rows, max_learned) | base_lexicon()
     model = ToxicityModel(lexicon, UNTRAINED)
     if not rows[0] or not rows[1]:
         return model
@@ -200,11 +213,10 @@ def fit(docs: DataFrame, labelled: DataFrame, rows_per_class: int = ROWS_PER_CLA
     def features(texts: pa.Array) -> pa.Array:
         return pa.array([model.features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
-    found = sampled.select("doc_id", "label", features("text").alias("x")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = sampled.select("doc_id", "label", features("text").alias("x")).toPandas().sort_values("doc_id")
     if found["label"].nunique() < 2:
         return model
-    shares = {r["label"]: r["count"] for r in labelled.where("label IN (0, 1)").groupBy("label").count().collect()}
-    return ToxicityModel(lexicon, logistic(np.stack(found["x"].to_numpy()), found["label"].to_numpy(), shares))
+    return ToxicityModel(lexicon, logistic(np.stack(found["x"].to_numpy()), found["label"].to_numpy(), label_counts(labelled)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, shares: dict[int, int]) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Dictionary-compressed web archives: one Zstandard frame a record, the dictionary in front.
 
 A ``.warc.zst`` archive starts with a skippable frame that holds the dictionary; each WARC record
-follows as a frame of its own, so a record can be read alone. The dictionary is trained on a bounded sample
-of the records and shared by all archives. Of records with equal payloads one is a response and the
+follows as a frame of its own, so a record can be read alone. The dictionary is trained on windows of a bounded sample
+of the records and shared by all archives; where they are too few to train one, it is their plain content. Of records with equal payloads one is a response and the
 others are revisits that refer to it.
 
 Tasks write the archives straight to the folder (any file system that Arrow can open), under names of their
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.sampling import thinned
-from tallyframe.session import shared_dir, written
+from tallyframe.session import remember, shared_dir, written
 
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_RECORDS = 1024
-# Of a sampled record, this much is used for training the dictionary; archives hold whole records.
+# Of a sampled payload a window of this size, from a place by the hash of its page, is used for training; archives hold whole records.
 SAMPLE_BYTES = 16 * 1024
 ARCHIVE_BYTES = 64 * 1024 * 1024
 LEVEL = 3
@@ -89,11 +89,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary for the samples; none where they are too few or too small to train one."""
+    """A dictionary for the samples: trained, or the end of their content where they are too few or too small for that."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _open(folder: str):
@@ -194,10 +194,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of all pages (page_id, url, html) in a folder; gives their manifest (archive, records, bytes).
 
     A null html is an empty payload, a null url or id leaves its field out. Repeated rows each get a record;
-    one of them is the response. Other columns do not matter; an empty table writes no archive.
+    one of them is the response. Other columns do not matter; an empty table writes no archive. Payloads of any length
+    are written whole.
     """
-    head = F.substring(F.coalesce(F.col("html").cast("binary"), F.lit(b"")), 1, SAMPLE_BYTES).alias("payload")
-    few = thinned(pages.select("page_id", "url", head), SAMPLE_RECORDS, pages.count(), "page_id", "url")
+    whole = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    begin = F.pmod(F.xxhash64(F.lit("window"), "page_id", "url"), F.greatest(F.octet_length(whole) - SAMPLE_BYTES, F.lit(0)) + 1)
+    window = F.substring(whole, (begin + 1).cast("int"), F.lit(SAMPLE_BYTES)).alias("payload")
+    few = thinned(pages.select("page_id", "url", window), SAMPLE_RECORDS, pages.count(), "page_id", "url")
     few = few.groupBy("page_id", "url").agg(F.min("payload").alias("payload"))
     sample = few.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE_RECORDS)
     dictionary = train_dictionary([record("response", r["page_id"], r["url"], bytes(r["payload"]), None) for r in sample.collect()])
@@ -212,6 +215,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
+    remember(folder)
     rows = _with_roles(pages).select("page_id", "url", "payload", "kind", "to_id", "to_url")
     return written(rows.mapInPandas(write, "archive string, records long, bytes long"), "warc_manifest")
 

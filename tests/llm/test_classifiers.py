@@ -1,5 +1,7 @@
 """Language, quality and toxicity: held-out accuracy, parts by hand, and defined edge cases."""
 
+import random
+
 import numpy as np
 import pytest
 from helpers import AWKWARD, SF_DIR, docs_of, rows_of, with_clashes
@@ -156,3 +158,58 @@ def test_held_out_accuracy(spark, name, column, floor):
 def test_held_out_language_accuracy(spark):
     got = queries.op2_language_id(spark, SF_DIR).where("held_out").join(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
+
+
+@pytest.mark.parametrize(
+    "text, weight",
+    [("You aren't an idiot.", 0.7), ("You don’t look like scum", 0.7), ("You are idiots.", 1.3), ("She kills them.", 1.3), ("Killing you", 1.0)],
+)
+def test_contractions_and_inflections(model, text, weight):
+    assert [round(w, 6) for w, _ in model.clauses(text)] == [weight]
+
+
+def test_three_hundred_languages_are_learned(spark):
+    """Each language has letters of its own; none is left out, however many there are."""
+    from tallyframe.llm import lang_id
+
+    def sample(i, seed):
+        rng = random.Random(1000 * i + seed)
+        letters = [chr(0x4E00 + 7 * i + k) for k in range(7)]
+        return " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
+
+    rows = [(sample(i, s), f"l{i:03}") for i in range(300) for s in range(3)]
+    model = lang_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert len(model.languages) == 300
+    right = sum(model.predict(sample(i, 9))[0] == f"l{i:03}" for i in range(300))
+    assert right >= 290
+
+
+def test_codewords_differ_widely():
+    from tallyframe.llm.lang_id import _least_distance, codewords
+
+    for n in (7, 300):
+        code = codewords(n)
+        apart = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        assert _least_distance(code) == apart >= np.log2(n)
+
+
+def test_quality_reads_whole_words(spark):
+    from tallyframe.llm.quality import _Shapes, shape_ngrams
+
+    def grams(text):
+        return set(shape_ngrams(text, _Shapes()).tolist())
+
+    long = "x" * 1000
+    assert grams(long + "9!?;Z") != grams(long) != grams("x" * 999)
+    assert grams("a1b2c3d4e5f6") != grams("a1b2c3d4")
+    assert grams("The quick brown fox runs") != grams("Xxx zzzz qqqq vvv kkkk")
+    assert grams("Word") & grams("word") and not grams(None) and not grams(" ")
+
+
+def test_of_several_texts_of_an_id_one_is_learned(spark):
+    from tallyframe.llm.sampling import one_text
+
+    rows = [(1, 0, "a"), (1, 0, "b"), (2, 1, None), (2, 1, "c"), (3, 1, None)]
+    frame = spark.createDataFrame(rows * 3, "doc_id long, label int, text string")
+    found = [{(r["doc_id"], r["label"], r["text"]) for r in one_text(frame.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == found[1] and {i for i, _, _ in found[0]} == {1, 2, 3}

@@ -93,3 +93,19 @@ def test_archives_are_split_and_damage_raises(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert warc.archive_and_read(pages_of(spark, [])).count() == 0
+
+
+def test_a_single_small_page_has_a_dictionary_in_front(spark, tmp_path):
+    import struct
+
+    from tallyframe.llm import warc
+
+    pages = spark.createDataFrame([(1, "http://h/1", "<p>x</p>")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(pages, folder)
+    (name,) = [r["archive"] for r in manifest.collect()]
+    data = (tmp_path / "archives" / name).read_bytes()
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == warc.SKIPPABLE_MAGIC and b"<p>x</p>" in data[8 : 8 + size]
+    (row,) = warc.read_archives(folder, manifest).collect()
+    assert (row["page_id"], bytes(row["payload"])) == (1, b"<p>x</p>")
