@@ -20,6 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import pandas as pd  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 from fixtures import base, fixture, with_fixtures  # noqa: E402
 from tallyframe import functions as TF  # noqa: E402
@@ -30,6 +31,7 @@ from tallyframe.operators import (  # noqa: E402
     lengths,
     order,
     prepare,
+    rollouts,
     scoring,
 )
 from tallyframe.operators.joins import keyed_join  # noqa: E402
@@ -41,6 +43,8 @@ from tallyframe.sources.checkpoint_dirs import checkpoint_dirs, read_checkpoints
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl  # noqa: E402
 from tallyframe.sources.problems import ProblemSource, load_problems  # noqa: E402
 from tallyframe.sources.sinks import write_if_absent, write_split, write_tagged  # noqa: E402
+from tallyframe.streaming.length_filter import stream_jsonl, stream_length_filter  # noqa: E402
+from tallyframe.streaming.scoring import stream_scores  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -846,6 +850,79 @@ def custom_verifier(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score_samples_with(rows, problems, numbers_equal)
 
 
+@query("SELECT id, same AS is_correct FROM notations", "notations")
+def notation_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers in other spellings - expressions, intervals, tuples, sets, matrices, units - against verdicts given by hand."""
+    rows = fixture(spark, sf, "notations")
+    problems, samples = rows.select("id", "solution"), rows.select("id", "generated_solution")
+    return scoring.score_samples(samples, problems, symbolic=True).select("id", "is_correct")
+
+
+# Streams.
+
+
+@query(_report_sql(_VERDICTS.format(samples=f"({_SCORED_GENERATIONS})")), "generations", "problems")
+def streamed_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Generations scored as a stream of several files, one a batch, and the report on what has arrived."""
+    rows, place = fixture(spark, sf, "generations"), _run_dir(spark, "stream")
+    rows.select("id", "sample_idx", "generated_solution", "prompt_tokens", "output_tokens").repartition(3, "id", "sample_idx").write.json(f"{place}/in")
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("is_correct", "match_type")])
+    stream = stream_jsonl(spark, f"{place}/in", schema, files_per_batch=1)
+    stream_scores(stream, fixture(spark, sf, "problems"), f"{place}/out", checkpoint=f"{place}/progress").awaitTermination()
+    result = accuracy.accuracy_report(accuracy.problem_verdicts(spark.read.parquet(f"{place}/out")))
+    return _r6(result, "accuracy", "avg_output_tokens", "avg_prompt_tokens")
+
+
+@query(f"SELECT id, sample_idx, prompt_tokens, output_tokens FROM generations WHERE prompt_tokens + output_tokens <= {MAX_TOKENS}", "generations")
+def streamed_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The length filter over files as they arrive, two runs to the same output."""
+    rows, place = fixture(spark, sf, "generations").select("id", "sample_idx", "prompt_tokens", "output_tokens"), _run_dir(spark, "lengths")
+    for part in (0, 1):
+        write_jsonl(rows.where(F.col("id") % 2 == part), f"{place}/in/part={part}")
+        stream = stream_jsonl(spark, f"{place}/in/part=*", rows.schema, files_per_batch=1)
+        stream_length_filter(stream, f"{place}/out", MAX_TOKENS, checkpoint=f"{place}/progress").awaitTermination()
+    return read_jsonl(spark, f"{place}/out", rows.schema)
+
+
+# Rollouts.
+
+
+@query("SELECT id, sample_idx, CASE WHEN is_correct THEN 1 ELSE 0 END AS reward FROM generations", "generations")
+def reward(spark: SparkSession, sf: str) -> DataFrame:
+    return fixture(spark, sf, "generations").select("id", "sample_idx", rollouts.binary_reward(F.col("is_correct")).alias("reward"))
+
+
+@query(
+    """SELECT id, sample_idx, output_tokens,
+              round(CASE WHEN output_tokens <= 200 THEN 0 WHEN output_tokens >= 1000 THEN -0.5 ELSE -0.5 * (output_tokens - 200) / 800 END, 6)::DOUBLE AS penalty
+       FROM generations""",
+    "generations",
+)
+def overlong_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixture(spark, sf, "generations")
+    return rows.select("id", "sample_idx", "output_tokens", F.round(rollouts.overlong_penalty(F.col("output_tokens"), 1000, 800, 0.5), 6).alias("penalty"))
+
+
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), -50, -1), ' ') AS prompt FROM documents")
+def left_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = rollouts.left_truncate(F.split("text", " "), 50)
+    return base(spark, sf, "documents").select("doc_id", F.array_join(tokens, " ").alias("prompt"))
+
+
+@query(
+    """SELECT sft_epoch, rl_step, problem_id, is_correct,
+              round(CASE WHEN n > 1 THEN (r - m) / (s + 1e-6) ELSE 0 END, 6) AS advantage
+       FROM (SELECT *, count(*) OVER g AS n, avg(r) OVER g AS m, coalesce(stddev_samp(r) OVER g, 0) AS s
+             FROM (SELECT *, is_correct::INT::DOUBLE AS r FROM rl_runs) a
+             WINDOW g AS (PARTITION BY sft_epoch, rl_step, problem_id)) b""",
+    "rl_runs",
+)
+def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixture(spark, sf, "rl_runs").withColumn("reward", rollouts.binary_reward(F.col("is_correct")))
+    found = rollouts.group_advantages(rows, ["sft_epoch", "rl_step", "problem_id"])
+    return found.drop("reward").withColumn("advantage", F.round("advantage", 6))
+
+
 # Report text.
 
 

@@ -8,6 +8,52 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Pairs of spellings and whether they mean the same, decided by hand: #n, #m, #q, #p stand for n, 2n, n * n and n + 1,
+# and ~ for a backslash.
+NOTATIONS = (
+    ("(x+#n)^2", "x^2+#mx+#q", True),
+    ("(x+#n)^2", "x^2+#mx+#p", False),
+    ("~sqrt{8}", "2~sqrt2", True),
+    ("~sqrt{#q}", "#n", True),
+    ("[0, ~frac{#m}{2})", "[0,#n)", True),
+    ("[0,#n]", "[0,#n)", False),
+    ("(#n, ~frac{1}{2})", "(#n,0.5)", True),
+    ("(#n,#m)", "(#m,#n)", False),
+    ("~{#m, #n~}", "~{#n, #m.0~}", True),
+    ("#n, #p", "#p, #n", True),
+    ("~begin{pmatrix}#n&1~~0&x+x~end{pmatrix}", "~begin{bmatrix} #n & 1 ~~ 0 & 2x ~end{bmatrix}", True),
+    ("~begin{pmatrix}#n&1~~0&2~end{pmatrix}", "~begin{pmatrix}#n&0~~1&2~end{pmatrix}", False),
+    ("(-~infty,0)~cup[#n,~infty)", "(-~infty, 0) ~cup [~frac{#m}{2}, ~infty)", True),
+    ("(-~infty,0)~cup[#n,~infty)", "(-~infty,0)~cup(#n,~infty)", False),
+    ("#n~text{ cm}", "#n", True),
+    ("#n~%", "#n", True),
+    ("#n~frac{1}{2}", "#n.5", True),
+    ("~mathrm{east}", "~text{east}", True),
+    ("~text{east}", "~text{seat}", False),
+    ("~frac{x}{#n}+~frac{x}{#n}", "~frac{2x}{#n}", True),
+    ("x^{-#n}", "~frac{1}{x^{#n}}", True),
+    ("#n~pi r", "r ~cdot ~pi ~cdot #n", True),
+    ("y=#nx", "x~times #n", True),
+    ("x+#n", "x-#n", False),
+    ("-~frac{-1}{#n}", "~frac{1}{#n}", True),
+    ("#n{,}000", "#n000", True),
+    ("~frac{~sqrt{3}}{3}", "~frac{1}{~sqrt{3}}", True),
+    ("f(x)", "g(x)", False),
+    ("#n00000001x", "#n00000000x", False),
+)
+
+
+def _notation_rows() -> str:
+    return ", ".join(f"({i}, '{pred}', '{gold}', {str(same).upper()})" for i, (pred, gold, same) in enumerate(NOTATIONS))
+
+
+def _spelled(template: str) -> str:
+    n = "(2 + doc_id % 40)"
+    for mark, value in (("#n", n), ("#m", f"2 * {n}"), ("#q", f"{n} * {n}"), ("#p", f"1 + {n}")):
+        template = f"replace({template}, '{mark}', CAST({value} AS VARCHAR(20)))"
+    return f"replace({template}, '~', chr(92))"
+
+
 FIXTURES = {
     # One problem per document; `type` is unnormalised on purpose. Every third answer is above 10^10, so
     # that a wrong one differs by one part in 10^10.
@@ -43,6 +89,12 @@ FIXTURES = {
                CASE WHEN quality = 1 THEN TRUE ELSE FALSE END AS is_correct,
                CASE WHEN quality IS NULL THEN 'parse_failure' ELSE 'sympy_equiv' END AS match_type
         FROM samples""",
+    # One pair of spellings per document, with the verdict given by hand.
+    "notations": f"""
+        SELECT doc_id AS id,
+               concat('so ', chr(92), 'boxed{{', {_spelled('v.pred')}, '}}') AS generated_solution,
+               concat('It is ', chr(92), 'boxed{{', {_spelled('v.gold')}, '}}.') AS solution, v.same
+        FROM documents d JOIN (VALUES {_notation_rows()}) AS v(place, pred, gold, same) ON d.doc_id % {len(NOTATIONS)} = v.place""",
     # Checkpoint = trailing number of the source.
     "checkpoint_runs": """
         SELECT CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS INT) AS checkpoint_num,

@@ -48,6 +48,7 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
         subset=args.subset,
         source=args.examples,
         save_correct=args.save_correct_jsonl,
+        symbolic=args.symbolic,
     )
     total = done.report.first()
     print(f"accuracy {total['accuracy']:.2%} ({total['correct']}/{total['total']})")
@@ -129,6 +130,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--output-dir", default="outputs")
     sub.add_argument("--eval-dir", default="eval_results")
     sub.add_argument("--save-correct-jsonl", action="store_true")
+    sub.add_argument("--symbolic", action="store_true", help="compare answers by their parts and by algebra too")
     sub.add_argument("--run-time", type=datetime.fromisoformat, default=datetime.now())
 
     sub = command("filter", filter_by_length, "drop rows over a total token count")

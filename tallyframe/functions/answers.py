@@ -12,6 +12,7 @@ SINGLE_LABEL = "sympy_equiv"
 
 EXACT = "exact"
 NUMERIC = "numeric_equiv"
+SYMBOLIC = "symbolic_equiv"
 DIFFERENT = "different"
 
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+)?"
@@ -72,15 +73,17 @@ def answer_candidate(text: Column, box: Column | None = None) -> Column:
 
 # Notation that carries no meaning for equality, and what stands for it; the order matters.
 _REWRITES = (
-    (r"\$|\\left|\\right|\\[,;:! ]", ""),
+    (r"\$|\\left|\\right|(?<!\\)\\[,;:! ]", ""),
     (r"\s+", ""),
     (r"\^\\circ|\^\{\\circ\}", ""),
+    (r"(?<=[\d}])\\(?:text|mathrm|mbox)\{[A-Za-z][A-Za-z./]*\}(?:\^\{?-?\d\}?)?\.*$", ""),
     (r"\\(?:text|mathrm|mbox|textbf|mathbf)\{([^{}]*)\}", "$1"),
     (r"\{,\}", ","),
     (r"\\[dt]frac", r"\\frac"),
     (r"^(-?)(\d+)\\frac\{(\d+)\}\{(\d+)\}$", "$1$2+$3/$4"),
     (r"^(-?)(\d+)\\frac(\d)(\d)$", "$1$2+$3/$4"),
-    (r"\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2"),
+    (r"(?<![\d.^])\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2"),
+    (r"^--", ""),
     (r"^(-?)\\frac(\d)(\d)$", "$1$2/$3"),
     (r"^-(\d+)/-(\d+)$", "$1/$2"),
     (r"^(\d+)/-(\d+)$", "-$1/$2"),
@@ -161,7 +164,7 @@ def answer_label(pred: Column, gold: Column, pred_value: Column, gold_value: Col
 
 
 def is_match(label: Column) -> Column:
-    return label.isin(EXACT, NUMERIC)
+    return label.isin(EXACT, NUMERIC, SYMBOLIC)
 
 
 def single_label(label: Column) -> Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import functions as TF
-from tallyframe.functions.answers import PARSE_FAILURE
+from tallyframe.functions.answers import DIFFERENT, PARSE_FAILURE, SYMBOLIC
+from tallyframe.operators.equivalence import equal_pairs
 from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.prepare import with_default
+from tallyframe.operators.verifiers import VERDICT, Verifier, isolated
 from tallyframe.session import written
 
 SAMPLE_DEFAULTS = {"sample_idx": 0, "prompt_tokens": 0, "output_tokens": 0}
 CATEGORIES = ("level", "type")
+# How long a verifier may take for one pair.
+PAIR_SECONDS = 10.0
 
 
 def complete_samples(outputs: DataFrame) -> DataFrame:
@@ -98,21 +101,35 @@ def score_samples(
     examples: DataFrame,
     run: Sequence[str] = (),
     single_label: bool = False,
+    symbolic: bool = False,
     **sizes: int,
 ) -> DataFrame:
     """Result rows: every sample of a known problem with its answers and the native verdict.
 
-    ``single_label`` reports one match type for all compared pairs, right or wrong.
+    ``single_label`` reports one match type for all compared pairs, right or wrong. With ``symbolic``, pairs that differ as
+    text and as numbers are compared by their parts and by algebra too, each distinct pair once; judged samples are
+    then written on the way.
     """
     matched = match_answers(outputs, examples, run, **sizes)
     label = TF.answer_label(*[F.col(f"{side}_{part}") for part in ("answer", "value") for side in ("pred", "gold")])
     judged = matched.withColumn("match_type", label).withColumn("is_correct", TF.is_match(F.col("match_type")))
+    if symbolic:
+        judged = _with_symbolic(written(judged, "judged"), **sizes)
     if single_label:
         judged = judged.withColumn("match_type", TF.single_label(F.col("match_type")))
     return _results(judged, run)
 
 
-Verifier = Callable[[pd.Series, pd.Series], pd.DataFrame]
+def _with_symbolic(judged: DataFrame, **sizes: int) -> DataFrame:
+    """Verdicts of pairs that are equal only by their parts or by algebra."""
+    open_pairs = judged.where(F.col("match_type") == DIFFERENT)
+    equal = written(equal_pairs(open_pairs, "pred_answer", "gold_answer", **sizes), "equal-pairs").withColumn("_equal", F.lit(True))
+    spread = ["id", "sample_idx"]
+    joined = keyed_join(judged, equal, ["pred_answer", "gold_answer"], "left", spread, **sizes)
+    found = F.coalesce("_equal", F.lit(False)) & (F.col("match_type") == DIFFERENT)
+    return joined.withColumns(
+        {"match_type": F.when(found, SYMBOLIC).otherwise(F.col("match_type")), "is_correct": F.col("is_correct") | found}
+    ).drop("_equal")
 
 
 def verify_pairs(
@@ -121,19 +138,25 @@ def verify_pairs(
     pred: str = "pred",
     gold: str = "gold",
     tasks: int | None = None,
+    seconds: float = PAIR_SECONDS,
     **sizes: int,
 ) -> DataFrame:
     """Verdicts of a caller-supplied verifier, which sees each distinct answer pair once.
 
     ``verifier`` maps two string series to a frame of ``is_correct`` and ``match_type``. Pairs with
-    a missing side are parse failures and do not reach it. Pairs are few bytes but may take long to
-    judge: the one shuffle that makes them distinct deals them to ``tasks`` tasks, by default as many
-    as the session shuffles to, and not to fewer by their size.
+    a missing side are parse failures and do not reach it. A pair on which it raises, or is not done within
+    ``seconds``, is wrong with the match type ``error``; if it fails on every pair, that is an error.
+
+    Copies of a pair are one before any shuffle. Pairs are few bytes but may take long to judge: they are dealt to
+    ``tasks`` tasks, by default as many as the session shuffles to, and not to fewer by their size.
     """
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    check = F.pandas_udf(verifier, "is_correct boolean, match_type string")
-    pairs = df.select(pred, gold).dropna().repartition(tasks, pred, gold).distinct()
+    check = F.pandas_udf(isolated(verifier, seconds), VERDICT)
+    pairs = df.select(pred, gold).dropna().distinct().repartition(tasks, pred, gold)
     verdicts = written(pairs.withColumn("verdict", check(pred, gold)), "verdicts")
+    judged, failed, why = verdicts.agg(F.count("*"), F.count("verdict.error"), F.min("verdict.error")).first()
+    if judged and failed == judged:
+        raise ValueError(f"the verifier failed on every one of {judged} pairs: {why}")
     spread = [c for c in df.columns if c not in (pred, gold)]
     return (
         keyed_join(df, verdicts, [pred, gold], "left", spread, **sizes)
@@ -144,14 +167,19 @@ def verify_pairs(
 
 
 def score_samples_with(
-    outputs: DataFrame, examples: DataFrame, verifier: Verifier, run: Sequence[str] = (), **sizes: int
+    outputs: DataFrame,
+    examples: DataFrame,
+    verifier: Verifier,
+    run: Sequence[str] = (),
+    seconds: float = PAIR_SECONDS,
+    **sizes: int,
 ) -> DataFrame:
-    """``score_samples`` with a caller's verifier in place of the native comparison.
+    """``score_samples`` with a caller's verifier in place of the native comparison; see ``verify_pairs``.
 
     Matched answers are written once: the pairs and the result both read them.
     """
     matched = written(match_answers(outputs, examples, run, **sizes), "answers")
-    return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", **sizes), run)
+    return _results(verify_pairs(matched, verifier, "pred_answer", "gold_answer", seconds=seconds, **sizes), run)
 
 
 def correct_ids(results: DataFrame) -> DataFrame:

@@ -35,18 +35,20 @@ def evaluate_generations(
     subset: str = "all",
     source: str = "",
     save_correct: bool = False,
+    symbolic: bool = False,
 ) -> Evaluation:
     """Write scored samples, the Markdown report and, if asked, all samples of solved problems.
 
     Scored samples are written first and read back, so answers are extracted and joined once
-    whatever is computed from them, and a lost executor does not repeat that work.
+    whatever is computed from them, and a lost executor does not repeat that work. ``symbolic`` compares by parts and by
+    algebra too.
     """
     spark = outputs.sparkSession
     if save_correct:  # read for the scores and again for the samples of solved problems
         outputs = written(outputs, "generations")
     tag = f"{output_dir.rstrip('/')}/{run_name(spark, model, run_ts, split)}"
     results_path = f"{tag}.results.parquet"
-    score_samples(outputs, examples).write.parquet(results_path)
+    score_samples(outputs, examples, symbolic=symbolic).write.parquet(results_path)
     results = spark.read.parquet(results_path)
 
     report = accuracy_report(problem_verdicts(results))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import clock_time, run_stamp, slug
 from tallyframe.operators.order import Split, in_order
-from tallyframe.session import constant
+from tallyframe.session import constant, file_system
 
 
 def run_name(spark: SparkSession, model: str, run_ts: datetime, split: str | None = None) -> str:
@@ -46,17 +47,56 @@ def write_tagged(
 
 
 def write_split(split: Split, out_dir: str, files: int = 200, mode: str = "errorifexists") -> dict:
-    """Write ``train.parquet`` and ``val.parquet`` in row order; raise if a row got lost.
+    """Write ``train.parquet`` and ``val.parquet`` in row order, both or neither.
 
-    ``files`` is the part file count of a full table; both outputs share that layout. Rows are
-    counted while they are written.
+    Both are written to a folder of their own in ``out_dir`` first, and rows are counted meanwhile. Only if each has
+    the rows that it shall have are they moved to their places; if anything fails before that, or the second move does, none is
+    there and what was there before still is. ``mode`` is ``errorifexists`` or ``overwrite``. ``files`` is
+    the part file count of a full table; both outputs share that layout.
     """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"a split cannot be written with mode '{mode}'")
+    spark, out_dir = split.train.rows.sparkSession, out_dir.rstrip("/")
+    staging = f"{out_dir}/.split-{uuid.uuid4().hex}"
+    fs, folder = file_system(spark, staging)
+    places = {part: file_system(spark, f"{out_dir}/{part}.parquet")[1] for part in ("train", "val")}
+    if mode == "errorifexists" and (there := [str(p) for p in places.values() if fs.exists(p)]):
+        raise ValueError(f"{there} exist already")
     counts = {"input": split.n_rows}
-    for part, order in (("train", split.train), ("val", split.val)):
-        seen = Observation(part)
-        rows = in_order(order, files).observe(seen, F.count(F.lit(1)).alias("rows"))
-        rows.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{part}.parquet")
-        counts[part] = seen.get["rows"]
-    if (counts["train"], counts["val"]) != (split.n_rows - split.n_val, split.n_val):
-        raise ValueError(f"split lost or repeated rows: {counts}")
+    try:
+        for part, order in (("train", split.train), ("val", split.val)):
+            seen = Observation(part)
+            rows = in_order(order, files).observe(seen, F.count(F.lit(1)).alias("rows"))
+            rows.write.parquet(f"{staging}/{part}.parquet")
+            counts[part] = seen.get["rows"]
+        if (counts["train"], counts["val"]) != (split.n_rows - split.n_val, split.n_val):
+            raise ValueError(f"split lost or repeated rows: {counts}")
+        _publish(fs, {file_system(spark, f"{staging}/{part}.parquet")[1]: place for part, place in places.items()}, folder)
+    finally:
+        fs.delete(folder, True)
     return counts
+
+
+def _publish(fs, moves: dict, folder) -> None:
+    """Move all folders to their places; if a move fails, put everything back."""
+    done = []
+    try:
+        for source, place in moves.items():
+            if fs.exists(place):
+                old = place.suffix("-before-" + folder.getName().removeprefix(".split-"))
+                _move(fs, place, old)
+                done.append((old, place))
+            _move(fs, source, place)
+            done.append((place, source))
+    except Exception:
+        for there, back in reversed(done):
+            _move(fs, there, back)
+        raise
+    for there, back in done:
+        if there.getName() != back.getName():
+            fs.delete(there, True)
+
+
+def _move(fs, source, place) -> None:
+    if not fs.rename(source, place):
+        raise OSError(f"cannot move {source} to {place}")

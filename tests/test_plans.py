@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe import schemas
+from tallyframe.operators.accuracy import accuracy_report, problem_verdicts
 from tallyframe.operators.curate import within_length
+from tallyframe.operators.scoring import score_samples
 from tallyframe.plans.curate import filter_generations, make_training_set
 from tallyframe.plans.evaluate import evaluate_generations
 from tallyframe.plans.sweep import sweep_accuracy, sweep_checkpoint_dir, sweep_lengths, sweep_run_dirs
 from tallyframe.sources.jsonl import read_jsonl, write_jsonl
 from tallyframe.streaming.length_filter import stream_jsonl, stream_length_filter
+from tallyframe.streaming.scoring import stream_scores
 
 RUN_TS = datetime(2025, 1, 2, 3, 4, 5)
 
@@ -188,3 +191,28 @@ def test_sweeping_folders(spark, tmp_path, examples):
     assert solved[1][1] == pytest.approx(80.0) and solved[3][1] is None
     with pytest.raises(ValueError, match="no runs"):
         sweep_run_dirs(spark, str(tmp_path / "rl"), examples, epochs=[7])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": -1}])
+def test_streamed_scores_equal_batch(spark, tmp_path, generations, examples, sizes):
+    """Three files, one a batch, in two runs to the same output."""
+    source, output = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    lines = [json.dumps(r.asDict()) for r in generations.orderBy("id", "sample_idx").collect()]
+    cuts = [0, 5, 9, len(lines)]
+
+    def run(*parts):
+        for i in parts:
+            (source / f"{i}.jsonl").write_text("\n".join(lines[cuts[i] : cuts[i + 1]]))
+        rows = stream_jsonl(spark, str(source), schemas.GENERATIONS, files_per_batch=1)
+        query = stream_scores(rows, examples, output, checkpoint=str(tmp_path / "state"), **sizes)
+        query.awaitTermination()
+        return query.lastProgress["batchId"], spark.read.parquet(output)
+
+    batch, first = run(0, 1)
+    assert batch == 1 and 0 < first.count() < len(lines)
+    _, both = run(2)
+    want = score_samples(generations, examples)
+    assert sorted(map(repr, both.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    got = accuracy_report(problem_verdicts(both)).collect()
+    assert got == accuracy_report(problem_verdicts(want)).collect()

@@ -10,7 +10,7 @@ from tallyframe.operators.order import seeded_order, split_rows
 from tallyframe.session import remove_written, shared_dir, written
 from tallyframe.sources import sinks
 from tallyframe.sources.checkpoint_dirs import checkpoint_dirs, read_checkpoints, read_run_steps, step_dirs
-from tallyframe.sources.jsonl import read_jsonl, read_jsonl_checked, write_jsonl
+from tallyframe.sources.jsonl import bad_lines, naming_bad_lines, read_jsonl, read_jsonl_checked, write_jsonl
 from tallyframe.sources.problems import ProblemSource, load_problems
 
 ROW = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -179,3 +179,91 @@ def test_generation_schema_roundtrip(spark, tmp_path):
     row = (1, "p", "s", None, "t", "q", "g", 0, 5, None)
     write_jsonl(spark.createDataFrame([row], schemas.GENERATIONS), str(tmp_path / "g"))
     assert tuple(read_jsonl(spark, str(tmp_path / "g"), schemas.GENERATIONS).first()) == row
+
+
+@pytest.mark.parametrize("splits", [1, 8])
+def test_malformed_lines_are_named_by_file_and_number(spark, tmp_path, splits):
+    """Blank lines count, long lines cross blocks, and the numbers do not depend on how files are split."""
+    lines = [json.dumps({"a": i, "b": "x" * (i * 37 % 400)}) for i in range(900)]
+    for i in (0, 311, 640, 899):
+        lines[i] = "{bad" + "y" * i
+    lines[5] = lines[312] = ""
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"a": 1}\n\n   \n{"a": "no number"}')
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    settings = {"spark.sql.files.maxPartitionBytes": str(size // splits + 1), "spark.sql.files.openCostInBytes": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        good, bad = read_jsonl_checked(spark, str(tmp_path), ROW)
+        got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.line[:5]) for r in bad.collect())
+        assert got == [("one.jsonl", n, "{bady"[: 4 + (n > 1)]) for n in (1, 312, 641, 900)] + [("two.jsonl", 4, '{"a":')]
+        assert good.count() == 900 - 4 - 2 + 1
+        with pytest.raises(ValueError, match=r"malformed line 1 of .*one\.jsonl: \{bad"):
+            with naming_bad_lines(spark, str(tmp_path), ROW):
+                read_jsonl(spark, str(tmp_path), ROW).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_other_errors_are_left_alone(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n')
+    with pytest.raises(ZeroDivisionError):
+        with naming_bad_lines(spark, str(tmp_path), ROW):
+            raise ZeroDivisionError
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        with naming_bad_lines(spark, str(tmp_path), ROW):
+            read_jsonl(spark, str(tmp_path), ROW).selectExpr("a / 0").collect()
+    assert bad_lines(spark, str(tmp_path)).collect() == []
+
+
+@pytest.fixture
+def split(spark):
+    rows = spark.range(200).withColumn("t", F.col("id").cast("string"))
+    return split_rows(seeded_order(rows, "id"), 0.1)
+
+
+def names_in(folder):
+    return sorted(f.name for f in folder.iterdir() if not f.name.endswith(".crc"))
+
+
+def test_a_split_is_written_whole_or_not_at_all(spark, tmp_path, split, monkeypatch):
+    from dataclasses import replace
+
+    failing = split.val.rows.withColumn("t", F.raise_error(F.lit("val cannot be written")).cast("string"))
+    with pytest.raises(Exception, match="val cannot be written"):
+        sinks.write_split(replace(split, val=replace(split.val, rows=failing)), str(tmp_path), files=2)
+    assert names_in(tmp_path) == []
+    with pytest.raises(ValueError, match="lost or repeated"):
+        sinks.write_split(replace(split, n_val=21), str(tmp_path), files=2)
+    assert names_in(tmp_path) == []
+
+    sinks.write_split(split, str(tmp_path), files=2)
+    assert names_in(tmp_path) == ["train.parquet", "val.parquet"]
+    with pytest.raises(ValueError, match="exist already"):
+        sinks.write_split(split, str(tmp_path), files=2)
+    with pytest.raises(ValueError, match="mode 'append'"):
+        sinks.write_split(split, str(tmp_path), files=2, mode="append")
+
+
+def test_an_overwritten_split_comes_back_if_the_second_move_fails(spark, tmp_path, split, monkeypatch):
+    sinks.write_split(split, str(tmp_path), files=2)
+    other = split_rows(seeded_order(spark.range(50).withColumn("t", F.lit("new")), "id"), 0.5)
+    move, moves = sinks._move, []
+
+    def breaks(fs, source, place):
+        moves.append(place.getName())
+        if len(moves) == 4:
+            raise OSError("disk is gone")
+        move(fs, source, place)
+
+    monkeypatch.setattr(sinks, "_move", breaks)
+    with pytest.raises(OSError, match="disk is gone"):
+        sinks.write_split(other, str(tmp_path), files=2, mode="overwrite")
+    assert names_in(tmp_path) == ["train.parquet", "val.parquet"]
+    assert [spark.read.parquet(str(tmp_path / f"{p}.parquet")).count() for p in ("train", "val")] == [180, 20]
+    monkeypatch.setattr(sinks, "_move", move)
+    assert sinks.write_split(other, str(tmp_path), files=2, mode="overwrite") == {"input": 50, "train": 25, "val": 25}
+    assert names_in(tmp_path) == ["train.parquet", "val.parquet"]
+    assert spark.read.parquet(str(tmp_path / "val.parquet")).where("t = 'new'").count() == 25
