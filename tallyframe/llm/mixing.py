@@ -18,14 +18,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.joins import keyed_join
 from tallyframe.session import written
 
 SEED = 42
 MAX_EPOCHS = 3
 NO_VALUE = "none"
 # An epoch is dealt to buckets by the first hexadecimal digits of its order; only the bucket in
-# which the budget ends is sorted.
-BUCKET_DIGITS = 3
+# which the budget ends is sorted, once it has no more ids than this.
+SORT_ROWS = 50_000
+_ROOT = "__root"
 # Up to so many leaves their table is broadcast to the rows, beyond that it is joined as any other.
 BROADCAST_LEAVES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,43 +46,42 @@ def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.col(f"`{level}`")), F.lit(1)).cast("long")
 
 
-def _share(nodes: DataFrame, above: list[str], level: str, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
-    """The nodes (above, level, capacity, budget of the parent) with the budget that each gets.
+def _share(nodes: DataFrame, parents: DataFrame, above: list[str], level: str, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """The nodes (above, level, capacity) with the budget that each gets of its parent's (above, budget).
 
-    Children fill up in the order of capacity by weight. Those that fill are a first part of this order;
-    the others share what is left by weight.
+    Children whose capacity is no more than their share by weight fill up; the others share what those leave. As that
+    raises the shares, more may fill up, so sums over the filled ones are taken until they stay the same: a few rounds, as
+    each is a step of Newton's method on the sum of what the children take. Only sums meet, so no node's children are
+    ever sorted or gathered.
     """
-    w = nodes.withColumn("w", _weight(level, weights)).where("w > 0")
-    by_fill = Window.partitionBy(*above).orderBy(F.col("capacity") / F.col("w"), level)
-    siblings = Window.partitionBy(*above)
-    ranked = w.select(
-        "*",
-        F.row_number().over(by_fill).alias("rank"),
-        (F.sum("w").over(siblings) - F.sum("w").over(by_fill.rowsBetween(Window.unboundedPreceding, 0)) + F.col("w")).alias("w_left"),
-        (F.col("budget") - F.sum("capacity").over(by_fill.rowsBetween(Window.unboundedPreceding, 0)) + F.col("capacity")).alias("b_left"),
-    )
-    open_rank = F.when(F.col("capacity") * F.col("w_left") > F.col("w") * F.col("b_left"), F.col("rank"))
-    found = ranked.withColumn("first_open", F.min(open_rank).over(siblings))
-    at_open = F.col("rank") == F.col("first_open")
-    shared = found.select(
-        "*",
-        F.max(F.when(at_open, F.col("b_left"))).over(siblings).alias("b_open"),
-        F.max(F.when(at_open, F.col("w_left"))).over(siblings).alias("w_open"),
-    )
-    filled = F.col("first_open").isNull() | (F.col("rank") < F.col("first_open"))
-    return shared.select(*above, level, F.when(filled, F.col("capacity")).otherwise(F.expr("greatest(w * b_open, 0) div w_open")).alias("budget"))
+    w = written(nodes.withColumn("w", _weight(level, weights)).where("w > 0"), "mixing_nodes")
+    totals = parents.select(*above, F.col("budget").alias("b_left")).join(w.groupBy(*above).agg(F.sum("w").alias("w_left")), above)
+    left, mark = written(totals, "mixing_left"), None
+    while True:
+        # Products of tokens and weights may exceed a long.
+        b, s, cap, own = (F.col(c).cast("decimal(19,0)") for c in ("b_left", "w_left", "capacity", "w"))
+        shared = keyed_join(w, left, above, spread_by=[level]).withColumn("filled", cap * s <= own * b)
+        now = left.agg(F.count("*"), F.sum("b_left"), F.sum("w_left")).first()
+        if now == mark:
+            break
+        mark = now
+        full = shared.where("filled").groupBy(*above).agg(F.sum("capacity").alias("c"), F.sum("w").alias("f"))
+        after = totals.join(full, above, "left")
+        left = written(after.select(*above, *[(F.col(x) - F.coalesce(y, F.lit(0))).cast("long").alias(x) for x, y in (("b_left", "c"), ("w_left", "f"))]), "mixing_left")
+    part = F.expr("CAST(greatest(CAST(w AS DECIMAL(19,0)) * b_left, 0) div greatest(w_left, 1) AS BIGINT)")
+    return shared.select(*above, level, F.when(F.col("filled"), F.col("capacity")).otherwise(part).alias("budget"))
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int) -> DataFrame:
     """Leaves (levels, tokens) with their budget. A node of weight 0 gets nothing, one without a weight has 1."""
     capacity = F.sum(F.col("tokens") * max_epochs).cast("long").alias("capacity")
-    parents = leaves.select(budget.alias("budget")).limit(1)
+    # One node above all others, so that every level has a parent.
+    leaves = leaves.withColumn(_ROOT, F.lit(0))
+    parents = leaves.select(_ROOT, budget.alias("budget")).limit(1)
     for depth, level in enumerate(levels):
-        above = levels[:depth]
-        nodes = leaves.groupBy(*above, level).agg(capacity)
-        with_parent = nodes.join(parents, above) if above else nodes.join(F.broadcast(parents))
-        parents = _share(with_parent, above, level, weights)
-    return leaves.join(parents, levels)
+        above = [_ROOT, *levels[:depth]]
+        parents = _share(leaves.groupBy(*above, level).agg(capacity), parents, above, level, weights)
+    return leaves.join(parents, [_ROOT, *levels]).drop(_ROOT)
 
 
 def mix(
@@ -121,7 +122,7 @@ def mix(
     joined = labelled.join(F.broadcast(decided) if few else decided, names)
     order = _order(seed, F.col("__whole"), F.col("doc_id"))
     inside = F.coalesce(F.struct(order, F.col("doc_id")) <= F.struct("__last", "__last_id"), F.lit(False))
-    early = F.coalesce(F.substring(order, 1, BUCKET_DIGITS) < F.col("__bucket"), F.lit(False))
+    early = F.coalesce(order < F.col("__bucket"), F.lit(False))
     epochs = F.col("__whole") + F.when((inside | early) & (F.col("__rest") > 0), 1).otherwise(0)
     taken = joined.withColumn("__epochs", epochs).where("__epochs > 0")
     return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs").cast("int")))).select(*docs.columns, "epoch")
@@ -132,19 +133,34 @@ def _order(seed: int, whole: Column, doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), whole + 1, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _cuts(rows: DataFrame, leaves: DataFrame, names: list[str], seed: int) -> DataFrame:
-    """(leaf, bucket, last, last_id): the bucket in which the prefix of the last epoch ends, and its last row there.
+def _cuts(rows: DataFrame, leaves: DataFrame, names: list[str], seed: int, sort_rows: int = SORT_ROWS) -> DataFrame:
+    """(leaf, bucket, last, last_id): where the prefix of the last epoch ends.
 
-    Buckets before it are taken whole; last is null where none of the bucket's rows fits.
+    Rows whose order is below ``bucket`` are taken whole; of those that begin with it, the ones up to (last, last_id), which
+    are null where none fits. Buckets are hexadecimal digits of the order, two more in each round, until none in which a
+    prefix ends has more than ``sort_rows`` different ids; only those are sorted.
     """
     ordered = rows.join(leaves.where("rest > 0"), names).withColumn("key", _order(seed, F.col("whole"), F.col("id")))
-    ordered = ordered.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = ordered.groupBy(*names, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
-    running = Window.partitionBy(*names).orderBy("bucket")
-    ends = sums.withColumn("upto", F.sum("tokens").over(running)).where("upto > rest")
-    ends = ends.groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("e")).select(*names, "e.*")
-    last_bucket = ordered.join(ends, [*names, "bucket"])
-    within = Window.partitionBy(*names, "bucket").orderBy("key", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Rows that share an id in a leaf are one.
+    ordered = ordered.groupBy(*names, "key", "id").agg(F.sum("tokens").alias("tokens"))
+    ends = leaves.where("rest > 0").select(*names, "rest", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
+    digits = 0
+    while True:
+        digits += 2
+        inside = ordered.join(ends, names).where(F.startswith("key", "bucket"))
+        finer = inside.groupBy(*names, "rest", "before", F.substring("key", 1, digits).alias("bucket")).agg(
+            F.sum("tokens").alias("tokens"), F.count("*").alias("n")
+        )
+        running = Window.partitionBy(*names).orderBy("bucket")  # 256 buckets a leaf
+        upto = finer.withColumn("upto", F.col("before") + F.sum("tokens").over(running)).where("upto > rest")
+        first = F.min(F.struct("bucket", "rest", (F.col("upto") - F.col("tokens")).alias("before"), "n")).alias("e")
+        ends = written(upto.groupBy(*names).agg(first).select(*names, "e.*"), "mixing_ends")
+        most = ends.agg(F.max("n")).first()[0] or 0
+        ends = ends.drop("n")
+        if most <= sort_rows or digits >= 32:
+            break
+    last_bucket = ordered.join(ends, names).where(F.startswith("key", "bucket"))
+    within = Window.partitionBy(*names).orderBy("key", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = last_bucket.withColumn("upto", F.col("before") + F.sum("tokens").over(within)).where("upto <= rest")
     last = fits.groupBy(*names).agg(F.max(F.struct("key", "id")).alias("m")).select(*names, F.col("m.key").alias("last"), F.col("m.id").alias("last_id"))
     return ends.select(*names, "bucket").join(last, names, "left")

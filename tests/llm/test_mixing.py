@@ -70,3 +70,36 @@ def test_awkward_cases(spark):
     assert rows_of(out, "doc_id", "epoch") == [(50, 1), (50, 1)]
     assert mix(docs_of(spark, []), levels(), {}).count() == 0
     assert mix(docs_of(spark, [None, ""]), levels(), {}).count() == 0
+
+
+def test_buckets_are_made_finer_until_few_rows_are_sorted(spark, monkeypatch):
+    from functools import partial
+
+    from tallyframe.llm import mixing
+
+    monkeypatch.setattr(mixing, "_cuts", partial(mixing._cuts, sort_rows=1))
+    rng = random.Random(9)
+    rows = [(i, text(rng.choice([1, 3, 9]), i), "en", "src0" if rng.random() < 0.7 else "src1") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {"lang": {}, "source": {"src1": 3}}
+    got = [(r["doc_id"], r["epoch"]) for r in mix(docs, levels(), weights, (7, 10), 3).collect()]
+    assert sorted(got) == direct(rows, weights, (7, 10), 3)
+
+
+def test_many_siblings_and_a_chain_of_shortages(spark):
+    """Three hundred sources whose capacities grow, so that those that fill up leave more to the others again and again."""
+    rows = [(i, text(1 + i * i // 900, i), "en", f"src{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {"lang": {}, "source": {f"src{i}": 1 + i % 3 for i in range(300)}}
+    got = [(r["doc_id"], r["epoch"]) for r in mix(docs, levels(), weights, (1, 3), 2).collect()]
+    assert sorted(got) == direct(rows, weights, (1, 3), 2)
+
+
+def test_no_window_over_all_siblings(spark):
+    """Neither the shares nor the ends of prefixes gather a node's children or a leaf's rows."""
+    from tallyframe.llm import mixing
+
+    leaves = spark.range(1000).selectExpr("'en' AS lang", "concat('s', id) AS source", "id + 1 AS tokens")
+    found = mixing.leaf_budgets(leaves, ["lang", "source"], {}, F.lit(10**6), 3)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.agg(F.sum("budget")).first()[0] <= 10**6
