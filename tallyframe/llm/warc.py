@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.sampling import thinned
+from tallyframe.operators.joins import keyed_join
 from tallyframe.session import remember, shared_dir, written
 
 DICTIONARY_BYTES = 64 * 1024
@@ -32,6 +33,8 @@ SAMPLE_RECORDS = 1024
 SAMPLE_BYTES = 16 * 1024
 ARCHIVE_BYTES = 64 * 1024 * 1024
 LEVEL = 3
+# Rows that repeat a page are put back so many at a time.
+COPIES_A_TASK = 10_000
 # Pages that may have a copy are told from most others by so many values of their digest's hash.
 COPY_BUCKETS = 1 << 18
 DATE = "2025-01-01T00:00:00Z"
@@ -155,31 +158,31 @@ def read_records(folder: str, name: str) -> Iterator[bytes]:
 def _with_roles(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, kind, to_id, to_url): which record each page becomes.
 
-    Of pages with the same digest the one with the largest id (then url) is the response. Only
-    pages that may have a copy are shuffled by their digest.
+    Of pages with the same digest the one with the largest id (then url) is the response. Digests are counted without
+    payloads, in two steps; only pages that may have a copy are joined back by their digest, where hot ones are split.
+    Pages that repeat the response's id and url are one row with a count until they are put back in chunks.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    copied = written(
-        rows.groupBy("sha").agg(F.count("*").alias("c"), F.max(F.struct("page_id", "url")).alias("to")).where("c > 1").select("sha", "to"),
-        "copied_payloads",
-    )
+    same = rows.groupBy("sha", "page_id", "url").agg(F.count("*").alias("n"))
+    copied = same.groupBy("sha").agg(F.sum("n").alias("c"), F.max(F.struct("page_id", "url", "n")).alias("to"))
+    copied = written(copied.where("c > 1").select("sha", "to"), "copied_payloads")
     bucket = F.pmod(F.xxhash64("sha"), F.lit(COPY_BUCKETS)).alias("bucket")
     buckets = F.broadcast(copied.select(bucket).distinct())
     marked = rows.select("*", bucket)
     alone = marked.join(buckets, "bucket", "left_anti").select("page_id", "url", "payload", F.lit("response").alias("kind"), *_nobody())
-    maybe = marked.join(buckets, "bucket", "left_semi").join(copied, "sha", "left")
-    # Rows that repeat the response's id and url: one of them is it.
-    is_it = F.col("page_id").eqNullSafe(F.col("to.page_id")) & F.col("url").eqNullSafe(F.col("to.url"))
-    place = F.row_number().over(Window.partitionBy("sha", "page_id", "url").orderBy("bucket"))
-    ranked = maybe.withColumn("place", place)
-    response = F.col("to").isNull() | (is_it & (F.col("place") == 1))
-    return alone.unionByName(
-        ranked.select(
-            "page_id", "url", "payload", F.when(response, "response").otherwise("revisit").alias("kind"), F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url")
-        )
-    )
+    maybe = keyed_join(marked.join(buckets, "bucket", "left_semi").drop("bucket"), copied, "sha", "left", ["page_id", "url"])
+    is_it = F.col("to").isNull() | (F.col("page_id").eqNullSafe(F.col("to.page_id")) & F.col("url").eqNullSafe(F.col("to.url")))
+    repeated = F.coalesce(is_it & (F.col("to.n") > 1), F.lit(False))
+    refers = [F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url")]
+    once = maybe.where(~repeated).select("page_id", "url", "payload", F.when(is_it, "response").otherwise("revisit").alias("kind"), *refers)
+    groups = maybe.where(repeated).groupBy("sha", "page_id", "url").agg(F.first("payload").alias("payload"), F.first("to").alias("to"), F.count("*").alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES_A_TASK).cast("long")))
+    chunks = groups.withColumn("begin", chunk).repartition("sha", "page_id", "begin")
+    place = F.explode(F.sequence("begin", F.least(F.col("begin") + COPIES_A_TASK, F.col("n")) - 1))
+    back = chunks.withColumn("place", place).select("page_id", "url", "payload", F.when(F.col("place") == 0, "response").otherwise("revisit").alias("kind"), *refers)
+    return alone.unionByName(once).unionByName(back)
 
 
 def _nobody() -> list:
