@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cosine: one navigable small-world graph per shard.
 
 Equal vectors are indexed once, with as many of their smallest ids as a result can hold. Distinct vectors
-are dealt to shards of about ``shard_rows`` by their hash; each shard's graph is built in one task and
+are dealt to shards of about ``shard_rows`` by their hash; each shard's graph is built in a task of its own and
 written as a row of flat neighbour arrays. A query visits the graph of every shard, and the best of all
-shards are merged. Scores are computed from the original vectors in double precision.
+shards are merged. Queries are a table too: packed in blocks of bounded size, which are joined to the shards one after the
+other. Scores are computed from the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -143,12 +144,20 @@ class Graph:
         return cls(vectors, levels, entry)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest entry near 1, so that squares neither overflow nor vanish; cosines stay the same."""
+    most = np.abs(vectors).max(-1, keepdims=True)
+    return np.ldexp(vectors, -np.frexp(most)[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return (vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))).astype(np.float32)
 
 
 def cosines(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosine of q and each row, in double precision; equal rows get equal values."""
+    q, vectors = scaled(q), scaled(vectors)
     return (vectors * q).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -172,7 +181,12 @@ class Index:
 
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Index:
-    """Graphs of all usable vectors of a table (vec_id, embedding), for up to k results a query."""
+    """Graphs of all usable vectors of a table (vec_id, embedding), for up to k results a query.
+
+    Vectors of several lengths, however long, have graphs of their own within a shard. Copies of a vector and rows that
+    repeat one are indexed once, with their smallest ids. Rows without an id and vectors that are null, zero or hold
+    null or non-finite entries are left out, other columns are not read; an empty table has an empty index.
+    """
     smallest = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     kept = usable(vectors).withColumn("r", smallest).where(F.col("r") <= k + 1)
     grouped = written(
@@ -180,7 +194,13 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Ind
     )
     shards = max(1, math.ceil(grouped.count() / shard_rows))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if any(map(len, held)):
+            for _, rows in pd.concat(held).groupby("shard"):
+                yield graphs_of(rows)
+
+    def graphs_of(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, same in rows.groupby(rows["v"].map(len)):
             same = same.sort_values(["h1", "h2"])
@@ -189,8 +209,10 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Ind
             out.append((v.shape[1], graph.entry, v.tobytes(), graph.flat(), same["ids"].tolist()))
         return pd.DataFrame(out, columns=["dims", "entry", "vectors", "levels", "ids"])
 
-    dealt = grouped.withColumn("shard", F.pmod("h1", F.lit(shards))).repartition(shards, "shard")
-    graphs = dealt.groupBy("shard").applyInPandas(build, "dims int, entry int, vectors binary, levels array<binary>, ids array<array<long>>")
+    # A partition by its number has one shard; by a hash some would have several and some none.
+    shard = F.pmod("h1", F.lit(shards)).cast("int")
+    dealt = grouped.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
+    graphs = dealt.mapInPandas(build, "dims int, entry int, vectors binary, levels array<binary>, ids array<array<long>>")
     return Index(written(graphs, "hnsw_shards"), shards)
 
 
@@ -206,10 +228,10 @@ def search(index: Index, queries: DataFrame, k: int, width: int = SEARCH_WIDTH,
     asked = asked.withColumn("r", first).where("r = 1").drop("r")
     distinct = written(asked.groupBy("h1", "h2").agg(F.first("v").alias("v")), "query_vectors")
     blocks = max(1, math.ceil(distinct.count() / block))
+    packed = written(_packed(distinct.withColumn("block", F.pmod("h2", F.lit(blocks)).cast("int")), blocks), "query_blocks")
     found = None
     for b in range(blocks):
-        rows = distinct.where(F.pmod("h2", F.lit(blocks)) == b).orderBy("h1", "h2").toPandas()
-        part = _search_block(index, rows, k, width)
+        part = written(_search_block(index, packed.where(F.col("block") == b), k, width), "nearest_of_block")
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
@@ -218,23 +240,39 @@ def search(index: Index, queries: DataFrame, k: int, width: int = SEARCH_WIDTH,
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_block(index: Index, rows: pd.DataFrame, k: int, width: int) -> DataFrame:
-    queries = [(h1, h2, np.asarray(v)) for h1, h2, v in zip(rows["h1"], rows["h2"], rows["v"])]
+def _packed(queries: DataFrame, blocks: int) -> DataFrame:
+    """(block, dims, hashes, asked): the queries of a block that have the same length, as arrays in one row."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if any(map(len, held)):
+            rows = pd.concat(held).sort_values(["h1", "h2"])
+            out = [
+                (block, dims, same[["h1", "h2"]].to_numpy(np.int64).tobytes(), np.stack(same["v"].to_numpy()).tobytes())
+                for (block, dims), same in rows.groupby([rows["block"], rows["v"].map(len)])
+            ]
+            yield pd.DataFrame(out, columns=["block", "dims", "hashes", "asked"])
+
+    return queries.repartitionById(blocks, F.col("block")).mapInPandas(pack, "block int, dims int, hashes binary, asked binary")
+
+
+def _search_block(index: Index, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """The nearest in each shard of one block's queries; the block's few rows go to the shards with vectors of their length."""
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch.itertuples(index=False):
-                asked = [q for q in queries if len(q[2]) == shard.dims]
-                if not asked:
-                    continue
+                hashes = np.frombuffer(shard.hashes, np.int64).reshape(-1, 2).tolist()
+                asked = np.frombuffer(shard.asked).reshape(len(hashes), -1)
                 v = np.frombuffer(shard.vectors).reshape(-1, shard.dims)
                 graph = Graph.load(unit(v), list(shard.levels), shard.entry)
                 out = []
-                for (h1, h2, q), u in zip(asked, unit(np.stack([q for _, _, q in asked]))):
+                for (h1, h2), q, u in zip(hashes, asked, unit(asked)):
                     near = graph.search(u, max(width, k + 1))
                     scores = cosines(q, v[near])
                     hits = [(s, i) for s, x in zip(scores.tolist(), near) for i in shard.ids[x]]
                     out += [(h1, h2, i, s) for s, i in sorted(hits, key=lambda hit: (-hit[0], hit[1]))[: k + 1]]
                 yield pd.DataFrame(out, columns=["h1", "h2", "vec_id", "score"])
 
-    return index.shards.repartition(index.count).mapInPandas(visit, "h1 long, h2 long, vec_id long, score double")
+    cells = index.shards.repartition(index.count).join(F.broadcast(queries), "dims")
+    return cells.mapInPandas(visit, "h1 long, h2 long, vec_id long, score double")
