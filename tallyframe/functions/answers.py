@@ -94,8 +94,16 @@ _REWRITES = (
 _SET = r"^\\\{([^{}\\]*)\\\}$"
 
 
+# Most answers are plain numbers, whose spelling stays as it is.
+_PLAIN = r"^-?\d+(?:\.\d+)?\z"
+
+
 def normalize_answer(answer: Column) -> Column:
     """Canonical spelling of an answer; null where nothing is left of it."""
+    return F.when(F.rlike(answer, F.lit(_PLAIN)), answer).otherwise(_rewritten(answer))
+
+
+def _rewritten(answer: Column) -> Column:
     text = answer
     for pattern, replacement in _REWRITES:
         text = F.regexp_replace(text, pattern, replacement)
@@ -111,6 +119,10 @@ _NUMERIC = r"^(-?)(?:(\d+)\+)?(\d+\.?\d*|\.\d+)(?:/(\d+))?$"
 
 def numeric_answer(answer: Column) -> Column:
     """Value of a normalised integer, decimal, fraction or mixed number, else null."""
+    return F.when(F.rlike(answer, F.lit(_PLAIN)), answer.try_cast("double")).otherwise(_fraction_value(answer))
+
+
+def _fraction_value(answer: Column) -> Column:
     sign, whole, main, below = (F.regexp_extract(answer, _NUMERIC, i) for i in range(1, 5))
     value = F.try_divide(main.try_cast("double"), F.when(below == "", F.lit(1.0)).otherwise(below.try_cast("double")))
     value = F.when(whole == "", value).otherwise(whole.try_cast("double") + value)

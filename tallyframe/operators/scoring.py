@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe import functions as TF
 from tallyframe.functions.answers import DIFFERENT, PARSE_FAILURE, SYMBOLIC
 from tallyframe.operators.equivalence import equal_pairs
-from tallyframe.operators.joins import keyed_join
+from tallyframe.operators.joins import BROADCAST_BYTES, keyed_join, measure
 from tallyframe.operators.prepare import with_default
 from tallyframe.operators.verifiers import VERDICT, Verifier, isolated
 from tallyframe.session import written
@@ -74,11 +74,17 @@ def match_answers(outputs: DataFrame, examples: DataFrame, run: Sequence[str] =
         "generated_solution",
         *[F.col(c).cast("bigint").alias(c) for c in ("output_tokens", "prompt_tokens")],
     )
+    samples = _with_answer(samples, "generated_solution", "pred")
     problems = with_categories(examples).select("id", *CATEGORIES, "solution")
+    gold = _with_answer(problems, "solution", "gold")
+    # An answer is no longer than its solution: what is small before the answers are taken out need not be written.
+    at_most = measure(problems.select("*", F.col("solution").alias("_shown")), ["id"], unique=True)
+    if at_most <= sizes.get("broadcast_bytes", BROADCAST_BYTES):
+        return samples.join(F.broadcast(gold), "id")
     # Written once: the join measures it first and then reads it.
-    gold = written(_with_answer(problems, "solution", "gold"), "gold-answers")
+    gold = written(gold, "gold-answers")
     carried = [c for c in gold.columns if c.startswith("gold_")]
-    return join_examples(_with_answer(samples, "generated_solution", "pred"), gold, *carried, **sizes)
+    return join_examples(samples, gold, *carried, **sizes)
 
 
 def _results(matched: DataFrame, run: Sequence[str]) -> DataFrame:
