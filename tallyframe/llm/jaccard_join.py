@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
 from tallyframe.llm.shingles import mixed, set_hash, shingle_set
+from tallyframe.operators.joins import keyed_join
 from tallyframe.session import written
 
 PERCENT = 80
@@ -36,7 +37,11 @@ FILTER_WORDS = 1 << 18
 # Sets to fetch are told from most others by so many values of their hash.
 SET_BUCKETS = 1 << 18
 PAIRS_UP_TO = 32
+# Shingles whose counter is above this are too common for one task: their sets are counted in parts instead of side by side.
+HOT_SETS = 500_000
+# Sets of a block, and shingles of its sets together.
 BLOCK = 2048
+BLOCK_SHINGLES = 4_000_000
 _PARTS = 64
 _TASK_MEMORY = 200_000
 
@@ -117,46 +122,55 @@ def _once(seen: set[int], sig: int) -> bool:
     return True
 
 
-def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, sig, np): the prefix of every set; np packs the set's size and the shingle's place, see ``_unpacked``."""
+def _postings(docs: DataFrame, counts: np.ndarray, hot_sets: int) -> DataFrame:
+    """(token, sig, np, hot): the prefix of every set; np packs the set's size and the shingle's place, see ``_unpacked``.
+
+    ``hot`` marks shingles that may stand in very many sets, by their counter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, sigs, packed, rows = [], [], [], 0
+            tokens, sigs, packed, hot, rows = [], [], [], [], 0
             for raw in _values(batch, "raw"):
                 s = shingle_set(raw)
                 if not len(s) or not _once(seen, sig := set_hash(s)):
                     continue
                 prefix = ordered_prefix(s, counts)
+                hot.append(counts[_counter(prefix)] > hot_sets)
                 tokens.append(prefix.view(np.int64))
                 sigs.append(np.full(len(prefix), sig, np.int64))
                 packed.append((len(s) << 32) + np.arange(len(prefix), dtype=np.int64))
                 rows += len(prefix)
                 if rows > 200_000:
-                    yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed))
-                    tokens, sigs, packed, rows = [], [], [], 0
+                    yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed), hot=np.concatenate(hot))
+                    tokens, sigs, packed, hot, rows = [], [], [], [], 0
             if rows:
-                yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed))
+                yield _batch(token=np.concatenate(tokens), sig=np.concatenate(sigs), np=np.concatenate(packed), hot=np.concatenate(hot))
 
-    return docs.mapInArrow(run, "token long, sig long, np long")
+    return docs.mapInArrow(run, "token long, sig long, np long, hot boolean")
 
 
 def _unpacked(packed: str, n: str, pos: str) -> list:
     return [F.shiftright(packed, 32).alias(n), F.col(packed).bitwiseAND(0xFFFFFFFF).alias(pos)]
 
 
-def _shared(postings: DataFrame) -> DataFrame:
+def _shared(postings: DataFrame, any_hot: bool) -> DataFrame:
     """Postings of shingles that stand in the prefixes of several sets, each with the shingle's leader.
 
-    The leader (lead, lead_np) is the set with the fewest rarer shingles. One shuffle serves for all of it.
+    The leader (lead, lead_np) is the set with the fewest rarer shingles. One shuffle serves for all of it, but for hot
+    shingles: those are few, and are counted by partial sums that go back to their postings.
     """
     token = Window.partitionBy("token")
     before = F.lag("sig").over(token.orderBy("sig"))
-    once = postings.withColumn("before", before).where("before IS NULL OR before != sig").drop("before")
-    lead = F.min(F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"), F.shiftright("np", 32).alias("n"), F.col("sig").alias("lead"))).over(token)
-    several = once.withColumn("size", F.count("*").over(token)).withColumn("l", lead).where("size > 1")
-    return written(several.select("token", "sig", "np", "l.lead", (F.shiftleft("l.n", 32) + F.col("l.pos")).alias("lead_np")), "shared_postings")
+    once = postings.where("NOT hot").withColumn("before", before).where("before IS NULL OR before != sig").drop("before", "hot")
+    lead = F.min(F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"), F.shiftright("np", 32).alias("n"), F.col("sig").alias("lead")))
+    several = once.withColumns({"size": F.count("*").over(token), "l": lead.over(token), "hot": F.lit(False)}).where("size > 1")
+    if any_hot:
+        hot = postings.where("hot").dropDuplicates(["token", "sig"]).drop("hot")
+        led = hot.groupBy("token").agg(F.count("*").alias("size"), lead.alias("l")).where("size > 1")
+        several = several.unionByName(keyed_join(hot, led, "token", spread_by=["sig"]).withColumn("hot", F.lit(True)))
+    return written(several.select("token", "sig", "np", "l.lead", (F.shiftleft("l.n", 32) + F.col("l.pos")).alias("lead_np"), "hot"), "shared_postings")
 
 
 def _filter_bits(sig: np.ndarray) -> list[np.ndarray]:
@@ -278,13 +292,20 @@ def _leader_pairs(shared: DataFrame) -> DataFrame:
     return best.select(F.least("sig", "b.lead").alias("u"), F.greatest("sig", "b.lead").alias("v")).distinct()
 
 
-def _open_postings(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, sig, n, pos, comp, size): postings of shingles whose sets are not all in one component."""
-    labelled = shared.select("token", "sig", "np").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
-    labelled = labelled.select("token", "sig", "np", F.coalesce("root", "sig").alias("comp"))
+def _open_postings(shared: DataFrame, roots: DataFrame, any_hot: bool) -> DataFrame:
+    """(token, sig, n, pos, comp, size, shingles): postings of shingles whose sets are not all in one component.
+
+    ``size`` counts a shingle's sets, ``shingles`` what they hold together.
+    """
+    labelled = shared.select("token", "sig", "np", "hot").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    labelled = labelled.select("token", "sig", "np", "hot", F.coalesce("root", "sig").alias("comp"))
     token = Window.partitionBy("token")
-    over = labelled.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "size": F.count("*").over(token)})
-    return over.where("low != high").select("token", "sig", *_unpacked("np", "n", "pos"), "comp", "size")
+    sums = {"low": F.min("comp"), "high": F.max("comp"), "size": F.count("*"), "shingles": F.sum(F.shiftright("np", 32))}
+    over = labelled.where("NOT hot").withColumns({name: of.over(token) for name, of in sums.items()})
+    if any_hot:
+        hot = written(labelled.where("hot"), "hot_postings")
+        over = over.unionByName(keyed_join(hot, hot.groupBy("token").agg(*[of.alias(name) for name, of in sums.items()]), "token", spread_by=["sig"]))
+    return over.where("low != high").select("token", "sig", *_unpacked("np", "n", "pos"), "comp", "size", "shingles")
 
 
 def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,7 +314,8 @@ def _block_links(postings: DataFrame, shared: DataFrame, sets: DataFrame) -> Dat
     A group is dealt to blocks; a task has two blocks of it at a time. A pair is compared under the first
     shingle that both prefixes share.
     """
-    per_token = postings.select("token", "sig", "n", "pos", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    per_token = postings.select("token", "sig", "n", "pos", "comp", blocks)
     mine = per_token.withColumn("block", F.pmod(F.xxhash64("sig", "token"), F.col("blocks")).cast("int"))
     # Block b meets the blocks from b on; a row goes to (i, b) for i up to b and to (b, j) for j beyond.
     cells = mine.withColumn("cell", F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) AS i, greatest(i, block) AS j))")))
@@ -346,9 +368,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     passed = _sketch_and_ids(texts)
     ids = passed.where("part IS NULL").select("doc_id", "th", "n", "sig")
-    shared = _shared(_postings(texts.select("raw"), _counts(passed)))
+    counts = _counts(passed)
+    any_hot = bool((counts > HOT_SETS).any())
+    postings = _postings(texts.select("raw"), counts, HOT_SETS)
+    shared = _shared(written(postings, "postings") if any_hot else postings, any_hot)
     sets = _needed_sets(texts, shared)
-    return ids, components(_all_links(shared, sets)).withColumnRenamed("node", "sig")
+    return ids, components(_all_links(shared, sets, any_hot)).withColumnRenamed("node", "sig")
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
@@ -389,11 +414,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return untouched.unionByName(repeated)
 
 
-def _all_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
+def _all_links(shared: DataFrame, sets: DataFrame, any_hot: bool) -> DataFrame:
     """Links that connect what any link connects, over the sets' hashes."""
     tried = written(_leader_pairs(shared), "leader_pairs")
     first = written(_links_of(tried, sets), "leader_links")
-    rest = written(_open_postings(shared, components(first)), "open_postings")
+    rest = written(_open_postings(shared, components(first), any_hot), "open_postings")
     few = rest.where(F.col("size") <= PAIRS_UP_TO)
     met = few.alias("a").join(few.alias("b"), F.expr("a.token = b.token AND a.sig < b.sig AND a.comp != b.comp AND " + _FILTERS.format("a", "b")))
     pairs = met.select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")

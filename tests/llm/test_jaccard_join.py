@@ -40,10 +40,12 @@ def family(size, n, edits, seed):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("pairs_up_to, block", [(32, 2048), (2, 8), (2, 2048)])
-def test_equals_all_pairs(spark, monkeypatch, pairs_up_to, block):
+@pytest.mark.parametrize("pairs_up_to, block, hot_sets, shingles", [(32, 2048, 10**6, 10**7), (2, 8, 10**6, 10**7), (2, 2048, 10, 10**7), (2, 2048, 3, 500)])
+def test_equals_all_pairs(spark, monkeypatch, pairs_up_to, block, hot_sets, shingles):
     monkeypatch.setattr(jaccard_join, "PAIRS_UP_TO", pairs_up_to)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT_SETS", hot_sets)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
     texts = [*family(40, 60, 4, 1), *family(25, 120, 7, 2), *family(6, 12, 1, 3), *(text(n, n) for n in range(1, 40))]
     texts += ["one two three four", "one two three four five", "one two three four", "A b\tC d e", "a b c  d E"]
     random.Random(4).shuffle(texts)
