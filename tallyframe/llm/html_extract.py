@@ -161,26 +161,39 @@ class Pages:
 
 
 class Vectoriser:
-    LIMIT = 500_000
+    """Remembers words and paths that come again, up to a bound on what it holds."""
+
+    # Words of up to so many characters, and tokens of paths, a token of a long name counting for several.
+    LIMIT = 200_000
+    LENGTH = 40
 
     def __init__(self):
         self.words: dict[str, int] = {}
         self.paths: dict[tuple, list[int]] = {}
+        self.path_tokens = 0
 
     def _word(self, word: str) -> int:
-        if len(self.words) >= self.LIMIT:
-            self.words.clear()
-        self.words[word] = code = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
+        code = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
+        if len(word) <= self.LENGTH:
+            if len(self.words) >= self.LIMIT:
+                self.words.clear()
+            self.words[word] = code
         return code
 
     def _path(self, path: tuple) -> list[int]:
         key = tuple(e.tokens for e in path)
-        if key not in self.paths:
-            if len(self.paths) >= self.LIMIT:
-                self.paths.clear()
-            tokens = [t for tokens in key for t in tokens] + [f"{a[0]}>{b[0]}" for a, b in zip(key, key[1:])] or ["-"]
-            self.paths[key] = [zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in tokens]
-        return self.paths[key]
+        if key in self.paths:
+            return self.paths[key]
+        tokens = [t for tokens in key for t in tokens] + [f"{a[0]}>{b[0]}" for a, b in zip(key, key[1:])] or ["-"]
+        codes = [zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in tokens]
+        size = sum(1 + len(t) // self.LENGTH for t in tokens)
+        if self.path_tokens + size > self.LIMIT:
+            self.paths.clear()
+            self.path_tokens = 0
+        if size <= self.LIMIT:
+            self.paths[key] = codes
+            self.path_tokens += size
+        return codes
 
     def __call__(self, pages: list[list[Block]]) -> Pages:
         path_ids, path_starts, word_ids, word_starts, numbers = [], [], [], [], []
