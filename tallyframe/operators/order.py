@@ -214,7 +214,7 @@ def _value_bytes(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return _eight_bytes(F.unix_micros(value.cast("timestamp")))
     if isinstance(kind, T.DecimalType):
-        digits = F.lpad(F.abs(value).cast("string"), 42, "0")
+        digits = F.lpad(F.translate(F.format_number(F.abs(value), kind.scale), ",", ""), 42, "0")
         falling = F.translate(digits, "0123456789", "9876543210")
         return F.encode(F.when(value < 0, F.concat(F.lit("-"), falling)).otherwise(F.concat(F.lit("0"), digits)), "UTF-8")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -354,12 +354,13 @@ def _locate(counts: list[tuple[int, int]], rest: int) -> tuple[int, int, int]:
 
 
 def find_cut(
-    order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS, cut_keys: int = CUT_KEYS
+    order: RowOrder, wanted: Callable[[int], int], hot_rows: int = HOT_ROWS, cut_keys: int | None = None
 ) -> Cut:
     """Reads the sort columns only: once to count the rows of each bucket, which pass through the
-    driver, and once to find the cut in its bucket. Where that has more than ``cut_keys`` rows, its distinct keys are counted
-    and divided first.
+    driver, and once to find the cut in its bucket. Where that has more than ``cut_keys`` rows (a million), its distinct keys
+    are counted and divided first.
     """
+    cut_keys = CUT_KEYS if cut_keys is None else cut_keys
     scope = order.rows.select(*dict.fromkeys([*order.sort_by, *order.levels]))
     counts = _counts(scope, order.bucket)
     total = sum(n for _, n in counts)
