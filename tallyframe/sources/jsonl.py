@@ -80,7 +80,7 @@ def naming_bad_lines(spark: SparkSession, path: str | list[str], schema: T.Struc
         first = bad_lines(spark, path, schema).orderBy("file", "line_no").first()
         if first is None:
             raise
-        raise ValueError(f"malformed line {first['line_no']} of {first['file']}: {first['line'][:500]}") from error
+        raise ValueError(f"Malformed line {first['line_no']} of {first['file']}: {first['line'][:500]}") from error
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

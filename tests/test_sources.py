@@ -199,7 +199,7 @@ def test_malformed_lines_are_named_by_file_and_number(spark, tmp_path, splits):
         got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.line[:5]) for r in bad.collect())
         assert got == [("one.jsonl", n, "{bady"[: 4 + (n > 1)]) for n in (1, 312, 641, 900)] + [("two.jsonl", 4, '{"a":')]
         assert good.count() == 900 - 4 - 2 + 1
-        with pytest.raises(ValueError, match=r"malformed line 1 of .*one\.jsonl: \{bad"):
+        with pytest.raises(ValueError, match=r"Malformed line 1 of .*one\.jsonl: \{bad"):
             with naming_bad_lines(spark, str(tmp_path), ROW):
                 read_jsonl(spark, str(tmp_path), ROW).collect()
     finally:
