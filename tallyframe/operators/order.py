@@ -208,9 +208,9 @@ def _value_bytes(value: Column, kind: T.DataType) -> Column:
     """A value as bytes that sort as the values do, none of which is the start of another value's."""
     if isinstance(kind, T.StringType):
         # A zero byte ends the text; those inside it are followed by one byte more.
-        plain = F.hex(F.encode(value, "UTF-8"))
-        marked = F.when(F.contains(value, F.lit("\0")), F.regexp_replace(plain, "\\G((?:..)*?)00", "$100FF")).otherwise(plain)
-        return F.unhex(F.concat(marked, F.lit("0000")))
+        plain = F.encode(value, "UTF-8")
+        marked = F.unhex(F.regexp_replace(F.hex(plain), "\\G((?:..)*?)00", "$100FF"))
+        return F.concat(F.when(F.contains(value, F.lit("\0")), marked).otherwise(plain), F.unhex(F.lit("0000")))
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return _eight_bytes(F.unix_micros(value.cast("timestamp")))
     if isinstance(kind, T.DecimalType):
