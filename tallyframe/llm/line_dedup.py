@@ -10,11 +10,16 @@ Everything is a column expression: a line emits a hashed key for itself and for
 word left out, lines with equal keys meet, and the word edit distance of each pair is checked. The
 keys come from running sums of hashes of words with their places, so that a variant costs a few additions
 and not a new pass over the line, and words in another order give another key. Only lines that share their first or last half with another line emit variants: one
-edit leaves one of the halves as it is, so no pair is lost.
+edit leaves one of the halves as it is, so no pair is lost. Until then lines are not split: with one blank between
+words, equal words are equal texts, and halves are parts of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,33 +42,50 @@ def split_words(line: Column) -> Column:
     return F.array_remove(F.split(blanks, " "), "")
 
 
+def _count(text: Column, char: str) -> Column:
+    """How often an ASCII character occurs."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def _spaced(line: Column) -> Column:
+    """The words of a line with one blank between; most lines are so already."""
+    others = [F.contains(line, F.lit(blanks)) for blanks in (*_OTHER_SPACES, "  ")]
+    uneven = reduce(or_, others) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(uneven, F.array_join(split_words(line), " ")).otherwise(line)
+
+
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(doc, th, line, words) of every line."""
-    return docs.select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    ).select("doc", "th", "line", split_words(F.col("raw")).alias("words"))
+    """(doc, th, line, spaced, n) of every line: its words with one blank between, and their number."""
 
+    def row(spaced: Column, line: Column) -> Column:
+        n = F.when(spaced == "", 0).otherwise(_count(spaced, " ") + 1)
+        return F.struct(line.alias("line"), spaced.alias("spaced"), n.alias("n"))
 
-def _half_keys(edit_words: int) -> Column:
-    """Hashes of the first and last ``m`` words, m at most half the line.
+    # The text is hashed before the rows are made, once for all of its lines, and a line's columns as they are made: a
+    # filter on columns made later, or on an array that is a column, would work them out again.
+    hashed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    return hashed.select("doc", "th", F.inline(F.transform(F.transform(F.split("text", "\n"), _spaced), row)))
+
+
+def _half_keys(lines: DataFrame, edit_words: int) -> DataFrame:
+    """The lines with ``halves``: hashes of the first and last ``m`` words, m at most half the line.
 
     ``m`` doubles with the length of the line. The shortest line of each class also emits the keys of
     the class below, as its partner with one word less is there.
     """
     half = edit_words // 2
-    m = F.expr(f"shiftleft({half}, length(bin(n div {2 * half})) - 1)")
-    sizes = F.when(F.col("n") < edit_words, F.array().cast("array<int>")).otherwise(
-        F.when((F.col("n") == 2 * m) & (m > half), F.array(m, F.expr(f"shiftleft({half}, length(bin(n div {2 * half})) - 2)"))).otherwise(F.array(m))
-    )
-    return F.flatten(
-        F.transform(
-            sizes,
-            lambda m: F.array(
-                F.xxhash64(F.lit(1), m, F.slice("words", 1, m)),
-                F.xxhash64(F.lit(2), m, F.slice("words", F.col("n") - m + 1, m)),
-            ),
-        )
+
+    def keys(m: str) -> list[Column]:
+        first, last = F.expr(f"substring_index(spaced, ' ', {m})"), F.expr(f"substring_index(spaced, ' ', -{m})")
+        return [F.xxhash64(F.lit(1), F.expr(m), first), F.xxhash64(F.lit(2), F.expr(m), last)]
+
+    both = F.array(*keys("m"), *keys("(m div 2)::int"))
+    halves = (
+        F.when(F.col("n") < edit_words, F.array().cast("array<bigint>"))
+        .when((F.col("n") == 2 * F.col("m")) & (F.col("m") > half), both)
+        .otherwise(F.array(*keys("m")))
     )
+    return lines.withColumn("m", F.expr(f"shiftleft({half}, length(bin(n div {2 * half})) - 1)")).withColumn("halves", halves).drop("m")
 
 
 def _sum(a: Column, b: Column) -> Column:
@@ -156,12 +178,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int
     """(doc, th, line) of every line with an earlier copy or near copy; ``th`` is the text's hash."""
     if edit_words < 4 or edit_words % 2:
         raise ValueError("edit_words must be an even number from 4")
-    chars = F.aggregate("words", F.lit(0), lambda total, w: total + F.length(w))
+    chars = F.length("spaced") - (F.col("n") - 1)
     unspaced = F.when((F.col("n") > 0) & (F.col("n") < min_words), chars >= F.col("n") * min_word_chars)
-    lines = _line_rows(docs).withColumn("n", F.size("words")).where((F.col("n") >= min_words) | unspaced)
+    lines = _half_keys(_line_rows(docs).where((F.col("n") >= min_words) | unspaced), edit_words)
     known = written(
-        lines.select("doc", "th", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), _half_keys(edit_words).alias("halves")),
-        "lines",
+        lines.select("doc", "th", "line", F.xxhash64("spaced").alias("h1"), F.xxhash64(F.lit(7), "spaced").alias("h2"), "halves"), "lines"
     )
     # One row for each distinct line: its first place, how often it occurs and the keys of its halves.
     distinct_lines = written(
@@ -192,10 +213,19 @@ def _fetched(docs: DataFrame, places: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
     texts = texts.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").alias("d")
     rows = texts.join(wanted.alias("w"), F.expr("d.doc <=> w.doc AND d.th = w.th")).select("d.doc", "d.th", "text", "wanted")
-    lines = rows.dropDuplicates(["doc", "th"]).select(
-        "doc", "th", F.explode("wanted").alias("line"), F.split("text", "\n").alias("lines")
-    ).select(F.struct("doc", "th", "line").alias("at"), split_words(F.get("lines", F.col("line"))).alias("words"))
-    return lines.select("at", F.size("words").alias("n"), "words")
+    found = _of_lines(
+        F.col("text"), lambda lines: F.transform("wanted", lambda line: F.struct(line.alias("line"), split_words(F.get(lines, line)).alias("words")))
+    )
+    lines = rows.dropDuplicates(["doc", "th"]).select("doc", "th", F.inline(found))
+    return lines.select(F.struct("doc", "th", "line").alias("at"), F.size("words").alias("n"), "words")
+
+
+def _of_lines(text: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a text's lines, for use with functions over elements.
+
+    Those work out columns inside of them anew for each element; here the text is split once.
+    """
+    return F.transform(F.array(F.split(text, "\n")), result)[0]
 
 
 def drop_repeated_lines(
@@ -217,11 +247,14 @@ def drop_repeated_lines(
         .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     )
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+    def kept(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_of_lines(F.col("text"), kept))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(_count(F.col("text"), "\n") + 1).alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"),
     )

@@ -1,11 +1,12 @@
 """Line dedup against an all-pairs check of word edit distance, and its defined edge cases."""
 
 import random
+import re
 
 import pytest
 from helpers import AWKWARD, docs_of, rows_of, text, with_clashes, words
 
-from tallyframe.llm.line_dedup import _variants, drop_repeated_lines
+from tallyframe.llm.line_dedup import _fetched, _line_rows, _variants, drop_repeated_lines
 
 
 def edit_distance(a, b):
@@ -117,3 +118,30 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = drop_repeated_lines(docs_of(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_blanks_do_not_tell_lines_apart(spark):
+    rng = random.Random(3)
+    stems = [words(n, n) for n in (1, 4, 5, 9, 10, 11, 20, 40)]
+    texts = []
+    for _ in range(30):
+        lines = [edited(w, rng) if rng.random() < 0.5 else w for w in rng.sample(stems, 4)]
+        odd = [rng.choice(["", " ", "\t "]) + "".join(w + rng.choice([" ", " ", "  ", "\t", "\x0b\r", "\x0c"]) for w in line) for line in lines]
+        texts.append("\n".join(rng.choice([" ".join(line), line_odd]) for line, line_odd in zip(lines, odd, strict=True)))
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_force(texts)
+
+
+def test_a_text_is_split_and_hashed_once_and_not_for_each_line(spark, tmp_path):
+    docs_of(spark, ["a b"]).select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def plan(df):
+        return re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+
+    above, below = plan(_line_rows(docs).where("n >= 5")).split("Generate ")
+    assert "split" not in above and "text" not in above and "xxhash64(text" in below
+    places = spark.createDataFrame([(0, 0, 0)], "doc long, th long, line int")
+    for df in (drop_repeated_lines(docs), _fetched(docs, places)):
+        assert not re.search(r"lambdafunction\([^\n]*split\(text", plan(df))
+        assert plan(df).count("split(text") == 1
