@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
 from tallyframe import schemas
 from tallyframe.operators.accuracy import accuracy_report, problem_verdicts
 from tallyframe.operators.curate import within_length
@@ -216,3 +217,14 @@ def test_streamed_scores_equal_batch(spark, tmp_path, generations, examples, siz
     assert sorted(map(repr, both.select(want.columns).collect())) == sorted(map(repr, want.collect()))
     got = accuracy_report(problem_verdicts(both)).collect()
     assert got == accuracy_report(problem_verdicts(want)).collect()
+
+
+def test_streamed_report_writes_files_of_bounded_size_in_three_batches(spark, tmp_path, monkeypatch):
+    docs = "/root/testdata/sf0.001"
+    want = entry.scored_report(spark, docs).collect()
+    monkeypatch.setattr(entry, "STREAM_FILE_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(entry, "_run_dir", lambda spark, name: str(tmp_path / name))
+    assert sorted(map(repr, entry.streamed_report(spark, docs).collect())) == sorted(map(repr, want))
+    sizes = [file.stat().st_size for file in (tmp_path / "stream" / "in").glob("*.json")]
+    batches = [file for file in (tmp_path / "stream" / "progress" / "commits").iterdir() if file.name.isdigit()]
+    assert len(sizes) >= sum(sizes) / 40_000 > 6 and len(batches) == 3
